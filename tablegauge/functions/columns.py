@@ -97,7 +97,7 @@ def last_value(name: str, order_by: Sequence[str]) -> Column:
     return F.max_by(F.col(name), order_key(order_by))
 
 
-def with_row_index(df: DataFrame, order_by: Sequence[str], index: str = "row_index") -> DataFrame:
+def with_row_index(df: DataFrame, order_by: Sequence[str | Column], index: str = "row_index") -> DataFrame:
     """Add the 0-based position of each row in the given order.
 
     A range shuffle sorts the rows across tasks; the sorted copy is written

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profiles", "reports")
+MODULES = ("profiles", "reports", "relational", "metadata")
 
 
 def load_all() -> None:
