@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profiles", "reports", "relational", "metadata")
+MODULES = ("profiles", "reports", "relational", "metadata", "models", "analyses")
 
 
 def load_all() -> None:

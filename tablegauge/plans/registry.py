@@ -34,8 +34,10 @@ def query(name: str, sql: str | None = None, digits: int | None = 4):
 
 def rounded(df: DataFrame, digits: int) -> DataFrame:
     floats = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    scale = F.lit(float(10 ** digits))
+    # Scale, round, unscale: the same double arithmetic as the SQL engine's round.
     return df.select(*[
-        (F.round(F.col(c).cast("double"), digits) + F.lit(0.0)).alias(c) if c in floats else F.col(c)
+        (F.round(F.col(c).cast("double") * scale) / scale + F.lit(0.0)).alias(c) if c in floats else F.col(c)
         for c in df.columns])
 
 
