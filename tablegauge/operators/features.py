@@ -133,8 +133,10 @@ def time_splits(df: DataFrame, at: str, folds: int = 5, days: int = 30) -> DataF
 
 
 def hash_fraction(*keys: str) -> Column:
-    """A stable number in [0, 1) from the key columns."""
-    return F.pmod(F.xxhash64(*keys), F.lit(1_000_000)) / 1_000_000
+    """A stable number in [0, 1) from the key columns, the same on any engine:
+    the first 32 bits of the MD5 of the keys joined by ``|``."""
+    head = F.substring(F.md5(F.concat_ws("|", *keys)), 1, 8)
+    return F.conv(head, 16, 10).cast("bigint") / float(1 << 32)
 
 
 def stratified_holdout(df: DataFrame, strata: Sequence[str], key: str, share: float = 0.2) -> DataFrame:

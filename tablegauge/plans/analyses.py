@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tablegauge.operators import deep as N
 from tablegauge.operators import predict as M
 from tablegauge.operators import synthetic as Y
-from tablegauge.plans.models import REF, is_reference, spearman_sql
+from tablegauge.plans.models import REF, hashed_sql, is_reference, spearman_sql
 from tablegauge.plans.registry import each, load, query, rnd
 from tablegauge.plans.reports import LINE_NUM, NEGATIVE_SQL, OUT, duplicates_sql, outliers_sql
 from tablegauge.plans.views import SALES_SQL, flags, sales
@@ -244,9 +244,9 @@ def _(spark, d):
     return M.label_codes(load(spark, d, "orders"), "o_orderpriority")
 
 
-@query("m3_split_sizes")
+@query("m3_split_rows", f"SELECT o_orderkey, {hashed_sql('o_orderkey')} < 0.2::DOUBLE AS is_test FROM orders")
 def _(spark, d):
-    return M.split_rows(load(spark, d, "orders"), ["o_orderkey"]).groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
+    return M.split_rows(load(spark, d, "orders"), ["o_orderkey"]).select("o_orderkey", "is_test")
 
 
 @query("m4_classifier")
@@ -285,9 +285,11 @@ def _(spark, d):
     return files.save_dataset(load(spark, d, "events"), "events", root).drop("created_at")
 
 
-@query("s3_preview")
+@query("s3_preview", rnd(
+    "SELECT *, (SELECT count(*) FROM customer) AS row_count, CAST(5 AS INTEGER) AS column_count, "
+    "'c_custkey: bigint, c_name: string, c_nationkey: int, c_acctbal: double, c_mktsegment: string' AS dtypes FROM customer ORDER BY c_custkey LIMIT 100", "c_acctbal"))
 def _(spark, d):
-    return rows.preview(load(spark, d, "customer"), 100)
+    return rows.preview(load(spark, d, "customer"), 100, ["c_custkey"])
 
 
 @query("s4_json_records", rnd("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS event_time, value, props FROM events", "value"))

@@ -1,7 +1,7 @@
 """Dictionary, usage, relationship, context, document and conversation queries.
 
 The dictionary tables are made from the supplied ones, so they grow with them:
-every part is a documented column and every event a usage event.
+every part is a documented column, twenty to a table, and every event a usage event.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from tablegauge.plans.registry import each, load, query, rnd
 SOURCE = "CASE WHEN p_size % 3 = 0 THEN 'human_edited' ELSE 'llm_initial' END"
 # Parts over size 25 have an old inactive version and an active second one.
 CURRENT = {
-    "spark": f"""SELECT 'default' AS database_name, 'main' AS schema_name, p_type AS table_name, concat('p', p_partkey) AS column_name,
+    "spark": f"""SELECT 'default' AS database_name, 'main' AS schema_name, concat('t', p_partkey div 20) AS table_name, concat('p', p_partkey) AS column_name,
       CAST(v AS INT) AS version_number, p_size <= 25 OR v = 2 AS is_active, concat('note ', v) AS version_notes, p_name AS business_name,
       concat('part of ', p_brand) AS business_description, CAST(NULL AS STRING) AS technical_description, 'string' AS data_type,
       array(p_brand) AS examples, split(p_name, ' ') AS tags, {SOURCE} AS source
       FROM (SELECT *, explode(CASE WHEN p_size > 25 THEN array(1, 2) ELSE array(1) END) AS v FROM part)""",
-    "duck": f"""SELECT 'default' AS database_name, 'main' AS schema_name, p_type AS table_name, 'p' || p_partkey AS column_name,
+    "duck": f"""SELECT 'default' AS database_name, 'main' AS schema_name, 't' || (p_partkey // 20) AS table_name, 'p' || p_partkey AS column_name,
       CAST(v AS INTEGER) AS version_number, p_size <= 25 OR v = 2 AS is_active, 'note ' || v AS version_notes, p_name AS business_name,
       'part of ' || p_brand AS business_description, CAST(NULL AS VARCHAR) AS technical_description, 'string' AS data_type,
       [p_brand] AS examples, string_split(p_name, ' ') AS tags, {SOURCE} AS source
@@ -34,11 +34,11 @@ CURRENT = {
 }
 # Incoming: cheap parts with new texts, and every supplier as a new column.
 INCOMING = {
-    "spark": """SELECT 'default' AS database_name, 'main' AS schema_name, p_type AS table_name, concat('p', p_partkey) AS column_name,
+    "spark": """SELECT 'default' AS database_name, 'main' AS schema_name, concat('t', p_partkey div 20) AS table_name, concat('p', p_partkey) AS column_name,
       upper(p_name) AS business_name, 'renewed' AS business_description, 'code' AS technical_description, 'varchar' AS data_type,
       array('x') AS examples, array('category') AS tags, 'llm_initial' AS source FROM part WHERE p_retailprice < 950
       UNION ALL SELECT 'default', 'main', 'supplier', concat('s', s_suppkey), s_name, 'supplier', NULL, 'string', array('y'), array('identifier'), NULL FROM supplier""",
-    "duck": """SELECT 'default' AS database_name, 'main' AS schema_name, p_type AS table_name, 'p' || p_partkey AS column_name,
+    "duck": """SELECT 'default' AS database_name, 'main' AS schema_name, 't' || (p_partkey // 20) AS table_name, 'p' || p_partkey AS column_name,
       upper(p_name) AS business_name, 'renewed' AS business_description, 'code' AS technical_description, 'varchar' AS data_type,
       ['x'] AS examples, ['category'] AS tags, 'llm_initial' AS source FROM part WHERE p_retailprice < 950
       UNION ALL SELECT 'default', 'main', 'supplier', 's' || s_suppkey, s_name, 'supplier', NULL, 'string', ['y'], ['identifier'], NULL FROM supplier""",
@@ -89,9 +89,9 @@ def _(spark, d):
     return flat(T.upsert_dictionary(entries(spark, d), incoming(spark, d), create_new_version=True))
 
 
-@query("t2_active_entries", f"SELECT {FLAT} FROM ({CURRENT['duck']}) WHERE table_name IN ('ECONOMY', 'SMALL') AND is_active")
+@query("t2_active_entries", f"SELECT {FLAT} FROM ({CURRENT['duck']}) WHERE table_name IN ('t0', 't3', 't4') AND is_active")
 def _(spark, d):
-    return flat(T.active_entries(entries(spark, d), "default", "main", ["ECONOMY", "SMALL"]))
+    return flat(T.active_entries(entries(spark, d), "default", "main", ["t0", "t3", "t4"]))
 
 
 @query("t3_version_history",
@@ -112,9 +112,9 @@ def _(spark, d):
 
 
 EDITS = {
-    "spark": "SELECT 'default' AS database_name, 'main' AS schema_name, p_type AS table_name, concat('p', p_partkey) AS column_name, "
+    "spark": "SELECT 'default' AS database_name, 'main' AS schema_name, concat('t', p_partkey div 20) AS table_name, concat('p', p_partkey) AS column_name, "
              "CASE WHEN p_size % 2 = 0 THEN concat('edited ', p_name) END AS business_name, 'checked' AS business_description FROM part WHERE p_brand = 'Brand#3'",
-    "duck": "SELECT p_type AS table_name, 'p' || p_partkey AS column_name, "
+    "duck": "SELECT 't' || (p_partkey // 20) AS table_name, 'p' || p_partkey AS column_name, "
             "CASE WHEN p_size % 2 = 0 THEN 'edited ' || p_name END AS business_name, 'checked' AS business_description FROM part WHERE p_brand = 'Brand#3'",
 }
 EDIT_CTE = (f"WITH c AS ({CURRENT['duck']}), e AS ({EDITS['duck']}), m AS (SELECT c.*, e.column_name IS NOT NULL AS hit, e.business_name AS bn, "
@@ -354,7 +354,14 @@ def _(spark, d):
 
 # --- documents and contexts -------------------------------------------------
 
-@query("x1_context_digest")
+def layer_sql(kind: str, name: str, spec: str, enabled: str) -> str:
+    return f"'{{\"enabled\":{enabled},\"kind\":\"{kind}\",\"name\":\"' || {name} || '\",\"spec\":\"{spec}\"}}'"
+
+
+@query("x1_context_digest",
+       "SELECT c_custkey AS context_id, sha256('{\"dataset_ids\":[\"nation-' || c_nationkey || '\",\"orders-' || c_custkey || '\"],\"layers\":[' || "
+       + layer_sql("select", "'open'", "o_orderstatus = ''O''", "true") + " || ',' || " + layer_sql("persona", "c_mktsegment", "{}", "false")
+       + " || '],\"metadata\":[{\"key\":\"name\",\"value\":\"' || c_name || '\"},{\"key\":\"segment\",\"value\":\"' || c_mktsegment || '\"}]}') AS digest FROM customer")
 def _(spark, d):
     # Every customer is a context over its own and its nation's data, with two layers.
     customers = load(spark, d, "customer").withColumnRenamed("c_custkey", "context_id")

@@ -390,7 +390,12 @@ def _(spark, d):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("f7_stratified_holdout")
+def hashed_sql(*keys: str) -> str:
+    return f"CAST('0x' || substring(md5(concat_ws('|', {', '.join(keys)})), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query("f7_stratified_holdout",
+       f"SELECT o_orderpriority, {hashed_sql('o_orderpriority', 'o_orderkey')} < 0.2::DOUBLE AS is_test, count(*) AS n FROM orders GROUP BY 1, 2")
 def _(spark, d):
     return FT.stratified_holdout(load(spark, d, "orders"), ["o_orderpriority"], "o_orderkey").groupBy("o_orderpriority", "is_test").agg(
         F.count(F.lit(1)).alias("n"))

@@ -41,9 +41,13 @@ def sample_for_profile(df: DataFrame, seed: int = 0, force: bool = False, rows:
     return df.sample(withReplacement=False, fraction=max(SAMPLE_ROWS / n, SAMPLE_SHARE), seed=seed)
 
 
-def preview(df: DataFrame, rows: int = 100) -> DataFrame:
-    """The first rows, each with the table's size and column types alongside."""
+def preview(df: DataFrame, rows: int = 100, order_by: Sequence[str] = ()) -> DataFrame:
+    """The first rows, each with the table's size and column types alongside.
+
+    Without an order these are whichever rows are read first.
+    """
     kinds = ", ".join(f"{c}: {t}" for c, t in df.dtypes)
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return df.limit(rows).select(
+    head = df.orderBy(*order_by) if order_by else df
+    return head.limit(rows).select(
         "*", total.alias("row_count"), F.lit(len(df.columns)).alias("column_count"), F.lit(kinds).alias("dtypes"))
