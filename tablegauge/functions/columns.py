@@ -73,10 +73,46 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+def _family(kind: T.DataType) -> str:
+    """Type in which a column's values are compared when counted."""
+    if isinstance(kind, FLOATING):
+        return "double"
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return "bigint"
+    if isinstance(kind, (T.DateType, T.TimestampNTZType)):
+        return "timestamp_ntz"
+    if isinstance(kind, T.TimestampType):
+        return "timestamp"
+    return "string"
+
+
+def column_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, distinct_count, value_count, top_count) over non-null values.
+
+    Columns of one type are counted together, so numbers are never turned into
+    text and a table needs a pass over each type's columns only. Columns
+    without values are absent.
+    """
+    families: dict[str, list[str]] = {}
+    for c in cols:
+        families.setdefault(_family(df.schema[c].dataType), []).append(c)
+    parts = []
+    for kind, names in families.items():
+        typed = df.select(*[(as_text(df, c) if kind == "string" else F.col(c).cast(kind)).alias(c) for c in names])
+        parts.append(
+            typed.unpivot([], names, "column_name", "value").filter(F.col("value").isNotNull())
+            .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("column_name").agg(
+                F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("value_count"), F.max("n").alias("top_count")))
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.unionByName(p)
+    return result
+
+
 def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column_name, distinct_count); columns without values are absent."""
-    return value_counts(df, cols).groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("distinct_count"))
+    return column_counts(df, cols).select("column_name", "distinct_count")
 
 
 def one_row_to_long(row: DataFrame, structs: Sequence[Column]) -> DataFrame:

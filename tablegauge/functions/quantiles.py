@@ -1,21 +1,24 @@
 """Exact quantiles without holding a column's values in one task.
 
 ``percentile`` keeps every distinct value of a group in one hash map. Here a
-sketch pass brackets each wanted rank, a counting pass says how many values lie
-inside the bracket, and only those few are ranked. Brackets that are still too
-wide are narrowed by another sketch pass; the result is exact either way.
+sketch over a sample brackets each wanted rank, a counting pass over all rows
+says how many values lie inside the bracket, and only those few are ranked.
+Brackets that are still too wide are narrowed by another sketch, and one that
+misses its rank is widened to the whole range first; the result is exact
+whatever the sample was.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
+SAMPLE_ROWS = 200_000
 MAX_RANKED = 1_000_000
 
 
@@ -44,103 +47,107 @@ class _Target:
             self.values = (found[0], found[1])
 
 
-def _sketch(column: Column, around: Sequence[float], accuracy: int) -> Column:
-    margin = 3.0 / accuracy
-    probs = [min(1.0, max(0.0, p + side)) for p in around for side in (-margin, margin)]
-    return F.percentile_approx(column, probs, accuracy)
+def _sample(df: DataFrame, rows: int, wanted: int, values: int, seed: int) -> tuple[DataFrame, float]:
+    """About ``wanted`` of ``rows`` rows, which hold about ``values`` values of
+    interest, and the margin in rank share that a bracket around a sampled
+    quantile needs: five standard errors and the error of the sketch."""
+    if wanted >= rows:
+        return df, 3.0 / ACCURACY
+    return df.sample(fraction=wanted / rows, seed=seed), 3.0 / ACCURACY + 2.5 / math.sqrt(values)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    extra: Mapping[str, Column] | None = None,
-    accuracy: int = ACCURACY,
-    max_ranked: int = MAX_RANKED,
-) -> tuple[dict[str, list[float | None]], dict[str, object]]:
-    """Linear-interpolated quantiles per column, plus ``extra`` one-row
-    aggregates taken in the same first pass.
+def _around(column: Column, shares: Sequence[float], margin: float) -> Column:
+    probs = [min(1.0, max(0.0, p + side)) for p in shares for side in (-margin, margin)]
+    return F.percentile_approx(column, probs, ACCURACY)
 
-    Only one row per pass reaches the driver.
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    sample_rows: int = SAMPLE_ROWS, max_ranked: int = MAX_RANKED) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles per column, None for a column without values.
+
+    Only one row per pass, and at most two values per quantile, reach the driver.
     """
-    extra = dict(extra or {})
     cols = list(cols)
-    aggs = [a.alias(n) for n, a in extra.items()]
-    for i, c in enumerate(cols):
-        number = F.col(c).cast("double")
-        aggs.append(F.count(number).alias(f"_n{i}"))
-        aggs.append(_sketch(number, probs, accuracy).alias(f"_q{i}"))
-    if not aggs:
-        return {}, {}
-    row = df.agg(*aggs).first()
-    side_values = {n: row[n] for n in extra}
-
+    if not cols:
+        return {}
+    numbers = {c: F.col(c).cast("double") for c in cols}
+    sizes = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(v).alias(f"n{i}") for i, v in enumerate(numbers.values())]).first()
     targets: dict[tuple[str, int], _Target] = {}
     for i, c in enumerate(cols):
-        n = row[f"_n{i}"]
-        if n == 0:
-            continue
-        for j, p in enumerate(probs):
+        n = sizes[f"n{i}"]
+        for j, p in enumerate(probs if n else ()):
             position = (n - 1) * p
             low = math.floor(position + 1e-12)
-            t = _Target(c, low, min(n - 1, low + 1), max(0.0, position - low))
-            t.low, t.high = row[f"_q{i}"][2 * j], row[f"_q{i}"][2 * j + 1]
-            targets[c, j] = t
+            targets[c, j] = _Target(c, low, min(n - 1, low + 1), max(0.0, position - low))
+    if targets:
+        # A column with many missing values has fewer values in the sample.
+        scarcest = min(sizes[f"n{i}"] for i in range(len(cols)) if sizes[f"n{i}"])
+        wanted = math.ceil(sample_rows * sizes["n"] / scarcest)
+        part, margin = _sample(df, sizes["n"], wanted, sample_rows, seed=11)
+        held = [c for c in cols if (c, 0) in targets]
+        row = part.agg(*[_around(numbers[c], probs, margin).alias(f"q{i}") for i, c in enumerate(held)]).first()
+        for i, c in enumerate(held):
+            for j in range(len(probs)):
+                t = targets[c, j]
+                ends = row[f"q{i}"]
+                t.low, t.high = (ends[2 * j], ends[2 * j + 1]) if ends else (-math.inf, math.inf)
 
     pending = list(targets.values())
     while pending:
         _count_brackets(df, pending)
         wide = [t for t in pending if t.values is None and t.inside > max_ranked]
         _rank_inside(df, [t for t in pending if t.values is None and t.inside <= max_ranked])
-        _narrow(df, wide, accuracy)
+        _narrow(df, wide, sample_rows)
         pending = wide
 
     result: dict[str, list[float | None]] = {}
     for c in cols:
-        result[c] = []
-        for j in range(len(probs)):
-            t = targets.get((c, j))
-            result[c].append(None if t is None else t.values[0] + (t.values[1] - t.values[0]) * t.weight)
-    return result, side_values
+        found = [targets.get((c, j)) for j in range(len(probs))]
+        result[c] = [None if t is None else t.values[0] + (t.values[1] - t.values[0]) * t.weight for t in found]
+    return result
 
 
 def _count_brackets(df: DataFrame, targets: list[_Target]) -> None:
     aggs = []
     for i, t in enumerate(targets):
         v = F.col(t.column).cast("double")
-        aggs += [
-            F.count_if(v < t.low).alias(f"b{i}"),
-            F.count_if(v == t.low).alias(f"l{i}"),
-            F.count_if((v > t.low) & (v < t.high)).alias(f"m{i}"),
-            F.count_if(v == t.high).alias(f"h{i}"),
-        ]
-    row = df.agg(*aggs).first()
+        aggs += [F.count_if(v < t.low).alias(f"b{i}"), F.count_if(v == t.low).alias(f"l{i}")]
+        if t.low != t.high:
+            aggs += [F.count_if((v > t.low) & (v < t.high)).alias(f"m{i}"), F.count_if(v == t.high).alias(f"h{i}")]
+    row = df.agg(*aggs).first().asDict()
+    missed = []
     for i, t in enumerate(targets):
-        t.below, t.at_low, t.inside = row[f"b{i}"], row[f"l{i}"], row[f"m{i}"]
-        upper = t.below + t.at_low + t.inside + (row[f"h{i}"] if t.high != t.low else 0)
-        if t.low_rank < t.below or t.high_rank >= upper:
-            # A sketch outside its error bound: fall back to the whole range.
-            ends = df.agg(F.min(F.col(t.column).cast("double")), F.max(F.col(t.column).cast("double"))).first()
-            t.low, t.high = ends[0], ends[1]
-            _count_brackets(df, [t])
-        t.settle()
+        t.below, t.at_low, t.inside = row[f"b{i}"], row[f"l{i}"], row.get(f"m{i}", 0)
+        if t.low_rank < t.below or t.high_rank >= t.below + t.at_low + t.inside + row.get(f"h{i}", 0):
+            missed.append(t)
+        else:
+            t.settle()
+    if missed:
+        # Outside its sample's margin: start again from the whole range.
+        ends = df.agg(*[f(F.col(t.column).cast("double")) for t in missed for f in (F.min, F.max)]).first()
+        for i, t in enumerate(missed):
+            t.low, t.high = ends[2 * i], ends[2 * i + 1]
+        _count_brackets(df, missed)
 
 
-def _narrow(df: DataFrame, targets: list[_Target], accuracy: int) -> None:
+def _narrow(df: DataFrame, targets: list[_Target], sample_rows: int) -> None:
+    """Closer brackets for the ranks among the values strictly inside the old ones."""
     if not targets:
         return
-    aggs = []
+    aggs, total = [], df.count()
+    fewest = min(t.inside for t in targets)
+    part, margin = _sample(df, total, math.ceil(sample_rows * total / fewest), sample_rows, seed=13)
     for i, t in enumerate(targets):
         v = F.col(t.column).cast("double")
         start = t.below + t.at_low
-        around = [min(1.0, max(0.0, (r - start) / t.inside)) for r in (t.low_rank, t.high_rank)]
-        margin = 3.0 / accuracy
-        wanted = [max(0.0, around[0] - margin), min(1.0, around[1] + margin)]
-        aggs.append(F.percentile_approx(
-            F.when((v > t.low) & (v < t.high), v), wanted, accuracy).alias(f"q{i}"))
-    row = df.agg(*aggs).first()
+        shares = [min(1.0, max(0.0, (r - start) / t.inside)) for r in (t.low_rank, t.high_rank)]
+        ends = [max(0.0, shares[0] - margin), min(1.0, shares[1] + margin)]
+        aggs.append(F.percentile_approx(F.when((v > t.low) & (v < t.high), v), ends, ACCURACY).alias(f"q{i}"))
+    row = part.agg(*aggs).first()
     for i, t in enumerate(targets):
         start = t.below + t.at_low
+        if row[f"q{i}"] is None:
+            continue
         low, high = row[f"q{i}"]
         # Keep an end of the old bracket when one of the two ranks sits on it.
         t.low = t.low if t.low_rank < start else low
@@ -178,10 +185,9 @@ def _rank_inside(df: DataFrame, targets: list[_Target]) -> None:
         t.values = (first, second)
 
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], extra: Mapping[str, Column] | None = None,
-               probs: Sequence[float] = (0.25, 0.75)):
-    """Q1 - 1.5 IQR and Q3 + 1.5 IQR per column, with the quantiles themselves."""
-    quantiles, side_values = exact_quantiles(df, cols, probs, extra)
+def iqr_bounds(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.75)):
+    """Q1 - 1.5 IQR and Q3 + 1.5 IQR per column, and the quantiles themselves."""
+    quantiles = exact_quantiles(df, cols, probs)
     bounds = {}
     for c, q in quantiles.items():
         if q[0] is None:
@@ -189,7 +195,7 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], extra: Mapping[str, Column] |
         else:
             spread = q[-1] - q[0]
             bounds[c] = (q[0] - 1.5 * spread, q[-1] + 1.5 * spread)
-    return bounds, quantiles, side_values
+    return bounds, quantiles
 
 
 def outside(column: Column, bounds: tuple[float | None, float | None]) -> Column:

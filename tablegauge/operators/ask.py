@@ -66,7 +66,7 @@ def column_statistics(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     """Mean, quartiles, spread, volatility band and outliers of each column."""
     df = nan_to_null(df)
     cols = list(cols or numeric_columns(df))
-    bounds, q, _ = iqr_bounds(df, cols, probs=(0.25, 0.5, 0.75))
+    bounds, q = iqr_bounds(df, cols, probs=(0.25, 0.5, 0.75))
     s = WideStats(df, {"mean": cols, "std": cols, "min": cols, "max": cols, "outliers": cols}, bounds=bounds)
     structs = []
     for c in cols:
@@ -104,7 +104,7 @@ def skew_comparison(df: DataFrame) -> DataFrame:
     """Mean against median for the first two numeric columns, and their mean ratio."""
     df = nan_to_null(df)
     cols = numeric_columns(df, 2)
-    q, _ = exact_quantiles(df, cols, [0.5])
+    q = exact_quantiles(df, cols, [0.5])
     s = WideStats(df, {"mean": cols})
     ratio = F.coalesce(F.try_divide(s("mean", cols[0]), s("mean", cols[1])), F.lit(0.0))
     structs = []
@@ -154,7 +154,7 @@ def advice(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     df = nan_to_null(df)
     cols = numeric_columns(df)
     head = cols[:3]
-    bounds, _, _ = iqr_bounds(df, cols)
+    bounds, _ = iqr_bounds(df, cols)
     s = WideStats(df, {"missing": df.columns, "first": head, "last": head, "outliers": cols},
                   order_by, bounds)
     sparse = names_where([(c, s("missing", c) > s.n * 0.1) for c in df.columns], 2)

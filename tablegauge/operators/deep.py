@@ -63,7 +63,7 @@ def outlier_magnitude(df: DataFrame) -> DataFrame:
     """How many values lie outside the fences and how far, as a multiple of the median."""
     df = nan_to_null(df)
     cols = numeric_columns(df)
-    bounds, q, _ = iqr_bounds(df, cols, probs=(0.25, 0.5, 0.75))
+    bounds, q = iqr_bounds(df, cols, probs=(0.25, 0.5, 0.75))
     aggs, structs = [F.count(F.lit(1)).alias("n")], []
     for i, c in enumerate(cols):
         out = outside(F.col(c), bounds[c])

@@ -22,7 +22,7 @@ def psi(df: DataFrame, features: Sequence[str], is_reference: Column, thresholds
     one more counts all bins of all features.
     """
     df = nan_to_null(df)
-    edges, _ = exact_quantiles(df.filter(is_reference), features, [i / PSI_BINS for i in range(1, PSI_BINS)])
+    edges = exact_quantiles(df.filter(is_reference), features, [i / PSI_BINS for i in range(1, PSI_BINS)])
     aggs, structs = [], []
     for i, c in enumerate(features):
         number = F.lit(0)

@@ -140,7 +140,7 @@ def score_bins(df: DataFrame, score: str, bins: int = 10) -> DataFrame:
 
     Boundaries are literals; no sort and no shuffle.
     """
-    edges, _ = exact_quantiles(df, [score], [i / bins for i in range(1, bins)])
+    edges = exact_quantiles(df, [score], [i / bins for i in range(1, bins)])
     number = F.lit(0)
     for e in edges[score]:
         number = number + (F.col(score) > F.lit(e)).cast("int")

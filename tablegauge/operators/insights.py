@@ -56,7 +56,7 @@ def iqr_outliers(df: DataFrame, k: int | None = 5, only_positive: bool = True) -
     """Values strictly outside the 1.5 IQR fences; percentage over all rows."""
     df = nan_to_null(df)
     cols = numeric_columns(df, k)
-    bounds, _, _ = iqr_bounds(df, cols)
+    bounds, _ = iqr_bounds(df, cols)
     s = WideStats(df, {"outliers": cols}, bounds=bounds)
     long = one_row_to_long(s.row, [
         F.struct(
@@ -121,7 +121,7 @@ def recommendations(df: DataFrame) -> DataFrame:
 def key_metrics(df: DataFrame, k: int = 10) -> DataFrame:
     df = nan_to_null(df)
     cols = numeric_columns(df, k)
-    quantiles, _ = exact_quantiles(df, cols, [0.5])
+    quantiles = exact_quantiles(df, cols, [0.5])
     s = WideStats(df, {"mean": cols, "std": cols, "min": cols, "max": cols})
     return one_row_to_long(s.row, [
         F.struct(F.lit(c).alias("column_name"), s("mean", c).alias("mean"),
@@ -220,7 +220,7 @@ def risk_indicators(df: DataFrame, k: int = 5, abs_cv: bool = False) -> DataFram
     signed unless ``abs_cv`` is set."""
     df = nan_to_null(df)
     cols = numeric_columns(df, k)
-    bounds, _, _ = iqr_bounds(df, cols)
+    bounds, _ = iqr_bounds(df, cols)
     s = WideStats(df, {"mean": cols, "std": cols, "outliers": cols}, bounds=bounds)
     structs = []
     for c in cols:

@@ -15,6 +15,8 @@ from tablegauge.operators.features import hash_fraction
 TREES = 100
 MAX_DEPTH = 10
 SEED = 42
+# Memory for node statistics: more nodes are split per pass over the data.
+PASS_MEMORY_MB = 1024
 TEST_SHARE = 0.2
 CLASSES_BELOW = 10
 TOP_FEATURES = 10
@@ -96,7 +98,7 @@ def fit_classifier(df: DataFrame, target: str, key: list[str], trees: int = TREE
     encoded, names = _prepared(df.filter(F.col(target).isNotNull()), target, key)
     codes = label_codes(df, target).withColumnRenamed("code", "_label")
     data = encoded.join(codes, target).select(F.col("_label").cast("double").alias("label"), "features", "is_test")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=SEED).fit(data.filter(~F.col("is_test")))
+    model = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=SEED, maxMemoryInMB=PASS_MEMORY_MB).fit(data.filter(~F.col("is_test")))
     scored = model.transform(data.filter("is_test"))
     metrics = scored.agg(F.count(F.lit(1)).alias("test_rows"), F.avg(
         (F.col("prediction") == F.col("label")).cast("int")).alias("accuracy")).select(
@@ -108,7 +110,7 @@ def fit_regressor(df: DataFrame, target: str, key: list[str], trees: int = TREES
     """(metrics, importances, model) of a forest that predicts the value."""
     encoded, names = _prepared(df.filter(F.col(target).isNotNull()), target, key)
     data = encoded.select(F.col(target).cast("double").alias("label"), "features", "is_test")
-    model = RandomForestRegressor(numTrees=trees, maxDepth=max_depth, seed=SEED).fit(data.filter(~F.col("is_test")))
+    model = RandomForestRegressor(numTrees=trees, maxDepth=max_depth, seed=SEED, maxMemoryInMB=PASS_MEMORY_MB).fit(data.filter(~F.col("is_test")))
     scored = model.transform(data.filter("is_test"))
     r2 = RegressionEvaluator(metricName="r2").evaluate(scored)
     metrics = scored.agg(F.count(F.lit(1)).alias("test_rows")).select(
@@ -121,7 +123,7 @@ def uplift_scores(df: DataFrame, features: list[str], treated: str, outcome: str
     """Two-model uplift: the difference of a treated and a control model's scores."""
     encoded, _ = encode_features(df, features)
     data = encoded.select(*key, treated, F.col(outcome).cast("double").alias("label"), "features")
-    forest = RandomForestRegressor(numTrees=trees, maxDepth=max_depth, seed=SEED)
+    forest = RandomForestRegressor(numTrees=trees, maxDepth=max_depth, seed=SEED, maxMemoryInMB=PASS_MEMORY_MB)
     with_offer = forest.fit(data.filter(F.col(treated))).setPredictionCol("score_treated")
     without = forest.fit(data.filter(~F.col(treated))).setPredictionCol("score_control")
     scored = without.transform(with_offer.transform(data))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablegauge.functions.columns import (
-    distinct_counts, nan_to_null, numeric_columns, one_row_to_long,
+    column_counts, distinct_counts, nan_to_null, numeric_columns, one_row_to_long,
     temporal_columns, text_columns, value_counts)
 from tablegauge.functions.quantiles import exact_quantiles
 
@@ -105,14 +105,11 @@ def profile_columns(df: DataFrame) -> DataFrame:
     """Extended profile: uniqueness, spread, median and the share of the top value."""
     df = nan_to_null(df)
     cols = numeric_columns(df)
-    quantiles, _ = exact_quantiles(df, cols, [0.5])
+    quantiles = exact_quantiles(df, cols, [0.5])
     row = df.agg(*([F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)] or [F.lit(1).alias("one")]))
     number = [F.struct(F.lit(c).alias("column_name"), F.col(f"s{i}").alias("stddev"),
                        F.lit(quantiles[c][0]).cast("double").alias("median")) for i, c in enumerate(cols)]
-    counts = value_counts(df, df.columns)
-    frequent = counts.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("value_count"),
-        F.max("n").alias("top_count"))
+    frequent = column_counts(df, df.columns)
     n = df.agg(F.count(F.lit(1)).alias("total_rows"))
     base = one_row_to_long(n, [
         F.struct(F.lit(c).alias("column_name"), F.col("total_rows")) for c in df.columns])

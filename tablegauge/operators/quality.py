@@ -82,7 +82,7 @@ def accuracy(df: DataFrame) -> DataFrame:
     """Outlier columns, and a score that loses ten points for each."""
     df = nan_to_null(df)
     cols = numeric_columns(df)
-    bounds, _, _ = iqr_bounds(df, cols)
+    bounds, _ = iqr_bounds(df, cols)
     s = WideStats(df, {"outliers": cols}, bounds=bounds)
     issues = F.lit(0)
     for c in cols:
@@ -153,7 +153,7 @@ def issues(df: DataFrame) -> DataFrame:
     """Missing data (high), duplicate rows and frequent outliers (medium)."""
     df = nan_to_null(df)
     cols = numeric_columns(df, 5)
-    bounds, _, _ = iqr_bounds(df, cols)
+    bounds, _ = iqr_bounds(df, cols)
     s = WideStats(df, {"missing": df.columns, "outliers": cols}, bounds=bounds)
     row = _with_duplicates(s.row, df)
 
@@ -206,7 +206,7 @@ def quality_report(df: DataFrame, names: Sequence[str] = NON_NEGATIVE_NAMES) ->
     cols = numeric_columns(df)
     wanted = {n.lower() for n in names}
     guarded = [c for c in cols if c.lower() in wanted]
-    bounds, _, _ = iqr_bounds(df, cols)
+    bounds, _ = iqr_bounds(df, cols)
     s = WideStats(df, {"missing": df.columns, "outliers": cols, "negative": guarded}, bounds=bounds)
     row = _with_duplicates(s.row, df)
     duplicates = F.col("duplicate_rows")
