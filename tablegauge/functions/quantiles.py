@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 SAMPLE_ROWS = 200_000
 MAX_RANKED = 1_000_000
+# Columns aggregated together; more make the generated code too long to be fast.
+COLUMNS_PER_PASS = 3
 
 
 @dataclass
@@ -56,6 +58,36 @@ def _sample(df: DataFrame, rows: int, wanted: int, values: int, seed: int) -> tu
     return df.sample(fraction=wanted / rows, seed=seed), 3.0 / ACCURACY + 2.5 / math.sqrt(values)
 
 
+def _one_row(df: DataFrame, aggregates: dict[str, list[Column]]) -> dict[str, list]:
+    """Values of like-typed aggregates per column.
+
+    Columns are split over a few branches of one job; each branch reads only
+    its own columns, so together they read the table once.
+    """
+    names = list(aggregates)
+    parts = []
+    for start in range(0, len(names), COLUMNS_PER_PASS):
+        chunk = names[start:start + COLUMNS_PER_PASS]
+        flat = [a for c in chunk for a in aggregates[c]]
+        parts.append(df.agg(F.array(*flat).alias("values")).select(F.lit(start).alias("start"), "values"))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    found = {}
+    for r in rows.collect():
+        values = iter(r["values"])
+        for c in names[r["start"]:r["start"] + COLUMNS_PER_PASS]:
+            found[c] = [next(values) for _ in aggregates[c]]
+    return found
+
+
+def _per_column(targets: list[_Target]) -> dict[str, list[_Target]]:
+    grouped: dict[str, list[_Target]] = {}
+    for t in targets:
+        grouped.setdefault(t.column, []).append(t)
+    return grouped
+
+
 def _around(column: Column, shares: Sequence[float], margin: float) -> Column:
     probs = [min(1.0, max(0.0, p + side)) for p in shares for side in (-margin, margin)]
     return F.percentile_approx(column, probs, ACCURACY)
@@ -85,11 +117,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         wanted = math.ceil(sample_rows * sizes["n"] / scarcest)
         part, margin = _sample(df, sizes["n"], wanted, sample_rows, seed=11)
         held = [c for c in cols if (c, 0) in targets]
-        row = part.agg(*[_around(numbers[c], probs, margin).alias(f"q{i}") for i, c in enumerate(held)]).first()
-        for i, c in enumerate(held):
+        sketched = _one_row(part, {c: [_around(numbers[c], probs, margin)] for c in held})
+        for c in held:
+            ends = sketched[c][0]
             for j in range(len(probs)):
                 t = targets[c, j]
-                ends = row[f"q{i}"]
                 t.low, t.high = (ends[2 * j], ends[2 * j + 1]) if ends else (-math.inf, math.inf)
 
     pending = list(targets.values())
@@ -108,17 +140,20 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 
 def _count_brackets(df: DataFrame, targets: list[_Target]) -> None:
-    aggs = []
-    for i, t in enumerate(targets):
-        v = F.col(t.column).cast("double")
-        aggs += [F.count_if(v < t.low).alias(f"b{i}"), F.count_if(v == t.low).alias(f"l{i}")]
-        if t.low != t.high:
-            aggs += [F.count_if((v > t.low) & (v < t.high)).alias(f"m{i}"), F.count_if(v == t.high).alias(f"h{i}")]
-    row = df.agg(*aggs).first().asDict()
-    missed = []
-    for i, t in enumerate(targets):
-        t.below, t.at_low, t.inside = row[f"b{i}"], row[f"l{i}"], row.get(f"m{i}", 0)
-        if t.low_rank < t.below or t.high_rank >= t.below + t.at_low + t.inside + row.get(f"h{i}", 0):
+    grouped, aggregates = _per_column(targets), {}
+    for c, own in grouped.items():
+        v = F.col(c).cast("double")
+        aggregates[c] = []
+        for t in own:
+            aggregates[c] += [F.count_if(v < t.low), F.count_if(v == t.low)]
+            if t.low != t.high:
+                aggregates[c] += [F.count_if((v > t.low) & (v < t.high)), F.count_if(v == t.high)]
+    counted, missed = _one_row(df, aggregates), []
+    for t in (t for own in grouped.values() for t in own):
+        counts = counted[t.column]
+        t.below, t.at_low = counts.pop(0), counts.pop(0)
+        t.inside, at_high = (counts.pop(0), counts.pop(0)) if t.low != t.high else (0, 0)
+        if t.low_rank < t.below or t.high_rank >= t.below + t.at_low + t.inside + at_high:
             missed.append(t)
         else:
             t.settle()
@@ -134,21 +169,24 @@ def _narrow(df: DataFrame, targets: list[_Target], sample_rows: int) -> None:
     """Closer brackets for the ranks among the values strictly inside the old ones."""
     if not targets:
         return
-    aggs, total = [], df.count()
-    fewest = min(t.inside for t in targets)
+    total, fewest = df.count(), min(t.inside for t in targets)
     part, margin = _sample(df, total, math.ceil(sample_rows * total / fewest), sample_rows, seed=13)
-    for i, t in enumerate(targets):
-        v = F.col(t.column).cast("double")
-        start = t.below + t.at_low
-        shares = [min(1.0, max(0.0, (r - start) / t.inside)) for r in (t.low_rank, t.high_rank)]
-        ends = [max(0.0, shares[0] - margin), min(1.0, shares[1] + margin)]
-        aggs.append(F.percentile_approx(F.when((v > t.low) & (v < t.high), v), ends, ACCURACY).alias(f"q{i}"))
-    row = part.agg(*aggs).first()
-    for i, t in enumerate(targets):
+    grouped, aggregates = _per_column(targets), {}
+    for c, own in grouped.items():
+        v = F.col(c).cast("double")
+        aggregates[c] = []
+        for t in own:
+            start = t.below + t.at_low
+            shares = [min(1.0, max(0.0, (r - start) / t.inside)) for r in (t.low_rank, t.high_rank)]
+            ends = [max(0.0, shares[0] - margin), min(1.0, shares[1] + margin)]
+            aggregates[c].append(F.percentile_approx(F.when((v > t.low) & (v < t.high), v), ends, ACCURACY))
+    sketched = _one_row(part, aggregates)
+    for t in (t for own in grouped.values() for t in own):
         start = t.below + t.at_low
-        if row[f"q{i}"] is None:
+        ends = sketched[t.column].pop(0)
+        if ends is None:
             continue
-        low, high = row[f"q{i}"]
+        low, high = ends
         # Keep an end of the old bracket when one of the two ranks sits on it.
         t.low = t.low if t.low_rank < start else low
         t.high = t.high if t.high_rank >= start + t.inside else high
@@ -157,17 +195,22 @@ def _narrow(df: DataFrame, targets: list[_Target], sample_rows: int) -> None:
 def _rank_inside(df: DataFrame, targets: list[_Target]) -> None:
     if not targets:
         return
-    candidates, wanted = [], F.lit(False)
-    for i, t in enumerate(targets):
-        v = F.col(t.column).cast("double")
-        inside = (v > t.low) & (v < t.high)
-        wanted = wanted | inside
-        candidates.append(F.when(inside, F.struct(F.lit(i).alias("t"), v.alias("v"))))
-    # Few rows pass the filter, so the arrays are built for those only.
-    counted = (
-        df.filter(wanted).select(F.inline(F.filter(F.array(*candidates), lambda s: s.isNotNull())))
-        .groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
-    )
+    number = {id(t): i for i, t in enumerate(targets)}
+    parts = []
+    for c, own in _per_column(targets).items():
+        v = F.col(c).cast("double")
+        inside = [(v > t.low) & (v < t.high) for t in own]
+        wanted = inside[0]
+        for more in inside[1:]:
+            wanted = wanted | more
+        # Each branch reads one column, and few of its rows pass the filter.
+        hits = F.array_compact(F.array(*[
+            F.when(cond, F.struct(F.lit(number[id(t)]).alias("t"), v.alias("v"))) for t, cond in zip(own, inside)]))
+        parts.append(df.filter(wanted).select(F.inline(hits)))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    counted = found.groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
     # At most max_ranked values per target reach this window.
     upto = F.sum("n").over(Window.partitionBy("t").orderBy("v"))
     start = F.element_at(F.array(*[F.lit(t.below + t.at_low) for t in targets]), F.col("t") + 1)

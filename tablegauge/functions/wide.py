@@ -60,6 +60,19 @@ class WideStats:
         return F.when(self("mean", c) != 0, self("std", c) / self("mean", c))
 
 
+def correlation(a: str, b: str, complete: bool = False) -> Column:
+    """Pearson correlation over rows with both values, NULL for a constant side.
+
+    ``corr`` raises on a constant column under ANSI rules. If both columns are
+    ``complete``, deviations are per column and shared by all pairs of one
+    aggregate.
+    """
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    if complete:
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.try_divide(F.regr_sxy(x, y), F.sqrt(F.regr_sxx(x, y)) * F.sqrt(F.regr_syy(x, y)))
+
+
 def mean_of(values: Sequence[Column]) -> Column:
     """Mean of the non-null values among expressions of one row, NULL if none."""
     if not values:

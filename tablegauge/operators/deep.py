@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions.columns import nan_to_null, numeric_columns, one_row_to_long
 from tablegauge.functions.quantiles import iqr_bounds, outside
+from tablegauge.functions.wide import correlation
 from tablegauge.operators.evaluate import spearman
 from tablegauge.operators.quality import duplicate_rows
 
@@ -109,7 +110,7 @@ def correlation_kinds(df: DataFrame, pairs: Sequence[tuple[str, str]], gap: floa
     df = nan_to_null(df)
     parts = []
     for a, b in pairs:
-        linear = df.agg(F.corr(a, b)).scalar()
+        linear = df.agg(correlation(a, b)).scalar()
         parts.append(spearman(df, a, b).select(
             F.lit(a).alias("column1"), F.lit(b).alias("column2"), linear.alias("pearson"), "spearman"))
     result = parts[0]
@@ -258,7 +259,7 @@ def subpopulations(df: DataFrame, dimensions: Sequence[str], metric: str, min_sh
     width, name = len(dimensions), F
     for i, c in enumerate(dimensions):
         name = name.when(F.col("g") == (1 << width) - 1 - (1 << (width - 1 - i)), c)
-    z = F.try_divide(F.col("mean") - F.col("o.mean"), F.col("o.std") / F.sqrt("n"))
+    z = F.try_divide((F.col("mean") - F.col("o.mean")) * F.sqrt("n"), "o.std")
     return (grouped.select(name.alias("dimension"), F.coalesce(*dimensions).alias("value"), F.col("n").alias("size"),
                            "mean", F.col("o.mean").alias("overall_mean"), z.alias("z_score"), (F.col("n") / F.col("o.n")).alias("share"))
             .filter((F.col("share") >= min_share) & (F.abs("z_score") >= min_z))

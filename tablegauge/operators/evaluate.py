@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablegauge.functions.columns import with_row_index
 from tablegauge.functions.ordered import running_total
 from tablegauge.functions.quantiles import exact_quantiles
+from tablegauge.session import literal_table
 
 LOWER = "lower_is_better"
 HIGHER = "higher_is_better"
@@ -42,7 +43,7 @@ PACK_SCHEMA = "pack string, family string, metric string, direction string, prom
 
 
 def standard_packs(spark) -> DataFrame:
-    return spark.createDataFrame(PACKS, PACK_SCHEMA)
+    return literal_table(spark, PACKS, PACK_SCHEMA)
 
 
 def check_threshold(value: Column, warn: Column, fail: Column, direction: Column,

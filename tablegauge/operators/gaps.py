@@ -9,6 +9,7 @@ from tablegauge.functions.columns import (
     distinct_counts, nan_to_null, numeric_columns, temporal_columns)
 from tablegauge.functions.wide import WideStats, names_where, numbered
 from tablegauge.operators.insights import pair_correlations
+from tablegauge.session import literal_table
 
 
 def temporal_gaps(df: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def schema_rows(tables: dict[str, DataFrame]) -> DataFrame:
     for name, df in tables.items():
         numeric = set(numeric_columns(df))
         rows += [(name, c, "numeric" if c in numeric else "other") for c in df.columns]
-    return spark.createDataFrame(rows, "table_name string, column_name string, kind string")
+    return literal_table(spark, rows, "table_name string, column_name string, kind string")
 
 
 def coverage_gaps(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablegauge.functions.columns import (
     first_value, last_value, nan_to_null, numeric_columns, one_row_to_long, with_row_index)
 from tablegauge.functions.quantiles import exact_quantiles, iqr_bounds
-from tablegauge.functions.wide import WideStats, mean_of, names_where, numbered
+from tablegauge.functions.wide import WideStats, correlation, mean_of, names_where, numbered
 
 # More pairs per aggregate make its generated code too long to be compiled.
 PAIRS_PER_PASS = 7
@@ -76,14 +76,17 @@ def pair_correlations(df: DataFrame) -> DataFrame:
     several one-row aggregates so that no single plan grows too wide.
     """
     df = nan_to_null(df)
-    pairs = list(combinations(numeric_columns(df), 2))
+    cols = numeric_columns(df)
+    pairs = list(combinations(cols, 2))
     parts = []
+    missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first() if pairs else {}
+    full = {c for c in cols if pairs and missing[c] == 0}
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start:start + PAIRS_PER_PASS]
-        row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
+        row = df.agg(*[correlation(a, b, {a, b} <= full).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
         parts.append(one_row_to_long(row, [
             F.struct(F.lit(start + i).alias("pair_position"), F.lit(a).alias("column1"),
-                     F.lit(b).alias("column2"), F.nanvl(F.col(f"r{i}"), F.lit(None)).alias("correlation"))
+                     F.lit(b).alias("column2"), F.col(f"r{i}").alias("correlation"))
             for i, (a, b) in enumerate(chunk)]))
     if not parts:
         return df.sparkSession.createDataFrame(

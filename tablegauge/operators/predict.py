@@ -110,7 +110,8 @@ def fit_regressor(df: DataFrame, target: str, key: list[str], trees: int = TREES
     """(metrics, importances, model) of a forest that predicts the value."""
     encoded, names = _prepared(df.filter(F.col(target).isNotNull()), target, key)
     data = encoded.select(F.col(target).cast("double").alias("label"), "features", "is_test")
-    model = RandomForestRegressor(numTrees=trees, maxDepth=max_depth, seed=SEED, maxMemoryInMB=PASS_MEMORY_MB).fit(data.filter(~F.col("is_test")))
+    model = RandomForestRegressor(numTrees=trees, maxDepth=max_depth, seed=SEED, maxMemoryInMB=PASS_MEMORY_MB,
+                                   featureSubsetStrategy="all").fit(data.filter(~F.col("is_test")))
     scored = model.transform(data.filter("is_test"))
     r2 = RegressionEvaluator(metricName="r2").evaluate(scored)
     metrics = scored.agg(F.count(F.lit(1)).alias("test_rows")).select(
@@ -123,7 +124,8 @@ def uplift_scores(df: DataFrame, features: list[str], treated: str, outcome: str
     """Two-model uplift: the difference of a treated and a control model's scores."""
     encoded, _ = encode_features(df, features)
     data = encoded.select(*key, treated, F.col(outcome).cast("double").alias("label"), "features")
-    forest = RandomForestRegressor(numTrees=trees, maxDepth=max_depth, seed=SEED, maxMemoryInMB=PASS_MEMORY_MB)
+    forest = RandomForestRegressor(numTrees=trees, maxDepth=max_depth, seed=SEED, maxMemoryInMB=PASS_MEMORY_MB,
+                                   featureSubsetStrategy="all")
     with_offer = forest.fit(data.filter(F.col(treated))).setPredictionCol("score_treated")
     without = forest.fit(data.filter(~F.col(treated))).setPredictionCol("score_control")
     scored = without.transform(with_offer.transform(data))

@@ -15,6 +15,7 @@ from tablegauge.operators import profile as P
 from tablegauge.operators import usage as U
 from tablegauge.plans.profiles import SCHEMA_SQL, SCHEMA_TABLES
 from tablegauge.plans.registry import each, load, query, rnd
+from tablegauge.session import literal_table
 
 # --- dictionary entries ---------------------------------------------------
 
@@ -249,8 +250,8 @@ def _(spark, d):
     fields = profiles.select(schema, "table_name", "column_name", "ordinal_position", "data_type",
                              T.friendly_name(F.col("column_name")).alias("business_name"))
     facts = profiles.select(schema, "table_name", "column_name", "null_fraction", "distinct_count")
-    relations = spark.createDataFrame(
-        [("main", s, sc, "main", t, tc, "many_to_one", "verified") for s, sc, t, tc in (
+    relations = literal_table(
+        spark, [("main", s, sc, "main", t, tc, "many_to_one", "verified") for s, sc, t, tc in (
             ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"),
             ("orders", "o_custkey", "customer", "c_custkey"))],
         "source_schema string, source_table string, source_column string, target_schema string, target_table string, "

@@ -10,6 +10,7 @@ from tablegauge.operators import evaluate as E
 from tablegauge.operators import features as FT
 from tablegauge.operators import predict as M
 from tablegauge.plans.registry import each, load, query, rnd
+from tablegauge.session import literal_table
 
 # Predictions made from order lines: the price per unit of the part predicts the line's price.
 PREDICTED = ("SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_extendedprice AS y, "
@@ -308,7 +309,7 @@ def _(spark, d):
     COMPARE_SQL + "SELECT metric, delta, 10000.0::DOUBLE AS dollar_per_unit, delta * 10000 AS economic_value FROM c WHERE metric = 'mape'",
     "delta", "dollar_per_unit", "economic_value"))
 def _(spark, d):
-    mapping = spark.createDataFrame([("mape", 10000.0)], "metric string, dollar_per_unit double")
+    mapping = literal_table(spark, [("mape", 10000.0)], "metric string, dollar_per_unit double")
     return E.economic_value(comparison(spark, d), mapping).select("metric", "delta", "dollar_per_unit", "economic_value")
 
 
@@ -492,7 +493,7 @@ CONDITIONS = [("MAPE", ">", 0.3, "high"), ("RMSE", ">=", 25.0, "medium"), ("fore
     "value", "threshold"))
 def _(spark, d):
     metrics = runs(spark, d).select(F.col("run_id").alias("subject"), F.explode("metrics").alias("metric", "value"))
-    conditions = spark.createDataFrame(CONDITIONS, "metric string, op string, threshold double, severity string")
+    conditions = literal_table(spark, CONDITIONS, "metric string, op string, threshold double, severity string")
     return R.alerts(metrics, conditions)
 
 
@@ -507,7 +508,7 @@ def _(spark, d):
 def _(spark, d):
     events = load(spark, d, "events")
     performance = as_metric_rows(E.regression_metrics(predicted(spark, d), "y", "f"))
-    conditions = spark.createDataFrame([("mape", ">", 0.3, "high")], "metric string, op string, threshold double, severity string")
+    conditions = literal_table(spark, [("mape", ">", 0.3, "high")], "metric string, op string, threshold double, severity string")
     snapshot = R.monitor_snapshot(
         "unit_price", "2024-01-31", performance, R.psi(events, FEATURES, is_reference()), R.ks(events, FEATURES, is_reference()),
         R.freshness(events, "ts", "2024-01-31 00:00:00", 24), R.alerts(performance, conditions))

@@ -6,7 +6,11 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -56,6 +60,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def literal_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A table of constants. Unlike a table made from local rows its size is
+    known to the optimizer, so a join with it is broadcast from the start."""
+    fields = StructType.fromDDL(schema).fields
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
