@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.columns import (
-    distinct_counts, nan_to_null, numeric_columns, temporal_columns)
+    distinct_counts, nan_to_null, numeric_columns, one_row_to_long, temporal_columns)
 from tablegauge.functions.wide import WideStats, names_where, numbered
 from tablegauge.operators.insights import pair_correlations
-from tablegauge.session import literal_table
 
 
 def temporal_gaps(df: DataFrame) -> DataFrame:
@@ -31,10 +30,12 @@ def feature_gaps(schemas: DataFrame) -> DataFrame:
     """Features missing from each table, judged from its column names and types.
 
     ``schemas`` has one row per column: table_name, column_name, kind
-    ('numeric' or other).
+    ('numeric' or other), value_count, row_count. A column without values is no feature;
+    in an empty table every column counts.
     """
     name = F.lower("column_name")
-    flags = schemas.groupBy("table_name").agg(
+    known = schemas.filter((F.col("value_count") > 0) | (F.col("row_count") == 0))
+    flags = known.groupBy("table_name").agg(
         F.bool_or(name.contains("date") | name.contains("time")).alias("has_time"),
         F.bool_or(name.contains("id") | name.contains("key")).alias("has_id"),
         F.count_if(F.col("kind") == "numeric").alias("numeric"),
@@ -50,13 +51,21 @@ def feature_gaps(schemas: DataFrame) -> DataFrame:
 
 
 def schema_rows(tables: dict[str, DataFrame]) -> DataFrame:
-    """Schemas of several tables as rows, the input of ``feature_gaps``."""
-    spark = next(iter(tables.values())).sparkSession
-    rows = []
+    """Columns of several tables with their kind and number of values, the
+    input of ``feature_gaps``: one aggregate per table."""
+    parts = []
     for name, df in tables.items():
         numeric = set(numeric_columns(df))
-        rows += [(name, c, "numeric" if c in numeric else "other") for c in df.columns]
-    return literal_table(spark, rows, "table_name string, column_name string, kind string")
+        row = nan_to_null(df).agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+        parts.append(one_row_to_long(row, [
+            F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"),
+                     F.lit("numeric" if c in numeric else "other").alias("kind"),
+                     F.col(f"c{i}").alias("value_count"), F.col("n").alias("row_count"))
+            for i, c in enumerate(df.columns)]))
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.unionByName(p)
+    return result
 
 
 def coverage_gaps(df: DataFrame) -> DataFrame:

@@ -306,11 +306,21 @@ def _(spark, d):
     return T.infer_relationships({t: (load(spark, d, t), cols) for t, cols in KEYS.items()})
 
 
+TAGGED = [("orders", "o_orderkey", "number"), ("orders", "o_custkey", "number"), ("orders", "o_orderstatus", "text"), ("orders", "o_totalprice", "number"),
+          ("orders", "o_orderdate", "moment"), ("orders", "o_orderpriority", "text"), ("documents", "doc_id", "number"), ("documents", "text", "text"),
+          ("documents", "lang", "text"), ("documents", "source", "text"), ("documents", "n_chars", "number")]
+FACTS = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{k}' AS kind, count(DISTINCT {c}) AS d, count(*) AS n, "
+    + (f"avg(length({c})) AS len, avg(regexp_matches({c}, '^{T.EMAIL_VALUE}$')::INTEGER) AS mail" if k == "text" else "NULL AS len, NULL AS mail")
+    + f" FROM {t}" for t, c, k in TAGGED)
+
+
 @query("t15_tag_columns",
-       "SELECT * FROM (VALUES ('orders', 'o_orderkey', 'identifier'), ('orders', 'o_custkey', 'foreign_key'), ('orders', 'o_orderstatus', 'category'), "
-       "('orders', 'o_totalprice', 'currency'), ('orders', 'o_orderdate', 'timestamp'), ('orders', 'o_orderpriority', 'category'), "
-       "('documents', 'doc_id', 'identifier'), ('documents', 'text', 'free_text'), ('documents', 'lang', 'category'), ('documents', 'source', 'category'), "
-       "('documents', 'n_chars', 'metric')) v(table_name, column_name, tag)")
+       f"SELECT table_name, column_name, CASE WHEN kind = 'moment' THEN 'timestamp' WHEN regexp_matches(column_name, '{T.KEY_NAME}') THEN "
+       "CASE WHEN d = n THEN 'identifier' ELSE 'foreign_key' END "
+       f"WHEN mail > 0.5 OR (kind = 'text' AND regexp_matches(column_name, '{T.PERSON_NAME}')) THEN 'PII' "
+       f"WHEN kind = 'number' AND regexp_matches(column_name, '{T.MONEY_NAME}') THEN 'currency' WHEN kind = 'number' THEN 'metric' "
+       f"WHEN d <= 50 THEN 'category' WHEN len > 50 THEN 'free_text' ELSE 'other' END AS tag FROM ({FACTS})")
 def _(spark, d):
     return T.tag_columns(load(spark, d, "orders"), "orders").unionByName(
         T.tag_columns(load(spark, d, "documents"), "documents"))

@@ -127,16 +127,14 @@ sql_query("q10_dimension_join",
           "lineitem part supplier", ("revenue",))
 sql_query("q11_aggregation",
           "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS sum_qty, avg(l_extendedprice) AS avg_price, "
-          "min(l_shipdate) = min(l_shipdate) AS has_min, min(l_discount) AS min_disc, max(l_tax) AS max_tax FROM lineitem GROUP BY l_returnflag, l_linestatus",
+          "CAST(CAST(min(l_shipdate) AS DATE) AS STRING) AS first_day, min(l_discount) AS min_disc, max(l_tax) AS max_tax FROM lineitem GROUP BY l_returnflag, l_linestatus",
           "lineitem", ("sum_qty", "avg_price", "min_disc", "max_tax"))
 sql_query("q12_count_distinct",
           "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY event_type",
           "events")
 sql_query("q13_having",
-          "SELECT date_trunc('month', o_orderdate) = date_trunc('month', o_orderdate) AS ok, year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n "
-          "FROM orders GROUP BY 1, y, m HAVING count(*) > 100", "orders",
-          oracle="SELECT true AS ok, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, count(*) AS n "
-                 "FROM orders GROUP BY ALL HAVING count(*) > 100")
+          "SELECT CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, count(*) AS n, avg(o_totalprice) AS mean_price "
+          "FROM orders GROUP BY y, m HAVING count(*) > 100", "orders", ("mean_price",))
 sql_query("q14_grouping_sets",
           "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM lineitem "
           "GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())", "lineitem", ("qty",))
