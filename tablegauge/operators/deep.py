@@ -123,7 +123,7 @@ def correlation_kinds(df: DataFrame, pairs: Sequence[tuple[str, str]], gap: floa
 
 def segment_difference(df: DataFrame, group: str, value: str) -> DataFrame:
     """η²: the share of the value's variance that lies between the groups."""
-    stats = df.filter(F.col(value).isNotNull()).groupBy(group).agg(
+    stats = df.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("_group")).agg(
         F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
     n, m = F.col("n"), F.col("m")
     row = stats.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum(n * m).alias("s"),
@@ -135,10 +135,10 @@ def segment_difference(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def categorical_association(df: DataFrame, a: str, b: str) -> DataFrame:
     """Cramér's V from contingency counts."""
-    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    rows = cells.groupBy(a).agg(F.sum("n").alias("r"))
-    cols = cells.groupBy(b).agg(F.sum("n").alias("c"))
-    joined = cells.join(rows, a).join(cols, b)
+    cells = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).dropna().groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("n"))
+    rows = cells.groupBy("_a").agg(F.sum("n").alias("r"))
+    cols = cells.groupBy("_b").agg(F.sum("n").alias("c"))
+    joined = cells.join(rows, "_a").join(cols, "_b")
     stat = joined.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))).alias("s"))
     sizes = stat.withColumn("k", F.least(rows.agg(F.count(F.lit(1))).scalar(), cols.agg(F.count(F.lit(1))).scalar()) - 1)
     return sizes.select(F.lit(a).alias("column1"), F.lit(b).alias("column2"),
@@ -234,16 +234,16 @@ def frequent_combinations(df: DataFrame, cols: Sequence[str], min_support: float
     texts = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
     pairs = list(combinations(cols, 2))
     counted = texts.groupingSets([list(p) for p in pairs], *cols).agg(
-        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+        F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_g"))
     width, entry = len(cols), F
     for a, b in pairs:
         mask = (1 << width) - 1
         for c in (a, b):
             mask -= 1 << (width - 1 - list(cols).index(c))
-        entry = entry.when(F.col("g") == mask, F.struct(
+        entry = entry.when(F.col("_g") == mask, F.struct(
             F.lit(a).alias("column1"), F.col(a).alias("value1"), F.lit(b).alias("column2"), F.col(b).alias("value2")))
     total = df.agg(F.count(F.lit(1))).scalar()
-    found = counted.select(entry.alias("e"), "n", F.try_divide("n", total).alias("support"))
+    found = counted.select(entry.alias("e"), F.col("_n").alias("n"), F.try_divide("_n", total).alias("support"))
     return found.select("e.*", "n", "support").filter(
         (F.col("support") >= min_support) & F.col("value1").isNotNull() & F.col("value2").isNotNull())
 
@@ -255,12 +255,13 @@ def subpopulations(df: DataFrame, dimensions: Sequence[str], metric: str, min_sh
     overall = df.agg(F.struct(F.count(m).alias("n"), F.avg(m).alias("mean"), F.stddev_samp(m).alias("std"))).scalar()
     texts = df.select(m.alias("_m"), *[F.col(c).cast("string").alias(c) for c in dimensions])
     grouped = texts.groupingSets([[c] for c in dimensions], *dimensions).agg(
-        F.count("_m").alias("n"), F.avg("_m").alias("mean"), F.grouping_id().alias("g")).withColumn("o", overall)
+        F.count("_m").alias("_n"), F.avg("_m").alias("_mean"), F.grouping_id().alias("_g")).withColumn("_o", overall)
     width, name = len(dimensions), F
     for i, c in enumerate(dimensions):
-        name = name.when(F.col("g") == (1 << width) - 1 - (1 << (width - 1 - i)), c)
-    z = F.try_divide((F.col("mean") - F.col("o.mean")) * F.sqrt("n"), "o.std")
-    return (grouped.select(name.alias("dimension"), F.coalesce(*dimensions).alias("value"), F.col("n").alias("size"),
-                           "mean", F.col("o.mean").alias("overall_mean"), z.alias("z_score"), (F.col("n") / F.col("o.n")).alias("share"))
+        name = name.when(F.col("_g") == (1 << width) - 1 - (1 << (width - 1 - i)), c)
+    z = F.try_divide((F.col("_mean") - F.col("_o.mean")) * F.sqrt("_n"), "_o.std")
+    return (grouped.select(name.alias("dimension"), F.coalesce(*dimensions).alias("value"), F.col("_n").alias("size"),
+                           F.col("_mean").alias("mean"), F.col("_o.mean").alias("overall_mean"), z.alias("z_score"),
+                           F.try_divide("_n", "_o.n").alias("share"))
             .filter((F.col("share") >= min_share) & (F.abs("z_score") >= min_z))
             .orderBy(F.abs("z_score").desc(), "dimension", "value").limit(top))

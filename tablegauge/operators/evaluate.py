@@ -170,8 +170,9 @@ def top_share_metrics(df: DataFrame, score: str, key: str, positive: str, share:
     sort.
     """
     n = df.count()
-    ranked = with_row_index(df.select(score, key, positive), [F.col(score).desc(), F.col(key)])
-    i, y = F.col("row_index"), F.col(positive).cast("double")
+    named = df.select(F.col(score).alias("_score"), F.col(key).alias("_key"), F.col(positive).cast("double").alias("_y"))
+    ranked = with_row_index(named, [F.col("_score").desc(), F.col("_key")])
+    i, y = F.col("row_index"), F.col("_y")
     top, decile = math.ceil(round(n * share, 6)), math.ceil(n / 10)
     return ranked.agg(
         F.avg(F.when(i < top, y)).alias("precision_at_share"),

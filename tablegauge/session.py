@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -53,6 +55,7 @@ def scratch_dir(spark: SparkSession) -> str:
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="tablegauge-")
+        atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)
     return _local_scratch
 
 
