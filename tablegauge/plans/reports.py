@@ -12,6 +12,7 @@ from tablegauge.operators import insights as I
 from tablegauge.operators import quality as D
 from tablegauge.plans.registry import each, load, query, rnd
 from tablegauge.plans.views import FLAGS_SQL, LABELLED_SQL, SALES_SQL, flags, labelled, sales
+from tablegauge.session import materialize
 
 LINE_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
             "l_extendedprice", "l_discount", "l_tax"]
@@ -95,7 +96,7 @@ def _(spark, d):
         + " AS outlier_count, " + OUT + " * 100.0 / count(*) AS percentage") + ") WHERE outlier_count > 0",
     "lower_bound", "upper_bound", "percentage"))
 def _(spark, d):
-    return I.iqr_outliers(sales(spark, d))
+    return I.iqr_outliers(materialize(sales(spark, d), "sales"))
 
 
 def corr_sql(cols, source) -> str:
@@ -510,7 +511,7 @@ def _(spark, d):
     + ") SELECT *, CASE WHEN (mean - median) / median * 100 > 10 THEN 'right-skewed' WHEN (mean - median) / median * 100 < -10 THEN 'left-skewed' "
       "ELSE 'balanced' END AS skew, (SELECT avg(sales) / avg(quantity) FROM v) AS mean_ratio FROM s", "mean", "median", "mean_ratio"))
 def _(spark, d):
-    return A.skew_comparison(sales(spark, d))
+    return A.skew_comparison(materialize(sales(spark, d), "sales"))
 
 
 @query("a7_quick_insights", rnd(
@@ -568,3 +569,68 @@ def _(spark, d):
     "ORDER BY pair_position LIMIT 5", "correlation"))
 def _(spark, d):
     return A.correlation_list(load(spark, d, "lineitem"))
+
+
+# --- the same operators on inputs that have outliers and related columns -------
+
+PRICE_COLUMNS = ["l_quantity", "price", "net", "gross", "rebate"]
+PRICES_SQL = ("SELECT l_quantity, l_extendedprice AS price, l_extendedprice * (1 - l_discount) AS net, "
+              "l_extendedprice * (1 + l_tax) AS gross, -l_extendedprice * l_discount AS rebate FROM lineitem")
+
+
+def prices(spark, d):
+    p = F.col("l_extendedprice")
+    return load(spark, d, "lineitem").select(
+        "l_quantity", p.alias("price"), (p * (1 - F.col("l_discount"))).alias("net"),
+        (p * (1 + F.col("l_tax"))).alias("gross"), (-p * F.col("l_discount")).alias("rebate"))
+
+
+@query("i3_iqr_outliers_events", rnd(
+    "SELECT * FROM (" + outliers_sql(
+        EVENT_NUM, "events", "'{c}' AS column_name, any_value(lo) AS lower_bound, any_value(hi) AS upper_bound, " + OUT
+        + " AS outlier_count, " + OUT + " * 100.0 / count(*) AS percentage") + ") WHERE outlier_count > 0",
+    "lower_bound", "upper_bound", "percentage"))
+def _(spark, d):
+    return I.iqr_outliers(load(spark, d, "events"))
+
+
+@query("i4_correlations_prices", rnd(
+    f"WITH v AS ({PRICES_SQL}) SELECT column1, column2, correlation, CASE WHEN abs(correlation) > 0.7 THEN 'strong' ELSE 'moderate' END AS strength "
+    f"FROM ({corr_sql(PRICE_COLUMNS, 'v')}) WHERE abs(correlation) > 0.5 ORDER BY abs(correlation) DESC, pair_position LIMIT 10", "correlation"))
+def _(spark, d):
+    return I.correlations(prices(spark, d))
+
+
+@query("i11_risk_indicators_events", rnd(
+    "SELECT metric, volatility, outlier_percentage, CASE WHEN volatility > 50 OR outlier_percentage > 10 THEN 'high' "
+    "WHEN volatility > 25 OR outlier_percentage > 5 THEN 'medium' ELSE 'low' END AS risk_level FROM ("
+    + outliers_sql(EVENT_NUM, "events",
+                   "'{c}' AS metric, CASE WHEN avg({c}) <> 0 THEN stddev_samp({c}::DOUBLE) / avg({c}::DOUBLE) * 100 ELSE 0 END AS volatility, "
+                   + OUT + " * 100.0 / count(*) AS outlier_percentage") + ")", "volatility", "outlier_percentage"))
+def _(spark, d):
+    return I.risk_indicators(load(spark, d, "events"))
+
+
+@query("d5_accuracy_events", rnd(
+    "WITH o AS (" + outliers_sql(EVENT_NUM, "events", "'{c}' AS column_name, " + OUT + " AS outlier_count, " + OUT
+                                 + " * 100.0 / count(*) AS percentage")
+    + ") SELECT *, CAST(greatest(0, 100 - 10 * (SELECT count(*) FROM o WHERE outlier_count > 0)) AS INTEGER) AS accuracy_score "
+      "FROM o WHERE outlier_count > 0", "percentage"))
+def _(spark, d):
+    return D.accuracy(load(spark, d, "events"))
+
+
+@query("g4_relationship_gaps_prices",
+       f"WITH v AS ({PRICES_SQL}) SELECT true AS can_analyze_relationships, k AS strong_relationships_found, CASE WHEN k < 3 THEN "
+       "'Explore feature engineering for better predictive power' ELSE 'Good relationship coverage' END AS recommendation "
+       f"FROM (SELECT count(*) FILTER (WHERE abs(correlation) > 0.7 AND abs(correlation) < 1.0) AS k FROM ({corr_sql(PRICE_COLUMNS, 'v')}))")
+def _(spark, d):
+    return G.relationship_gaps(prices(spark, d))
+
+
+@query("a11_correlation_list_prices", rnd(
+    f"WITH v AS ({PRICES_SQL}) SELECT column1, column2, correlation, CASE WHEN abs(correlation) > 0.8 THEN 'very strong' WHEN abs(correlation) > 0.7 THEN 'strong' ELSE 'moderate' END AS strength, "
+    f"CASE WHEN correlation > 0 THEN 'positive' ELSE 'negative' END AS direction FROM ({corr_sql(PRICE_COLUMNS, 'v')}) WHERE abs(correlation) > 0.5 "
+    "ORDER BY pair_position LIMIT 5", "correlation"))
+def _(spark, d):
+    return A.correlation_list(prices(spark, d))

@@ -32,6 +32,8 @@ def build_session(app: str = "tablegauge", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Sessions are merged per task before the shuffle, so a busy user sends few rows.
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
@@ -71,16 +73,14 @@ def literal_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) ->
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage like a checkpoint, survives lost executors, and keeps column
-    pruning because the copy is Parquet.
+    pruning because the copy is Parquet. Worth it before a report that reads a
+    joined input several times.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,18 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablegauge.functions.columns import with_row_index
+
 MAX_PAGE = 500
+DEEP_PAGE = 100_000
 SAMPLE_ROWS = 10_000
 SAMPLE_SHARE = 0.1
 WHOLE_TABLE_ROWS = 100_000
 SKIP_ROWS = 10_000_000
 
 
-def page_rows(df: DataFrame, order_by: Sequence[str], page: int = 1, page_size: int = 50) -> DataFrame:
-    """One page of the table in the given order, at most 500 rows."""
+def page_rows(df: DataFrame, order_by: Sequence[str], page: int = 1, page_size: int = 50,
+              deep: int = DEEP_PAGE) -> DataFrame:
+    """One page of the table in the given order, at most 500 rows.
+
+    Early pages are a top-k. That keeps all rows up to the page in one place,
+    so beyond ``deep`` rows the page is cut from the distributed row index.
+    """
     if page < 1 or not 1 <= page_size <= MAX_PAGE:
         raise ValueError(f"page must be at least 1 and page_size between 1 and {MAX_PAGE}")
-    return df.orderBy(*order_by).offset((page - 1) * page_size).limit(page_size)
+    start = (page - 1) * page_size
+    if start + page_size <= deep:
+        return df.orderBy(*order_by).offset(start).limit(page_size)
+    at = F.col("row_index")
+    return with_row_index(df, order_by).filter((at >= start) & (at < start + page_size)).orderBy("row_index").drop("row_index")
 
 
 def sample_rows(df: DataFrame, order_by: Sequence[str], limit: int = 50, offset: int = 0) -> DataFrame:

@@ -194,6 +194,16 @@ def test_sampling_policy(spark):
     assert rows.sample_for_profile(df, rows=200_000, seed=1).count() < 200
 
 
+def test_pages(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") % 10)
+    want = sorted(range(1000), key=lambda i: (i % 10, i))
+    for deep in (100_000, 100):
+        got = [r.id for r in rows.page_rows(df, ["k", "id"], 7, 30, deep=deep).collect()]
+        assert got == want[180:210]
+    assert [r.id for r in rows.sample_rows(df, ["id"], 30, 100).collect()] == list(range(90, 120))
+    assert rows.sample_rows(df, ["id"], 600, 700).first().id == 500  # page 2 of a capped size
+
+
 def test_thresholds(spark):
     cases = [(5.0, 4.0, 5.0, E.LOWER, "fail"), (4.0, 4.0, 5.0, E.LOWER, "warn"), (3.9, 4.0, 5.0, E.LOWER, "pass"),
              (0.5, 0.7, 0.5, E.HIGHER, "fail"), (0.7, 0.7, 0.5, E.HIGHER, "warn"), (-1.0, None, 0.0, E.HIGHER, "pass"),
