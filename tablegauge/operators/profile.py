@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,14 +194,22 @@ def profile_schema(tables: Mapping[str, DataFrame], approx: bool = False) -> Dat
     return result
 
 
+def plain_number(x: Column) -> Column:
+    """A double as text without an exponent, at least one decimal."""
+    size = F.abs(x)
+    digits = F.when(size >= 1e7, F.format_string("%.6f", x)).otherwise(F.format_string("%.12f", x))
+    return F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), x.cast("string")).otherwise(
+        F.regexp_replace(digits, r"(\.\d+?)0+$", "$1"))
+
+
 def schema_summary(profile: DataFrame, schema: str, table_column: str = "table_name") -> DataFrame:
     """Profile rows as one readable text per table."""
     p = F.col
     line = F.concat(
         F.lit("  • "), p("column_name"), F.lit(" ("), p("data_type"), F.lit(")"),
         F.when(p("null_fraction") > 0, F.format_string(" - %.1f%% null", p("null_fraction") * 100)).otherwise(""),
-        F.when(p("min").isNotNull() & p("max").isNotNull(), F.format_string(
-            " - Range: [%.2f, %.2f]", p("min"), p("max"))).otherwise(""),
+        F.when(p("min").isNotNull() & p("max").isNotNull(), F.concat(
+            F.lit(" - Range: ["), plain_number(p("min")), F.lit(", "), plain_number(p("max")), F.lit("]"))).otherwise(""),
         F.when(p("avg").isNotNull(), F.format_string(" - Avg: %.2f", p("avg"))).otherwise(""),
         F.when(p("distinct_count") > 0, F.concat(
             F.lit(" - Distinct: "), F.format_number("distinct_count", 0))).otherwise(""))

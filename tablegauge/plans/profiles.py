@@ -192,7 +192,7 @@ def _(spark, d):
        "WITH p AS (" + SCHEMA_SQL + "), l AS (SELECT table_name, ordinal_position, total_rows, "
        "'  • ' || column_name || ' (' || data_type || ')' || "
        "CASE WHEN null_fraction > 0 THEN printf(' - %.1f%% null', null_fraction * 100) ELSE '' END || "
-       "CASE WHEN min IS NOT NULL THEN printf(' - Range: [%.2f, %.2f]', min, max) ELSE '' END || "
+       "CASE WHEN min IS NOT NULL THEN ' - Range: [' || CAST(min AS VARCHAR) || ', ' || CAST(max AS VARCHAR) || ']' ELSE '' END || "
        "CASE WHEN avg IS NOT NULL THEN printf(' - Avg: %.2f', avg) ELSE '' END || "
        "CASE WHEN distinct_count > 0 THEN ' - Distinct: ' || format('{:,}', distinct_count) ELSE '' END AS line FROM p) "
        "SELECT table_name, '**Table: main.' || table_name || '**\n- Total Rows: ' || format('{:,}', max(total_rows)) "

@@ -377,3 +377,9 @@ def test_files(spark, tmp_path):
     assert dict(back.dtypes) == {"created_at": "string", "date": "timestamp_ntz", "v": "bigint"}
     with pytest.raises(ValueError):
         files.read_source(spark, "snowflake", {})
+
+
+def test_plain_numbers(spark):
+    values = [0.0, -3.5, 499978.59, 10000000.0, 12345678.9, 0.0001, 1e15]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(P.plain_number(F.col("x"))).collect()]
+    assert got == ["0.0", "-3.5", "499978.59", "10000000.0", "12345678.9", "0.0001", "1000000000000000.0"]
