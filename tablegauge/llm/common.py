@@ -6,6 +6,7 @@ names the input already has.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -21,6 +22,18 @@ HOT_SHARE = 1000  # a key is hot with more than this fraction of the rows, so th
 HOT_LEAST = 100
 
 
+PACKAGE_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def with_workers(df: DataFrame) -> DataFrame:
+    """``df``, after telling Python workers where this package is, in case it is not installed."""
+    env = df.sparkSession.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if PACKAGE_HOME not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), PACKAGE_HOME])
+    return df
+
+
 def col(name: str) -> Column:
     """The column of exactly this name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -70,7 +83,7 @@ def map_texts(df: DataFrame, text: str, carry: Sequence[str], schema: str,
                     [part.column(0), *[x if isinstance(x, pa.Array) else pa.array(x) for x in fn(part.column(1).to_pylist())]],
                     names=names)
 
-    return source.mapInArrow(run, out)
+    return with_workers(source).mapInArrow(run, out)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:

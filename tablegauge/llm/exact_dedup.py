@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.llm.common import as_row, col, join_groups, store
+from tablegauge.llm.common import as_row, col, join_groups, store, with_workers
 
 FILTER_BITS = 1 << 27
 SEGMENT = 1 << 16
@@ -75,7 +75,7 @@ def repeated_filter(hashes: DataFrame, bits: int) -> DataFrame:
         words = np.packbits(seen > 1, bitorder="little").view(np.int64)
         return pa.table({"segment": table["segment"][:1], "words": pa.array([words.tolist()], pa.list_(pa.int64()))})
 
-    sent = hashes.select("hash").mapInArrow(positions, "segment int, once binary, again binary")
+    sent = with_workers(hashes).select("hash").mapInArrow(positions, "segment int, once binary, again binary")
     return store(sent.groupBy("segment").applyInArrow(merge, "segment int, words array<bigint>"), "exact-filter")
 
 

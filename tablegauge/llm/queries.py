@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import bpe, exact_dedup, secret_scan
+from tablegauge.llm import bpe, chunk_dedup, exact_dedup, language_id, mixing, near_dedup, secret_scan, topk
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,12 +34,71 @@ OP2_SQL = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS gr
   FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP3_SQL = """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.w AS DOUBLE[]), CAST(c.w AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
+
+
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunk_dedup.chunk_dedup(load(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("row.doc_id", "n_bytes", "n_chunks", "n_repeated", "n_removed",
+                      F.to_json("removed").alias("removed"))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.near_dedup(load(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("row.doc_id", "n_shingles", "component_id", "kept")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(load(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("row.doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+OP8_SQL = r"""WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight FROM d GROUP BY source),
+r AS (SELECT *, 2.0 * source_size / weight AS full_at, 1.5 * sum(source_size) OVER () AS budget FROM s),
+c AS (SELECT DISTINCT full_at, budget, sum(2 * source_size) OVER (ORDER BY full_at) AS capped,
+    sum(weight) OVER () - sum(weight) OVER (ORDER BY full_at) AS open FROM r),
+l AS (SELECT max(level) AS level FROM (
+    SELECT CAST((budget - coalesce(lag(capped) OVER o, 0)) AS DOUBLE) / coalesce(lag(open) OVER o, (SELECT sum(weight) FROM s)) AS level,
+      coalesce(lag(full_at) OVER o, -1) AS before, full_at FROM c WINDOW o AS (ORDER BY full_at)) WHERE level < full_at AND level >= before),
+t AS (SELECT source, source_size, least(2.0 * source_size, (SELECT level FROM l) * weight) AS target,
+    CAST(('0x' || substr(md5(CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END), 1, 5)) AS BIGINT) / 1048576.0 AS shift FROM s),
+p AS (SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(shift AS DOUBLE) AS shift,
+    CASE WHEN source_size > 0 THEN CAST(target AS DOUBLE) / source_size ELSE 0 END AS rate,
+    row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS nth
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, CAST(floor(shift + (nth + 1) * rate) - floor(shift + nth * rate) AS BIGINT) AS copies FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, copies * size AS taken, copies FROM k"""
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = language_id.train(docs, "text", "lang", "doc_id", ~held_out)
+    out = language_id.identify(docs, model, carry=["doc_id"])
+    return out.select("row.doc_id", "lang_pred", "score", "rejected").withColumn("held_out", held_out)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.secret_scan(load(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_exact_dedup, op10_secret_scan)}
+    f.__name__: f for f in (
+        op1_bpe, op2_exact_dedup, op3_exact_topk, op5_chunk_dedup, op6_near_dedup, op8_mixing, op9_language_id, op10_secret_scan)}
 
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_exact_topk": OP3_SQL, "op8_mixing": OP8_SQL}
