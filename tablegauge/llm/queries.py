@@ -6,10 +6,10 @@ import os
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import bpe, chunk_dedup, exact_dedup, language_id, mixing, near_dedup, secret_scan, topk
+from tablegauge.llm import bpe, chunk_dedup, exact_dedup, html_extract, language_id, mixing, near_dedup, secret_scan, suffix_dedup, topk
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -18,6 +18,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def held_out() -> Column:
+    """Whether a document is kept out of training: crc32 of its id as text modulo 3 is 1."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.bpe_round_trip(load(spark, sf_dir, "documents"), TOKENIZER, carry=["doc_id"], with_ids=False)
     return out.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -48,6 +53,11 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(load(spark, sf_dir, "documents"), spans=False)
+    return out.select(F.col("ident").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunk_dedup.chunk_dedup(load(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("row.doc_id", "n_bytes", "n_chunks", "n_repeated", "n_removed",
@@ -59,6 +69,11 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(load(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return out.select("row.page_id", "row.url", "text", "n_chars")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(load(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("row.doc_id", "size", "source_size", "target", "taken", "copies")
@@ -86,10 +101,9 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, copies * size
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    model = language_id.train(docs, "text", "lang", "doc_id", ~held_out)
+    model = language_id.train(docs, "text", "lang", "doc_id", ~held_out())
     out = language_id.identify(docs, model, carry=["doc_id"])
-    return out.select("row.doc_id", "lang_pred", "score", "rejected").withColumn("held_out", held_out)
+    return out.select("row.doc_id", "lang_pred", "score", "rejected").withColumn("held_out", held_out())
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +113,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_bpe, op2_exact_dedup, op3_exact_topk, op5_chunk_dedup, op6_near_dedup, op8_mixing, op9_language_id, op10_secret_scan)}
+        op1_bpe, op2_exact_dedup, op3_exact_topk, op4_suffix_dedup, op5_chunk_dedup, op6_near_dedup, op7_html_extract, op8_mixing, op9_language_id, op10_secret_scan)}
 
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_exact_topk": OP3_SQL, "op8_mixing": OP8_SQL}
