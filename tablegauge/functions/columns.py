@@ -14,10 +14,9 @@ TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 FLOATING = (T.FloatType, T.DoubleType)
 
 
-def numeric_columns(df: DataFrame, k: int | None = None) -> list[str]:
-    """First ``k`` numeric columns in schema order (booleans are not numeric)."""
-    names = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    return names if k is None else names[:k]
+def numeric_columns(df: DataFrame) -> list[str]:
+    """Numeric columns in schema order (booleans are not numeric)."""
+    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
 
 def non_numeric_columns(df: DataFrame) -> list[str]:
@@ -60,11 +59,13 @@ def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column_name, value, n) over non-null values.
+    """(column_name, value, n) over non-null values, empty without columns.
 
     Counts are combined before the shuffle, so a value held by a third of all
     rows arrives as one row per map task.
     """
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, n bigint")
     return (
         long_values(df, cols)
         .filter(F.col("value").isNotNull())
@@ -93,6 +94,9 @@ def column_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     text and a table needs a pass over each type's columns only. Columns
     without values are absent.
     """
+    if not cols:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, distinct_count bigint, value_count bigint, top_count bigint")
     families: dict[str, list[str]] = {}
     for c in cols:
         families.setdefault(_family(df.schema[c].dataType), []).append(c)
@@ -115,8 +119,10 @@ def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return column_counts(df, cols).select("column_name", "distinct_count")
 
 
-def one_row_to_long(row: DataFrame, structs: Sequence[Column]) -> DataFrame:
-    """Turn a one-row wide aggregate into one row per struct."""
+def one_row_to_long(row: DataFrame, structs: Sequence[Column], schema: str) -> DataFrame:
+    """Turn a one-row wide aggregate into one row per struct; without structs an empty frame of ``schema``."""
+    if not structs:
+        return row.sparkSession.createDataFrame([], schema)
     return row.select(F.inline(F.array(*structs)))
 
 

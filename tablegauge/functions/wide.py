@@ -82,20 +82,15 @@ def mean_of(values: Sequence[Column]) -> Column:
     return F.try_divide(total, F.size(kept))
 
 
-def names_where(pairs: Sequence[tuple[str, Column]], limit: int | None = None) -> Column:
+def names_where(pairs: Sequence[tuple[str, Column]]) -> Column:
     """Array of the names whose condition holds, in the given order."""
     if not pairs:
         return F.array().cast("array<string>")
-    kept = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in pairs]),
-                    lambda x: x.isNotNull())
-    return kept if limit is None else F.slice(kept, 1, limit)
+    return F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in pairs]), lambda x: x.isNotNull())
 
 
-def numbered(row: DataFrame, texts: Sequence[Column], limit: int | None = None,
-             name: str = "recommendation") -> DataFrame:
+def numbered(row: DataFrame, texts: Sequence[Column], name: str = "recommendation") -> DataFrame:
     """Non-null texts of a one-row frame as (position, text), numbered from 1."""
     kept = F.filter(F.array(*texts), lambda x: x.isNotNull())
-    if limit is not None:
-        kept = F.slice(kept, 1, limit)
     return row.select(F.posexplode(kept).alias("p", name)).select(
         (F.col("p") + 1).alias("position"), name)

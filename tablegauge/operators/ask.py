@@ -28,6 +28,18 @@ INTENT_WORDS = {
 }
 
 
+# How advice is worded.
+ADVICE = {
+    "missing": "Address missing values in %s",
+    "complete": "Your data quality is good!",
+    "falling": "Monitor declining metrics: %s",
+    "rising": "Metrics show positive momentum!",
+    "outliers": "Investigate outliers in %s",
+    "models": "Consider building predictive models or generating detailed insights",
+    "charts": "Create charts to visualize trends and patterns",
+}
+
+
 def classify_intent(df: DataFrame, text: str) -> DataFrame:
     """Add ``intent``: the first list with a word contained in the text."""
     lowered = F.lower(text)
@@ -43,15 +55,20 @@ def classify_intent(df: DataFrame, text: str) -> DataFrame:
 def match_columns(questions: DataFrame, text: str, columns: Sequence[str]) -> DataFrame:
     """Add ``matched_column``: the first column, in schema order, named in the text."""
     lowered = F.lower(text)
-    hits = [F.when(lowered.contains(c.lower()), F.lit(c)) for c in columns]
+    hits = [F.when(lowered.contains(c.lower()), F.lit(c)) for c in columns] or [F.lit(None).cast("string")]
     return questions.withColumn("matched_column", F.coalesce(*hits))
 
 
+def answer_statistics(questions: DataFrame, text: str, df: DataFrame) -> DataFrame:
+    """Each question with the statistics of the numeric column it names; NULLs if it names none."""
+    return match_columns(questions, text, numeric_columns(df)).join(
+        column_statistics(df).withColumnRenamed("column_name", "matched_column"), "matched_column", "left")
+
+
 def overview(df: DataFrame) -> DataFrame:
     df = nan_to_null(df)
     cols = numeric_columns(df)
-    head = cols[:3]
-    s = WideStats(df, {"missing": df.columns, "mean": head, "min": head, "max": head})
+    s = WideStats(df, {"missing": df.columns, "mean": cols, "min": cols, "max": cols})
     shared = [s.n.alias("row_count"), F.lit(len(df.columns)).alias("column_count"),
               F.lit(len(cols)).alias("numeric_count"),
               F.lit(len(non_numeric_columns(df))).alias("categorical_count"),
@@ -59,7 +76,8 @@ def overview(df: DataFrame) -> DataFrame:
     return one_row_to_long(s.row, [
         F.struct(*shared, F.lit(c).alias("column_name"), s("mean", c).alias("mean"),
                  s("min", c).alias("min"), s("max", c).alias("max"))
-        for c in head] or [F.struct(*shared)])
+        for c in cols] or [F.struct(*shared, F.lit(None).cast("string").alias("column_name"), *[
+            F.lit(None).cast("double").alias(x) for x in ("mean", "min", "max")])], "")
 
 
 def column_statistics(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -79,13 +97,15 @@ def column_statistics(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
             cv.alias("cv"),
             F.when(cv > 50, "high").when(cv > 25, "moderate").otherwise("low").alias("volatility"),
             s("outliers", c).alias("outlier_count")))
-    return one_row_to_long(s.row, structs)
+    return one_row_to_long(
+        s.row, structs, "column_name string, mean double, median double, std double, min double, max double, q25 double, "
+                        "q75 double, cv double, volatility string, outlier_count bigint")
 
 
-def trend_bands(df: DataFrame, order_by: Sequence[str], k: int = 3) -> DataFrame:
+def trend_bands(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Change with a stable band of five percent, and half-over-half momentum."""
     df = nan_to_null(df)
-    cols = numeric_columns(df, k)
+    cols = numeric_columns(df)
     kept = list(dict.fromkeys([*order_by, *cols]))
     row = half_means(with_row_index(df.select(*kept), order_by), cols, df.count()).filter("n > 1")
     structs = []
@@ -97,25 +117,26 @@ def trend_bands(df: DataFrame, order_by: Sequence[str], k: int = 3) -> DataFrame
             .alias("direction"),
             F.when(F.col(f"late{i}") > F.col(f"early{i}"), "accelerating").otherwise("decelerating")
             .alias("momentum")))
-    return one_row_to_long(row, structs)
+    return one_row_to_long(row, structs, "column_name string, change_percent double, direction string, momentum string")
 
 
 def skew_comparison(df: DataFrame) -> DataFrame:
-    """Mean against median for the first two numeric columns, and their mean ratio."""
+    """Mean against median of every numeric column, and its mean over the next column's (over the first's for the last)."""
     df = nan_to_null(df)
-    cols = numeric_columns(df, 2)
+    cols = numeric_columns(df)
     q = exact_quantiles(df, cols, [0.5])
     s = WideStats(df, {"mean": cols})
-    ratio = F.coalesce(F.try_divide(s("mean", cols[0]), s("mean", cols[1])), F.lit(0.0))
     structs = []
-    for c in cols:
+    for c, other in zip(cols, [*cols[1:], *cols[:1]]):
+        ratio = F.coalesce(F.try_divide(s("mean", c), s("mean", other)), F.lit(0.0))
         median = F.lit(q[c][0]).cast("double")
         gap = F.when(median != 0, (s("mean", c) - median) / median * 100).otherwise(0.0)
         structs.append(F.struct(
             F.lit(c).alias("column_name"), s("mean", c).alias("mean"), median.alias("median"),
             F.when(gap > 10, "right-skewed").when(gap < -10, "left-skewed").otherwise("balanced").alias("skew"),
-            ratio.alias("mean_ratio")))
-    return one_row_to_long(s.row, structs)
+            F.lit(other).alias("other_column"), ratio.alias("mean_ratio")))
+    return one_row_to_long(s.row, structs, "column_name string, mean double, median double, skew string, "
+                                           "other_column string, mean_ratio double")
 
 
 def quick_insights(df: DataFrame) -> DataFrame:
@@ -128,13 +149,13 @@ def quick_insights(df: DataFrame) -> DataFrame:
     pair = pair_correlations(df).filter(r < 1.0).agg(F.max_by(
         F.struct("column1", "column2", "correlation"),
         F.struct(F.abs(r), -F.col("pair_position"))).alias("p")).scalar()
-    cvs = F.filter(F.array(*[
-        F.struct((s.cv(c) * 100).alias("cv"), F.lit(-i).alias("rank"), F.lit(c).alias("name"))
-        for i, c in enumerate(cols)]), lambda x: x["cv"].isNotNull())
+    def spreads(sign: int) -> Column:
+        found = F.array(*[F.struct((s.cv(c) * 100).alias("cv"), F.lit(sign * i).alias("rank"), F.lit(c).alias("name"))
+                          for i, c in enumerate(cols)])
+        return F.filter(found.cast("array<struct<cv: double, rank: int, name: string>>"), lambda x: x["cv"].isNotNull())
+
     # Ties go to the earlier column at both ends.
-    low = F.filter(F.array(*[
-        F.struct((s.cv(c) * 100).alias("cv"), F.lit(i).alias("rank"), F.lit(c).alias("name"))
-        for i, c in enumerate(cols)]), lambda x: x["cv"].isNotNull())
+    cvs, low = spreads(-1), spreads(1)
     missing = 100 - s.completeness(df.columns)
     row = s.row.select(missing.alias("missing_percent"), pair.alias("p"),
                        F.array_max(cvs).alias("hi"), F.array_min(low).alias("lo"))
@@ -153,22 +174,19 @@ def advice(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Missing data, declining metrics and frequent outliers, as numbered advice."""
     df = nan_to_null(df)
     cols = numeric_columns(df)
-    head = cols[:3]
     bounds, _ = iqr_bounds(df, cols)
-    s = WideStats(df, {"missing": df.columns, "first": head, "last": head, "outliers": cols},
+    s = WideStats(df, {"missing": df.columns, "first": cols, "last": cols, "outliers": cols},
                   order_by, bounds)
-    sparse = names_where([(c, s("missing", c) > s.n * 0.1) for c in df.columns], 2)
-    falling = names_where([(c, s("last", c) < s("first", c)) for c in head])
-    noisy = names_where([(c, s("outliers", c) > s.n * 0.05) for c in cols], 2)
+    sparse = names_where([(c, s("missing", c) > s.n * 0.1) for c in df.columns])
+    falling = names_where([(c, s("last", c) < s("first", c)) for c in cols])
+    noisy = names_where([(c, s("outliers", c) > s.n * 0.05) for c in cols])
     return numbered(s.row, [
-        F.when(F.size(sparse) > 0, F.concat(F.lit("Address missing values in "), F.array_join(sparse, ", ")))
-        .otherwise("Your data quality is good!"),
-        F.when((s.n > 1) & F.lit(bool(cols)), F.when(F.size(falling) > 0, F.concat(
-            F.lit("Monitor declining metrics: "), F.array_join(falling, ", ")))
-            .otherwise("Metrics show positive momentum!")),
-        F.when(F.size(noisy) > 0, F.concat(F.lit("Investigate outliers in "), F.array_join(noisy, ", "))),
-        F.lit("Consider building predictive models or generating detailed insights"),
-        F.lit("Create charts to visualize trends and patterns"),
+        F.when(F.size(sparse) > 0, F.format_string(ADVICE["missing"], F.array_join(sparse, ", "))).otherwise(ADVICE["complete"]),
+        F.when((s.n > 1) & F.lit(bool(cols)), F.when(F.size(falling) > 0, F.format_string(
+            ADVICE["falling"], F.array_join(falling, ", "))).otherwise(ADVICE["rising"])),
+        F.when(F.size(noisy) > 0, F.format_string(ADVICE["outliers"], F.array_join(noisy, ", "))),
+        F.lit(ADVICE["models"]),
+        F.lit(ADVICE["charts"]),
     ])
 
 
@@ -189,10 +207,10 @@ def quality_assessment(df: DataFrame) -> DataFrame:
         (complete * 0.6 + _unique_share(s.n, F.col("duplicate_rows")) * 0.4).alias("overall_score"))
 
 
-def linear_projection(df: DataFrame, order_by: Sequence[str], k: int = 2) -> DataFrame:
+def linear_projection(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Least-squares slope over the row index and the value it implies next."""
     df = nan_to_null(df)
-    cols = numeric_columns(df, k)
+    cols = numeric_columns(df)
     kept = list(dict.fromkeys([*order_by, *cols]))
     indexed = with_row_index(df.select(*kept), order_by)
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -206,15 +224,16 @@ def linear_projection(df: DataFrame, order_by: Sequence[str], k: int = 2) -> Dat
             F.lit(c).alias("column_name"), slope.alias("slope"), (last + slope).alias("next_value"),
             F.when(last != 0, slope / last * 100).otherwise(0.0).alias("change_percent"),
             F.when(slope > 0, "increase").otherwise("decrease").alias("direction")))
-    return one_row_to_long(indexed.agg(*aggs).filter("n > 1"), structs)
+    return one_row_to_long(indexed.agg(*aggs).filter("n > 1"), structs,
+                           "column_name string, slope double, next_value double, change_percent double, direction string")
 
 
-def correlation_list(df: DataFrame, top: int = 5) -> DataFrame:
-    """The first strong pairs in column order, with strength and direction."""
+def correlation_list(df: DataFrame) -> DataFrame:
+    """All strong pairs in column order, with strength and direction."""
     r = F.col("correlation")
     size: Column = F.abs(r)
     return (
-        pair_correlations(df).filter(size > 0.5).orderBy("pair_position").limit(top)
+        pair_correlations(df).filter(size > 0.5).orderBy("pair_position")
         .select("column1", "column2", "correlation",
                 F.when(size > 0.8, "very strong").when(size > 0.7, "strong").otherwise("moderate")
                 .alias("strength"),

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablegauge.functions.columns import with_row_index
 from tablegauge.session import materialize
 
 # Bounds and marks of texts prepared for summarizing.
 MIN_CHARACTERS = 50
-MAX_CHARACTERS = 3000
-CUT_MARK = "... [truncated]"
+PART_CHARACTERS = 3000
 DOCUMENTS_COMBINED = 5
 DOCUMENT_GLUE = "\n\n---\n\n"
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -50,26 +51,32 @@ def duplicate_documents(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 def prepare_summary_inputs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``summary_input``: NULL for short texts, long ones cut and marked."""
+    """One row per part of each text, with ``part`` from 0 and ``summary_input``.
+
+    Parts have up to 3,000 characters and together cover the whole text. Texts
+    too short to be summarized have one row with NULL in both columns.
+    """
     t = F.col(text)
-    return docs.withColumn("summary_input", F.when(
-        F.length(F.trim(t, F.lit(WHITESPACE))) >= MIN_CHARACTERS,
-        F.when(F.length(t) > MAX_CHARACTERS, F.concat(F.substring(t, 1, MAX_CHARACTERS), F.lit(CUT_MARK)))
-        .otherwise(t)))
+    parts = F.when(F.length(F.trim(t, F.lit(WHITESPACE))) >= MIN_CHARACTERS,
+                   F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PART_CHARACTERS}}}"), F.lit(0)))
+    return docs.select("*", F.posexplode_outer(parts).alias("part", "summary_input"))
 
 
 def combine_documents(docs: DataFrame, group: Sequence[str], order: str, text: str = "text") -> DataFrame:
-    """The first five texts of each group in one, prepared for summarizing.
+    """All texts of each group in its order, five to a ``bundle`` from 0, prepared for summarizing.
 
-    The rank filter is applied within each task before the shuffle (Spark's
-    window group limit), so a group of any size sends five rows per task.
+    Positions come from one range sort, so a group of any size spreads over
+    tasks; a bundle holds five texts.
     """
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(order))
-    first = docs.select(*group, order, text).withColumn("_rank", rank).filter(
-        F.col("_rank") <= DOCUMENTS_COMBINED)
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("_rank", text))), lambda s: s[text])
-    combined = first.groupBy(*group).agg(F.array_join(texts, DOCUMENT_GLUE).alias("combined"))
-    return prepare_summary_inputs(combined, "combined")
+    placed = with_row_index(docs.select(*group, order, text), [*group, order], "_place")
+    starts = placed.groupBy(*group).agg(F.min("_place").alias("_start"))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group]
+    nth = placed.alias("p").join(starts.alias("s"), same).select(
+        *[F.col(f"p.{c}").alias(c) for c in group], (F.col("_place") - F.col("_start")).alias("_nth"), F.col(f"p.{text}").alias("_text"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("_nth", "_text"))), lambda s: s["_text"])
+    bundled = nth.groupBy(*group, F.floor(F.col("_nth") / DOCUMENTS_COMBINED).alias("bundle")).agg(
+        F.array_join(texts, DOCUMENT_GLUE).alias("combined"))
+    return prepare_summary_inputs(bundled, "combined")
 
 
 def apply_layers(df: DataFrame, layers: Sequence[Mapping], terms: Mapping[str, DataFrame] | None = None) -> DataFrame:
@@ -99,8 +106,8 @@ def apply_layers(df: DataFrame, layers: Sequence[Mapping], terms: Mapping[str, D
     return df
 
 
-def lineage(edges: DataFrame, start: DataFrame, direction: str = "downstream", depth: int = 10) -> DataFrame:
-    """Nodes reachable from ``start`` (column ``node``) with their distance.
+def lineage(edges: DataFrame, start: DataFrame, direction: str = "both", depth: int | None = None) -> DataFrame:
+    """Nodes reachable from ``start`` (column ``node``) with their distance, up to ``depth`` hops or without limit.
 
     One join per hop against the edges, minus what was visited. Every hop is
     written to the shared folder, so plans stay short and a lost executor
@@ -114,7 +121,9 @@ def lineage(edges: DataFrame, start: DataFrame, direction: str = "downstream", d
     step = materialize(step.distinct(), "lineage-edges")
     frontier = materialize(start.select("node").distinct().withColumn("depth", F.lit(0)), "lineage-hop")
     visited = frontier
-    for hop in range(1, depth + 1):
+    for hop in count(1):
+        if depth is not None and hop > depth:
+            break
         reached = (frontier.select("node").join(step, "node").select(F.col("next").alias("node")).distinct()
                    .join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(hop)))
         frontier = materialize(reached, "lineage-hop")
@@ -137,18 +146,17 @@ def search_rows(df: DataFrame, term: str) -> DataFrame:
     return df.filter(F.contains(F.lower(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})), F.lit(term.lower())))
 
 
-# Shape of a fenced JSON block and the bounds of the fallback.
+# Shape of a fenced JSON block and the length from which a line counts.
 FENCED_JSON = r"(?s)```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```"
 FALLBACK_CHARACTERS = 20
-FALLBACK_LINES = 10
 
 
 def extract_json(df: DataFrame, text: str) -> DataFrame:
-    """Add the JSON found in a model's answer, or its first long lines.
+    """Add the JSON found in a model's answer, or its long lines.
 
     A fenced block wins; else the text from the first brace or bracket to the
     last matching one. ``json`` is NULL where that does not parse, and then
-    ``key_insights`` has up to ten lines of more than 20 characters.
+    ``key_insights`` has all lines of more than 20 characters.
     """
     trimmed = F.trim(F.col(text), F.lit(WHITESPACE))
     block = F.regexp_extract(trimmed, FENCED_JSON, 1)
@@ -164,26 +172,21 @@ def extract_json(df: DataFrame, text: str) -> DataFrame:
                   F.substring(body, brace, last("}") - brace + 1)))
     candidate = F.coalesce(F.when(body.startswith("{") | body.startswith("["), body), span, body)
     lines = F.transform(F.split(text, "\n"), lambda s: F.trim(s, F.lit(WHITESPACE)))
-    long_lines = F.slice(F.filter(lines, lambda s: F.length(s) > FALLBACK_CHARACTERS), 1, FALLBACK_LINES)
+    long_lines = F.filter(lines, lambda s: F.length(s) > FALLBACK_CHARACTERS)
     parsed = F.to_json(F.try_parse_json(candidate))
     return df.withColumn("json", parsed).withColumn(
         "key_insights", F.when(F.col("json").isNull(), long_lines))
 
 
-def summarize_findings(findings: DataFrame, max_recommendations: int = 15) -> DataFrame:
-    """Counts of issues, anomalies and relationships per analysis and its first
-    distinct recommendations in order.
+def summarize_findings(findings: DataFrame) -> DataFrame:
+    """One row per analysis and distinct recommendation, with the analysis's counts of issues, anomalies and
+    relationships and the first position of the recommendation.
 
-    ``findings``: analysis_id, position, kind, recommendation. Findings are
-    reduced to one row per distinct recommendation, and each task keeps only the
-    first ones before they are shuffled.
+    ``findings``: analysis_id, position, kind, recommendation. An analysis without recommendations has one row. Rows
+    rather than one array, as an analysis may have any number of recommendations.
     """
     counts = findings.groupBy("analysis_id").agg(*[
         F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in ("issue", "anomaly", "relationship")])
     texts = findings.filter(F.col("recommendation").isNotNull()).groupBy("analysis_id", "recommendation").agg(
         F.min("position").alias("first_position"))
-    rank = F.row_number().over(Window.partitionBy("analysis_id").orderBy("first_position"))
-    first = texts.withColumn("_rank", rank).filter(F.col("_rank") <= max_recommendations)
-    listed = first.groupBy("analysis_id").agg(F.transform(F.array_sort(F.collect_list(
-        F.struct("_rank", "recommendation"))), lambda s: s["recommendation"]).alias("recommendations"))
-    return counts.join(listed, "analysis_id", "left")
+    return counts.join(texts, "analysis_id", "left")

@@ -57,7 +57,8 @@ def quality_rules(df: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
     row = df.agg(*aggs)
     if repeated:
         row = row.withColumn("duplicate_rows", duplicate_rows(df).select("duplicate_rows").scalar())
-    return one_row_to_long(row, structs).filter("violations > 0")
+    return one_row_to_long(row, structs, "type string, column_name string, violations bigint, rate double, severity string").filter(
+        "violations > 0")
 
 
 def outlier_magnitude(df: DataFrame) -> DataFrame:
@@ -73,7 +74,8 @@ def outlier_magnitude(df: DataFrame) -> DataFrame:
             F.lit(c).alias("column_name"), F.col(f"k{i}").alias("outlier_count"),
             F.try_divide(F.col(f"k{i}"), F.col("n")).alias("frequency"),
             F.try_divide(F.col(f"m{i}"), F.abs(F.lit(q[c][1]).cast("double"))).alias("magnitude")))
-    return one_row_to_long(df.agg(*aggs), structs).filter("outlier_count > 0")
+    return one_row_to_long(df.agg(*aggs), structs, "column_name string, outlier_count bigint, frequency double, magnitude double").filter(
+        "outlier_count > 0")
 
 
 def category_surprise(df: DataFrame, column: str, is_reference: Column) -> DataFrame:
@@ -249,8 +251,8 @@ def frequent_combinations(df: DataFrame, cols: Sequence[str], min_support: float
 
 
 def subpopulations(df: DataFrame, dimensions: Sequence[str], metric: str, min_share: float = 0.01,
-                   min_z: float = 3.0, top: int = 10) -> DataFrame:
-    """Groups whose mean of the metric stands out from the whole table."""
+                   min_z: float = 3.0) -> DataFrame:
+    """All groups whose mean of the metric stands out from the whole table, the farthest first."""
     m = F.col(metric)
     overall = df.agg(F.struct(F.count(m).alias("n"), F.avg(m).alias("mean"), F.stddev_samp(m).alias("std"))).scalar()
     texts = df.select(m.alias("_m"), *[F.col(c).cast("string").alias(c) for c in dimensions])
@@ -264,4 +266,4 @@ def subpopulations(df: DataFrame, dimensions: Sequence[str], metric: str, min_sh
                            F.col("_mean").alias("mean"), F.col("_o.mean").alias("overall_mean"), z.alias("z_score"),
                            F.try_divide("_n", "_o.n").alias("share"))
             .filter((F.col("share") >= min_share) & (F.abs("z_score") >= min_z))
-            .orderBy(F.abs("z_score").desc(), "dimension", "value").limit(top))
+            .orderBy(F.abs("z_score").desc(), "dimension", "value"))

@@ -23,23 +23,34 @@ def psi(df: DataFrame, features: Sequence[str], is_reference: Column, thresholds
     """
     df = nan_to_null(df)
     edges = exact_quantiles(df.filter(is_reference), features, [i / PSI_BINS for i in range(1, PSI_BINS)])
-    aggs, structs = [], []
-    for i, c in enumerate(features):
+    schema = "feature string, psi double, drifted boolean"
+    if not features:
+        return one_row_to_long(df, [], schema)
+
+    def bin_of(c: str) -> Column:
         number = F.lit(0)
         for e in edges[c]:
             number = number + (F.col(c) > F.lit(e)).cast("int")
-        held = F.col(c).isNotNull()
-        aggs += [F.count_if(held & is_reference).alias(f"r{i}"), F.count_if(held & ~is_reference).alias(f"c{i}")]
-        total = F.lit(0.0)
-        for b in range(PSI_BINS):
-            aggs += [F.count_if(held & is_reference & (number == b)).alias(f"r{i}_{b}"),
-                     F.count_if(held & ~is_reference & (number == b)).alias(f"c{i}_{b}")]
-            ref = F.greatest(F.try_divide(F.col(f"r{i}_{b}"), F.col(f"r{i}")), F.lit(SHARE_FLOOR))
-            cur = F.greatest(F.try_divide(F.col(f"c{i}_{b}"), F.col(f"c{i}")), F.lit(SHARE_FLOOR))
-            total = total + (cur - ref) * F.ln(cur / ref)
-        limit = (thresholds or {}).get(c, 0.2)
-        structs.append(F.struct(F.lit(c).alias("feature"), total.alias("psi"), (total > limit).alias("drifted")))
-    return one_row_to_long(df.agg(*aggs), structs)
+        return F.when(F.col(c).isNotNull(), number)
+
+    # Each value's bin is worked out once; what is shuffled is one row per feature and bin.
+    binned = df.select(is_reference.alias("_ref"), *[bin_of(c).alias(c) for c in features])
+    counted = binned.unpivot(["_ref"], list(features), "feature", "bin").filter("bin IS NOT NULL").groupBy("feature", "bin").agg(
+        F.count_if("_ref").alias("r"), F.count_if(~F.col("_ref")).alias("c"))
+    by_feature = counted.groupBy("feature").agg(
+        F.sum("r").alias("rn"), F.sum("c").alias("cn"),
+        F.map_from_entries(F.collect_list(F.struct("bin", F.struct("r", "c")))).alias("m"))
+
+    def term(b: Column) -> Column:
+        ref, cur = (F.greatest(F.try_divide(F.coalesce(F.try_element_at("m", b)[s], F.lit(0)), F.col(f"{s}n")), F.lit(SHARE_FLOOR))
+                    for s in "rc")
+        return (cur - ref) * F.ln(cur / ref)
+
+    limits = F.create_map(*[F.lit(x) for c in features for x in (c, float((thresholds or {}).get(c, 0.2)))])
+    named = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in features])).alias("feature"))
+    psi_value = F.aggregate(F.sequence(F.lit(0), F.lit(PSI_BINS - 1)), F.lit(0.0), lambda total, b: total + term(b))
+    return named.join(by_feature, "feature", "left").select("feature", psi_value.alias("psi")).withColumn(
+        "drifted", F.col("psi") > limits[F.col("feature")])
 
 
 def ks(df: DataFrame, features: Sequence[str], is_reference: Column, threshold: float = 0.1) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,22 +75,36 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(a))
 
 
-def trade_area(sites: DataFrame, others: DataFrame, radius_km: float, max_abs_lat: float = 80.0) -> DataFrame:
+def trade_area(sites: DataFrame, others: DataFrame, radius_km: float) -> DataFrame:
     """Other locations within the radius of each site and a gravity score.
 
     Both frames: location_id, latitude, longitude; ``others`` also weight. Each
     site is joined to the grid cells around it, so only neighbours meet. Others
     in one exact place are added up first, which keeps crowded spots small.
+    Cells form a ring of equal columns, so neighbours across 180 degrees meet,
+    and a site whose circle reaches a pole looks at the whole ring.
     """
-    step = radius_km / 110.574
-    lon_reach = F.ceil(1 / F.cos(F.radians(F.least(F.abs("latitude") + step, F.lit(max_abs_lat)))))
-    row, col = F.floor(F.col("latitude") / step), F.floor(F.col("longitude") / step)
-    around = (
-        sites.withColumn("_row", F.explode(F.sequence(row - 1, row + 1)))
-        .withColumn("_col", F.explode(F.sequence(col - lon_reach, col + lon_reach))))
+    angle = math.degrees(radius_km / EARTH_RADIUS_KM)
+    step = min(angle, 180.0) * 1.000001
+    columns = max(1, int(360 / step))
+
+    def row_of(lat: Column) -> Column:
+        return F.floor(lat / step)
+
+    def column_of(lon: Column) -> Column:
+        return F.pmod(F.floor((lon + 180) * (columns / 360)), F.lit(columns))
+
+    lat = F.col("latitude")
+    # How far a circle reaches east and west, in columns; half the ring is all of it.
+    widest = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(min(angle, 90.0)))) / F.cos(F.radians(lat)))))
+    reach = F.when(F.abs(lat) + step >= 90, F.lit(columns)).otherwise(F.ceil(widest * (columns / 360)) + 1).cast("bigint")
+    own = column_of(F.col("longitude"))
+    ring = F.when(reach * 2 + 1 >= columns, F.sequence(F.lit(0).cast("bigint"), F.lit(columns - 1).cast("bigint"))).otherwise(
+        F.transform(F.sequence(own - reach, own + reach), lambda c: F.pmod(c, F.lit(columns))))
+    around = sites.withColumn("_row", F.explode(F.sequence(row_of(lat) - 1, row_of(lat) + 1))).withColumn("_col", F.explode(ring))
     places = others.groupBy(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon")).agg(
         F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("_n"))
-    places = places.withColumn("_row", F.floor(F.col("_lat") / step)).withColumn("_col", F.floor(F.col("_lon") / step))
+    places = places.withColumn("_row", row_of(F.col("_lat"))).withColumn("_col", column_of(F.col("_lon")))
     distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon"))
     near = around.join(places, ["_row", "_col"]).withColumn("_d", distance).filter(F.col("_d") <= radius_km)
     scored = near.groupBy("location_id").agg(

@@ -11,6 +11,32 @@ from tablegauge.functions.wide import WideStats, names_where, numbered
 from tablegauge.operators.insights import pair_correlations
 
 
+# How gaps, their impact and what to do about them are worded.
+SUGGESTIONS = {
+    "temporal_dimension": "Consider adding date/time columns for trend analysis",
+    "identifier": "Unique identifiers help with data tracking and joins",
+    "numeric_features": "More numeric features enable correlation and predictive analysis",
+    "categorical_features": "Categorical features help with segmentation and grouping",
+}
+IMPACTS = {
+    "high_missing_data": "May affect analysis reliability",
+    "low_diversity": "Limited variation may reduce analytical value",
+    "small_sample_size": "Small sample size may limit statistical significance",
+}
+TABLE_ADVICE = {
+    "temporal": "Add temporal dimension to enable time-series analysis and trend detection",
+    "samples": "Consider collecting more samples for more reliable statistical analysis",
+    "numeric": "Add more numeric features to enable advanced analytics and modeling",
+    "missing": "Address missing data to improve data quality and completeness",
+    "derived": "Explore feature interactions and create derived features for better insights",
+}
+RELATIONSHIP_ADVICE = {
+    "unable": "Need at least 2 numeric columns for relationship analysis",
+    "few": "Explore feature engineering for better predictive power",
+    "enough": "Good relationship coverage",
+}
+
+
 def temporal_gaps(df: DataFrame) -> DataFrame:
     """Date columns, the whole-day span of the first one and the row count."""
     cols = temporal_columns(df)
@@ -44,9 +70,10 @@ def feature_gaps(schemas: DataFrame) -> DataFrame:
         ("temporal_dimension", ~F.col("has_time")), ("identifier", ~F.col("has_id")),
         ("numeric_features", F.col("numeric") < 2), ("categorical_features", F.col("other") == 0)]
     gaps = names_where(rules)
+    suggestions = names_where([(SUGGESTIONS[name], missing) for name, missing in rules])
     return flags.select(
         "table_name", F.array_join(gaps, ", ").alias("identified_gaps"),
-        F.size(gaps).alias("gap_count"),
+        F.array_join(suggestions, "; ").alias("suggestions"), F.size(gaps).alias("gap_count"),
         F.when(F.size(gaps) >= 2, "high").otherwise("medium").alias("severity"))
 
 
@@ -61,7 +88,7 @@ def schema_rows(tables: dict[str, DataFrame]) -> DataFrame:
             F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"),
                      F.lit("numeric" if c in numeric else "other").alias("kind"),
                      F.col(f"c{i}").alias("value_count"), F.col("n").alias("row_count"))
-            for i, c in enumerate(df.columns)]))
+            for i, c in enumerate(df.columns)], "table_name string, column_name string, kind string, value_count bigint, row_count bigint"))
     result = parts[0]
     for p in parts[1:]:
         result = result.unionByName(p)
@@ -82,18 +109,15 @@ def coverage_gaps(df: DataFrame) -> DataFrame:
 
     sparse = names_where([(c, s("missing", c) > s.n * 0.2) for c in df.columns])
     flat = names_where([(c, (distinct(c) < 3) & (s.n > 10)) for c in df.columns])
-    found = row.select(
-        F.filter(F.array(
-            F.when(F.size(sparse) > 0, F.struct(
-                F.lit("high_missing_data").alias("type"), F.array_join(sparse, ", ").alias("columns"),
-                F.lit("May affect analysis reliability").alias("impact"))),
-            F.when(F.size(flat) > 0, F.struct(
-                F.lit("low_diversity").alias("type"), F.array_join(flat, ", ").alias("columns"),
-                F.lit("Limited variation may reduce analytical value").alias("impact"))),
-            F.when(s.n < 50, F.struct(
-                F.lit("small_sample_size").alias("type"), F.lit("").alias("columns"),
-                F.lit("Small sample size may limit statistical significance").alias("impact"))),
-        ), lambda g: g.isNotNull()).alias("gaps"))
+
+    def gap(kind: str, flag: Column, columns: Column, samples: Column = F.lit(None)) -> Column:
+        return F.when(flag, F.struct(F.lit(kind).alias("type"), columns.alias("columns"), F.lit(IMPACTS[kind]).alias("impact"),
+                                     samples.cast("bigint").alias("sample_count")))
+
+    found = row.select(F.filter(F.array(
+        gap("high_missing_data", F.size(sparse) > 0, F.array_join(sparse, ", ")),
+        gap("low_diversity", F.size(flat) > 0, F.array_join(flat, ", ")),
+        gap("small_sample_size", s.n < 50, F.lit(""), s.n)), lambda g: g.isNotNull()).alias("gaps"))
     severity = (F.when(F.size("gaps") >= 2, "high").when(F.size("gaps") == 1, "medium").otherwise("low"))
     return found.select(severity.alias("severity"), F.inline_outer("gaps"))
 
@@ -105,10 +129,10 @@ def relationship_gaps(df: DataFrame) -> DataFrame:
     able = len(numeric_columns(df)) >= 2
     return pair_correlations(df).agg(strong.alias("strong_relationships_found")).select(
         F.lit(able).alias("can_analyze_relationships"), "strong_relationships_found",
-        F.when(F.lit(not able), "Need at least 2 numeric columns for relationship analysis")
+        F.when(F.lit(not able), RELATIONSHIP_ADVICE["unable"])
         .when(F.col("strong_relationships_found") < 3,
-              "Explore feature engineering for better predictive power")
-        .otherwise("Good relationship coverage").alias("recommendation"))
+              RELATIONSHIP_ADVICE["few"])
+        .otherwise(RELATIONSHIP_ADVICE["enough"]).alias("recommendation"))
 
 
 def diversity(df: DataFrame) -> DataFrame:
@@ -128,21 +152,22 @@ def gap_recommendations(df: DataFrame) -> DataFrame:
     numeric = len(numeric_columns(df))
     s = WideStats(df, {"missing": df.columns})
     return numbered(s.row, [
-        F.when(F.lit(not temporal_columns(df)),
-               "Add temporal dimension to enable time-series analysis and trend detection"),
-        F.when(s.n < 100, "Consider collecting more samples for more reliable statistical analysis"),
-        F.when(F.lit(numeric < 3), "Add more numeric features to enable advanced analytics and modeling"),
-        F.when(s.total_missing(df.columns) > 0,
-               "Address missing data to improve data quality and completeness"),
-        F.when(F.lit(numeric >= 2),
-               "Explore feature interactions and create derived features for better insights"),
+        F.when(F.lit(not temporal_columns(df)), TABLE_ADVICE["temporal"]),
+        F.when(s.n < 100, TABLE_ADVICE["samples"]),
+        F.when(F.lit(numeric < 3), TABLE_ADVICE["numeric"]),
+        F.when(s.total_missing(df.columns) > 0, TABLE_ADVICE["missing"]),
+        F.when(F.lit(numeric >= 2), TABLE_ADVICE["derived"]),
     ])
 
 
 def missing_periods(df: DataFrame, ts: str, unit: str = "day") -> DataFrame:
     """Periods between the first and the last one that have no rows."""
     found = df.select(F.date_trunc(unit, ts).cast("timestamp_ntz").alias("period")).distinct()
-    ends = found.agg(F.min("period").alias("a"), F.max("period").alias("z"))
-    step = F.expr(f"INTERVAL 1 {unit}")
-    spine = ends.select(F.explode(F.sequence("a", "z", step)).alias("period"))
+    ends = found.agg(F.min("period").alias("a"), F.max("period").alias("z")).first()
+    if ends["a"] is None:
+        return found
+    # The calendar is a distributed range, however long it is.
+    span = df.sparkSession.range(1).select(F.timestamp_diff(unit.upper(), F.lit(ends["a"]), F.lit(ends["z"])).alias("n")).first()["n"]
+    spine = df.sparkSession.range(span + 1).select(F.timestamp_add(
+        unit.upper(), F.col("id").cast("int"), F.lit(ends["a"]).cast("timestamp_ntz")).alias("period"))
     return spine.join(found, "period", "left_anti")

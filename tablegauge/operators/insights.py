@@ -15,6 +15,7 @@ from tablegauge.functions.wide import WideStats, correlation, mean_of, names_whe
 
 # More pairs per aggregate make its generated code too long to be compiled.
 PAIRS_PER_PASS = 7
+PAIR_SCHEMA = "pair_position int, column1 string, column2 string, correlation double"
 
 # The two general lines every recommendation list ends with.
 GENERAL_ADVICE = (
@@ -23,13 +24,20 @@ GENERAL_ADVICE = (
 )
 
 
+# How findings are worded.
+TREND_TEXT = "%s shows %s trend"
+OUTLIER_TEXT = "%d outliers detected in %s"
+SPARSE_TEXT = "Consider addressing data quality issues: %s have significant missing values"
+CONSTANT_TEXT = "%s has no variation - may not be useful for analysis"
+
+
 def percent_change(first: Column, last: Column, n: Column) -> Column:
     """Change from first to last in percent; 0 for a zero start or one row."""
     return F.when((n > 1) & (first != 0), (last - first) / first * 100).otherwise(0.0)
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
-    names = ", ".join(numeric_columns(df)[:5])
+    names = ", ".join(numeric_columns(df))
     width = len(df.columns)
     row = df.agg(F.count(F.lit(1)).alias("row_count"))
     text = F.format_string(f"Dataset contains %d rows and {width} columns.", F.col("row_count"))
@@ -39,23 +47,24 @@ def dataset_summary(df: DataFrame) -> DataFrame:
                       F.lit(names).alias("numeric_names"), text.alias("summary"))
 
 
-def trends(df: DataFrame, order_by: Sequence[str], k: int = 5) -> DataFrame:
+def trends(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """First against last row of the order; the change is spread over all rows."""
     df = nan_to_null(df)
-    cols = numeric_columns(df, k)
+    cols = numeric_columns(df)
     s = WideStats(df, {"first": cols, "last": cols}, order_by)
+    direction = {c: F.when(s("last", c) > s("first", c), "increasing").otherwise("decreasing") for c in cols}
     return one_row_to_long(s.row.filter("n > 1"), [
         F.struct(
-            F.lit(c).alias("column_name"),
-            F.when(s("last", c) > s("first", c), "increasing").otherwise("decreasing").alias("direction"),
-            ((s("last", c) - s("first", c)) / s.n).alias("average_change"))
-        for c in cols])
+            F.lit(c).alias("column_name"), direction[c].alias("direction"),
+            ((s("last", c) - s("first", c)) / s.n).alias("average_change"),
+            F.format_string(TREND_TEXT, F.lit(c), direction[c]).alias("description"))
+        for c in cols], "column_name string, direction string, average_change double, description string")
 
 
-def iqr_outliers(df: DataFrame, k: int | None = 5, only_positive: bool = True) -> DataFrame:
+def iqr_outliers(df: DataFrame, only_positive: bool = True) -> DataFrame:
     """Values strictly outside the 1.5 IQR fences; percentage over all rows."""
     df = nan_to_null(df)
-    cols = numeric_columns(df, k)
+    cols = numeric_columns(df)
     bounds, _ = iqr_bounds(df, cols)
     s = WideStats(df, {"outliers": cols}, bounds=bounds)
     long = one_row_to_long(s.row, [
@@ -64,8 +73,10 @@ def iqr_outliers(df: DataFrame, k: int | None = 5, only_positive: bool = True) -
             F.lit(bounds[c][0]).cast("double").alias("lower_bound"),
             F.lit(bounds[c][1]).cast("double").alias("upper_bound"),
             s("outliers", c).alias("outlier_count"),
-            F.try_divide(s("outliers", c) * 100.0, s.n).alias("percentage"))
-        for c in cols])
+            F.try_divide(s("outliers", c) * 100.0, s.n).alias("percentage"),
+            F.format_string(OUTLIER_TEXT, s("outliers", c), F.lit(c)).alias("description"))
+        for c in cols], "column_name string, lower_bound double, upper_bound double, outlier_count bigint, "
+                        "percentage double, description string")
     return long.filter("outlier_count > 0") if only_positive else long
 
 
@@ -87,21 +98,21 @@ def pair_correlations(df: DataFrame) -> DataFrame:
         parts.append(one_row_to_long(row, [
             F.struct(F.lit(start + i).alias("pair_position"), F.lit(a).alias("column1"),
                      F.lit(b).alias("column2"), F.col(f"r{i}").alias("correlation"))
-            for i, (a, b) in enumerate(chunk)]))
+            for i, (a, b) in enumerate(chunk)], PAIR_SCHEMA))
     if not parts:
-        return df.sparkSession.createDataFrame(
-            [], "pair_position int, column1 string, column2 string, correlation double")
+        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     result = parts[0]
     for p in parts[1:]:
         result = result.unionByName(p)
     return result
 
 
-def correlations(df: DataFrame, threshold: float = 0.5, top: int = 10) -> DataFrame:
+def correlations(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Every pair over the threshold, the strongest first."""
     r = F.col("correlation")
     return (
         pair_correlations(df).filter(F.abs(r) > threshold)
-        .orderBy(F.abs(r).desc(), "pair_position").limit(top)
+        .orderBy(F.abs(r).desc(), "pair_position")
         .select("column1", "column2", "correlation",
                 F.when(F.abs(r) > 0.7, "strong").otherwise("moderate").alias("strength"))
     )
@@ -109,46 +120,42 @@ def correlations(df: DataFrame, threshold: float = 0.5, top: int = 10) -> DataFr
 
 def recommendations(df: DataFrame) -> DataFrame:
     df = nan_to_null(df)
-    head = df.columns[:5]
-    s = WideStats(df, {"missing": df.columns, "constant": head})
-    sparse = names_where([(c, s("missing", c) > s.n * 0.1) for c in df.columns], 3)
-    texts = [F.when(F.size(sparse) > 0, F.concat(
-        F.lit("Consider addressing data quality issues: "), F.array_join(sparse, ", "),
-        F.lit(" have significant missing values")))]
-    texts += [F.when(s("constant", c), F.lit(f"{c} has no variation - may not be useful for analysis"))
-              for c in head]
+    s = WideStats(df, {"missing": df.columns, "constant": df.columns})
+    sparse = names_where([(c, s("missing", c) > s.n * 0.1) for c in df.columns])
+    texts = [F.when(F.size(sparse) > 0, F.format_string(SPARSE_TEXT, F.array_join(sparse, ", ")))]
+    texts += [F.when(s("constant", c), F.format_string(CONSTANT_TEXT, F.lit(c))) for c in df.columns]
     texts += [F.lit(t) for t in GENERAL_ADVICE]
-    return numbered(s.row, texts, 5)
+    return numbered(s.row, texts)
 
 
-def key_metrics(df: DataFrame, k: int = 10) -> DataFrame:
+def key_metrics(df: DataFrame) -> DataFrame:
     df = nan_to_null(df)
-    cols = numeric_columns(df, k)
+    cols = numeric_columns(df)
     quantiles = exact_quantiles(df, cols, [0.5])
     s = WideStats(df, {"mean": cols, "std": cols, "min": cols, "max": cols})
     return one_row_to_long(s.row, [
         F.struct(F.lit(c).alias("column_name"), s("mean", c).alias("mean"),
                  F.lit(quantiles[c][0]).cast("double").alias("median"), s("std", c).alias("std"),
                  s("min", c).alias("min"), s("max", c).alias("max"))
-        for c in cols])
+        for c in cols], "column_name string, mean double, median double, std double, min double, max double")
 
 
-def executive_kpis(df: DataFrame, order_by: Sequence[str], k: int = 4) -> DataFrame:
+def executive_kpis(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     df = nan_to_null(df)
-    cols = numeric_columns(df, k)
+    cols = numeric_columns(df)
     s = WideStats(df, {"mean": cols, "min": cols, "max": cols, "first": cols, "last": cols}, order_by)
     trend = {c: percent_change(s("first", c), s("last", c), s.n) for c in cols}
     return one_row_to_long(s.row, [
         F.struct(F.lit(c).alias("name"), s("mean", c).alias("value"), trend[c].alias("trend"),
                  F.when(trend[c] > 0, "up").otherwise("down").alias("trend_direction"),
                  s("min", c).alias("min"), s("max", c).alias("max"))
-        for c in cols])
+        for c in cols], "name string, value double, trend double, trend_direction string, min double, max double")
 
 
-def downsample(df: DataFrame, order_by: Sequence[str], points: int = 50, k: int = 5) -> DataFrame:
+def downsample(df: DataFrame, order_by: Sequence[str], points: int = 50) -> DataFrame:
     """Every (n // points)-th row of the order, missing values as 0."""
     df = nan_to_null(df)
-    cols = numeric_columns(df, k)
+    cols = numeric_columns(df)
     step = max(1, df.count() // points)
     kept = list(dict.fromkeys([*order_by, *cols]))
     indexed = with_row_index(df.select(*kept), order_by)
@@ -156,13 +163,18 @@ def downsample(df: DataFrame, order_by: Sequence[str], points: int = 50, k: int
         "row_index", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
 
 
-def histogram(df: DataFrame, bins: int = 10, k: int = 3) -> DataFrame:
+def histogram(df: DataFrame, bins: int = 10) -> DataFrame:
     """Equal-width bins between minimum and maximum, the last one closed.
 
-    A constant column gets a unit-wide range around its value.
+    A constant column gets a unit-wide range around its value. Infinite values
+    count as missing, as no equal-width bin can hold them.
     """
     df = nan_to_null(df)
-    cols = numeric_columns(df, k)
+    cols = numeric_columns(df)
+    schema = "column_name string, bin int, range string, count bigint, percentage double"
+    if not cols:
+        return one_row_to_long(df, [], schema)
+    df = df.select(*[F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).alias(c) for c in cols])
     ends = df.agg(*[f(F.col(c).cast("double")).alias(f"{p}{i}") for i, c in enumerate(cols)
                     for p, f in (("a", F.min), ("z", F.max))]).first()
     aggs, structs = [F.count(F.lit(1)).alias("n")], []
@@ -183,7 +195,7 @@ def histogram(df: DataFrame, bins: int = 10, k: int = 3) -> DataFrame:
                 F.lit(f"{edges[b]:.1f}-{edges[b + 1]:.1f}").alias("range"),
                 F.col(f"h{i}_{b}").alias("count"),
                 F.try_divide(F.col(f"h{i}_{b}") * 100.0, F.col("n")).alias("percentage")))
-    return one_row_to_long(df.agg(*aggs), structs)
+    return one_row_to_long(df.agg(*aggs), structs, schema)
 
 
 def half_means(indexed: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
@@ -198,10 +210,10 @@ def half_means(indexed: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
     return indexed.agg(*aggs)
 
 
-def growth_metrics(df: DataFrame, order_by: Sequence[str], k: int = 3) -> DataFrame:
+def growth_metrics(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Half-over-half growth and an annualized rate over rows taken as months."""
     df = nan_to_null(df)
-    cols = numeric_columns(df, k)
+    cols = numeric_columns(df)
     kept = list(dict.fromkeys([*order_by, *cols]))
     n = df.count()
     row = half_means(with_row_index(df.select(*kept), order_by), cols, n).filter("n >= 2")
@@ -215,14 +227,14 @@ def growth_metrics(df: DataFrame, order_by: Sequence[str], k: int = 3) -> DataFr
         structs.append(F.struct(
             F.lit(c).alias("column_name"), growth.alias("growth_rate"), cagr.alias("cagr"),
             F.when(growth > 0, "accelerating").otherwise("decelerating").alias("momentum")))
-    return one_row_to_long(row, structs)
+    return one_row_to_long(row, structs, "column_name string, growth_rate double, cagr double, momentum string")
 
 
-def risk_indicators(df: DataFrame, k: int = 5, abs_cv: bool = False) -> DataFrame:
+def risk_indicators(df: DataFrame, abs_cv: bool = False) -> DataFrame:
     """Volatility and outlier share per metric. The coefficient of variation is
     signed unless ``abs_cv`` is set."""
     df = nan_to_null(df)
-    cols = numeric_columns(df, k)
+    cols = numeric_columns(df)
     bounds, _ = iqr_bounds(df, cols)
     s = WideStats(df, {"mean": cols, "std": cols, "outliers": cols}, bounds=bounds)
     structs = []
@@ -234,7 +246,7 @@ def risk_indicators(df: DataFrame, k: int = 5, abs_cv: bool = False) -> DataFram
                  .when((cv > 25) | (share > 5), "medium").otherwise("low"))
         structs.append(F.struct(F.lit(c).alias("metric"), cv.alias("volatility"),
                                 share.alias("outlier_percentage"), level.alias("risk_level")))
-    return one_row_to_long(s.row, structs)
+    return one_row_to_long(s.row, structs, "metric string, volatility double, outlier_percentage double, risk_level string")
 
 
 def performance_score(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -242,17 +254,19 @@ def performance_score(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     df = nan_to_null(df)
     cols = numeric_columns(df)
     if not cols:
-        return df.agg(F.lit(0.0).alias("overall_score"), F.lit("unknown").alias("health"))
-    growing = cols[:3]
+        s = WideStats(df, {"missing": df.columns})
+        return s.row.select(F.lit(0.0).alias("overall_score"), F.lit("unknown").alias("health"),
+                            s.completeness(df.columns).alias("data_quality"), F.lit(None).cast("double").alias("consistency"),
+                            F.lit(None).cast("double").alias("growth"))
     s = WideStats(df, {"missing": df.columns, "mean": cols, "std": cols,
-                       "first": growing, "last": growing}, order_by)
+                       "first": cols, "last": cols}, order_by)
     quality = s.completeness(df.columns)
     mean_cv = mean_of([s.cv(c) for c in cols])
     consistency = F.when(mean_cv.isNull(), 50.0).otherwise(F.greatest(F.lit(0.0), 100 - mean_cv * 100))
     growth = F.coalesce(mean_of([
         F.when((s.n > 1) & (s("first", c) != 0), F.least(F.lit(100.0), F.greatest(
             F.lit(0.0), 50 + (s("last", c) - s("first", c)) / s("first", c) * 100)))
-        for c in growing]), F.lit(50.0))
+        for c in cols]), F.lit(50.0))
     row = s.row.select(quality.alias("data_quality"), consistency.alias("consistency"),
                        growth.alias("growth"))
     overall = F.col("data_quality") * 0.3 + F.col("consistency") * 0.3 + F.col("growth") * 0.4

@@ -19,7 +19,6 @@ SEED = 42
 PASS_MEMORY_MB = 1024
 TEST_SHARE = 0.2
 CLASSES_BELOW = 10
-TOP_FEATURES = 10
 
 
 def choose_task(df: DataFrame, target: str, requested: str = "regression") -> DataFrame:
@@ -81,10 +80,10 @@ def encode_features(df: DataFrame, features: list[str]) -> tuple[DataFrame, list
 
 
 def _importances(spark, model, names: list[str]) -> DataFrame:
-    """The most important slots; one number per slot of the fitted model."""
+    """All slots, the most important first; one number per slot of the fitted model."""
     weights = [float(w) for w in model.featureImportances.toArray()]
     rows = spark.createDataFrame(list(zip(names, weights)), "feature string, importance double")
-    return rows.orderBy(F.col("importance").desc(), "feature").limit(TOP_FEATURES)
+    return rows.orderBy(F.col("importance").desc(), "feature")
 
 
 def _prepared(df: DataFrame, target: str, key: list[str]):

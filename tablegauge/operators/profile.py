@@ -13,6 +13,8 @@ from tablegauge.functions.columns import (
     temporal_columns, text_columns, value_counts)
 from tablegauge.functions.quantiles import exact_quantiles
 
+PROFILE_SCHEMA = ("ordinal_position int, column_name string, data_type string, nullable boolean, total_rows bigint, null_count bigint, "
+                  "null_fraction double, distinct_count bigint, min double, max double, avg double")
 
 
 def profile_table(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -43,7 +45,7 @@ def profile_table(df: DataFrame, approx: bool = False) -> DataFrame:
             (F.col(f"lo{i}") if numeric else none).alias("min"),
             (F.col(f"hi{i}") if numeric else none).alias("max"),
             (F.col(f"av{i}") if numeric else none).alias("avg")))
-    profile = one_row_to_long(df.agg(*aggs), structs)
+    profile = one_row_to_long(df.agg(*aggs), structs, PROFILE_SCHEMA)
     if approx:
         return profile
     found = distinct_counts(df, df.columns).withColumnRenamed("distinct_count", "_d")
@@ -52,12 +54,10 @@ def profile_table(df: DataFrame, approx: bool = False) -> DataFrame:
             .select(*profile.columns))
 
 
-def table_summary(df: DataFrame, order_by: Sequence[str], rows: int = 10_000) -> DataFrame:
-    """Type, distinct values over the first ``rows`` rows, and numeric statistics
-    over the whole table."""
+def table_summary(df: DataFrame) -> DataFrame:
+    """Type, distinct values and numeric statistics of each column."""
     df = nan_to_null(df)
-    head = df.orderBy(*order_by).limit(rows)
-    found = distinct_counts(head, df.columns)
+    found = distinct_counts(df, df.columns)
     numeric = set(numeric_columns(df))
     aggs, structs = [], []
     for i, field in enumerate(df.schema):
@@ -73,28 +73,29 @@ def table_summary(df: DataFrame, order_by: Sequence[str], rows: int = 10_000) ->
             (F.col(f"av{i}") if c in numeric else none).alias("avg"),
             (F.col(f"n{i}") if c in numeric else F.lit(None).cast("bigint")).alias("value_count")))
     row = df.agg(*(aggs or [F.count(F.lit(1)).alias("n")]))
-    return one_row_to_long(row, structs).join(found, "column_name", "left").select(
+    return one_row_to_long(row, structs, "column_name string, data_type string, min double, max double, avg double, "
+                                         "value_count bigint").join(found, "column_name", "left").select(
         "column_name", "data_type", F.coalesce("distinct_count", F.lit(0).cast("bigint")).alias("distinct_count"),
         "min", "max", "avg", "value_count")
 
 
-def top_values(df: DataFrame, max_distinct: int = 50) -> DataFrame:
-    """Most frequent values of the text columns that have few distinct values."""
-    cols = text_columns(df)
-    counts = value_counts(df, cols)
-    few = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("d")).filter(
-        F.col("d") <= 2 * max_distinct)
-    # After the join at most 2 * max_distinct values per column reach the window.
+def top_values(df: DataFrame, top: int = 50) -> DataFrame:
+    """The ``top`` most frequent values of every text column, next to its number of distinct values.
+
+    Each task keeps its ``top`` first before they are shuffled (Spark's window group limit).
+    """
+    counts = value_counts(df, text_columns(df))
     position = F.row_number().over(
         Window.partitionBy("column_name").orderBy(F.col("n").desc(), "value"))
-    return (counts.join(few.select("column_name"), "column_name", "left_semi")
-            .withColumn("position", position).filter(F.col("position") <= max_distinct)
-            .select("column_name", "position", "value", F.col("n").alias("count")))
+    listed = counts.withColumn("position", position).filter(F.col("position") <= top)
+    sizes = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+    return listed.join(sizes, "column_name").select(
+        "column_name", "position", "value", F.col("n").alias("count"), "distinct_count")
 
 
-def profile_with_top_values(df: DataFrame, max_distinct: int = 50) -> DataFrame:
+def profile_with_top_values(df: DataFrame, top: int = 50) -> DataFrame:
     """The full profile: one row per column with its top values as an array."""
-    tops = top_values(df, max_distinct).groupBy("column_name").agg(
+    tops = top_values(df, top).groupBy("column_name").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("position", "value", "count"))),
             lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count"))).alias("top_values"))
@@ -112,10 +113,10 @@ def profile_columns(df: DataFrame) -> DataFrame:
     frequent = column_counts(df, df.columns)
     n = df.agg(F.count(F.lit(1)).alias("total_rows"))
     base = one_row_to_long(n, [
-        F.struct(F.lit(c).alias("column_name"), F.col("total_rows")) for c in df.columns])
+        F.struct(F.lit(c).alias("column_name"), F.col("total_rows")) for c in df.columns], "column_name string, total_rows bigint")
     result = base.join(frequent, "column_name", "left")
     if number:
-        result = result.join(one_row_to_long(row, number), "column_name", "left")
+        result = result.join(one_row_to_long(row, number, ""), "column_name", "left")
     else:
         result = result.withColumn("stddev", F.lit(None).cast("double")).withColumn(
             "median", F.lit(None).cast("double"))
@@ -128,22 +129,28 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
 def string_profile(df: DataFrame) -> DataFrame:
     cols = text_columns(df)
+    schema = "column_name string, min_length bigint, max_length bigint, avg_length double"
+    if not cols:
+        return one_row_to_long(df, [], schema)
     aggs = [f(F.length(c)).alias(f"{p}{i}") for i, c in enumerate(cols)
             for p, f in (("a", F.min), ("z", F.max), ("m", F.avg))]
     return one_row_to_long(df.agg(*aggs), [
         F.struct(F.lit(c).alias("column_name"), F.col(f"a{i}").cast("bigint").alias("min_length"),
                  F.col(f"z{i}").cast("bigint").alias("max_length"), F.col(f"m{i}").alias("avg_length"))
-        for i, c in enumerate(cols)])
+        for i, c in enumerate(cols)], schema)
 
 
 def temporal_profile(df: DataFrame) -> DataFrame:
     cols = temporal_columns(df)
+    schema = "column_name string, earliest string, latest string"
+    if not cols:
+        return one_row_to_long(df, [], schema)
     aggs = [f(c).alias(f"{p}{i}") for i, c in enumerate(cols) for p, f in (("a", F.min), ("z", F.max))]
     stamp = "yyyy-MM-dd HH:mm:ss"
     return one_row_to_long(df.agg(*aggs), [
         F.struct(F.lit(c).alias("column_name"), F.date_format(f"a{i}", stamp).alias("earliest"),
                  F.date_format(f"z{i}", stamp).alias("latest"))
-        for i, c in enumerate(cols)])
+        for i, c in enumerate(cols)], schema)
 
 
 def append_profile(df: DataFrame, table: str, path: str, computed_at: str,

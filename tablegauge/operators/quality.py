@@ -13,6 +13,20 @@ from tablegauge.functions.columns import (
 from tablegauge.functions.quantiles import iqr_bounds
 from tablegauge.functions.wide import WideStats, numbered
 
+# How findings and advice are worded.
+MISSING_TEXT = "%s has %d missing values (%.1f%%)"
+MISSING_ADVICE = "Consider imputation or data collection"
+DUPLICATE_TEXT = "%d duplicate rows found"
+DUPLICATE_ADVICE = "Review and remove duplicate records if not intentional"
+OUTLIER_TEXT = "%d outliers detected in %s"
+OUTLIER_ADVICE = "Investigate outliers for data entry errors or special cases"
+TABLE_ADVICE = {
+    "missing": "Address missing data through imputation or data collection",
+    "duplicates": "Remove or investigate duplicate records",
+    "numeric": "Consider including numeric columns for more advanced analysis",
+    "samples": "Dataset may benefit from more samples for reliable analysis",
+}
+
 # Numeric columns with these names must not be negative.
 NON_NEGATIVE_NAMES = ("age", "price", "revenue", "sales")
 
@@ -75,7 +89,8 @@ def completeness_detail(df: DataFrame) -> DataFrame:
             s.total_missing(df.columns).alias("total_missing"),
             (s.n * len(df.columns)).alias("total_cells"),
             s.completeness(df.columns).alias("completeness_percentage"))
-        for c in df.columns]).filter("missing_count > 0")
+        for c in df.columns], "column_name string, missing_count bigint, missing_percentage double, total_missing bigint, "
+                              "total_cells bigint, completeness_percentage double").filter("missing_count > 0")
 
 
 def accuracy(df: DataFrame) -> DataFrame:
@@ -91,7 +106,7 @@ def accuracy(df: DataFrame) -> DataFrame:
         F.struct(F.lit(c).alias("column_name"), s("outliers", c).alias("outlier_count"),
                  F.try_divide(s("outliers", c) * 100.0, s.n).alias("percentage"),
                  F.greatest(F.lit(0), 100 - issues * 10).alias("accuracy_score"))
-        for c in cols]).filter("outlier_count > 0")
+        for c in cols], "column_name string, outlier_count bigint, percentage double, accuracy_score int").filter("outlier_count > 0")
 
 
 def value_classes(df: DataFrame) -> DataFrame:
@@ -112,6 +127,9 @@ def value_classes(df: DataFrame) -> DataFrame:
                 .otherwise("text"))
 
     kinds = ("int", "float", "date", "bool", "text")
+    schema = f"column_name string, {', '.join(f'{k}_count bigint' for k in kinds)}, mixed_types boolean"
+    if not cols:
+        return one_row_to_long(df, [], schema)
     row = df.select(*[kind(c).alias(c) for c in cols]).agg(*[
         F.count_if(F.col(c) == k).alias(f"{k}{i}") for i, c in enumerate(cols) for k in kinds])
     structs = []
@@ -120,7 +138,7 @@ def value_classes(df: DataFrame) -> DataFrame:
         structs.append(F.struct(
             F.lit(c).alias("column_name"), *[F.col(f"{k}{i}").alias(f"{k}_count") for k in kinds],
             (present > 1).alias("mixed_types")))
-    return one_row_to_long(row, structs)
+    return one_row_to_long(row, structs, schema)
 
 
 def consistency_detail(df: DataFrame) -> DataFrame:
@@ -135,9 +153,6 @@ def validity(df: DataFrame, names: Sequence[str] = NON_NEGATIVE_NAMES) -> DataFr
     df = nan_to_null(df)
     wanted = {n.lower() for n in names}
     cols = [c for c in numeric_columns(df) if c.lower() in wanted]
-    if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "column_name string, issue string, count bigint, validity_score int")
     s = WideStats(df, {"negative": cols})
     issues = F.lit(0)
     for c in cols:
@@ -146,13 +161,13 @@ def validity(df: DataFrame, names: Sequence[str] = NON_NEGATIVE_NAMES) -> DataFr
         F.struct(F.lit(c).alias("column_name"), F.lit("negative_values").alias("issue"),
                  s("negative", c).alias("count"),
                  F.greatest(F.lit(0), 100 - issues * 15).alias("validity_score"))
-        for c in cols]).filter("count > 0")
+        for c in cols], "column_name string, issue string, count bigint, validity_score int").filter("count > 0")
 
 
 def issues(df: DataFrame) -> DataFrame:
     """Missing data (high), duplicate rows and frequent outliers (medium)."""
     df = nan_to_null(df)
-    cols = numeric_columns(df, 5)
+    cols = numeric_columns(df)
     bounds, _ = iqr_bounds(df, cols)
     s = WideStats(df, {"missing": df.columns, "outliers": cols}, bounds=bounds)
     row = _with_duplicates(s.row, df)
@@ -165,21 +180,18 @@ def issues(df: DataFrame) -> DataFrame:
 
     found = [
         finding(i, s("missing", c) > s.n * 0.1, "high", "missing_data", c, s("missing", c),
-                F.format_string(f"{c} has %d missing values (%.1f%%)", s("missing", c),
-                                F.try_divide(s("missing", c) * 100.0, s.n)),
-                "Consider imputation or data collection")
+                F.format_string(MISSING_TEXT, F.lit(c), s("missing", c), F.try_divide(s("missing", c) * 100.0, s.n)),
+                MISSING_ADVICE)
         for i, c in enumerate(df.columns)]
     duplicates = F.col("duplicate_rows")
     found.append(finding(
         len(found), duplicates > 0, "medium", "duplicates", None, duplicates,
-        F.format_string("%d duplicate rows found", duplicates),
-        "Review and remove duplicate records if not intentional"))
+        F.format_string(DUPLICATE_TEXT, duplicates), DUPLICATE_ADVICE))
     found += [
         finding(len(df.columns) + 1 + i, s("outliers", c) > s.n * 0.05, "medium", "outliers", c,
-                s("outliers", c), F.format_string(f"%d outliers detected in {c}", s("outliers", c)),
-                "Investigate outliers for data entry errors or special cases")
+                s("outliers", c), F.format_string(OUTLIER_TEXT, s("outliers", c), F.lit(c)), OUTLIER_ADVICE)
         for i, c in enumerate(cols)]
-    return one_row_to_long(row, found).filter("flag").drop("flag")
+    return one_row_to_long(row, found, "flag boolean").filter("flag").drop("flag")
 
 
 def quality_recommendations(df: DataFrame) -> DataFrame:
@@ -187,11 +199,10 @@ def quality_recommendations(df: DataFrame) -> DataFrame:
     s = WideStats(df, {"missing": df.columns})
     row = _with_duplicates(s.row, df)
     texts = [
-        F.when(s.total_missing(df.columns) > 0, "Address missing data through imputation or data collection"),
-        F.when(F.col("duplicate_rows") > 0, "Remove or investigate duplicate records"),
-        F.when(F.lit(not numeric_columns(df)),
-               "Consider including numeric columns for more advanced analysis"),
-        F.when(s.n < 100, "Dataset may benefit from more samples for reliable analysis"),
+        F.when(s.total_missing(df.columns) > 0, TABLE_ADVICE["missing"]),
+        F.when(F.col("duplicate_rows") > 0, TABLE_ADVICE["duplicates"]),
+        F.when(F.lit(not numeric_columns(df)), TABLE_ADVICE["numeric"]),
+        F.when(s.n < 100, TABLE_ADVICE["samples"]),
     ]
     return numbered(row, texts)
 
@@ -238,8 +249,8 @@ def quality_report(df: DataFrame, names: Sequence[str] = NON_NEGATIVE_NAMES) ->
     rows += [entry("validity", "negative_values", c, s("negative", c), s("negative", c) > 0) for c in guarded]
     rows += [entry("issues", "missing_data", c, s("missing", c), s("missing", c) > s.n * 0.1) for c in df.columns]
     rows += [entry("issues", "duplicates", None, duplicates, duplicates > 0)]
-    rows += [entry("issues", "outliers", c, s("outliers", c), s("outliers", c) > s.n * 0.05) for c in cols[:5]]
-    return one_row_to_long(row, rows).filter("keep").drop("keep")
+    rows += [entry("issues", "outliers", c, s("outliers", c), s("outliers", c) > s.n * 0.05) for c in cols]
+    return one_row_to_long(row, rows, "keep boolean").filter("keep").drop("keep")
 
 
 def quality_trend(reports: DataFrame, key: Sequence[str], at: str, score: str) -> DataFrame:

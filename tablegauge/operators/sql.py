@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegauge.session import materialize
+from tablegauge.sources.rows import rows_between
+
 MAX_PAGE = 1000
 
 # Words a read-only statement must not contain, and the refusals.
@@ -30,8 +33,9 @@ def audit_queries(log: DataFrame, text: str) -> DataFrame:
     reads = bare.startswith("SELECT") | bare.startswith("WITH")
     statements = F.size(F.filter(F.split(text, ";"), lambda s: F.trim(s, F.lit(" \n\r\t")) != ""))
     reason = F.when(F.col(text).isNull() | ~reads, ONLY_SELECT)
-    for word in FORBIDDEN_WORDS:
-        reason = reason.when(upper.rlike(rf"\b{word}\b"), FORBIDDEN_PREFIX + word)
+    # The first forbidden word of the text, as in refusal().
+    found = F.regexp_extract(upper, r"\b(" + "|".join(FORBIDDEN_WORDS) + r")\b", 1)
+    reason = reason.when(found != "", F.concat(F.lit(FORBIDDEN_PREFIX), found))
     reason = reason.when(statements > 1, ONE_STATEMENT)
     return log.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull())
 
@@ -52,27 +56,50 @@ def refusal(text: str) -> str | None:
 def guarded_sql(spark: SparkSession, text: str, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """The result of one read-only statement.
 
-    ``tables`` are registered under their names as temporary views first;
-    without them the catalog's tables are used.
+    ``tables`` are visible to the statement under their names; without them
+    the catalog's tables are used. The caller's own views stay as they were.
     """
     reason = refusal(text)
     if reason:
         raise ValueError(reason)
     statement = text.strip().rstrip(";")
-    for name, df in (tables or {}).items():
+    return sql_over(spark, statement, tables or {})
+
+
+def sql_over(spark: SparkSession, statement: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The result of a statement over the given frames.
+
+    They are temporary views only while the statement is analysed; views of
+    the same names are put back.
+    """
+    hidden = {}
+    listed = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    for name, df in tables.items():
+        if name in listed:
+            hidden[name] = spark.table(name)
         df.createOrReplaceTempView(name)
-    return spark.sql(statement)
+    try:
+        return spark.sql(statement)
+    finally:
+        for name in tables:
+            if name in hidden:
+                hidden[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
 
 
 def sql_page(spark: SparkSession, text: str, page: int = 1, page_size: int = 100,
-             tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+             tables: Mapping[str, DataFrame] | None = None, order_by: Sequence[str] = ()) -> DataFrame:
     """One page of a statement's result with the total number of rows.
 
-    Both the page and the count stay in the plan; only a page leaves the executors.
+    Later pages need ``order_by``, columns of the result; rows that tie there are
+    ordered by their values, so that pages neither overlap nor leave rows out.
+    The result is stored once, and count and page are taken from it.
     """
     if not 1 <= page_size <= MAX_PAGE or page < 1:
         raise ValueError(f"page must be at least 1 and page_size between 1 and {MAX_PAGE}")
-    result = guarded_sql(spark, text, tables)
-    total: Column = result.agg(F.count(F.lit(1)).alias("total_rows")).scalar()
-    return (result.offset((page - 1) * page_size).limit(page_size)
-            .withColumn("total_rows", total))
+    if page > 1 and not order_by:
+        raise ValueError("pages after the first need order_by")
+    stored = materialize(guarded_sql(spark, text, tables), "sql-result")
+    total: Column = stored.agg(F.count(F.lit(1)).alias("total_rows")).scalar()
+    return rows_between(stored, order_by, (page - 1) * page_size, page_size).withColumn("total_rows", total)

@@ -33,11 +33,14 @@ def frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def continuous_statistics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean, deviation and range of each continuous column."""
+    schema = "column_name string, mean double, std double, min double, max double"
+    if not cols:
+        return one_row_to_long(df, [], schema)
     aggs = [f(F.col(c).cast("double")).alias(f"{p}{i}") for i, c in enumerate(cols)
             for p, f in (("m", F.avg), ("s", F.stddev_samp), ("a", F.min), ("z", F.max))]
     return one_row_to_long(nan_to_null(df).agg(*aggs), [
         F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"),
-                 F.col(f"a{i}").alias("min"), F.col(f"z{i}").alias("max")) for i, c in enumerate(cols)])
+                 F.col(f"a{i}").alias("min"), F.col(f"z{i}").alias("max")) for i, c in enumerate(cols)], schema)
 
 
 def _draw_table(df: DataFrame, column: str) -> tuple[DataFrame, int, int]:

@@ -14,7 +14,7 @@ from tablegauge.operators import dictionary as T
 from tablegauge.operators import profile as P
 from tablegauge.operators import usage as U
 from tablegauge.plans.profiles import SCHEMA_SQL, SCHEMA_TABLES
-from tablegauge.plans.registry import each, load, query, rnd
+from tablegauge.plans.registry import each, load, query, rnd, sql_on
 from tablegauge.session import literal_table
 
 # --- dictionary entries ---------------------------------------------------
@@ -54,14 +54,11 @@ def flat(df):
 
 
 def entries(spark, d):
-    load(spark, d, "part").createOrReplaceTempView("part")
-    return spark.sql(CURRENT["spark"])
+    return sql_on(spark, d, CURRENT["spark"], "part")
 
 
 def incoming(spark, d):
-    load(spark, d, "part").createOrReplaceTempView("part")
-    load(spark, d, "supplier").createOrReplaceTempView("supplier")
-    return spark.sql(INCOMING["spark"])
+    return sql_on(spark, d, INCOMING["spark"], "part", "supplier")
 
 
 def upsert_sql(force: bool) -> str:
@@ -157,9 +154,7 @@ LINKS = ("SELECT 'main' AS source_schema, 'n' || n_nationkey AS source_table, 'r
 
 
 def links(spark, d):
-    load(spark, d, "nation").createOrReplaceTempView("nation")
-    load(spark, d, "customer").createOrReplaceTempView("customer")
-    return spark.sql(LINKS)
+    return sql_on(spark, d, LINKS, "nation", "customer")
 
 
 @query("t7_relationships_for_tables",
@@ -190,8 +185,7 @@ LOG = {
 
 
 def usage_log(spark, d):
-    load(spark, d, "events").createOrReplaceTempView("events")
-    return spark.sql(LOG["spark"])
+    return sql_on(spark, d, LOG["spark"], "events")
 
 
 USED = f"SELECT unnest(tables_used) AS name, event_at FROM ({LOG['duck']}) WHERE event_at >= TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY"
@@ -279,8 +273,7 @@ TRUST = """SELECT c_custkey AS asset_id, CASE WHEN c_nationkey % 2 = 0 THEN c_na
        "(CASE WHEN length(known_issues) > 0 THEN 20 ELSE 0 END) - (CASE WHEN days_since_query IS NULL OR days_since_query > 30 THEN 10 ELSE 0 END) - "
        f"(CASE WHEN null_fraction > 0.2 THEN 10 ELSE 0 END))) AS INTEGER) AS trust_score FROM ({TRUST})")
 def _(spark, d):
-    load(spark, d, "customer").createOrReplaceTempView("customer")
-    return T.trust_score(spark.sql(TRUST)).select("asset_id", "trust_score")
+    return T.trust_score(sql_on(spark, d, TRUST, "customer")).select("asset_id", "trust_score")
 
 
 @query("t13_retention", f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY")
@@ -357,8 +350,7 @@ ASSETS = """SELECT 'main' AS schema_name, {cat} AS table_name, p_name AS busines
        "(table_name ILIKE '%BOLT%' OR business_name ILIKE '%BOLT%' OR business_definition ILIKE '%BOLT%') AND trust_tier = 'verified') "
        "SELECT table_name, business_name, trust_tier, (SELECT count(*) FROM f) AS total FROM f ORDER BY schema_name, table_name LIMIT 25 OFFSET 10")
 def _(spark, d):
-    load(spark, d, "part").createOrReplaceTempView("part")
-    assets = spark.sql(ASSETS.format(cat="concat('p', p_partkey)"))
+    assets = sql_on(spark, d, ASSETS.format(cat="concat('p', p_partkey)"), "part")
     return T.search_assets(assets, term="BOLT", tier="verified", schema="main", limit=25, offset=10).select(
         "table_name", "business_name", "trust_tier", "total")
 
@@ -398,22 +390,27 @@ def _(spark, d):
 
 
 WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
-PREP = f"CASE WHEN length(trim({{t}}, {WS})) >= 50 THEN CASE WHEN length({{t}}) > 3000 THEN substring({{t}}, 1, 3000) || '... [truncated]' ELSE {{t}} END END"
+PREP = (f"SELECT {{keys}}, CAST(p AS INTEGER) AS part, length(s) AS input_length, md5(s) AS digest FROM (SELECT {{keys}}, p, substring(t, p * 3000 + 1, 3000) AS s "
+        f"FROM (SELECT {{keys}}, t, unnest(CASE WHEN length(trim(t, {WS})) >= 50 THEN range((length(t) + 2999) // 3000) ELSE [NULL] END) AS p FROM {{source}}))")
 
 
-@query("x3_summary_inputs", f"SELECT doc_id, length({PREP.format(t='text')}) AS input_length, md5({PREP.format(t='text')}) AS digest FROM documents")
+def summary_columns(df):
+    return F.length("summary_input").cast("bigint").alias("input_length"), F.md5("summary_input").alias("digest")
+
+
+@query("x3_summary_inputs", PREP.format(keys="doc_id", source="(SELECT doc_id, text AS t FROM documents)"))
 def _(spark, d):
-    return X.prepare_summary_inputs(load(spark, d, "documents")).select(
-        "doc_id", F.length("summary_input").cast("bigint").alias("input_length"), F.md5("summary_input").alias("digest"))
+    parts = X.prepare_summary_inputs(load(spark, d, "documents"))
+    return parts.select("doc_id", "part", *summary_columns(parts))
 
 
 @query("x3_combined_inputs",
-       "WITH r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rk FROM documents), "
-       "c AS (SELECT source, lang, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS t FROM r WHERE rk <= 5 GROUP BY 1, 2) "
-       f"SELECT source, lang, length({PREP.format(t='t')}) AS input_length, md5({PREP.format(t='t')}) AS digest FROM c")
+       "WITH r AS (SELECT *, (row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1) // 5 AS bundle FROM documents), "
+       "c AS (SELECT source, lang, bundle, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS t FROM r GROUP BY 1, 2, 3) "
+       + PREP.format(keys="source, lang, bundle", source="c"))
 def _(spark, d):
-    return X.combine_documents(load(spark, d, "documents"), ["source", "lang"], "doc_id").select(
-        "source", "lang", F.length("summary_input").cast("bigint").alias("input_length"), F.md5("summary_input").alias("digest"))
+    parts = X.combine_documents(load(spark, d, "documents"), ["source", "lang"], "doc_id")
+    return parts.select("source", "lang", "bundle", "part", *summary_columns(parts))
 
 
 @query("x4_apply_layers", rnd(
@@ -447,7 +444,7 @@ def lineage_edges(spark, d):
        "UNION ALL SELECT DISTINCT 'nation:' || c_nationkey, 3 FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))")
 def _(spark, d):
     start = load(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("node"))
-    return X.lineage(lineage_edges(spark, d), start)
+    return X.lineage(lineage_edges(spark, d), start, "downstream")
 
 
 @query("x5_lineage_upstream",
@@ -458,6 +455,17 @@ def _(spark, d):
     return X.lineage(lineage_edges(spark, d), start, "upstream", depth=2)
 
 
+@query("x5_lineage_both",
+       "WITH RECURSIVE c(node, top, steps) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT node, top // 3, steps + 1 FROM c WHERE top > 2) "
+       "SELECT 'r' || node AS node, CAST(steps + CASE top WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS INTEGER) AS depth FROM c WHERE top <= 2 AND (top > 0 OR node = 0) "
+       "UNION SELECT 'r0', 1")
+def _(spark, d):
+    # A tree in which node k hangs on node k // 3, seen from node 1: its parent 0 and through it node 2 and its branch.
+    parts = load(spark, d, "part").filter("p_partkey > 0").select("p_partkey")
+    edges = parts.select(F.concat(F.lit("r"), "p_partkey").alias("source"), F.concat(F.lit("r"), F.floor(F.col("p_partkey") / 3)).alias("target"))
+    return X.lineage(edges, parts.filter("p_partkey = 1").select(F.lit("r1").alias("node")))
+
+
 @query("x6_latest_values", rnd(
     f"WITH s AS (SELECT user_id AS context_id, event_type AS key, value, ts AS created_at, CASE WHEN event_type <> 'view' THEN ts + INTERVAL 5 DAY END AS expires_at FROM events), "
     f"l AS (SELECT * FROM s WHERE created_at <= TIMESTAMP '{AS_OF}' AND (expires_at IS NULL OR expires_at > TIMESTAMP '{AS_OF}')) "
@@ -483,13 +491,12 @@ ANSWER = {
 
 
 @query("x8_extract_json",
-       f"WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, {WS})), lambda s: length(s) > 20)[1:10] AS k FROM conversations) "
+       f"WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, {WS})), lambda s: length(s) > 20) AS k FROM conversations) "
        "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '{\"a\":' || conv_id || '}' WHEN 1 THEN '[' || turn || ',' || conv_id || ']' "
        "WHEN 2 THEN '{\"b\":{\"c\":' || turn || '}}' END AS json, CASE WHEN turn % 4 = 3 THEN CAST(len(k) AS INTEGER) END AS insight_count, "
        "CASE WHEN turn % 4 = 3 THEN md5(array_to_string(k, '|')) END AS insights FROM l")
 def _(spark, d):
-    load(spark, d, "conversations").createOrReplaceTempView("conversations")
-    parsed = X.extract_json(spark.sql(ANSWER["spark"]), "answer")
+    parsed = X.extract_json(sql_on(spark, d, ANSWER["spark"], "conversations"), "answer")
     return parsed.select("conv_id", "turn", "json",
                          F.when(F.col("key_insights").isNotNull(), F.size("key_insights")).alias("insight_count"),
                          F.md5(F.array_join("key_insights", "|")).alias("insights"))
@@ -502,13 +509,11 @@ FINDINGS = """SELECT source AS analysis_id, doc_id AS position, CASE CAST(n_char
 @query("x9_summarize_findings",
        f"WITH f AS ({FINDINGS.format(cat=chr(39) + 'review ' + chr(39) + ' || lang || (n_chars % 11)')}), "
        "t AS (SELECT analysis_id, recommendation, min(position) AS p FROM f WHERE recommendation IS NOT NULL GROUP BY 1, 2), "
-       "r AS (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY p) AS k FROM t) "
-       "SELECT analysis_id, " + each("count(*) FILTER (WHERE kind = '{c}') AS {c}_count", ["issue", "anomaly", "relationship"], ", ")
-       + ", (SELECT string_agg(recommendation, '|' ORDER BY k) FROM r WHERE k <= 15 AND r.analysis_id = f.analysis_id) AS recommendations FROM f GROUP BY analysis_id")
+       "c AS (SELECT analysis_id, " + each("count(*) FILTER (WHERE kind = '{c}') AS {c}_count", ["issue", "anomaly", "relationship"], ", ")
+       + " FROM f GROUP BY analysis_id) SELECT c.*, recommendation, p AS first_position FROM c LEFT JOIN t USING (analysis_id)")
 def _(spark, d):
-    load(spark, d, "documents").createOrReplaceTempView("documents")
-    findings = spark.sql(FINDINGS.format(cat="concat('review ', lang, n_chars % 11)"))
-    return X.summarize_findings(findings).withColumn("recommendations", F.array_join("recommendations", "|"))
+    findings = sql_on(spark, d, FINDINGS.format(cat="concat('review ', lang, n_chars % 11)"), "documents")
+    return X.summarize_findings(findings)
 
 
 # --- conversations ------------------------------------------------------------

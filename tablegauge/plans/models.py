@@ -9,7 +9,7 @@ from tablegauge.operators import drift as R
 from tablegauge.operators import evaluate as E
 from tablegauge.operators import features as FT
 from tablegauge.operators import predict as M
-from tablegauge.plans.registry import each, load, query, rnd
+from tablegauge.plans.registry import each, load, query, rnd, sql_on
 from tablegauge.session import literal_table
 
 # Predictions made from order lines: the price per unit of the part predicts the line's price.
@@ -42,10 +42,8 @@ PACKS_SQL = (f"SELECT pack, family, metric, direction, promote::DOUBLE AS promot
 
 
 def runs(spark, d):
-    load(spark, d, "lineitem").createOrReplaceTempView("lineitem")
-    load(spark, d, "part").createOrReplaceTempView("part")
     pairs = ", ".join(f"'{n}', {e}" for n, e in RUN_METRICS.items())
-    return spark.sql(RUNS.format(cols=f"map({pairs}) AS metrics")).withColumn("family", F.lit("forecasting"))
+    return sql_on(spark, d, RUNS.format(cols=f"map({pairs}) AS metrics"), "lineitem", "part").withColumn("family", F.lit("forecasting"))
 
 
 def status_sql(warn: str = "nullif(warn, 0)", fail: str = "nullif(fail, 0)") -> str:
@@ -93,8 +91,7 @@ VERSIONS = ("SELECT o_custkey AS pack_id, row_number() OVER (PARTITION BY o_cust
 
 
 def versions(spark, d):
-    load(spark, d, "orders").createOrReplaceTempView("orders")
-    return spark.sql(VERSIONS)
+    return sql_on(spark, d, VERSIONS, "orders")
 
 
 @query("e4_latest_pack_versions",
@@ -548,7 +545,7 @@ def _(spark, d):
 
 @query("r7_inheritance_chain",
        "WITH RECURSIVE c(node, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey * 2 >= (SELECT count(*) FROM part) UNION "
-       "SELECT node // 3, depth + 1 FROM c WHERE node > 0 AND depth < 20) SELECT 'r' || node AS node, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY node")
+       "SELECT node // 3, depth + 1 FROM c WHERE node > 0) SELECT 'r' || node AS node, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY node")
 def _(spark, d):
     # Recipe k inherits from recipe k // 3; the chain starts at the later half of the parts.
     parts = load(spark, d, "part").select("p_partkey")
@@ -556,4 +553,4 @@ def _(spark, d):
         F.concat(F.lit("r"), "p_partkey").alias("source"), F.concat(F.lit("r"), F.floor(F.col("p_partkey") / 3)).alias("target"))
     half = parts.agg(F.count(F.lit(1))).scalar()
     start = parts.filter(F.col("p_partkey") * 2 >= half).select(F.concat(F.lit("r"), "p_partkey").alias("node"))
-    return X.lineage(edges, start, depth=20)
+    return X.lineage(edges, start, "downstream")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablegauge.operators.sql import sql_over
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -52,5 +54,10 @@ def each(template: str, values: Iterable, glue: str = " UNION ALL ") -> str:
     return glue.join(template.format(c=v, i=i) for i, v in enumerate(values))
 
 
+def sql_on(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
+    """A SQL text over supplied tables, without leaving views behind."""
+    return sql_over(spark, text, {t: load(spark, sf_dir, t) for t in tables})
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -28,7 +28,8 @@ PAGE_TEXT = ("SELECT l_returnflag, l_linestatus, l_shipdate, count(*) AS n, sum(
     f"SELECT l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate, n, qty, "
     f"(SELECT count(*) FROM ({PAGE_TEXT})) AS total_rows FROM ({PAGE_TEXT} LIMIT 100 OFFSET 200)", "qty"))
 def _(spark, d):
-    page = S.sql_page(spark, PAGE_TEXT, page=3, page_size=100, tables={"lineitem": load(spark, d, "lineitem")})
+    page = S.sql_page(spark, PAGE_TEXT, page=3, page_size=100, tables={"lineitem": load(spark, d, "lineitem")},
+                      order_by=["l_shipdate", "l_returnflag", "l_linestatus"])
     return page.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
 
 
@@ -104,11 +105,13 @@ def _(spark, d):
        "SELECT s.event_id AS signup_id, count(*) AS orders_within FROM s JOIN events e "
        "ON e.user_id = s.user_id AND e.ts >= s.ts AND e.ts < s.ts + INTERVAL 1 DAY GROUP BY s.event_id")
 def _(spark, d):
-    # A range condition next to an equality: an ordinary equi-join with a filter.
-    events = load(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    # Joined on the user and the day, so that a busy user's events only meet the signups of that day and the one before.
+    day = F.expr("INTERVAL 1 DAY")
+    events = load(spark, d, "events").select("user_id", "event_id", "event_type", "ts", F.date_trunc("day", "ts").alias("day"))
     signups = events.filter("event_type = 'signup'").select(
-        "user_id", F.col("event_id").alias("signup_id"), F.col("ts").alias("start"))
-    return (events.join(signups, "user_id")
+        "user_id", F.col("event_id").alias("signup_id"), F.col("ts").alias("start"),
+        F.explode(F.array(F.col("day"), F.col("day") + day)).alias("day"))
+    return (events.join(signups, ["user_id", "day"])
             .filter((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("start") + F.expr("INTERVAL 1 DAY")))
             .groupBy("signup_id").agg(F.count(F.lit(1)).alias("orders_within")))
 
@@ -222,15 +225,17 @@ def _(spark, d):
     return rows.page_rows(load(spark, d, "orders"), ["o_orderdate", "o_orderkey"], 3, 200).select("o_orderkey", "o_totalprice")
 
 
-@query("s7_sample_rows", "SELECT event_id, user_id FROM events ORDER BY ts, event_id LIMIT 30 OFFSET 90")
+@query("s7_sample_rows", "SELECT event_id, user_id FROM events ORDER BY ts, event_id LIMIT 30 OFFSET 100")
 def _(spark, d):
-    # Offset 100 with limit 30 lies on page 4, which starts at row 90.
     return rows.sample_rows(load(spark, d, "events"), ["ts", "event_id"], 30, 100).select("event_id", "user_id")
 
 
-@query("s8_sample_for_profile")
+@query("s8_sample_for_profile", "SELECT l_returnflag, count(*) AS n, true AS share_near_half FROM lineitem GROUP BY 1")
 def _(spark, d):
-    sample = rows.sample_for_profile(load(spark, d, "lineitem"), seed=7)
-    return P.profile_table(sample, approx=True)
+    # Six standard deviations of a Bernoulli sample's size around one half.
+    li = load(spark, d, "lineitem")
+    taken = rows.sample_for_profile(li, 0.5, seed=7).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("k"))
+    return li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")).join(taken, "l_returnflag", "left").select(
+        "l_returnflag", "n", (F.abs(F.col("k") - F.col("n") / 2) <= 3 * F.sqrt("n")).alias("share_near_half"))
 
 

@@ -53,37 +53,36 @@ def duplicates_sql(source: str) -> str:
     return f"(SELECT (SELECT count(*) FROM {source}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {source})))"
 
 
-def numbered_sql(texts: list[tuple[str, str]], source: str, limit: int | None = None,
-                 name: str = "recommendation") -> str:
+def numbered_sql(texts: list[tuple[str, str]], source: str, name: str = "recommendation") -> str:
     """(condition, text) pairs over one row, kept ones numbered from 1."""
     rows = " UNION ALL ".join(
         f"SELECT {i} AS o, {text} AS t, {cond} AS k FROM s" for i, (cond, text) in enumerate(texts))
     return (f"WITH s AS ({source}), r AS ({rows}) SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS position, "
-            f"t AS {name} FROM r WHERE k" + (f" QUALIFY row_number() OVER (ORDER BY o) <= {limit}" if limit else ""))
+            f"t AS {name} FROM r WHERE k")
 
 
 # --- insights -------------------------------------------------------------
 
 @query("i1_dataset_summary",
-       "SELECT count(*) AS row_count, CAST(11 AS BIGINT) AS column_count, '" + ", ".join(LINE_NUM[:5])
+       "SELECT count(*) AS row_count, CAST(11 AS BIGINT) AS column_count, '" + ", ".join(LINE_NUM)
        + "' AS numeric_names, 'Dataset contains ' || count(*) || ' rows and 11 columns. "
-         "Key numeric metrics available: " + ", ".join(LINE_NUM[:5]) + "' AS summary FROM lineitem")
+         "Key numeric metrics available: " + ", ".join(LINE_NUM) + "' AS summary FROM lineitem")
 def _(spark, d):
     return I.dataset_summary(load(spark, d, "lineitem"))
 
 
 @query("i2_trends", rnd(each(
     f"SELECT '{{c}}' AS column_name, CASE WHEN {LAST} > {FIRST} THEN 'increasing' ELSE 'decreasing' END AS direction, "
-    f"({LAST} - {FIRST}) / (SELECT count(*) FROM events) AS average_change", EVENT_NUM), "average_change"))
+    f"({LAST} - {FIRST}) / (SELECT count(*) FROM events) AS average_change, '{{c}} shows ' || CASE WHEN {LAST} > {FIRST} THEN 'increasing' ELSE 'decreasing' END || ' trend' AS description", EVENT_NUM), "average_change"))
 def _(spark, d):
     return I.trends(load(spark, d, "events"), ORDER)
 
 
 @query("i3_iqr_outliers", rnd(
     "SELECT * FROM (" + outliers_sql(
-        LINE_NUM[:5], "lineitem",
+        LINE_NUM, "lineitem",
         "'{c}' AS column_name, any_value(lo) AS lower_bound, any_value(hi) AS upper_bound, " + OUT
-        + " AS outlier_count, " + OUT + " * 100.0 / count(*) AS percentage") + ") WHERE outlier_count > 0",
+        + " AS outlier_count, " + OUT + " * 100.0 / count(*) AS percentage, " + OUT + " || ' outliers detected in {c}' AS description") + ") WHERE outlier_count > 0",
     "lower_bound", "upper_bound", "percentage"))
 def _(spark, d):
     return I.iqr_outliers(load(spark, d, "lineitem"))
@@ -93,7 +92,7 @@ def _(spark, d):
     f"WITH v AS ({SALES_SQL}) SELECT * FROM (" + outliers_sql(
         ["sales", "quantity", "price"], "v",
         "'{c}' AS column_name, any_value(lo) AS lower_bound, any_value(hi) AS upper_bound, " + OUT
-        + " AS outlier_count, " + OUT + " * 100.0 / count(*) AS percentage") + ") WHERE outlier_count > 0",
+        + " AS outlier_count, " + OUT + " * 100.0 / count(*) AS percentage, " + OUT + " || ' outliers detected in {c}' AS description") + ") WHERE outlier_count > 0",
     "lower_bound", "upper_bound", "percentage"))
 def _(spark, d):
     return I.iqr_outliers(materialize(sales(spark, d), "sales"))
@@ -113,15 +112,15 @@ def _(spark, d):
 @query("i4_correlations", rnd(
     f"SELECT column1, column2, correlation, CASE WHEN abs(correlation) > 0.7 THEN 'strong' ELSE 'moderate' END AS strength "
     f"FROM ({corr_sql(LINE_NUM, 'lineitem')}) WHERE abs(correlation) > 0.5 "
-    f"ORDER BY abs(correlation) DESC, pair_position LIMIT 10", "correlation"))
+    f"ORDER BY abs(correlation) DESC, pair_position", "correlation"))
 def _(spark, d):
     return I.correlations(load(spark, d, "lineitem"))
 
 
-def sparse_names_sql(cols, share, limit=None) -> str:
+def sparse_names_sql(cols, share) -> str:
     listed = ", ".join(f"CASE WHEN count(*) - count({c}) > count(*) * {share} THEN '{c}' END" for c in cols)
     kept = f"list_filter([{listed}], lambda x: x IS NOT NULL)"
-    return f"{kept}[1:{limit}]" if limit else kept
+    return kept
 
 
 @query("i5_recommendations", numbered_sql(
@@ -129,8 +128,8 @@ def sparse_names_sql(cols, share, limit=None) -> str:
                          "' have significant missing values'")]
     + [(f"d{i} = 1", f"'{c} has no variation - may not be useful for analysis'") for i, c in enumerate(LABEL_ALL)]
     + [("true", f"'{t}'") for t in I.GENERAL_ADVICE],
-    f"SELECT {sparse_names_sql(LABEL_ALL, 0.1, 3)} AS sparse, "
-    + each("count(DISTINCT {c}) AS d{i}", LABEL_ALL, ", ") + f" FROM ({LABELLED_SQL})", 5))
+    f"SELECT {sparse_names_sql(LABEL_ALL, 0.1)} AS sparse, "
+    + each("count(DISTINCT {c}) AS d{i}", LABEL_ALL, ", ") + f" FROM ({LABELLED_SQL})"))
 def _(spark, d):
     return I.recommendations(labelled(spark, d))
 
@@ -171,7 +170,7 @@ def _(spark, d):
         for c in ("sales", "quantity", "price")).join([f"WITH sales_v AS ({SALES_SQL}) SELECT * FROM (", ")"]),
     "percentage"))
 def _(spark, d):
-    return I.histogram(sales(spark, d))
+    return I.histogram(materialize(sales(spark, d), "sales"))
 
 
 @query("i10_growth_metrics", rnd(
@@ -189,7 +188,7 @@ def _(spark, d):
 @query("i11_risk_indicators", rnd(
     "SELECT metric, volatility, outlier_percentage, CASE WHEN volatility > 50 OR outlier_percentage > 10 THEN 'high' "
     "WHEN volatility > 25 OR outlier_percentage > 5 THEN 'medium' ELSE 'low' END AS risk_level FROM ("
-    + outliers_sql(LINE_NUM[:5], "lineitem",
+    + outliers_sql(LINE_NUM, "lineitem",
                    "'{c}' AS metric, CASE WHEN avg({c}) <> 0 THEN stddev_samp({c}::DOUBLE) / avg({c}::DOUBLE) * 100 ELSE 0 END AS volatility, "
                    + OUT + " * 100.0 / count(*) AS outlier_percentage") + ")",
     "volatility", "outlier_percentage"))
@@ -321,7 +320,7 @@ def _(spark, d):
                       "'Investigate outliers for data entry errors or special cases', " + OUT + " > count(*) * 0.05")
        + ") SELECT CAST(position AS INTEGER) AS position, severity, type, column_name, count, description, recommendation FROM m WHERE f")
 def _(spark, d):
-    return D.issues(labelled(spark, d))
+    return D.issues(materialize(labelled(spark, d), "labelled"))
 
 
 @query("d9_quality_recommendations", numbered_sql(
@@ -352,7 +351,7 @@ def _(spark, d):
       "UNION ALL SELECT 'issues', 'duplicates', NULL, k FROM d WHERE k > 0 "
       "UNION ALL SELECT 'issues', 'outliers', c, k FROM o WHERE k > n * 0.05", "value"))
 def _(spark, d):
-    return D.quality_report(labelled(spark, d))
+    return D.quality_report(materialize(labelled(spark, d), "labelled"))
 
 
 TREND_SQL = ("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, count(*) AS row_count, "
@@ -400,7 +399,8 @@ GAP_TABLES = ["region", "nation", "customer", "orders", "lineitem", "events", "d
          "CASE WHEN NOT bool_or(lower(column_name) LIKE '%id%' OR lower(column_name) LIKE '%key%') THEN 'identifier' END, "
          "CASE WHEN count(*) FILTER (WHERE num) < 2 THEN 'numeric_features' END, "
          "CASE WHEN count(*) FILTER (WHERE NOT num) = 0 THEN 'categorical_features' END], lambda x: x IS NOT NULL) AS g FROM c GROUP BY 1) "
-         "SELECT table_name, array_to_string(g, ', ') AS identified_gaps, CAST(len(g) AS INTEGER) AS gap_count, "
+         "SELECT table_name, array_to_string(g, ', ') AS identified_gaps, array_to_string(list_transform(g, lambda x: CASE x "
+       + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in G.SUGGESTIONS.items()) + " END), '; ') AS suggestions, CAST(len(g) AS INTEGER) AS gap_count, "
          "CASE WHEN len(g) >= 2 THEN 'high' ELSE 'medium' END AS severity FROM f")
 def _(spark, d):
     return G.feature_gaps(G.schema_rows({t: load(spark, d, t) for t in GAP_TABLES}))
@@ -410,9 +410,9 @@ def _(spark, d):
        f"WITH v AS ({LABELLED_SQL}), s AS (SELECT array_to_string({sparse_names_sql(LABEL_ALL, 0.2)}, ', ') AS sparse, "
        "array_to_string(list_filter([" + each("CASE WHEN count(DISTINCT {c}) < 3 AND count(*) > 10 THEN '{c}' END", LABEL_ALL, ", ")
        + "], lambda x: x IS NOT NULL), ', ') AS flat, count(*) AS n FROM v), "
-         "g AS (SELECT 'high_missing_data' AS type, sparse AS columns, 'May affect analysis reliability' AS impact FROM s WHERE sparse <> '' "
-         "UNION ALL SELECT 'low_diversity', flat, 'Limited variation may reduce analytical value' FROM s WHERE flat <> '' "
-         "UNION ALL SELECT 'small_sample_size', '', 'Small sample size may limit statistical significance' FROM s WHERE n < 50) "
+         "g AS (SELECT 'high_missing_data' AS type, sparse AS columns, 'May affect analysis reliability' AS impact, CAST(NULL AS BIGINT) AS sample_count FROM s WHERE sparse <> '' "
+         "UNION ALL SELECT 'low_diversity', flat, 'Limited variation may reduce analytical value', NULL FROM s WHERE flat <> '' "
+         "UNION ALL SELECT 'small_sample_size', '', 'Small sample size may limit statistical significance', n FROM s WHERE n < 50) "
          "SELECT CASE WHEN (SELECT count(*) FROM g) >= 2 THEN 'high' WHEN (SELECT count(*) FROM g) = 1 THEN 'medium' ELSE 'low' END AS severity, "
          "g.* FROM (SELECT 1) one LEFT JOIN g ON true")
 def _(spark, d):
@@ -466,20 +466,35 @@ def _(spark, d):
     return A.classify_intent(load(spark, d, "conversations"), "text").select("conv_id", "turn", "intent")
 
 
-@query("a2_match_columns",
-       "SELECT conv_id, turn, CASE " + " ".join(
-           f"WHEN contains(lower(text), '{c}') THEN '{c}'" for c in ("date", "sales", "price", "region", "value", "source", "lang"))
-       + " END AS matched_column FROM conversations")
+# The columns of the label table, by names that the questions use.
+MATCHED = {"thing": "doc_id", "quality": "quality", "and": "toxic"}
+MATCH_SQL = "CASE " + " ".join(f"WHEN contains(lower(text), '{c}') THEN '{c}'" for c in MATCHED) + " END"
+
+
+def named_labels(spark, d):
+    return load(spark, d, "labels").select(*[F.col(c).alias(n) for n, c in MATCHED.items()])
+
+
+@query("a2_match_columns", f"SELECT conv_id, turn, {MATCH_SQL} AS matched_column FROM conversations")
 def _(spark, d):
-    names = ["date", "sales", "price", "region", "value", "source", "lang"]
-    return A.match_columns(load(spark, d, "conversations"), "text", names).select(
+    return A.match_columns(load(spark, d, "conversations"), "text", named_labels(spark, d).columns).select(
         "conv_id", "turn", "matched_column")
 
 
+@query("a2_answer_statistics", rnd(
+    f"WITH m AS (SELECT conv_id, turn, {MATCH_SQL} AS matched_column FROM conversations), s AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS matched_column, avg({c}::DOUBLE) AS mean, quantile_cont({c}::DOUBLE, 0.5) AS median, "
+                         f"stddev_samp({c}::DOUBLE) AS std FROM labels" for n, c in MATCHED.items())
+    + ") SELECT conv_id, turn, matched_column, mean, median, std FROM m LEFT JOIN s USING (matched_column)", "mean", "median", "std"))
+def _(spark, d):
+    return A.answer_statistics(load(spark, d, "conversations"), "text", named_labels(spark, d)).select(
+        "conv_id", "turn", "matched_column", "mean", "median", "std")
+
+
 @query("a3_overview", rnd(each(
     "SELECT count(*) AS row_count, CAST(11 AS INTEGER) AS column_count, CAST(8 AS INTEGER) AS numeric_count, CAST(3 AS INTEGER) AS categorical_count, "
     f"(1 - ({missing_sql(LINE_ALL)}) / (count(*) * 11.0)) * 100 AS completeness, "
-    "'{c}' AS column_name, avg({c}::DOUBLE) AS mean, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM lineitem", LINE_NUM[:3]),
+    "'{c}' AS column_name, avg({c}::DOUBLE) AS mean, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM lineitem", LINE_NUM),
     "completeness", "mean", "min", "max"))
 def _(spark, d):
     return A.overview(load(spark, d, "lineitem"))
@@ -507,9 +522,11 @@ def _(spark, d):
 
 
 @query("a6_skew_comparison", rnd(
-    f"WITH v AS ({SALES_SQL}), s AS (" + each("SELECT '{c}' AS column_name, avg({c}) AS mean, quantile_cont({c}, 0.5) AS median FROM v", ["sales", "quantity"])
+    f"WITH v AS ({SALES_SQL}), s AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, avg({c}) AS mean, quantile_cont({c}, 0.5) AS median, '{o}' AS other_column, avg({c}) / avg({o}) AS mean_ratio FROM v"
+        for c, o in (("sales", "quantity"), ("quantity", "price"), ("price", "sales")))
     + ") SELECT *, CASE WHEN (mean - median) / median * 100 > 10 THEN 'right-skewed' WHEN (mean - median) / median * 100 < -10 THEN 'left-skewed' "
-      "ELSE 'balanced' END AS skew, (SELECT avg(sales) / avg(quantity) FROM v) AS mean_ratio FROM s", "mean", "median", "mean_ratio"))
+      "ELSE 'balanced' END AS skew FROM s", "mean", "median", "mean_ratio"))
 def _(spark, d):
     return A.skew_comparison(materialize(sales(spark, d), "sales"))
 
@@ -526,7 +543,7 @@ def _(spark, d):
       "(SELECT * FROM c ORDER BY cv DESC, i LIMIT 1) hi, (SELECT * FROM c ORDER BY cv, i LIMIT 1) lo",
     "missing_percent", "correlation", "most_volatile_cv", "most_stable_cv"))
 def _(spark, d):
-    return A.quick_insights(sales(spark, d))
+    return A.quick_insights(materialize(sales(spark, d), "sales"))
 
 
 @query("a8_advice", numbered_sql(
@@ -535,11 +552,11 @@ def _(spark, d):
      ("len(noisy) > 0", "'Investigate outliers in ' || array_to_string(noisy, ', ')"),
      ("true", "'Consider building predictive models or generating detailed insights'"),
      ("true", "'Create charts to visualize trends and patterns'")],
-    f"SELECT {sparse_names_sql(EVENT_ALL, 0.1, 2)} AS sparse, list_filter(["
+    f"SELECT {sparse_names_sql(EVENT_ALL, 0.1)} AS sparse, list_filter(["
     + each(f"CASE WHEN {LAST} < {FIRST} THEN '{{c}}' END", EVENT_NUM, ", ") + "], lambda x: x IS NOT NULL) AS falling, "
     "list_filter([" + ", ".join(
         f"(SELECT CASE WHEN {OUT.format(c=c)} > count(*) * 0.05 THEN '{c}' END FROM events t, ({fences(c, 'events')}) b)" for c in EVENT_NUM)
-    + "], lambda x: x IS NOT NULL)[1:2] AS noisy FROM events"))
+    + "], lambda x: x IS NOT NULL) AS noisy FROM events"))
 def _(spark, d):
     return A.advice(load(spark, d, "events"), ORDER)
 
@@ -556,7 +573,7 @@ def _(spark, d):
 
 @query("a10_linear_projection", rnd(
     f"WITH e AS ({NUMBERED_EVENTS}), s AS (" + each(
-        f"SELECT '{{c}}' AS column_name, regr_slope({{c}}::DOUBLE, row_index::DOUBLE) AS slope, {LAST} AS l FROM e", EVENT_NUM[:2])
+        f"SELECT '{{c}}' AS column_name, regr_slope({{c}}::DOUBLE, row_index::DOUBLE) AS slope, {LAST} AS l FROM e", EVENT_NUM)
     + ") SELECT column_name, slope, l + slope AS next_value, CASE WHEN l <> 0 THEN slope / l * 100 ELSE 0 END AS change_percent, "
       "CASE WHEN slope > 0 THEN 'increase' ELSE 'decrease' END AS direction FROM s", "slope", "next_value", "change_percent"))
 def _(spark, d):
@@ -566,7 +583,7 @@ def _(spark, d):
 @query("a11_correlation_list", rnd(
     "SELECT column1, column2, correlation, CASE WHEN abs(correlation) > 0.8 THEN 'very strong' WHEN abs(correlation) > 0.7 THEN 'strong' ELSE 'moderate' END AS strength, "
     f"CASE WHEN correlation > 0 THEN 'positive' ELSE 'negative' END AS direction FROM ({corr_sql(LINE_NUM, 'lineitem')}) WHERE abs(correlation) > 0.5 "
-    "ORDER BY pair_position LIMIT 5", "correlation"))
+    "ORDER BY pair_position", "correlation"))
 def _(spark, d):
     return A.correlation_list(load(spark, d, "lineitem"))
 
@@ -588,7 +605,7 @@ def prices(spark, d):
 @query("i3_iqr_outliers_events", rnd(
     "SELECT * FROM (" + outliers_sql(
         EVENT_NUM, "events", "'{c}' AS column_name, any_value(lo) AS lower_bound, any_value(hi) AS upper_bound, " + OUT
-        + " AS outlier_count, " + OUT + " * 100.0 / count(*) AS percentage") + ") WHERE outlier_count > 0",
+        + " AS outlier_count, " + OUT + " * 100.0 / count(*) AS percentage, " + OUT + " || ' outliers detected in {c}' AS description") + ") WHERE outlier_count > 0",
     "lower_bound", "upper_bound", "percentage"))
 def _(spark, d):
     return I.iqr_outliers(load(spark, d, "events"))
@@ -596,7 +613,7 @@ def _(spark, d):
 
 @query("i4_correlations_prices", rnd(
     f"WITH v AS ({PRICES_SQL}) SELECT column1, column2, correlation, CASE WHEN abs(correlation) > 0.7 THEN 'strong' ELSE 'moderate' END AS strength "
-    f"FROM ({corr_sql(PRICE_COLUMNS, 'v')}) WHERE abs(correlation) > 0.5 ORDER BY abs(correlation) DESC, pair_position LIMIT 10", "correlation"))
+    f"FROM ({corr_sql(PRICE_COLUMNS, 'v')}) WHERE abs(correlation) > 0.5 ORDER BY abs(correlation) DESC, pair_position", "correlation"))
 def _(spark, d):
     return I.correlations(prices(spark, d))
 
@@ -631,6 +648,6 @@ def _(spark, d):
 @query("a11_correlation_list_prices", rnd(
     f"WITH v AS ({PRICES_SQL}) SELECT column1, column2, correlation, CASE WHEN abs(correlation) > 0.8 THEN 'very strong' WHEN abs(correlation) > 0.7 THEN 'strong' ELSE 'moderate' END AS strength, "
     f"CASE WHEN correlation > 0 THEN 'positive' ELSE 'negative' END AS direction FROM ({corr_sql(PRICE_COLUMNS, 'v')}) WHERE abs(correlation) > 0.5 "
-    "ORDER BY pair_position LIMIT 5", "correlation"))
+    "ORDER BY pair_position", "correlation"))
 def _(spark, d):
     return A.correlation_list(prices(spark, d))

@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Column names that hold dates although JSON has no date type,
-# the text file types, and the number of characters kept of a document.
+# and the text file types.
 DATE_SUFFIXES = ("_at", "_time")
 DATE_PREFIXES = ("timestamp",)
 DATE_NAMES = ("modified", "date")
 TEXT_TYPES = ("txt", "md", "csv", "json", "yaml", "yml")
-KEPT_CHARACTERS = 10_000
 
 FILE_FORMATS = ("csv", "json", "parquet", "orc")
 
@@ -74,7 +73,7 @@ def load_dataset(spark: SparkSession, name: str, root: str) -> DataFrame:
 
 
 def document_columns(content: Column, name: Column) -> list[Column]:
-    """Size, digest, text and kept text of file contents.
+    """Size, digest, extension and whole text of file contents.
 
     Text files decode as UTF-8, or else as Latin-1; other types have no text.
     """
@@ -83,8 +82,7 @@ def document_columns(content: Column, name: Column) -> list[Column]:
     text = F.when(extension.isin(*TEXT_TYPES), F.coalesce(utf8, F.decode(content, "ISO-8859-1")))
     return [
         F.octet_length(content).cast("bigint").alias("size_bytes"),
-        F.sha2(content, 256).alias("sha256"), extension.alias("extension"), text.alias("text"),
-        F.substring(text, 1, KEPT_CHARACTERS).alias("extracted_text")]
+        F.sha2(content, 256).alias("sha256"), extension.alias("extension"), text.alias("text")]
 
 
 def read_documents(spark: SparkSession, path, pattern: str | None = None) -> DataFrame:

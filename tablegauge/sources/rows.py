@@ -4,53 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablegauge.functions.columns import with_row_index
 
 MAX_PAGE = 500
-DEEP_PAGE = 100_000
-SAMPLE_ROWS = 10_000
-SAMPLE_SHARE = 0.1
-WHOLE_TABLE_ROWS = 100_000
-SKIP_ROWS = 10_000_000
+TOP_ROWS = 100_000
 
 
-def page_rows(df: DataFrame, order_by: Sequence[str], page: int = 1, page_size: int = 50,
-              deep: int = DEEP_PAGE) -> DataFrame:
-    """One page of the table in the given order, at most 500 rows.
+def total_order(df: DataFrame, order_by: Sequence[str]) -> list[str | Column]:
+    """The given order, completed by a hash of the whole row, so that only identical rows tie."""
+    values = [F.to_json(F.struct(f.name)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f.name) for f in df.schema]
+    return [*order_by, F.xxhash64(*values)]
 
-    Early pages are a top-k. That keeps all rows up to the page in one place,
-    so beyond ``deep`` rows the page is cut from the distributed row index.
+
+def rows_between(df: DataFrame, order_by: Sequence[str], start: int, size: int) -> DataFrame:
+    """``size`` rows from position ``start`` of the table in the given order.
+
+    Early rows are a top-k. That keeps all rows up to them in one place, so
+    later ones are cut from the distributed row index; both follow one order.
     """
+    order = total_order(df, order_by)
+    if start + size <= TOP_ROWS:
+        return df.orderBy(*order).offset(start).limit(size)
+    at = F.col("row_index")
+    return with_row_index(df, order).filter((at >= start) & (at < start + size)).orderBy("row_index").drop("row_index")
+
+
+def page_rows(df: DataFrame, order_by: Sequence[str], page: int = 1, page_size: int = 50) -> DataFrame:
+    """One page of the table in the given order, at most 500 rows."""
     if page < 1 or not 1 <= page_size <= MAX_PAGE:
         raise ValueError(f"page must be at least 1 and page_size between 1 and {MAX_PAGE}")
-    start = (page - 1) * page_size
-    if start + page_size <= deep:
-        return df.orderBy(*order_by).offset(start).limit(page_size)
-    at = F.col("row_index")
-    return with_row_index(df, order_by).filter((at >= start) & (at < start + page_size)).orderBy("row_index").drop("row_index")
+    return rows_between(df, order_by, (page - 1) * page_size, page_size)
 
 
 def sample_rows(df: DataFrame, order_by: Sequence[str], limit: int = 50, offset: int = 0) -> DataFrame:
-    """Rows by limit and offset, where the offset is rounded down to a whole page
-    of ``limit`` rows before the page size is capped."""
-    return page_rows(df, order_by, offset // limit + 1, min(limit, MAX_PAGE))
+    """``limit`` rows from position ``offset`` of the order, at most 500."""
+    if offset < 0 or not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"offset must not be negative and limit between 1 and {MAX_PAGE}")
+    return rows_between(df, order_by, offset, limit)
 
 
-def sample_for_profile(df: DataFrame, seed: int = 0, force: bool = False, rows: int | None = None) -> DataFrame | None:
-    """The rows a profile should read: all of a small table, a Bernoulli sample
-    of a large one, None for a very large one unless forced.
-
-    ``rows`` is the known row count, if any; otherwise it is counted.
-    """
-    n = df.count() if rows is None else rows
-    if n <= WHOLE_TABLE_ROWS:
-        return df
-    if n > SKIP_ROWS and not force:
-        return None
-    return df.sample(withReplacement=False, fraction=max(SAMPLE_ROWS / n, SAMPLE_SHARE), seed=seed)
+def sample_for_profile(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
+    """A Bernoulli sample of the rows a profile should read. Which share is enough is the caller's choice."""
+    if not 0 < fraction <= 1:
+        raise ValueError("fraction must be over 0 and at most 1")
+    return df if fraction == 1 else df.sample(withReplacement=False, fraction=fraction, seed=seed)
 
 
 def preview(df: DataFrame, rows: int = 100, order_by: Sequence[str] = ()) -> DataFrame:

@@ -57,7 +57,7 @@ def fences(s):
 
 
 def test_outliers_and_risk(df, pdf):
-    got, risk = rows_of(I.iqr_outliers(df, k=None, only_positive=False), "column_name"), rows_of(I.risk_indicators(df), "metric")
+    got, risk = rows_of(I.iqr_outliers(df, only_positive=False), "column_name"), rows_of(I.risk_indicators(df), "metric")
     for c in NUM:
         lo, hi = fences(pdf[c])
         count = ((pdf[c] < lo) | (pdf[c] > hi)).sum()
@@ -104,7 +104,7 @@ def test_correlations(df, pdf):
 
 
 def test_histogram_equals_numpy(df, pdf):
-    got = I.histogram(df, k=6).collect()
+    got = I.histogram(df).collect()
     for c in NUM:
         counts, edges = np.histogram(pdf[c].dropna(), bins=10)
         mine = sorted((r.bin, r["count"], r.range) for r in got if r.column_name == c)
@@ -137,7 +137,7 @@ def test_profile_counts_nan_as_missing(df, pdf):
         assert got[c].distinct_count == pdf[c].nunique()
     tops = [(r.value, r["count"]) for r in P.top_values(df).orderBy("position").collect()]
     assert tops == list(pdf.kind.value_counts().items())
-    assert P.top_values(df, max_distinct=0).count() == 0  # more than twice as many values
+    assert [r.distinct_count for r in P.top_values(df, top=1).collect()] == [pdf.kind.nunique()]
 
 
 def test_empty_and_single_row_tables(df):
@@ -180,28 +180,53 @@ def test_sql_rules(spark, text, reason):
 
 
 def test_sql_page(spark):
-    page = S.sql_page(spark, "SELECT id FROM nums ORDER BY id", 3, 10, {"nums": spark.range(25)})
+    page = S.sql_page(spark, "SELECT id FROM nums ORDER BY id", 3, 10, {"nums": spark.range(25)}, ["id"])
     assert [(r.id, r.total_rows) for r in page.collect()] == [(i, 25) for i in range(20, 25)]
     with pytest.raises(ValueError):
         S.sql_page(spark, "DROP TABLE nums")
+    with pytest.raises(ValueError):
+        S.sql_page(spark, "SELECT id FROM nums", 2, 10, {"nums": spark.range(25)})
+
+
+def test_sql_leaves_the_callers_views(spark):
+    spark.range(3).createOrReplaceTempView("nums")
+    assert S.guarded_sql(spark, "SELECT count(*) AS n FROM nums, other", {"nums": spark.range(7), "other": spark.range(2)}).first().n == 14
+    assert spark.table("nums").count() == 3
+    assert not spark.catalog.tableExists("other")
+    spark.catalog.dropTempView("nums")
+
+
+def test_refusal_and_audit_name_the_same_word(spark):
+    text = "SELECT 1 drop insert"
+    assert S.refusal(text) == S.audit_queries(spark.createDataFrame([(text,)], "q string"), "q").first().reason == S.FORBIDDEN_PREFIX + "DROP"
 
 
 def test_sampling_policy(spark):
     df = spark.range(1000)
-    assert rows.sample_for_profile(df) is df
-    assert rows.sample_for_profile(df, rows=20_000_000) is None
-    assert rows.sample_for_profile(df, rows=20_000_000, force=True, seed=1).count() < 200
-    assert rows.sample_for_profile(df, rows=200_000, seed=1).count() < 200
+    assert rows.sample_for_profile(df, 1.0) is df
+    assert 60 < rows.sample_for_profile(df, 0.1, seed=1).count() < 140
+    with pytest.raises(ValueError):
+        rows.sample_for_profile(df, 0.0)
 
 
-def test_pages(spark):
+def test_pages(spark, monkeypatch):
     df = spark.range(1000).withColumn("k", F.col("id") % 10)
     want = sorted(range(1000), key=lambda i: (i % 10, i))
-    for deep in (100_000, 100):
-        got = [r.id for r in rows.page_rows(df, ["k", "id"], 7, 30, deep=deep).collect()]
+    for top in (100_000, 100):
+        monkeypatch.setattr(rows, "TOP_ROWS", top)
+        got = [r.id for r in rows.page_rows(df, ["k", "id"], 7, 30).collect()]
         assert got == want[180:210]
-    assert [r.id for r in rows.sample_rows(df, ["id"], 30, 100).collect()] == list(range(90, 120))
-    assert rows.sample_rows(df, ["id"], 600, 700).first().id == 500  # page 2 of a capped size
+    assert [r.id for r in rows.sample_rows(df, ["id"], 30, 100).collect()] == list(range(100, 130))
+    with pytest.raises(ValueError):
+        rows.sample_rows(df, ["id"], 600, 700)
+
+
+def test_pages_of_tied_rows_are_whole(spark, monkeypatch):
+    """All keys tie; pages on both sides of the switch between the two plans hold every row once."""
+    monkeypatch.setattr(rows, "TOP_ROWS", 500)
+    df = spark.range(1000).select("id", F.lit(1).alias("k")).repartition(7)
+    got = [r.id for page in range(1, 11) for r in rows.page_rows(df, ["k"], page, 100).collect()]
+    assert sorted(got) == list(range(1000))
 
 
 def test_thresholds(spark):
@@ -251,7 +276,7 @@ def test_lineage_with_a_cycle_and_a_hub(spark):
     edges = [("hub", f"n{i}") for i in range(300)] + [("n1", "x"), ("x", "hub"), ("x", "y"), ("far", "hub")]
     df = spark.createDataFrame(edges, "source string, target string")
     start = spark.createDataFrame([("hub",)], "node string")
-    down = {r.node: r.depth for r in X.lineage(df, start).collect()}
+    down = {r.node: r.depth for r in X.lineage(df, start, "downstream").collect()}
     assert down["hub"] == 0 and down["n299"] == 1 and down["x"] == 2 and down["y"] == 3 and "far" not in down
     assert {r.node for r in X.lineage(df, start, "upstream", 1).collect()} == {"hub", "x", "far"}
     assert "far" in {r.node for r in X.lineage(df, start, "both", 1).collect()}
@@ -269,9 +294,45 @@ def test_json_in_answers(spark, text, json, lines):
 
 
 def test_summary_inputs(spark):
-    texts = [("a" * 49,), (" " * 60 + "b",), ("c" * 50,), ("d" * 3001,), (None,)]
-    got = [r.summary_input for r in X.prepare_summary_inputs(spark.createDataFrame(texts, "text string")).collect()]
-    assert got[:3] == [None, None, "c" * 50] and got[3] == "d" * 3000 + "... [truncated]" and got[4] is None
+    texts = [("a" * 49,), (" " * 60 + "b",), ("c" * 50,), ("d" * 3000 + "\n" + "e" * 3000,), (None,)]
+    got = [(r.part, r.summary_input) for r in X.prepare_summary_inputs(spark.createDataFrame(texts, "text string")).collect()]
+    assert got == [(None, None), (None, None), (0, "c" * 50), (0, "d" * 3000), (1, "\n" + "e" * 2999), (2, "e"), (None, None)]
+
+
+def test_combined_documents_hold_every_text(spark):
+    docs = spark.createDataFrame([("a" if i % 3 else None, i, f"text {i} " + "x" * 60) for i in range(40)], "g string, id int, text string")
+    got = {(r.g, r.bundle): r.combined for r in X.combine_documents(docs, ["g"], "id").collect()}
+    for g in ("a", None):
+        ids = [i for i in range(40) if bool(i % 3) == (g == "a")]
+        assert [got[g, b].count("text") for b in range(-(-len(ids) // 5))] == [len(ids[b:b + 5]) for b in range(0, len(ids), 5)]
+        assert got[g, 0].startswith(f"text {ids[0]} ") and f"text {ids[4]} " in got[g, 0]
+
+
+def test_lineage_has_no_depth_limit(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(15)], "source string, target string")
+    start = spark.createDataFrame([("n7",)], "node string")
+    assert {r.node: r.depth for r in X.lineage(edges, start).collect()} == {f"n{i}": abs(i - 7) for i in range(16)}
+
+
+def test_trade_area_at_the_date_line_and_the_poles(spark):
+    rng = np.random.default_rng(5)
+    sites = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.choice([-89.9, -60, 0, 10, 86, 89.95], 40) + rng.uniform(-.04, .04, 40),
+                                                                    rng.choice([-180, -179.9, 179.9, 0, 90], 40) + rng.uniform(0, .05, 40)))]
+    places = [(i, float(a), float(b), 2.0) for i, (a, b) in enumerate(zip(
+        rng.choice([-89.8, -60.2, .1, 10.3, 86.2, 89.9], 300) + rng.uniform(-.3, .05, 300), rng.uniform(-180, 180, 300)))]
+    places += [(1000 + i, lat + .1, -lon, 1.0) for i, lat, lon in sites if abs(lat) < 89]
+
+    def km(a, b, c, d):
+        a, b, c, d = np.radians([a, b, c, d])
+        return 2 * 6371 * np.arcsin(np.sqrt(np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2))
+
+    frame = FT.trade_area(spark.createDataFrame(sites, "location_id int, latitude double, longitude double"),
+                          spark.createDataFrame(places, "location_id int, latitude double, longitude double, weight double"), 80.0)
+    for r in frame.collect():
+        _, lat, lon = sites[r.location_id]
+        near = [(w, km(lat, lon, a, b)) for _, a, b, w in places if km(lat, lon, a, b) <= 80]
+        assert r.competitors == len(near)
+        assert r.gravity == pytest.approx(sum(w / (1 + x * x) for w, x in near))
 
 
 def test_role_runs_over_small_blocks(spark):
