@@ -340,22 +340,21 @@ def event_stream(spark, d):
 
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
-# Windows and sessions come out once the watermark, an hour behind the newest event, passes them.
-CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"
 
 
 @query("w1_usage_windows",
-       f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS uses FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {CLOSED} GROUP BY 1, 2")
+       f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS uses FROM events GROUP BY 1, 2")
 def _(spark, d):
-    out = W.run_append(W.usage_windows(event_stream(spark, d), ["event_type"]), "windows")
+    out = W.run_update(W.usage_windows(event_stream(spark, d), ["event_type"]), "windows", ["window_start", "window_end", "event_type"])
     return out.select(F.date_format("window_start", STAMP).alias("window_start"), "event_type", "uses")
 
 
 @query("w1_sliding_windows",
        f"WITH w AS (SELECT date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS s, event_type FROM events, range(3) r(k)) "
-       f"SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS uses FROM w WHERE s + INTERVAL 3 HOUR <= {CLOSED} GROUP BY 1, 2")
+       f"SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS uses FROM w GROUP BY 1, 2")
 def _(spark, d):
-    out = W.run_append(W.usage_windows(event_stream(spark, d), ["event_type"], length="3 hours", slide="1 hour"), "sliding")
+    out = W.run_update(W.usage_windows(event_stream(spark, d), ["event_type"], length="3 hours", slide="1 hour"), "sliding",
+                       ["window_start", "window_end", "event_type"])
     return out.select(F.date_format("window_start", STAMP).alias("window_start"), "event_type", "uses")
 
 
@@ -363,9 +362,9 @@ def _(spark, d):
        "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 8 HOUR THEN 0 ELSE 1 END AS st FROM events), "
        "s AS (SELECT user_id, ts, sum(st) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), "
        "e AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 8 HOUR AS z, count(*) AS events FROM s GROUP BY user_id, k) "
-       f"SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(z, '%Y-%m-%d %H:%M:%S') AS session_end, events FROM e WHERE z <= {CLOSED}")
+       f"SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(z, '%Y-%m-%d %H:%M:%S') AS session_end, events FROM e")
 def _(spark, d):
-    out = W.run_append(W.user_sessions(event_stream(spark, d), gap="8 hours"), "sessions")
+    out = W.run_complete(W.user_sessions(event_stream(spark, d), gap="8 hours"), "sessions")
     return out.withColumns({c: F.date_format(c, STAMP) for c in ("session_start", "session_end")})
 
 

@@ -47,7 +47,11 @@ def last_seen(events: DataFrame, by: Sequence[str], at: str = "ts") -> DataFrame
 
 def run_append(stream: DataFrame, label: str) -> DataFrame:
     """Run over everything available, append to a table in the shared folder,
-    and return that table."""
+    and return that table.
+
+    Windows and sessions that the watermark has not closed are not in it; use
+    ``run_update`` or ``run_complete`` to have them too.
+    """
     spark = stream.sparkSession
     path = scratch_path(spark, label)
     query = (stream.writeStream.outputMode("append").format("parquet").option("path", path)
@@ -69,6 +73,23 @@ def run_update(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
     query = (stream.writeStream.outputMode("update").foreachBatch(save)
              .option("checkpointLocation", scratch_path(spark, f"{label}-state")).trigger(availableNow=True).start())
     query.awaitTermination()
-    changes = spark.read.parquet(path)
+    changes = spark.read.schema(T.StructType(stream.schema.fields + [T.StructField("batch", T.LongType())])).parquet(path)
     rest = [c for c in stream.columns if c not in keys]
     return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
+def run_complete(stream: DataFrame, label: str) -> DataFrame:
+    """Run over everything available and return the whole result, open sessions included.
+
+    The state holds every group until the end; use it on a bounded backlog.
+    """
+    spark = stream.sparkSession
+    path = scratch_path(spark, label)
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = (stream.writeStream.outputMode("complete").foreachBatch(save)
+             .option("checkpointLocation", scratch_path(spark, f"{label}-state")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
