@@ -76,7 +76,10 @@ def synthesize(df: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
         else:
             aggs.append(F.min(c).alias(f"a{i}"))
     row = df.agg(*aggs).first() if aggs else None
-    out = df.sparkSession.range(n)
+    # All random numbers are drawn here, before any shuffle, so that a retried task draws the same ones.
+    out = df.sparkSession.range(n).select("id", *[
+        (F.randn(seed + j) if kinds[c] == "continuous" else F.rand(seed + j)).alias(f"r{j}")
+        for j, c in enumerate(df.columns) if kinds[c] != "moment"])
     for j, c in enumerate(df.columns):
         if kinds[c] == "discrete":
             continue
@@ -86,7 +89,7 @@ def synthesize(df: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
             value = F.date_add(low, F.col("id").cast("int")) if isinstance(fields[c], T.DateType) else (
                 low + F.make_dt_interval(F.col("id").cast("int")))
         else:
-            drawn = F.randn(seed + j) * (row[f"s{i}"] or 0.0) + row[f"m{i}"]
+            drawn = F.col(f"r{j}") * (row[f"s{i}"] or 0.0) + row[f"m{i}"]
             value = F.greatest(F.lit(row[f"a{i}"]), F.least(F.lit(row[f"z{i}"]), drawn))
         out = out.withColumn(f"c{j}", value)
     for j, c in enumerate(df.columns):
@@ -96,7 +99,7 @@ def synthesize(df: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
         if total == 0:
             out = out.withColumn(f"c{j}", F.lit(None).cast(fields[c]))
             continue
-        at: Column = F.floor(F.rand(seed + j) * total).cast("bigint")
+        at: Column = F.floor(F.col(f"r{j}") * total).cast("bigint")
         drawn = out.withColumn("at", at).withColumn("slot", F.floor(F.col("at") / width).cast("bigint"))
         out = drawn.join(slots, "slot").filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("stop"))).withColumn(
             f"c{j}", F.col("value").cast(fields[c])).drop("at", "slot", "start", "stop", "value")

@@ -156,6 +156,13 @@ def _(spark, d):
     return N.weekday_shares(load(spark, d, "events"), "ts")
 
 
+@query("n9_cluster_facts", "SELECT CAST(4 AS BIGINT) AS clusters, count(*) AS rows_in_clusters, true AS shares_sum_to_one FROM lineitem")
+def _(spark, d):
+    found = N.clusters(load(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return found.agg(F.count(F.lit(1)).alias("clusters"), F.sum("size").alias("rows_in_clusters"),
+                     (F.abs(F.sum("prevalence") - 1) < 1e-9).alias("shares_sum_to_one"))
+
+
 @query("n9_clusters")
 def _(spark, d):
     return N.clusters(load(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
@@ -206,6 +213,32 @@ def _(spark, d):
         "o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
+@query("y3_drawn_values", "SELECT CAST(5000 AS BIGINT) AS row_count, CAST(0 AS BIGINT) AS outside_range, CAST(0 AS BIGINT) AS missing, o_orderstatus, true AS share_close FROM (SELECT DISTINCT o_orderstatus FROM orders)")
+def _(spark, d):
+    orders = load(spark, d, "orders").select("o_totalprice", "o_orderstatus")
+    made = materialize(Y.synthesize(orders, 5000, seed=3), "drawn")
+    low, high = orders.agg(F.min("o_totalprice")).scalar(), orders.agg(F.max("o_totalprice")).scalar()
+    facts = made.withColumns({"a": low, "z": high}).agg(F.struct(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if((F.col("o_totalprice") < F.col("a")) | (F.col("o_totalprice") > F.col("z"))).alias("outside_range"),
+        F.count_if(F.col("o_totalprice").isNull() | F.col("o_orderstatus").isNull()).alias("missing"))).scalar()
+    drawn = made.groupBy("o_orderstatus").agg((F.count(F.lit(1)) / 5000).alias("share"))
+    wanted = Y.frequencies(orders, ["o_orderstatus"]).select(F.col("value").alias("o_orderstatus"), "probability")
+    # Five standard deviations of a share of 5,000 draws at most; an unknown value shows as one more row.
+    close = drawn.join(wanted, "o_orderstatus", "full").select(
+        "o_orderstatus", (F.abs(F.coalesce("share", F.lit(0.0)) - F.col("probability")) < 0.036).alias("share_close"))
+    return close.select(facts.alias("f"), "o_orderstatus", "share_close").select("f.*", "o_orderstatus", "share_close")
+
+
+@query("y4_fidelity_bounds", "SELECT * FROM (VALUES ('o_custkey', true), ('o_totalprice', true)) v(column_name, fits)")
+def _(spark, d):
+    # A normal draw clipped to the range keeps the centre: far closer than any two different columns would be.
+    orders = load(spark, d, "orders").select("o_totalprice", "o_custkey")
+    made = Y.synthesize(orders, orders.count(), seed=5)
+    fidelity = Y.synthetic_fidelity(orders, made, ["o_totalprice", "o_custkey"])
+    return fidelity.select("column_name", ((F.col("quality_score") > 0.8) & (F.col("ks") < 0.2) & F.col("psi").isNotNull()).alias("fits"))
+
+
 @query("y4_synthetic_fidelity")
 def _(spark, d):
     orders = load(spark, d, "orders")
@@ -249,6 +282,40 @@ def _(spark, d):
     return M.split_rows(load(spark, d, "orders"), ["o_orderkey"]).select("o_orderkey", "is_test")
 
 
+@query("m4_classifier_facts",
+       f"WITH t AS (SELECT l_returnflag FROM lineitem WHERE {hashed_sql('l_orderkey', 'l_linenumber')} < 0.2::DOUBLE) "
+       "SELECT 'l_returnflag' AS target, count(*) AS test_rows, true AS as_good_as_the_largest_class FROM t")
+def _(spark, d):
+    # The line status nearly gives the return flag away or not at all; either way the forest must not fall behind
+    # the share of the most frequent class by more than a sampling error.
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_linestatus")
+    metrics, _, _ = M.fit_classifier(li, "l_returnflag", ["l_orderkey", "l_linenumber"], trees=10, max_depth=4)
+    most = li.groupBy("l_returnflag").count().agg(F.max("count") / F.sum("count")).scalar()
+    return metrics.withColumn("share", most).select("target", "test_rows", (
+        F.col("accuracy") >= F.col("share") - 3 / F.sqrt("test_rows")).alias("as_good_as_the_largest_class"))
+
+
+@query("m5_regressor_facts",
+       f"SELECT 'l_extendedprice' AS target, count(*) AS test_rows, true AS better_than_the_mean FROM lineitem WHERE {hashed_sql('l_orderkey', 'l_linenumber')} < 0.2::DOUBLE")
+def _(spark, d):
+    # The price grows with the quantity, which a forest must pick up.
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * F.col("l_quantity")).alias("gross"),
+                                           "l_quantity", "l_extendedprice")
+    metrics, _, _ = M.fit_regressor(li, "l_extendedprice", ["l_orderkey", "l_linenumber"], trees=10, max_depth=5)
+    return metrics.select("target", "test_rows", (F.col("r2_score") > 0.3).alias("better_than_the_mean"))
+
+
+@query("m6_importance_slots",
+       "WITH l AS (SELECT 'o_orderstatus_' || o_orderstatus AS feature, row_number() OVER (ORDER BY o_orderstatus) AS k FROM (SELECT DISTINCT o_orderstatus FROM orders) "
+       "UNION ALL SELECT 'o_orderpriority_' || o_orderpriority, row_number() OVER (ORDER BY o_orderpriority) FROM (SELECT DISTINCT o_orderpriority FROM orders)), "
+       "f AS (SELECT feature FROM l WHERE k > 1 UNION ALL SELECT 'o_custkey') SELECT feature, true AS is_share, true AS sums_to_one FROM f")
+def _(spark, d):
+    o = load(spark, d, "orders").drop("o_orderdate")
+    found = M.fit_regressor(o, "o_totalprice", ["o_orderkey"], trees=10, max_depth=4)[1]
+    total = found.agg(F.sum("importance")).scalar()
+    return found.select("feature", F.col("importance").between(0, 1).alias("is_share"), (F.abs(total - 1) < 1e-6).alias("sums_to_one"))
+
+
 @query("m4_classifier")
 def _(spark, d):
     li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice", "l_linestatus")

@@ -407,6 +407,19 @@ def _(spark, d):
     return FT.spatial_folds(points(spark, d, "customer", "c_custkey"), "latitude", "longitude").select("location_id", "fold")
 
 
+@query("f8_uplift_facts", "SELECT count(*) AS row_count, count(*) AS scored, count(*) AS differences, true AS in_range FROM orders")
+def _(spark, d):
+    orders = load(spark, d, "orders").withColumn("treated", F.col("o_custkey") % 2 == 0)
+    scores = M.uplift_scores(orders, ["o_orderstatus", "o_orderpriority"], "treated", "o_totalprice", ["o_orderkey"], trees=5)
+    low, high = orders.agg(F.min("o_totalprice")).scalar(), orders.agg(F.max("o_totalprice")).scalar()
+    # Forests average training values, so scores lie between the least and the greatest of them.
+    inside = F.col("score_treated").between(F.col("a"), F.col("z")) & F.col("score_control").between(F.col("a"), F.col("z"))
+    return scores.withColumns({"a": low, "z": high}).agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("score_treated").isNotNull() & F.col("score_control").isNotNull()).alias("scored"),
+        F.count_if(F.abs(F.col("uplift") - (F.col("score_treated") - F.col("score_control"))) < 1e-6).alias("differences"),
+        F.bool_and(inside).alias("in_range"))
+
+
 @query("f8_uplift_scores")
 def _(spark, d):
     orders = load(spark, d, "orders").withColumn("treated", F.col("o_custkey") % 2 == 0)
