@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql.types import StructType
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 _local_scratch: str | None = None
+_made: list[str] = []
 
 
 def build_session(app: str = "tablegauge", master: str | None = None,
@@ -62,7 +64,31 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(scratch_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new path in the shared folder; it belongs to the innermost open ``scratch`` block, if any."""
+    path = os.path.join(scratch_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _made.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate tables this process has made, from the ``since``-th on."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while len(_made) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owner of the intermediate tables made inside the block: they are deleted when it ends.
+
+    Results that read them must be written or collected before that.
+    """
+    since = len(_made)
+    try:
+        yield
+    finally:
+        drop_scratch(spark, since)
 
 
 def literal_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:

@@ -17,6 +17,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
 
+from tablegauge.session import scratch  # noqa: E402
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -63,7 +65,8 @@ def duck_rows(con, sql):
 
 def compare(spark, con, sf_dir, name, fn, sql) -> str:
     """'ok', or a description of the first difference."""
-    cols, rows = spark_rows(fn(spark, sf_dir))
+    with scratch(spark):
+        cols, rows = spark_rows(fn(spark, sf_dir))
     if sql is None:
         return f"rows only ({len(rows)})"
     want_cols, want = duck_rows(con, sql)

@@ -9,9 +9,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from tablegauge.session import build_session
+    from tablegauge.session import build_session, drop_scratch
 
     session = build_session("tablegauge-tests", master="local[4]", shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_scratch(session)
     session.stop()

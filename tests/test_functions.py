@@ -1,5 +1,7 @@
 """Building blocks against pandas, on skewed and awkward data."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from tablegauge.functions import columns as C
 from tablegauge.functions.ordered import back_window, running_total, with_halo
 from tablegauge.functions.quantiles import exact_quantiles
+from tablegauge.session import materialize, scratch
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +80,10 @@ def test_column_counts_by_type(spark):
         "t", F.lit("2024-01-01 10:00:00").cast("timestamp_ntz")).withColumn("m", F.lit("2024-01-01").cast("date")))
     got = {r.column_name: (r.distinct_count, r.value_count, r.top_count) for r in C.column_counts(df, df.columns).collect()}
     assert got == {"i": (2, 3, 2), "d": (2, 3, 2), "s": (2, 3, 2), "b": (2, 3, 2), "t": (1, 4, 4), "m": (1, 4, 4)}
+
+
+def test_scratch_block_deletes_what_it_made(spark):
+    with scratch(spark):
+        path = materialize(spark.range(10), "owned").inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
