@@ -65,7 +65,7 @@ def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES) -> Ite
 
 
 def map_texts(df: DataFrame, text: str, carry: Sequence[str], schema: str,
-              make: Callable[[], Callable[[list], list]]) -> DataFrame:
+              make: Callable[[], Callable[[list], list]], slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``row`` with the carried columns, and the columns of ``schema`` that a function gives for each list of texts.
 
     ``make`` runs once per task and returns the function; that maps a list of texts (None for null) to one list or
@@ -78,7 +78,7 @@ def map_texts(df: DataFrame, text: str, carry: Sequence[str], schema: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, slice_bytes):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *[x if isinstance(x, pa.Array) else pa.array(x) for x in fn(part.column(1).to_pylist())]],
                     names=names)

@@ -1,8 +1,8 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy.
 
 A text's vector is the mean embedding of its byte n-grams; a linear layer on it gives the language. The classifier is
-fitted on a bounded sample: the ``TRAIN_ROWS_PER_LANGUAGE`` labelled rows of each language with the smallest hash of
-their id. Executors count the n-grams of whole texts, the driver trains on those counts. A fifth of the sample is kept
+fitted on a bounded sample: about ``TRAIN_ROWS_PER_LANGUAGE`` labelled rows of each language, those whose id has a hash
+under the share that gives so many. Executors count the n-grams of whole texts, the driver trains on those counts. A fifth of the sample is kept
 out of the training: it sets the temperature of the softmax and the score under which a prediction is rejected.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.llm.common import col, map_texts, store
@@ -26,6 +26,7 @@ EPOCHS, BATCH, RATE = 12, 32, 40.0
 REJECTED_SHARE = 0.0005  # of correctly predicted calibration rows, at most so many lie under the rejection score
 REJECT_MARGIN = 1.4  # a score over so many times a blind guess is never rejected
 UNKNOWN = "und"
+SLICE = 1 << 20  # bytes of text counted or scored at a time; the arrays take some forty bytes for each
 
 SEPARATOR = 0x20
 # a-z and all bytes of multi-byte characters stay; anything else separates words
@@ -153,19 +154,19 @@ def train(df: DataFrame, text: str, label: str, ident: str, allowed: Column | No
     Rows without label, id or text are not used. Which rows are sampled depends on their ids only.
     """
     admitted = df if allowed is None else df.filter(allowed)
-    labelled = admitted.select(col(label).cast("string").alias("label"), F.xxhash64(col(ident).cast("string")).alias("place"),
-                               col(text).cast("string").alias("text")).filter(
-        col(label).isNotNull() & col(ident).isNotNull() & col(text).isNotNull())
-    thin = labelled.select("label", "place").withColumn(
-        "nth", F.row_number().over(Window.partitionBy("label").orderBy("place"))).filter(
-        F.col("nth") <= TRAIN_ROWS_PER_LANGUAGE)
-    limits = thin.groupBy("label").agg(F.max("place").alias("last"))
-    sample = labelled.join(F.broadcast(limits), "label").filter(F.col("place") <= F.col("last"))
+    usable = admitted.filter(col(label).isNotNull() & col(ident).isNotNull())
+    language, place = col(label).cast("string"), F.xxhash64(col(ident).cast("string"))
+    # Stored, so that its size is known and the texts are not shuffled to join it.
+    shares = store(usable.select(language.alias("label")).groupBy("label").agg(
+        (F.lit(float(TRAIN_ROWS_PER_LANGUAGE)) / F.count(F.lit(1))).alias("share")), "language-shares")
+    sample = usable.filter(col(text).isNotNull()).select(
+        language.alias("label"), place.alias("place"), col(text).cast("string").alias("text")).join(shares, "label").filter(
+        F.col("place") / F.lit(2.0 ** 64) + 0.5 < F.col("share"))
 
     def make():
         return lambda texts: [pa.array(counts(texts), pa.binary())]
 
-    packed = map_texts(sample, "text", ["label", "place"], "counts binary", make)
+    packed = map_texts(sample, "text", ["label", "place"], "counts binary", make, SLICE)
     # Rows of one id count once, however often they repeat.
     rows = store(packed.groupBy("row.label", "row.place").agg(F.max("counts").alias("counts")), "language-sample").orderBy(
         "label", "place").collect()
@@ -196,4 +197,4 @@ def identify(df: DataFrame, model: LanguageModel | None, text: str = "text", car
         return run
 
     return map_texts(df, text, df.columns if carry is None else carry,
-                     "lang_pred string, score double, rejected boolean", make)
+                     "lang_pred string, score double, rejected boolean", make, SLICE)
