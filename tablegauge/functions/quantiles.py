@@ -3,9 +3,9 @@
 ``percentile`` keeps every distinct value of a group in one hash map. Here a
 sketch over a sample brackets each wanted rank, a counting pass over all rows
 says how many values lie inside the bracket, and only those few are ranked.
-Brackets that are still too wide are narrowed by another sketch, and one that
-misses its rank is widened to the whole range first; the result is exact
-whatever the sample was.
+Of brackets that are still too wide the values inside are written once, and
+narrower brackets are taken from them; one that misses its rank is widened to
+the whole range first. The result is exact whatever the sample was.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablegauge.session import materialize
+
 ACCURACY = 10_000
 SAMPLE_ROWS = 200_000
 MAX_RANKED = 1_000_000
@@ -124,13 +126,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 t = targets[c, j]
                 t.low, t.high = (ends[2 * j], ends[2 * j + 1]) if ends else (-math.inf, math.inf)
 
-    pending = list(targets.values())
-    while pending:
-        _count_brackets(df, pending)
-        wide = [t for t in pending if t.values is None and t.inside > max_ranked]
-        _rank_inside(df, [t for t in pending if t.values is None and t.inside <= max_ranked])
-        _narrow(df, wide, sample_rows)
-        pending = wide
+    everything = list(targets.values())
+    if everything:
+        _count_brackets(df, everything)
+    _rank_inside(df, [t for t in everything if t.values is None and t.inside <= max_ranked])
+    _search_survivors(df, [t for t in everything if t.values is None], sample_rows, max_ranked)
 
     result: dict[str, list[float | None]] = {}
     for c in cols:
@@ -165,6 +165,34 @@ def _count_brackets(df: DataFrame, targets: list[_Target]) -> None:
         _count_brackets(df, missed)
 
 
+def _search_survivors(df: DataFrame, targets: list[_Target], sample_rows: int, max_ranked: int) -> None:
+    """Settle targets whose brackets are still too wide.
+
+    The values inside the brackets, a small part of the table, are written once; all further brackets are taken from
+    them, so the table itself is not read again.
+    """
+    if not targets:
+        return
+    kept = materialize(_inside(df, targets), "quantile-values")
+    frame = kept.select(*[F.when(F.col("t") == i, F.col("v")).alias(f"q{i}") for i in range(len(targets))])
+    found = []
+    for i, t in enumerate(targets):
+        start = t.below + t.at_low
+        ranks = [min(max(r - start, 0), t.inside - 1) for r in (t.low_rank, t.high_rank)]
+        found.append(_Target(f"q{i}", *ranks, t.weight, inside=t.inside, low=t.low, high=t.high))
+    pending = found
+    while pending:
+        _narrow(frame, pending, sample_rows)
+        _count_brackets(frame, pending)
+        wide = [t for t in pending if t.values is None and t.inside > max_ranked]
+        _rank_inside(frame, [t for t in pending if t.values is None and t.inside <= max_ranked])
+        pending = wide
+    for t, own in zip(targets, found):
+        start = t.below + t.at_low
+        t.values = (t.low if t.low_rank < start else own.values[0],
+                    t.high if t.high_rank >= start + t.inside else own.values[1])
+
+
 def _narrow(df: DataFrame, targets: list[_Target], sample_rows: int) -> None:
     """Closer brackets for the ranks among the values strictly inside the old ones."""
     if not targets:
@@ -192,9 +220,8 @@ def _narrow(df: DataFrame, targets: list[_Target], sample_rows: int) -> None:
         t.high = t.high if t.high_rank >= start + t.inside else high
 
 
-def _rank_inside(df: DataFrame, targets: list[_Target]) -> None:
-    if not targets:
-        return
+def _inside(df: DataFrame, targets: list[_Target]) -> DataFrame:
+    """(t, v): the values strictly inside the bracket of each target, by its position in the list."""
     number = {id(t): i for i, t in enumerate(targets)}
     parts = []
     for c, own in _per_column(targets).items():
@@ -210,6 +237,13 @@ def _rank_inside(df: DataFrame, targets: list[_Target]) -> None:
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
+    return found
+
+
+def _rank_inside(df: DataFrame, targets: list[_Target]) -> None:
+    if not targets:
+        return
+    found = _inside(df, targets)
     counted = found.groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
     # At most max_ranked values per target reach this window.
     upto = F.sum("n").over(Window.partitionBy("t").orderBy("v"))
