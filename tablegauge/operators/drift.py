@@ -104,6 +104,17 @@ def monitor_snapshot(model: str, captured_at: str, performance: DataFrame, psi_r
         alert_rows.agg(F.count(F.lit(1))).scalar().alias("alert_count"))
 
 
+def append_snapshot(snapshot: DataFrame, path: str) -> DataFrame:
+    """Append monitor snapshots to the table at ``path``, partitioned by model, and return it."""
+    snapshot.write.mode("append").partitionBy("model_id").parquet(path)
+    return snapshot.sparkSession.read.parquet(path)
+
+
+def list_snapshots(snapshots: DataFrame, model: str) -> DataFrame:
+    """A model's snapshots, newest first."""
+    return snapshots.filter(F.col("model_id") == model).orderBy(F.col("captured_at").desc())
+
+
 def run_timeline(events: DataFrame, run: str = "run_id", state: str = "state", at: str = "event_at") -> DataFrame:
     """Start, end, duration and outcome of each run from its state events."""
     done = F.col(state).isin("succeeded", "failed")

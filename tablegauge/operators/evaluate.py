@@ -73,6 +73,12 @@ def evaluate_runs(runs: DataFrame, packs: DataFrame, zero_is_unset: bool = True)
         check_threshold(value, F.col("warn"), F.col("fail"), F.col("direction"), zero_is_unset).alias("status"))
 
 
+def append_results(results: DataFrame, path: str, evaluated_at: str) -> DataFrame:
+    """Append evaluation results, stamped with their time, to the table at ``path`` and return it."""
+    results.withColumn("evaluated_at", F.lit(evaluated_at).cast("timestamp_ntz")).write.mode("append").parquet(path)
+    return results.sparkSession.read.parquet(path)
+
+
 def roll_up(results: DataFrame, keys: Sequence[str] = ("run_id", "pack")) -> DataFrame:
     """Worst status per run and pack, with counts and a text."""
     counts = results.groupBy(*keys).agg(

@@ -12,6 +12,12 @@ def hash_queries(log: DataFrame, text: str = "query_text") -> DataFrame:
     return log.withColumn("query_hash", F.sha2(F.col(text), 256))
 
 
+def append_usage(log: DataFrame, path: str, text: str = "query_text", at: str = "event_at") -> DataFrame:
+    """Append usage events with the hash of their query text to the log at ``path``, partitioned by day, and return it."""
+    hash_queries(log, text).withColumn("event_date", F.to_date(at)).write.mode("append").partitionBy("event_date").parquet(path)
+    return log.sparkSession.read.parquet(path)
+
+
 def recent(log: DataFrame, as_of: str, days: int = USAGE_DAYS, at: str = "event_at") -> DataFrame:
     """Events of the last ``days`` before ``as_of``; the bound reaches the scan."""
     end = F.lit(as_of).cast("timestamp_ntz")

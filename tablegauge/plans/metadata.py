@@ -15,7 +15,7 @@ from tablegauge.operators import profile as P
 from tablegauge.operators import usage as U
 from tablegauge.plans.profiles import SCHEMA_SQL, SCHEMA_TABLES
 from tablegauge.plans.registry import each, load, query, rnd, sql_on
-from tablegauge.session import literal_table
+from tablegauge.session import literal_table, scratch_path
 
 # --- dictionary entries ---------------------------------------------------
 
@@ -172,6 +172,16 @@ def _(spark, d):
     return U.hash_queries(load(spark, d, "conversations"), "text").select("conv_id", "turn", "query_hash")
 
 
+@query("t8_append_usage", "SELECT conv_id, turn, sha256(text) AS query_hash, '2024-01-' || CASE WHEN turn % 2 = 0 THEN '01' ELSE '02' END AS event_date FROM conversations")
+def _(spark, d):
+    path = scratch_path(spark, "usage-log")
+    said = load(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("query_text"))
+    for day, rest in (("2024-01-01", 0), ("2024-01-02", 1)):
+        log = U.append_usage(said.filter(F.col("turn") % 2 == rest).withColumn(
+            "event_at", F.lit(f"{day} 08:00:00").cast("timestamp_ntz")), path)
+    return log.select("conv_id", "turn", "query_hash", F.col("event_date").cast("string").alias("event_date"))
+
+
 # Usage log: each event used one or two of 20 tables and a column named by its type.
 AS_OF = "2024-01-31 00:00:00"
 LOG = {

@@ -10,7 +10,7 @@ from tablegauge.operators import evaluate as E
 from tablegauge.operators import features as FT
 from tablegauge.operators import predict as M
 from tablegauge.plans.registry import each, load, query, rnd, sql_on
-from tablegauge.session import literal_table
+from tablegauge.session import literal_table, scratch_path
 
 # Predictions made from order lines: the price per unit of the part predicts the line's price.
 PREDICTED = ("SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_extendedprice AS y, "
@@ -78,6 +78,15 @@ def _(spark, d):
     return E.evaluate_runs(runs(spark, d), E.standard_packs(spark))
 
 
+@query("e2_append_results", RESULTS_SQL + f"SELECT run_id, pack, metric, {status_sql()} AS status, d.day AS evaluated_at FROM v, (VALUES ('2024-01-01'), ('2024-01-02')) d(day)")
+def _(spark, d):
+    path = scratch_path(spark, "evaluations")
+    results = E.evaluate_runs(runs(spark, d), E.standard_packs(spark))
+    for day in ("2024-01-01", "2024-01-02"):
+        kept = E.append_results(results, path, f"{day} 00:00:00")
+    return kept.select("run_id", "pack", "metric", "status", F.date_format("evaluated_at", "yyyy-MM-dd").alias("evaluated_at"))
+
+
 @query("e3_roll_up", RESULTS_SQL + f", s AS (SELECT *, {status_sql()} AS status FROM v), "
        "c AS (SELECT run_id, pack, count(*) AS total, count(*) FILTER (WHERE status = 'pass') AS passed, count(*) FILTER (WHERE status = 'warn') AS warnings, "
        "count(*) FILTER (WHERE status = 'fail') AS failures FROM s GROUP BY 1, 2), "
@@ -533,6 +542,17 @@ def run_events(spark, d):
     return load(spark, d, "events").select(F.col("user_id").alias("run_id"), F.expr(STATES).alias("state"), F.col("ts").alias("event_at"))
 
 
+@query("r5_list_snapshots", rnd(
+    "SELECT day AS captured_at, age_hours FROM (SELECT day, (SELECT floor(epoch(CAST(day AS TIMESTAMP) - max(ts))) / 3600 FROM events) AS age_hours "
+       "FROM (VALUES ('2024-02-01'), ('2024-02-03'), ('2024-02-02')) v(day))", "age_hours"))
+def _(spark, d):
+    path, events = scratch_path(spark, "snapshots"), load(spark, d, "events")
+    for model, day in (("price", "2024-02-01"), ("price", "2024-02-03"), ("other", "2024-02-04"), ("price", "2024-02-02")):
+        kept = R.append_snapshot(R.freshness(events, "ts", f"{day} 00:00:00", 24).select(
+            F.lit(model).alias("model_id"), F.lit(day).alias("captured_at"), "age_hours"), path)
+    return R.list_snapshots(kept, "price").select("captured_at", "age_hours")
+
+
 @query("r6_run_timeline",
        f"WITH e AS (SELECT user_id AS run_id, {STATES} AS state, ts FROM events), t AS (SELECT run_id, min(ts) FILTER (WHERE state = 'running') AS a, "
        "max(ts) FILTER (WHERE state IN ('succeeded', 'failed')) AS z, max_by(state, ts) AS status FROM e GROUP BY 1) "

@@ -444,3 +444,10 @@ def test_plain_numbers(spark):
     values = [0.0, -3.5, 499978.59, 10000000.0, 12345678.9, 0.0001, 1e15]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(P.plain_number(F.col("x"))).collect()]
     assert got == ["0.0", "-3.5", "499978.59", "10000000.0", "12345678.9", "0.0001", "1000000000000000.0"]
+
+
+def test_snapshots_are_listed_newest_first(spark, tmp_path):
+    for day in ("2024-01-02", "2024-01-03", "2024-01-01"):
+        kept = R.append_snapshot(spark.createDataFrame([("m", day)], "model_id string, captured_at string"), str(tmp_path / "s"))
+    assert [r.captured_at for r in R.list_snapshots(kept, "m").collect()] == ["2024-01-03", "2024-01-02", "2024-01-01"]
+    assert R.list_snapshots(kept, "other").count() == 0
