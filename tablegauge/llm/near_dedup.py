@@ -1,14 +1,14 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-Texts with equal shingle sets are one item first. Each tree sends an item to the node of one of its minwise tokens;
-nodes with more than ``NODE`` items branch on further tokens, chosen by the node, and small nodes are compared
-exhaustively: signatures select the plausible pairs, full shingle sets decide. Independent trees are repeated until a
-link at the threshold is missed with a probability under 1 in 10^5 (0.25 per tree), and every tree's nodes only hold
-items that are not connected yet.
-
-A node that is still large at the last level, such as a group of thousands of near copies, is compared in blocks that
-share a representative, and what that leaves unconnected is compared with all other blocks of the node. So no node is
-cut off, no pairs of a group are emitted, and links come out as a forest.
+Texts with equal shingle sets are one item first. Each of ten independent trees sends an item to the node of one of
+its minwise tokens; nodes with more than ``NODE`` items branch on further tokens, chosen by the node, and small nodes
+are compared exhaustively by signature. A link at the threshold is in no common node with a probability under one in
+a million (0.25 per tree).
+
+The plausible pairs of all nodes connect items to candidate groups. Full sets travel to their group once and decide
+there, item against all others; candidate groups with more than ``NODE`` items (thousands of near copies) are compared
+in blocks that share a representative, and the items this leaves outside of the main component with all blocks of the
+group. So no node is cut off, no pairs of a group are emitted, and links come out as a forest.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from tablegauge.llm.shingles import grouped, mix, shingle_sets
 
 PER_CENT = 75
 POOL = 32  # minwise hash functions
-FIRST_TREES, MORE_TREES = range(3), range(3, 10)
-BRANCHES, DEPTH = 2, 3
+TREES = range(10)
+BRANCHES, DEPTH = 2, 2
 NODE = 200
 PLAUSIBLE = 12  # equal minwise tokens of 32; a pair at the threshold has fewer once in a million
 SEEDS = np.random.default_rng(7).integers(0, 1 << 64, POOL, np.uint64)
@@ -86,55 +86,51 @@ def cut_groups(keys: np.ndarray) -> list[tuple[int, int]]:
 
 
 def plausible(table: pa.Table) -> pa.Table:
-    """(node, number): the parts of each node that are joined by pairs whose signatures agree often enough."""
-    out: dict[str, list] = {"node": [], "number": []}
-    numbers, components = table["number"].to_numpy(), table["component"].to_numpy()
+    """Links (a, b) that connect the items of each node whose signatures agree often enough, as a forest."""
+    out: dict[str, list] = {"a": [], "b": []}
+    numbers = table["number"].to_numpy()
     tokens = table["tokens"].combine_chunks().flatten().to_numpy().reshape(-1, POOL)
     for a, b in cut_groups(table["node"].to_numpy()):
-        order = a + np.argsort(numbers[a:b], kind="stable")
-        own, sig = numbers[order], tokens[order]
         near = np.zeros((b - a, b - a), np.int8)
         for k in range(POOL):
-            near += sig[:, k, None] == sig[None, :, k]
-        pairs = np.argwhere(np.triu((near >= PLAUSIBLE) & (components[order][:, None] != components[order][None, :]), 1))
-        if not len(pairs):
-            continue
+            near += tokens[a:b, k, None] == tokens[None, a:b, k]
         forest = Forest(range(b - a))
-        for i, j in pairs.tolist():
-            forest.join(forest.root(i), forest.root(j)) if forest.root(i) != forest.root(j) else None
-        parts: dict[int, list[int]] = {}
-        for i in sorted(set(pairs.ravel().tolist())):
-            parts.setdefault(forest.root(i), []).append(i)
-        for members in parts.values():
-            ids = own[members]
-            # Trees find the same part again and again; its key is made of its members, so that it is compared once.
-            key = np.bitwise_xor.reduce(mix(mix(ids.view(np.uint64)) + np.uint64(len(ids)))).view(np.int64)
-            out["node"] += [int(key)] * len(ids)
-            out["number"] += ids.tolist()
+        for i, j in np.argwhere(np.triu(near >= PLAUSIBLE, 1)).tolist():
+            ri, rj = forest.root(i), forest.root(j)
+            if ri != rj:
+                forest.join(ri, rj)
+                out["a"].append(int(numbers[a + i]))
+                out["b"].append(int(numbers[a + j]))
     return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
 
 def verify(table: pa.Table) -> pa.Table:
-    """Links (a, b) of each node's items by their full sets; pairs that are connected already are not compared."""
+    """Links (a, b) of each node's items by their full sets, as a forest: only links that connect two components.
+
+    An item is compared with all earlier ones of its node at once: its shingles are marked in an array over the node's
+    shingles, and the marks are summed per set.
+    """
     out: dict[str, list] = {"a": [], "b": []}
     numbers, components = table["number"].to_numpy(), table["component"].to_numpy()
     sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
     for a, b in cut_groups(table["node"].to_numpy()):
         order = (a + np.argsort(numbers[a:b], kind="stable")).tolist()
-        forest = Forest(components[order].tolist())
+        labels = components[order].tolist()
+        if len(set(labels)) == 1:
+            continue
+        sizes = np.array([len(sets[i]) for i in order], np.int64)
+        shingles, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        marks = np.zeros(len(shingles), np.int32)
+        forest = Forest(labels)
         for j in range(1, len(order)):
-            y = sets[order[j]]
-            for i in range(j):
-                x = sets[order[i]]
-                low, high = sorted((len(x), len(y)))
-                if 100 * low < PER_CENT * high:
-                    continue
+            own = ids[starts[j]:starts[j] + sizes[j]]
+            marks[own] = 1
+            same = np.add.reduceat(marks[ids[:starts[j]]], starts[:j])
+            marks[own] = 0
+            for i in np.flatnonzero(100 * same >= PER_CENT * (sizes[:j] + sizes[j] - same)).tolist():
                 ri, rj = forest.root(i), forest.root(j)
-                if ri == rj:
-                    continue
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                same = int((x[at] == y).sum())
-                if 100 * same >= PER_CENT * (len(x) + len(y) - same):
+                if ri != rj:
                     forest.join(ri, rj)
                     out["a"].append(int(numbers[order[i]]))
                     out["b"].append(int(numbers[order[j]]))
@@ -151,93 +147,79 @@ def in_blocks(large: DataFrame) -> DataFrame:
     return members.unionByName(first)
 
 
-class Join:
-    """The similarity join of the distinct items of a table of signatures."""
-
-    def __init__(self, items: DataFrame, texts: DataFrame):
-        self.items, self.texts = items, texts
-        self.total = items.count()
-        self.links: list[DataFrame] = []
-        self.labels: DataFrame | None = None
-
-    def labelled(self, rows: DataFrame) -> DataFrame:
-        """Rows with the component of their item so far."""
-        if self.labels is None:
-            return rows.withColumn("component", F.col("number"))
-        return rows.join(self.labels.withColumnRenamed("node", "number"), "number", "left").withColumn(
-            "component", F.coalesce("component", "number"))
-
-    def mixed(self, rows: DataFrame) -> DataFrame:
-        """Rows (node, number, component, ...) of the nodes that hold several components, with size and first item."""
-        stats = store(rows.groupBy("node").agg(
-            F.count(F.lit(1)).alias("n"), F.min("number").alias("first"), F.min("component").alias("low"),
-            F.max("component").alias("high")).filter("n > 1 AND low <> high").select("node", "n", "first"), "nodes")
-        return store(join_groups(rows, stats, "node", "n", self.total), "members")
-
-    def grow(self, trees: Sequence[int], depth: int) -> tuple[DataFrame | None, DataFrame | None]:
-        """Small nodes and still large ones of these trees, branching ``depth`` times."""
-        rows = self.labelled(self.items.select("number", F.explode(F.array(*[
-            F.xxhash64(F.lit(t), F.element_at("tokens", t + 1)) for t in trees])).alias("node")))
-        small, large = [], None
-        for level in range(depth + 1):
-            found = self.mixed(rows)
-            small.append(found.filter(F.col("n") <= NODE))
-            large = found.filter(F.col("n") > NODE)
-            if level == depth or large.isEmpty():
-                break
-            which = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(POOL)).cast("int") for b in range(BRANCHES)]
-            rows = large.join(self.items.select("number", "tokens"), "number").select(
-                "number", "component", F.explode(F.array(*[
-                    F.xxhash64("node", w, F.element_at("tokens", w + 1)) for w in which])).alias("node"))
-        return reduce(DataFrame.unionByName, small), large
-
-    def compare(self, nodes: DataFrame) -> None:
-        """Verify the items of each node (node, number) and add the links."""
-        members = store(nodes.select("node", "number").distinct(), "compared")
-        wanted = members.groupBy("number").agg(F.collect_list("node").alias("nodes"))
-        rows = self.labelled(wanted).join(self.texts, "number")
-
-        def sets():
-            return lambda texts: [pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())]
-
-        full = map_texts(rows, "text", ["number", "component", "nodes"], "shingles binary", sets).select(
-            F.explode("row.nodes").alias("node"), "row.number", "row.component", "shingles")
-        self.links.append(store(grouped(full, "node", "a bigint, b bigint", verify, rows=2 * NODE), "near-links"))
-        self.labels = connected(reduce(DataFrame.unionByName, self.links))
-
-    def pruned(self, small: DataFrame) -> DataFrame:
-        signed = small.select("node", "number", "component").join(self.items.select("number", "tokens"), "number").select(
-            "node", "number", "component", "tokens")
-        return grouped(signed, "node", "node bigint, number bigint", plausible)
-
-    def rest(self, large: DataFrame) -> DataFrame | None:
-        """Blocks that compare every item outside its node's main component with all of the node, or None."""
-        rows = store(self.labelled(large.select("node", "number", "n")), "rest")
-        sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
-        main = store(sizes.groupBy("node").agg(F.max_by("component", F.struct("k", "component")).alias("main"),
-                                               F.max("k").alias("k"), F.first("n").alias("n")).filter("k < n").select(
-            "node", "main", F.col("n").alias("size"), (F.col("n") - F.col("k")).alias("left")), "main-components")
-        if main.isEmpty():
-            return None
-        open_ = join_groups(rows, main, "node", "size", self.total)
-        blocks, chunks = [F.ceil(F.col(c) / F.lit(NODE)).cast("long") for c in ("size", "left")]
-        upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-        chunk, block = F.pmod(F.xxhash64("number", F.lit(1)), chunks), F.pmod(F.xxhash64("number", F.lit(2)), blocks)
-        outside = open_.filter("component <> main").select(
-            F.explode(F.transform(upto(blocks), lambda b: F.xxhash64("node", chunk, b))).alias("node"), "number")
-        everyone = open_.select(F.explode(F.transform(upto(chunks), lambda c: F.xxhash64("node", c, block))).alias("node"), "number")
-        return outside.unionByName(everyone)
-
-    def run(self) -> DataFrame | None:
-        """(node, component) of all items with links, or None if there is nothing to compare."""
-        small, large = self.grow(FIRST_TREES, 0)
-        self.compare(self.pruned(small).unionByName(in_blocks(large)))
-        small, large = self.grow(MORE_TREES, DEPTH)
-        self.compare(self.pruned(small).unionByName(in_blocks(large)))
-        rest = self.rest(large)
-        if rest is not None:
-            self.compare(rest)
-        return self.labels
+def shared_nodes(rows: DataFrame, total: int) -> DataFrame:
+    """Rows (node, number) of the nodes with several items, with size and first item."""
+    stats = store(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("first")).filter("n > 1"), "nodes")
+    return store(join_groups(rows, stats, "node", "n", total), "members")
+
+
+def candidate_links(items: DataFrame, total: int) -> DataFrame:
+    """Links (a, b) whose components hold every pair that may be similar."""
+    tokens = items.select("number", "tokens")
+    rows = items.select("number", F.explode(F.array(*[
+        F.xxhash64(F.lit(t), F.element_at("tokens", t + 1)) for t in TREES])).alias("node"))
+    links = []
+    for level in range(DEPTH + 1):
+        found = shared_nodes(rows, total)
+        small = found.filter(F.col("n") <= NODE).join(tokens, "number").select("node", "number", "tokens")
+        links.append(grouped(small, "node", "a bigint, b bigint", plausible))
+        large = found.filter(F.col("n") > NODE)
+        if level == DEPTH or large.isEmpty():
+            break
+        which = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(POOL)).cast("int") for b in range(BRANCHES)]
+        rows = large.join(tokens, "number").select("number", F.explode(F.array(*[
+            F.xxhash64("node", w, F.element_at("tokens", w + 1)) for w in which])).alias("node"))
+    # What is still large goes on whole.
+    links.append(large.filter("number <> first").select(F.col("first").alias("a"), F.col("number").alias("b")))
+    return reduce(DataFrame.unionByName, links)
+
+
+def compare(nodes: DataFrame, texts: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Links between the items of each node (node, number) by their full sets; known components are not compared."""
+    wanted = nodes.distinct().groupBy("number").agg(F.collect_list("node").alias("nodes"))
+    known = wanted.withColumn("component", F.col("number")) if labels is None else wanted.join(
+        labels.withColumnRenamed("node", "number"), "number", "left").withColumn("component", F.coalesce("component", "number"))
+
+    def sets():
+        return lambda texts: [pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())]
+
+    full = map_texts(known.join(texts.hint("merge"), "number"), "text", ["number", "component", "nodes"], "shingles binary", sets).select(
+        F.explode("row.nodes").alias("node"), "row.number", "row.component", "shingles")
+    return store(grouped(full, "node", "a bigint, b bigint", verify, rows=2 * NODE), "near-links")
+
+
+def rest_of(crowds: DataFrame, labels: DataFrame, total: int) -> DataFrame | None:
+    """Blocks that compare every item outside its node's main component with all of the node, or None."""
+    rows = store(crowds.join(labels.withColumnRenamed("node", "number"), "number", "left").withColumn(
+        "component", F.coalesce("component", "number")), "rest")
+    sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+    main = store(sizes.groupBy("node").agg(F.max_by("component", F.struct("k", "component")).alias("main"),
+                                           F.max("k").alias("k"), F.first("n").alias("n")).filter("k < n").select(
+        "node", "main", F.col("n").alias("size"), (F.col("n") - F.col("k")).alias("left")), "main-components")
+    if main.isEmpty():
+        return None
+    open_ = join_groups(rows, main, "node", "size", total)
+    blocks, chunks = [F.ceil(F.col(c) / F.lit(NODE)).cast("long") for c in ("size", "left")]
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    chunk, block = F.pmod(F.xxhash64("number", F.lit(1)), chunks), F.pmod(F.xxhash64("number", F.lit(2)), blocks)
+    outside = open_.filter("component <> main").select(
+        F.explode(F.transform(upto(blocks), lambda b: F.xxhash64("node", chunk, b))).alias("node"), "number")
+    everyone = open_.select(F.explode(F.transform(upto(chunks), lambda c: F.xxhash64("node", c, block))).alias("node"), "number")
+    return outside.unionByName(everyone)
+
+
+def similarity_join(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of all items that are linked with another one."""
+    total = items.count()
+    groups = connected(candidate_links(items, total))
+    sizes = store(groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    placed = store(join_groups(groups, sizes, "component", "n", total).select(
+        F.col("component").alias("node"), F.col("node").alias("number"), "n", F.col("component").alias("first")), "groups")
+    crowds = placed.filter(F.col("n") > NODE)
+    links = compare(placed.filter(F.col("n") <= NODE).select("node", "number").unionByName(in_blocks(crowds)), texts, None)
+    labels = connected(links)
+    rest = None if crowds.isEmpty() else rest_of(crowds.select("node", "number", "n"), labels, total)
+    return labels if rest is None else connected(links.unionByName(compare(rest, texts, labels)))
 
 
 def decide(base: DataFrame) -> DataFrame:
@@ -247,7 +229,7 @@ def decide(base: DataFrame) -> DataFrame:
     sets = store(signed.filter("n > 0").groupBy("digest").agg(
         F.min("number").alias("item"), best, F.count(F.lit(1)).alias("rows")), "distinct-sets")
     items = store(signed.select("number", "tokens").join(sets.select(F.col("item").alias("number")), "number", "left_semi"), "items")
-    labels = Join(items, base.select("number", "text")).run()
+    labels = similarity_join(items, base.select("number", "text"))
     placed = store(sets.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn(
         "component", F.coalesce("component", "item")), "placed-sets")
     whole = store(placed.groupBy("component").agg(F.min("best").alias("top"), F.count(F.lit(1)).alias("n_sets")), "components")

@@ -66,7 +66,7 @@ def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.near_dedup(load(spark, sf_dir, "documents"), carry=["doc_id"])
-    return out.select("row.doc_id", "n_shingles", "component_id", "kept")
+    return out.select("row.doc_id", "n_shingles", "component_id", (F.col("row.doc_id") == F.col("component_id")).alias("kept"))
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
