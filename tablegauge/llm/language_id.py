@@ -43,10 +43,16 @@ def grams(texts: Sequence[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarra
     sep = flat == SEPARATOR
     stay = np.concatenate([[True], ~(sep[1:] & sep[:-1])])
     lengths = np.array([len(r) + 1 for r in raw], np.int64)
+    stay[np.cumsum(lengths) - lengths] = True  # every text begins with a separator, whatever the one before ends with
     kept = np.cumsum(stay)
     ends = kept[np.cumsum(lengths) - 1]
     starts = np.concatenate([[0], ends[:-1]])
-    flat = flat[stay]
+    # Texts are set apart by as many separators as the longest n-gram has bytes, so that no n-gram meets the next text.
+    apart = max(GRAMS) * np.arange(len(raw))
+    owner = np.repeat(np.arange(len(raw) + 1), np.concatenate([ends - starts, [len(kept) and int(kept[-1]) - int(ends[-1])]]))
+    spaced = np.full(int(kept[-1]) + max(GRAMS) * (len(raw) + 1), SEPARATOR, np.uint8)
+    spaced[np.arange(int(kept[-1])) + max(GRAMS) * owner] = flat[stay]
+    starts, ends, flat = starts + apart, ends + apart, spaced
     padded = np.concatenate([flat, np.full(max(GRAMS), SEPARATOR, np.uint8)]).astype(np.uint32)
     n, out = len(flat), []
     for size in GRAMS:
@@ -87,8 +93,8 @@ class LanguageModel:
         buckets, starts, ends = grams(texts)
         total = np.zeros((len(texts), len(self.languages)))
         for x in buckets:
-            running = np.add.reduceat(self.table[x], starts, axis=0, dtype=np.float64)
-            total += running
+            weights = self.table[x]
+            total += [weights[a:b].sum(axis=0, dtype=np.float64) for a, b in zip(starts, ends)]
         logits = total / ((ends - starts) * len(GRAMS))[:, None] + self.bias
         return softmax(logits / self.temperature)
 
@@ -104,7 +110,7 @@ def fit(samples: Sequence[tuple[str, bytes]]) -> LanguageModel:
     label = np.array([languages.index(lang) for lang, _ in samples], np.int64)
 
     def dense(rows: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(rows), BUCKETS), np.float32)
+        x = np.zeros((len(rows), BUCKETS))
         for i, r in enumerate(rows):
             pairs = np.frombuffer(samples[r][1], "<u4").reshape(-1, 2)
             x[i, pairs[:, 0]] = pairs[:, 1] / max(1, pairs[:, 1].sum())
@@ -115,26 +121,25 @@ def fit(samples: Sequence[tuple[str, bytes]]) -> LanguageModel:
     held, train = order[::5], np.delete(order, np.s_[::5])
     if len(samples) < 5 * len(languages):
         held = train = order
-    embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
-    out = np.zeros((DIMENSIONS, len(languages)), np.float32)
-    out += rng.normal(0, 0.1, out.shape)
-    bias = np.zeros(len(languages), np.float32)
+    embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
+    out = rng.normal(0, 0.1, (DIMENSIONS, len(languages)))
+    bias = np.zeros(len(languages))
     steps, done = EPOCHS * -(-len(train) // BATCH), 0
     for _ in range(EPOCHS):
         rng.shuffle(train)
         for i in range(0, len(train), BATCH):
             rows = train[i:i + BATCH]
-            rate = np.float32(RATE * (1 - done / steps))
+            rate = RATE * (1 - done / steps)
             x = dense(rows)
             vec = x @ embed
-            err = softmax(vec @ out + bias).astype(np.float32)
+            err = softmax(vec @ out + bias)
             err[np.arange(len(rows)), label[rows]] -= 1
             err /= len(rows)
             back = err @ out.T
             # Rare n-grams have small means, so the embedding takes larger steps than the output layer.
             embed -= rate * 10 * (x.T @ back)
-            out -= rate * np.float32(0.05) * (vec.T @ err)
-            bias -= rate * np.float32(0.002) * err.sum(axis=0)
+            out -= rate * 0.05 * (vec.T @ err)
+            bias -= rate * 0.002 * err.sum(axis=0)
             done += 1
     table = embed @ out
     logits = np.concatenate([dense(held[i:i + 256]) @ table + bias for i in range(0, len(held), 256)])

@@ -116,7 +116,7 @@ def top_k(df: DataFrame, is_query: Column, vector: str = "embedding", ident: str
     """The k best candidates of every query row.
 
     Returns ``query_id`` long, ``rank`` int from 1, ``vec_id`` long and ``score`` long. A weight is floor(256 x); the
-    score is the inner product of weights in 64-bit integers, terms one vector lacks count 0. Every row but the query's
+    score is the inner product of weights in 64-bit integers (larger ones wrap around), terms one vector lacks count 0. Every row but the query's
     own is a candidate; equal scores go to the smaller id. Rows with a null id, a null vector or a null or non-finite
     component take no part. Each row that repeats an id is a query or candidate of its own. With fewer than k
     candidates all are given; an empty table gives an empty result.
