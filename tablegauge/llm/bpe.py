@@ -29,7 +29,8 @@ SPACE = r"\t-\r \x85\xa0"
 WORDS = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-CACHE_WORDS = 250_000  # words in each of the worker's two cache generations
+CACHE_WORDS = 150_000  # words in each of the worker's two cache generations
+SLICE = 1 << 20  # bytes of text split at a time; the words take some fifty bytes for each
 
 
 def byte_names() -> dict[int, str]:
@@ -208,4 +209,4 @@ def bpe_round_trip(df: DataFrame, tokenizer_path: str, text: str = "text", carry
                     [hashlib.sha256(bpe.decode(p).encode()).hexdigest() for p in packed]]
         return run
 
-    return map_texts(df, text, df.columns if carry is None else carry, kind, make)
+    return map_texts(df, text, df.columns if carry is None else carry, kind, make, SLICE)
