@@ -36,8 +36,9 @@ from tablegauge.llm.shingles import mix
 
 LONG, GRAM = 50, 16
 GRAMS = LONG - GRAM + 1  # grams of a window
-CHUNK_BYTES = 4 << 20  # text of a chunk, and of a step over a longer text
-BUCKET_BYTES = 24 << 20  # text per bucket
+CHUNK_BYTES = 4 << 20  # text of a chunk
+STEP_BYTES = 1 << 20  # text hashed at a time; the arrays take some hundred bytes for each
+BUCKET_BYTES = 8 << 20  # text per bucket
 LOCAL_HOT, HOT = 8, 2000  # different segments of an anchor in a chunk, in a bucket, from which it sends single windows
 BATCH = 1 << 16  # windows that enter the index together
 
@@ -89,7 +90,8 @@ def step_segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     size = last - first + LONG
     content = mix(h32[first] * FACTORS[0] + h32[first + (size - 32) // 2] * FACTORS[1] + h32[last + LONG - 32] * FACTORS[2]
                   + size.astype(np.uint64) * FACTORS[3])
-    return first, last, anchor[(least[first] & low).astype(np.int64)], content
+    # Anchors are minima, so their own bits are mostly low; mixed again they spread over the buckets.
+    return first, last, mix(anchor[(least[first] & low).astype(np.int64)] * FACTORS[3]), content
 
 
 class Chunk:
@@ -104,14 +106,14 @@ class Chunk:
         self._entries()
 
     def _segments(self) -> None:
-        pieces = [(d, s, min(s + CHUNK_BYTES, e - LONG + 1) + LONG - 1)
+        pieces = [(d, s, min(s + STEP_BYTES, e - LONG + 1) + LONG - 1)
                   for d, (s, e) in enumerate(zip(self.starts.tolist(), self.ends.tolist())) if e - s >= LONG
-                  for s in range(s, e - LONG + 1, CHUNK_BYTES)]
+                  for s in range(s, e - LONG + 1, STEP_BYTES)]
         found, step, size = [], [], 0
         for i, piece in enumerate(pieces):
             step.append(piece)
             size += piece[2] - piece[1]
-            if size < CHUNK_BYTES and i + 1 < len(pieces):
+            if size < STEP_BYTES and i + 1 < len(pieces):
                 continue
             docs, begin, end = (np.array(x) for x in zip(*step))
             local = np.cumsum(end - begin) - (end - begin)
@@ -396,7 +398,7 @@ def suffix_dedup(df: DataFrame, text: str = "text", ident: str = "doc_id", spans
                                                   pa.array([p for _, p in out], pa.binary())], names=["chunk", "bucket", "payload"])
 
     message = "chunk bigint, bucket int, payload binary"
-    judged = store(chunks.mapInArrow(send, message).groupBy("bucket").applyInArrow(judge, message), "anchor-answers")
+    judged = store(chunks.mapInArrow(send, message).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(judge, message), "anchor-answers")
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -476,7 +478,7 @@ def suffix_dedup(df: DataFrame, text: str = "text", ident: str = "doc_id", spans
         return pa.concat_tables(made)
 
     applied = store(chunks.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(apply, MESSAGE_DDL + RESULT_DDL), "applied")
-    scanned = store(applied.filter("kind = 'item'").select("chunk", "bucket", "payload").groupBy("bucket").applyInArrow(
+    scanned = store(applied.filter("kind = 'item'").select("chunk", "bucket", "payload").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
         scan, message), "window-answers")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
