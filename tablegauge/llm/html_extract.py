@@ -1,15 +1,14 @@
 """HTML extraction with a site style tree.
 
 The DOMs of a host's pages are merged: elements with the same path of tags and classes are one node of the site style
-tree. A node has as many presentations as there are different sequences of children on it, and as many contents as
+tree; pages of a host that show the same count once. A node has as many presentations as there are different sequences of children on it, and as many contents as
 there are different texts in it. Its importance is the larger entropy of the two distributions, to the base of its
 number of pages: 1 where every page differs, 0 where all agree, as in menus and footers. Branches of low importance are
-removed from each page, and so are the elements that say by tag, role or class that they are none of the article. Where
-a page has ``article`` or ``main`` elements, its text is theirs, and these are no candidates for removal by entropy:
-pages that are copies of each other keep their article.
+removed from each page (``html`` and ``body`` are no branches), and so are the elements that say by tag, role or class that they are none of the article. Where
+a page has ``article`` or ``main`` elements, its text is theirs, and these are no candidates for removal by entropy.
 
-Only counts per node travel between pages, combined before they are shuffled, so a host with a third of all pages is no
-task of its own.
+Only digests and counts per node travel between pages, combined before they are shuffled, so a host with a third of all
+pages is no task of its own.
 """
 
 from __future__ import annotations
@@ -189,16 +188,22 @@ def number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def style_nodes(page: str) -> list[dict]:
-    """The page's part of the style tree: for each path its presentation and its content."""
+def tree_part(page: str) -> tuple[bytes, list[dict]]:
+    """Digest of what the page shows, and its part of the style tree: for each path its presentation and its content."""
     nodes, blocks = parse(page)
+    shown = "\0".join([*(n.path for n in nodes), "", *(t for t, _ in blocks)])
+    digest = hashlib.blake2b(shown.encode("utf-8", "surrogatepass"), digest_size=16).digest()
     styles: dict[str, list[str]] = {}
     contents: dict[str, list[str]] = {}
     for node in nodes[1:]:
-        if node.tag in BLOCKS and node.tag not in ("p", "li", "td", "th", "tr", "option", "h1", "h2", "h3", "h4", "h5", "h6"):
+        if node.tag in BLOCKS and node.tag not in ("html", "body", "p", "li", "td", "th", "tr", "option", "h1", "h2", "h3", "h4", "h5", "h6"):
             styles.setdefault(node.path, []).append(" ".join(node.style))
             contents.setdefault(node.path, []).extend(t for t, _ in blocks[node.first:node.last])
-    return [{"path": p, "style": number("|".join(styles[p])), "content": number("\n".join(contents[p]))} for p in styles]
+    return digest, [{"path": p, "style": number("|".join(styles[p])), "content": number("\n".join(contents[p]))} for p in styles]
+
+
+def style_nodes(page: str) -> list[dict]:
+    return tree_part(page)[1]
 
 
 def main_text(page: str, unimportant: frozenset[str]) -> str:
@@ -221,12 +226,20 @@ def host_of(url) -> F.Column:
 
 
 def node_importance(pages: DataFrame, page: str, url: str) -> DataFrame:
-    """(host, path, n_pages, presentation, content, importance) of every node of the hosts' style trees."""
+    """(host, path, n_pages, presentation, content, importance) of every node of the hosts' style trees.
+
+    Pages of a host that show the same are one page, however many copies there are.
+    """
     named = pages.select(host_of(col(url)).alias("host"), col(page).alias("html"))
-    made = map_texts(named, "html", ["host"], "nodes array<struct<path: string, style: bigint, content: bigint>>",
-                     lambda: lambda texts: [pa.array([style_nodes(t or "") for t in texts], pa.list_(pa.struct(
-                         [("path", pa.string()), ("style", pa.int64()), ("content", pa.int64())])))])
-    seen = made.select("row.host", F.inline("nodes"))
+    node = pa.struct([("path", pa.string()), ("style", pa.int64()), ("content", pa.int64())])
+
+    def run(texts):
+        parts = [tree_part(t or "") for t in texts]
+        return [pa.array([d for d, _ in parts], pa.binary()), pa.array([n for _, n in parts], pa.list_(node))]
+
+    made = map_texts(named, "html", ["host"], "digest binary, nodes array<struct<path: string, style: bigint, content: bigint>>",
+                     lambda: run)
+    seen = made.groupBy("row.host", "digest").agg(F.first("nodes").alias("nodes")).select("host", F.inline("nodes"))
     values = seen.select("host", "path", F.inline(F.array(
         F.struct(F.lit("style").alias("kind"), F.col("style").alias("value")),
         F.struct(F.lit("content").alias("kind"), F.col("content").alias("value")))))

@@ -68,6 +68,19 @@ def test_copies_keep_their_article(spark):
     assert {r.text for r in out} == {"same"}
 
 
+def test_hot_copies_count_once(spark):
+    texts = [f"text {max(0, i - 949)}" for i in range(1000)]  # 950 copies and 50 other pages, by divs only
+    rows = [(i, "http://a.com", page(i, t)) for i, t in enumerate(texts)] + [(2000 + i, "http://b.com", page(i, "copy")) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    got = {(r.host, r.path): (r.n_pages, r.importance) for r in node_importance(df, "html", "url").collect()}
+    want = brute_importance({(u.removeprefix("http://"), h) for _, u, h in rows})
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    assert not any(path in ("/html", "/html/body") for _, path in got)
+    out = {r.row.page_id: r.text for r in extract(df).collect()}
+    assert all(out[i] == t for i, t in enumerate(texts))
+    assert all(out[2000 + i] == "Home\nNews\ncopy\nAll rights" for i in range(9))
+
+
 def test_edges(spark):
     rows = [(1, None, None, 1), (2, "not a url", "", 2), (3, None, "plain", 3), (3, None, "plain", 3), (4, "http://x", "<p>" + "w " * 200000, 4)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
