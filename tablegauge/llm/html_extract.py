@@ -4,8 +4,9 @@ The DOMs of a host's pages are merged: elements with the same path of tags and c
 tree; pages of a host that show the same count once. A node has as many presentations as there are different sequences of children on it, and as many contents as
 there are different texts in it. Its importance is the larger entropy of the two distributions, to the base of its
 number of pages: 1 where every page differs, 0 where all agree, as in menus and footers. Branches of low importance are
-removed from each page (``html`` and ``body`` are no branches), and so are the elements that say by tag, role or class that they are none of the article. Where
-a page has ``article`` or ``main`` elements, its text is theirs, and these are no candidates for removal by entropy.
+removed from each page (``html`` and ``body`` are no branches), and so are the elements that say by tag, role or class that they are none of the article. ``article``
+and ``main`` are a hint: where they hold at least half of a page's important text, its text is theirs, else they are a
+teaser or a card among the rest. Inside them too, what a site repeats is removed.
 
 Only digests and counts per node travel between pages, combined before they are shuffled, so a host with a third of all
 pages is no task of its own.
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 from tablegauge.llm.common import as_row, col, map_texts, slices, store, with_workers
 
 LOW_IMPORTANCE = 0.2
+LINK_WEIGHT = 0.1  # of a character in a link, where amounts of text are compared
 LEAST_PAGES = 5  # a node on fewer pages says nothing about its site
 
 # Element kinds of HTML.
@@ -40,6 +42,7 @@ CLOSED_BY = {  # an open element of the key ends where one of these begins
     "p": BLOCKS - {"html", "head", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
     "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"},
     "tbody": {"tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": {"body"}}
+LEAVES = frozenset("p li td th tr option h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("table td th caption button object html body article section div ul ol dl".split())
 
 # What says of itself that it is none of the article.
@@ -69,6 +72,8 @@ class Node:
     noise: bool
     article: bool
     mute: bool = False  # inside an inline element that is noise: its text is not part of the block around it
+    link: bool = False
+    leaf: bool = False  # a paragraph, item, cell or heading without a class: no node of the style tree
     first: int = 0
     last: int = 0
     style: list[str] = field(default_factory=list)
@@ -100,17 +105,20 @@ def is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     return bool((words_of(attrs.get("class", "")) | words_of(attrs.get("id", ""))) & NOISE_WORDS)
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[str, Node]]]:
-    """Block elements in document order, each with the range of blocks in it, and the blocks: text and innermost element."""
+def parse(page: str) -> tuple[list[Node], list[tuple[str, Node, float]]]:
+    """Block elements in document order, each with the range of blocks in it, and the blocks: text, innermost element, weight."""
     root = Node("", "", False, False)
     stack, nodes, blocks, run = [root], [root], [], []
+    linked = 0
 
     def flush() -> None:
+        nonlocal linked
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             run.clear()
             if text:
-                blocks.append((text, stack[-1]))
+                blocks.append((text, stack[-1], len(text) - (1 - LINK_WEIGHT) * min(linked, len(text))))
+        linked = 0
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -125,6 +133,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[str, Node]]]:
         end = n if m is None else m.start()
         if end > place and not stack[-1].mute:
             run.append(page[place:end])
+            linked += (end - place) * stack[-1].link
         if m is None:
             break
         place = m.end()
@@ -175,6 +184,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[str, Node]]]:
         else:
             node = Node(tag, up.path, noise, up.article)
         node.mute = up.mute or noise and not up.noise and not block
+        node.link = up.link or tag == "a"
+        node.leaf = tag in LEAVES and name == tag
         if m["attrs"].endswith("/") and not block:
             continue
         stack.append(node)
@@ -191,14 +202,14 @@ def number(text: str) -> int:
 def tree_part(page: str) -> tuple[bytes, list[dict]]:
     """Digest of what the page shows, and its part of the style tree: for each path its presentation and its content."""
     nodes, blocks = parse(page)
-    shown = "\0".join([*(n.path for n in nodes), "", *(t for t, _ in blocks)])
+    shown = "\0".join([*(n.path for n in nodes), "", *(t for t, _, _ in blocks)])
     digest = hashlib.blake2b(shown.encode("utf-8", "surrogatepass"), digest_size=16).digest()
     styles: dict[str, list[str]] = {}
     contents: dict[str, list[str]] = {}
     for node in nodes[1:]:
-        if node.tag in BLOCKS and node.tag not in ("html", "body", "p", "li", "td", "th", "tr", "option", "h1", "h2", "h3", "h4", "h5", "h6"):
+        if node.tag not in ("html", "body") and not node.leaf:
             styles.setdefault(node.path, []).append(" ".join(node.style))
-            contents.setdefault(node.path, []).extend(t for t, _ in blocks[node.first:node.last])
+            contents.setdefault(node.path, []).extend(t for t, _, _ in blocks[node.first:node.last])
     return digest, [{"path": p, "style": number("|".join(styles[p])), "content": number("\n".join(contents[p]))} for p in styles]
 
 
@@ -208,17 +219,15 @@ def style_nodes(page: str) -> list[dict]:
 
 def main_text(page: str, unimportant: frozenset[str]) -> str:
     """Text of the article: one line per block."""
-    nodes, blocks = parse(page)
-    articles = any(n.article and not n.noise and n.last > n.first for n in nodes)
+    _, blocks = parse(page)
     low = tuple(f"{p}/" for p in unimportant)
-    lines = []
-    for text, node in blocks:
-        if node.noise or articles and not node.article:
-            continue
-        if not articles and low and f"{node.path}/".startswith(low):
-            continue
-        lines.append(text)
-    return "\n".join(lines)
+    shown = [(text, node, weight, bool(low) and f"{node.path}/".startswith(low)) for text, node, weight in blocks if not node.noise]
+    inside = sum(weight for _, node, weight, bad in shown if node.article and not bad)
+    outside = sum(weight for _, node, weight, bad in shown if not node.article and not bad)
+    if not inside and not outside:  # the site repeats all that the page has: the article, if there is one, stays
+        return "\n".join(text for text, node, _, _ in shown if node.article)
+    only = inside >= outside
+    return "\n".join(text for text, node, _, bad in shown if not bad and (node.article or not only or not inside))
 
 
 def host_of(url) -> F.Column:

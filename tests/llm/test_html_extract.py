@@ -81,6 +81,18 @@ def test_hot_copies_count_once(spark):
     assert all(out[2000 + i] == "Home\nNews\ncopy\nAll rights" for i in range(9))
 
 
+def test_article_is_a_hint(spark):
+    box = "<div class='k7'><p>Written by our team</p></div><p class='k8'>Rate this</p>"
+    rows = [(i, "http://a.com", f"<body><article><p>text {i}</p>{box}</article></body>") for i in range(8)]
+    rows += [(100 + i, "http://b.com", f"<body><article><p>card {i}</p></article><div><p>{f'real text {i} ' * 9}</p></div></body>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    out = {r.row.page_id: r.text for r in extract(df).collect()}
+    assert all(out[i] == f"text {i}" for i in range(8))
+    assert all(out[100 + i] == f"card {i}\n{f'real text {i} ' * 9}".strip() for i in range(8))
+    assert main_text("<article>teaser</article><div>the whole text</div>", frozenset()) == "teaser\nthe whole text"
+    assert main_text("<article>the text</article><div><a href=x>many linked words</a></div>", frozenset()) == "the text"
+
+
 def test_edges(spark):
     rows = [(1, None, None, 1), (2, "not a url", "", 2), (3, None, "plain", 3), (3, None, "plain", 3), (4, "http://x", "<p>" + "w " * 200000, 4)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
