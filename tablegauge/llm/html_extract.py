@@ -4,7 +4,8 @@ The DOMs of a host's pages are merged: elements with the same path of tags and c
 tree; pages of a host that show the same count once. A node has as many presentations as there are different sequences of children on it, and as many contents as
 there are different texts in it. Its importance is the larger entropy of the two distributions, to the base of its
 number of pages: 1 where every page differs, 0 where all agree, as in menus and footers. Branches of low importance are
-removed from each page (``html`` and ``body`` are no branches), and so are the elements that say by tag, role or class that they are none of the article. ``article``
+removed from each page (``html`` and ``body`` are no branches), and so are the elements that say by tag, role or class that they are none of the article, unless
+the article or most of the page's important text is in them (see ``lifted``). ``article``
 and ``main`` are a hint: where they hold at least half of a page's important text, its text is theirs, else they are a
 teaser or a card among the rest. Inside them too, what a site repeats is removed.
 
@@ -57,6 +58,18 @@ NOISE_WORDS = frozenset(
     "recommendations comment comments commentlist disqus reply replies respond form search widget widgets pagination pager toolbar "
     "copyright disclaimer skip".split())
 
+# Words that a page's layout carries as well as its extras do; elements of this kind may hold the article.
+LAYOUT_TAGS = frozenset("header aside form search noscript".split())
+LAYOUT_ROLES = frozenset("banner complementary form search".split())
+LAYOUT_WORDS = frozenset(
+    "header masthead topbar bottombar sidebar aside rail banner notice notices notification alert modal overlay form search widget "
+    "widgets toolbar skip login signup subscription share sharing social promotion".split())
+# Next to these words the others only tell what an element has or has not, or whose header it is.
+STATE_WORDS = frozenset("has no with without hide show open closed on off enabled disabled layout".split())
+OWNER_WORDS = frozenset("post entry article content story".split())
+NO_TEXT = NOISE_TAGS - LAYOUT_TAGS - {"nav", "footer", "dialog", "menu"}
+NO_NOISE, LAYOUT, EXTRA, SHELL, NEVER = range(5)  # how sure it is that an element is none of the article
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>", re.S)
@@ -69,8 +82,12 @@ NAME_PARTS = re.compile(r"[^a-z]+")
 class Node:
     tag: str
     path: str
-    noise: bool
     article: bool
+    noise: int = NO_NOISE  # of the element itself
+    within: Node | None = None  # the innermost element with noise that holds this one, or this one itself
+    beyond: Node | None = None  # the next such element outside of ``within`` where that is this one
+    worst: int = NO_NOISE  # of the elements around it and itself
+    top: Node | None = None  # the outermost article or main
     mute: bool = False  # inside an inline element that is noise: its text is not part of the block around it
     link: bool = False
     leaf: bool = False  # a paragraph, item, cell or heading without a class: no node of the style tree
@@ -90,25 +107,42 @@ def words_of(value: str) -> set[str]:
     return set(NAME_PARTS.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())) - {""}
 
 
-def is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether an element says by itself that it is none of the article."""
-    if tag in NOISE_TAGS or tag == "header" and not in_article:
-        return True
+def noise_words(value: str, own_header: bool) -> set[str]:
+    """Words of a class or id attribute that call the element noise."""
+    out: set[str] = set()
+    for name in value.split():
+        words = words_of(name)
+        if not words & STATE_WORDS:
+            out |= words & NOISE_WORDS - ({"header"} if own_header or words & OWNER_WORDS else set())
+    return out
+
+
+def noise_of(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    """How sure an element says by itself that it is none of the article."""
+    if tag in NO_TEXT:
+        return NEVER
+    if tag in NOISE_TAGS and tag not in LAYOUT_TAGS:
+        return SHELL
+    found = LAYOUT if tag in NOISE_TAGS or tag == "header" and not in_article else NO_NOISE
     if not attrs:
-        return False
+        return found
     if tag in ("html", "body", "article", "main"):
-        return bool(words_of(attrs.get("class", "")) & {"comment", "comments", "reply"}) and tag == "article"
-    if attrs.get("role", "").lower() in NOISE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
-    if HIDDEN.search(attrs.get("style", "")):
-        return True
-    return bool((words_of(attrs.get("class", "")) | words_of(attrs.get("id", ""))) & NOISE_WORDS)
+        return EXTRA if tag == "article" and words_of(attrs.get("class", "")) & {"comment", "comments", "reply"} else NO_NOISE
+    role = attrs.get("role", "").lower()
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDDEN.search(attrs.get("style", "")):
+        return SHELL
+    own_header = in_article or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+    words = noise_words(attrs.get("class", ""), own_header) | noise_words(attrs.get("id", ""), own_header)
+    if words - LAYOUT_WORDS or role in NOISE_ROLES - LAYOUT_ROLES:
+        return EXTRA
+    return LAYOUT if words or role in LAYOUT_ROLES else found
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[str, Node, float]]]:
     """Block elements in document order, each with the range of blocks in it, and the blocks: text, innermost element, weight."""
-    root = Node("", "", False, False)
+    root = Node("", "", False)
     stack, nodes, blocks, run = [root], [root], [], []
+    muted: dict[int, tuple[Node, list[str]]] = {}
     linked = 0
 
     def flush() -> None:
@@ -119,6 +153,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[str, Node, float]]]:
             if text:
                 blocks.append((text, stack[-1], len(text) - (1 - LINK_WEIGHT) * min(linked, len(text))))
         linked = 0
+        for node, parts in muted.values():
+            text = " ".join(html.unescape("".join(parts)).split())
+            if text:
+                blocks.append((text, node, len(text) * (LINK_WEIGHT if node.link else 1)))
+        muted.clear()
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -131,7 +170,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[str, Node, float]]]:
     while place < n:
         m = TOKEN.search(page, place)
         end = n if m is None else m.start()
-        if end > place and not stack[-1].mute:
+        if end > place and stack[-1].mute:
+            muted.setdefault(id(stack[-1]), (stack[-1], []))[1].append(page[place:end])
+        elif end > place:
             run.append(page[place:end])
             linked += (end - place) * stack[-1].link
         if m is None:
@@ -169,7 +210,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[str, Node, float]]]:
             continue
         attrs = attributes(m["attrs"]) if m["attrs"].strip(" /\n\t") else {}
         up = stack[-1]
-        noise = up.noise or is_noise(tag, attrs, up.article)
+        noise = noise_of(tag, attrs, up.article)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, place)
             place = end.end() if end else n
@@ -178,12 +219,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[str, Node, float]]]:
         if block:
             if not up.style or up.style[-1] != name:
                 up.style.append(name)
-            node = Node(tag, f"{up.path}/{name}", noise, up.article or tag in ("article", "main") or attrs.get("role") == "main")
+            here = tag in ("article", "main") or attrs.get("role") == "main"
+            node = Node(tag, f"{up.path}/{name}", up.article or here, noise)
+            node.top = up.top or (node if here else None)
             node.first = len(blocks)
             nodes.append(node)
         else:
-            node = Node(tag, up.path, noise, up.article)
-        node.mute = up.mute or noise and not up.noise and not block
+            node = Node(tag, up.path, up.article, noise)
+            node.top = up.top
+        node.within, node.beyond = (node, up.within) if noise else (up.within, None)
+        node.worst = max(up.worst, noise)
+        node.mute = up.mute or noise > NO_NOISE and not block
         node.link = up.link or tag == "a"
         node.leaf = tag in LEAVES and name == tag
         if m["attrs"].endswith("/") and not block:
@@ -209,7 +255,7 @@ def tree_part(page: str) -> tuple[bytes, list[dict]]:
     for node in nodes[1:]:
         if node.tag not in ("html", "body") and not node.leaf:
             styles.setdefault(node.path, []).append(" ".join(node.style))
-            contents.setdefault(node.path, []).extend(t for t, _, _ in blocks[node.first:node.last])
+            contents.setdefault(node.path, []).extend(t for t, x, _ in blocks[node.first:node.last] if x.tag in BLOCKS or not x.mute)
     return digest, [{"path": p, "style": number("|".join(styles[p])), "content": number("\n".join(contents[p]))} for p in styles]
 
 
@@ -217,11 +263,58 @@ def style_nodes(page: str) -> list[dict]:
     return tree_part(page)[1]
 
 
+def lifted(nodes: Sequence[Node], weighed: Sequence[tuple[Node, float]]) -> set[int]:
+    """Identities of the elements with noise whose text counts, as the page's text is in them and in all around them.
+
+    These hold the article with the most text, or more than half of all text. Only elements that their tag or words
+    give to the layout are lifted where the page has text or an article elsewhere; all but menus, footers, dialogs and
+    hidden elements where all of its text is in such elements, and these too where they hold the article.
+    """
+    order: list[Node] = []  # elements with noise, outer ones first
+    seen: set[int] = set()
+    for node, _ in weighed:
+        chain, at = [], node.within
+        while at is not None and id(at) not in seen:
+            seen.add(id(at))
+            chain.append(at)
+            at = at.beyond
+        order += reversed(chain)
+    lift: set[int] = set()
+    for most in (LAYOUT, SHELL):
+        total, inside, articles = 0.0, dict.fromkeys(map(id, order), 0.0), {}
+        for node, weight in weighed:
+            if not weight or node.worst > most:
+                continue
+            total += weight * (node.worst < SHELL)
+            if node.within is not None:
+                inside[id(node.within)] += weight
+            if node.top is not None and node.within is node.top.within and not node.top.noise:
+                articles.setdefault(id(node.top), [node.top, 0.0])[1] += weight
+        for h in reversed(order):
+            if h.beyond is not None:
+                inside[id(h.beyond)] += inside[id(h)]
+        best = max(articles.values(), key=lambda x: x[1])[0] if articles else None
+        if total or best or any(n.top is n and n.within is None for n in nodes):
+            lift = {id(h) for h in order if h.worst <= most and h.noise < SHELL and 2 * inside[id(h)] > total}
+            at = best and best.within
+            while at is not None:
+                lift.add(id(at))
+                at = at.beyond
+            break
+    out: set[int] = set()
+    for h in order:
+        if id(h) in lift and (h.beyond is None or id(h.beyond) in out):
+            out.add(id(h))
+    return out
+
+
 def main_text(page: str, unimportant: frozenset[str]) -> str:
     """Text of the article: one line per block."""
-    _, blocks = parse(page)
+    nodes, blocks = parse(page)
     low = tuple(f"{p}/" for p in unimportant)
-    shown = [(text, node, weight, bool(low) and f"{node.path}/".startswith(low)) for text, node, weight in blocks if not node.noise]
+    marked = [(text, node, weight, bool(low) and f"{node.path}/".startswith(low)) for text, node, weight in blocks]
+    lift = lifted(nodes, [(node, 0 if bad else weight) for _, node, weight, bad in marked])
+    shown = [m for m in marked if m[1].within is None or id(m[1].within) in lift]
     inside = sum(weight for _, node, weight, bad in shown if node.article and not bad)
     outside = sum(weight for _, node, weight, bad in shown if not node.article and not bad)
     if not inside and not outside:  # the site repeats all that the page has: the article, if there is one, stays

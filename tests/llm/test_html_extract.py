@@ -93,6 +93,21 @@ def test_article_is_a_hint(spark):
     assert main_text("<article>the text</article><div><a href=x>many linked words</a></div>", frozenset()) == "the text"
 
 
+def test_noise_words_do_not_remove_the_text():
+    none = frozenset()
+    for start, end in (("<div class='layout has-sidebar'>", "</div>"), ("<div id='search-results'>", "</div>"),
+                       ("<div class='content no-banner'>", "</div>"), ("<form id='aspnetForm'>", "</form>"),
+                       ("<app-root class='widget'>", "</app-root>"), ("<div class='comments-page'>", "</div>")):
+        for inner in ("<h1>Title</h1><p>the text", "<article><h1>Title</h1><p>the text</article>"):
+            noise = "<div class=sidebar>side</div><nav><a href=x>many links on this page, more than text</a></nav>"
+            assert main_text(f"{start}{noise}{inner}{end}<footer>foot and much more of it</footer>", none) == "Title\nthe text", (start, inner)
+    assert main_text("<article><h1 class='entry-header'>T</h1><div class='post-header'>by x</div><p>text</article>", none) == "T\nby x\ntext"
+    assert main_text("<article>text</article><div class=comments><article>a longer comment</article></div>", none) == "text"
+    assert main_text("<div>text</div><div class=comments><p>a longer comment</p></div>", none) == "text"
+    assert main_text("<nav>menu</nav><div class=ad>buy</div><article></article><footer>foot</footer>", none) == ""
+    assert main_text("<nav>menu</nav><footer>foot</footer>", none) == ""
+
+
 def test_edges(spark):
     rows = [(1, None, None, 1), (2, "not a url", "", 2), (3, None, "plain", 3), (3, None, "plain", 3), (4, "http://x", "<p>" + "w " * 200000, 4)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
