@@ -2,8 +2,9 @@
 
 Candidates are maximal runs of one character class. A window of the class's width slides over each candidate; its
 entropy changes by the one character that enters and the one that leaves, so it is kept from the counts without
-recounting. The windows over the class's threshold are joined to spans. Allowed shapes (see ``ALLOWED``) and spans
-inside a pattern match are not reported again.
+recounting. The windows over the class's threshold are joined to spans. What an allowed shape explains is cut out of a
+candidate (see ``EXPLAINED`` and ``WORDS``), and what is left on either side is looked at by itself. Spans inside a
+pattern match are not reported again.
 """
 
 from __future__ import annotations
@@ -28,15 +29,52 @@ HEX_RUN = re.compile(r"[0-9a-f]{24}")
 # class: pattern of a candidate, window, bits per character from which a window counts
 CLASSES = {
     "hex": (re.compile(r"(?<![0-9A-Za-z+/_-])[0-9A-Fa-f]{24,}(?![0-9A-Za-z+/_-])"), 24, 3.0),
-    "base64": (re.compile(r"[0-9A-Za-z+/_-]{28,}=*"), 28, 4.1),
+    "base64": (re.compile(r"[0-9A-Za-z+/_-]{20,}=*"), 20, 4.1 * log2(20) / log2(28)),
 }
-# Shapes that look random and are none of a secret: words and numbers alone, identifiers joined by _ - /, UUIDs,
-# runs of the alphabet, digests announced as such.
-ALLOWED = re.compile(
-    r"[A-Za-z]+|[0-9]+|(?:[A-Za-z]+[_/+-]+)+[A-Za-z]*[0-9]{0,4}"
-    r"|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
-    r"|.*(?:0123456789|abcdefghijkl|ABCDEFGHIJKL|EXAMPLE|example).*"
-    r"|sha(?:1|256|384|512)-.*")
+LONG = 28, 4.1  # a second window for base64, in which words may stand among random characters
+# A part that is all of one such shape is none of a secret: words and numbers alone, identifiers joined by _ - /.
+ALLOWED = re.compile(r"[A-Za-z]+|[0-9]+|(?:[A-Za-z]+[_/+-]+)+[A-Za-z]*[0-9]{0,4}")
+# Shapes that look random and explain just themselves: UUIDs, digests announced as such, each up to its own length.
+EXPLAINED = re.compile(
+    r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])"
+    r"|sha1-(?:[0-9A-Fa-f]{40}|[0-9A-Za-z+/_-]{1,27}=*)|sha256-(?:[0-9A-Fa-f]{64}|[0-9A-Za-z+/_-]{1,43}=*)"
+    r"|sha384-(?:[0-9A-Fa-f]{96}|[0-9A-Za-z+/_-]{1,64})|sha512-(?:[0-9A-Fa-f]{128}|[0-9A-Za-z+/_-]{1,86}=*))")
+SAMPLE = re.compile("EXAMPLE|example")
+SAMPLE_KEY = 40  # a run of at most so many characters with such a word inside of other characters is a sample key
+SEQUENCE = 10  # so many characters that follow each other in the alphabet or the digits explain themselves
+# Path segments that are words, also in camel case and numbered, and hex runs, which the patterns find.
+WORDS = re.compile(
+    r"[_/+-]?(?<![0-9A-Za-z])(?=[0-9A-Za-z]{4})(?:[A-Z]++[0-9]{0,4}+|[0-9]++|(?:[A-Z]?[a-z]{2,}+[0-9]{0,4}+)++)(?![0-9A-Za-z=])[_/+-]?"
+    r"|[0-9a-f]{24,}")
+
+
+def sequences(text: str) -> list[tuple[int, int]]:
+    out, start = [], 0
+    for i in range(1, len(text) + 1):
+        if i == len(text) or ord(text[i]) != ord(text[i - 1]) + 1:
+            if i - start >= SEQUENCE:
+                out.append((start, i))
+            start = i
+    return out
+
+
+def explained(run: str) -> list[tuple[int, int]]:
+    """Parts of a candidate that an allowed shape explains."""
+    out = [m.span() for m in EXPLAINED.finditer(run)] + sequences(run)
+    for m in SAMPLE.finditer(run):
+        inside = run[:m.start()][-1:].isalnum() or run[m.end():][:1].isalnum()
+        out.append((0, len(run)) if inside and len(run) <= SAMPLE_KEY else m.span())
+    return sorted(out)
+
+
+def rests(start: int, end: int, cuts: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of [start, end) without the cuts, which are sorted by start."""
+    out = []
+    for a, b in cuts:
+        if a > start:
+            out.append((start, a))
+        start = max(start, b)
+    return [*out, (start, end)] if start < end else out
 
 
 def entropic_spans(text: str, window: int, least: float) -> list[tuple[int, int]]:
@@ -82,11 +120,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def added_spans(text: str, base: Sequence[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of high entropy that no pattern covers and no allowed shape explains."""
     found = []
-    for pattern, window, least in CLASSES.values():
+    for name, (pattern, window, least) in CLASSES.items():
         for m in pattern.finditer(text):
             if ALLOWED.fullmatch(m[0]):
                 continue
-            found += [(m.start() + a, m.start() + b) for a, b in entropic_spans(m[0], window, least)]
+            for start, end in rests(0, len(m[0]), explained(m[0])):
+                part, at = m[0][start:end], m.start() + start
+                if ALLOWED.fullmatch(part):
+                    continue
+                pieces = [(0, len(part), window, least)]
+                if name == "base64":
+                    pieces = [(0, len(part), *LONG)] + [
+                        (x, y, window, least) for x, y in rests(0, len(part), [w.span() for w in WORDS.finditer(part)])
+                        if not ALLOWED.fullmatch(part[x:y])]
+                found += [(at + x + a, at + x + b) for x, y, w, bits in pieces for a, b in entropic_spans(part[x:y], w, bits)]
     out: list[tuple[str, int, int]] = []
     for a, b in sorted(found):
         if any(s <= a and b <= e for _, s, e in base):

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import math
 import random
@@ -50,6 +51,25 @@ def test_entropy_adds_and_allows():
     assert added_spans(f"token={secret}", inside) == []
 
 
+def test_short_keys_and_parts_of_runs():
+    rng = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = [base64.b64encode(rng.randbytes(16)).decode() for _ in range(300)]
+    assert all(len(k) == 24 and k.endswith("==") for k in keys)
+    assert sum([s[0] for s in added_spans(f"see {k} here", [])] == ["entropy"] for k in keys) >= 0.95 * len(keys)
+    for _ in range(50):
+        secret = "".join(rng.choice(alphabet) for _ in range(40))
+        for before, after in (("example/path/", ""), ("", "/example"), ("123e4567-e89b-12d3-a456-426614174000/", ""),
+                              ("abcdefghijklmnopqrstuvwxyz/", "")):
+            spans = added_spans(before + secret + after, [])
+            assert len(spans) == 1 and spans[0][1] <= len(before) + 10 and spans[0][2] >= len(before) + 30, (before, secret, spans)
+        blob = "".join(rng.choice(alphabet) for _ in range(100))
+        assert len(added_spans(f"{blob}example{blob[::-1]}", [])) == 2
+    for fine in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", "getUserName2FromDatabase",
+                 "api/v2/users2/list/some_page12/of/items", "20240102-123456-789012-55"):
+        assert added_spans(f"see {fine} here", base_spans(fine)) == [], fine
+
+
 def test_clean_documents_stay_clean(documents):
     out = secret_scan(documents, carry=["doc_id", "text"]).collect()
     assert all(joined(brute_base(r.row.text)) == ",".join(s for s in r.spans.split(",") if s and not s.startswith("entropy")) for r in out)
