@@ -24,7 +24,6 @@ DIMENSIONS = 16
 GRAMS = (2, 3, 4)
 EPOCHS, BATCH, RATE = 12, 32, 40.0
 REJECTED_SHARE = 0.0005  # of correctly predicted calibration rows, at most so many lie under the rejection score
-REJECT_MARGIN = 1.4  # a score over so many times a blind guess is never rejected
 UNKNOWN = "und"
 SLICE = 1 << 20  # bytes of text counted or scored at a time; the arrays take some forty bytes for each
 
@@ -149,7 +148,7 @@ def fit(samples: Sequence[tuple[str, bytes]]) -> LanguageModel:
     temperature = float(grid[int(np.argmin(loss))])
     p = softmax(logits / temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == truth]
-    below = min(REJECT_MARGIN / len(languages), float(np.quantile(right, REJECTED_SHARE))) if len(right) else 0.0
+    below = float(np.quantile(right, REJECTED_SHARE)) if len(right) else 0.0
     return LanguageModel(languages, table.astype(np.float32), bias.astype(np.float64), temperature, below)
 
 

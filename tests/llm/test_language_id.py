@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -35,6 +36,17 @@ def test_rejection(spark, make_docs, documents):
     assert all(out[i].lang_pred in model.languages for i in (3, 4, 5))
 
 
+def test_unlearned_languages_are_rejected(spark, make_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = train(docs.filter("lang <> 'es'"), "text", "lang", "doc_id")
+    foreign = identify(docs.filter("lang = 'es' AND n_chars > 200"), model).collect()
+    assert sum(r.rejected for r in foreign) >= 0.8 * len(foreign) > 0
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(300)) for _ in range(10)]
+    texts += ["Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina."]
+    assert all(r.rejected for r in identify(make_docs(texts), train(docs, "text", "lang", "doc_id")).collect())
+
+
 def test_no_training_rows(spark, make_docs):
     docs = make_docs(["text"]).withColumn("lang", F.lit(None).cast("string"))
     assert train(docs, "text", "lang", "doc_id") is None
