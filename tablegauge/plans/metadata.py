@@ -115,6 +115,12 @@ EDITS = {
     "duck": "SELECT 't' || (p_partkey // 20) AS table_name, 'p' || p_partkey AS column_name, "
             "CASE WHEN p_size % 2 = 0 THEN 'edited ' || p_name END AS business_name, 'checked' AS business_description FROM part WHERE p_brand = 'Brand#3'",
 }
+
+
+def edits(spark, d):
+    return sql_on(spark, d, EDITS["spark"], "part")
+
+
 EDIT_CTE = (f"WITH c AS ({CURRENT['duck']}), e AS ({EDITS['duck']}), m AS (SELECT c.*, e.column_name IS NOT NULL AS hit, e.business_name AS bn, "
             "e.business_description AS bd FROM c LEFT JOIN e ON c.is_active AND c.table_name = e.table_name AND c.column_name = e.column_name), ")
 
@@ -126,7 +132,7 @@ EDIT_CTE = (f"WITH c AS ({CURRENT['duck']}), e AS ({EDITS['duck']}), m AS (SELEC
        + f"SELECT {FLAT} FROM r")
 def _(spark, d):
     base = entries(spark, d)
-    return flat(T.apply_edits(base, spark.sql(EDITS["spark"])))
+    return flat(T.apply_edits(base, edits(spark, d)))
 
 
 @query("t5_edit_in_place", EDIT_CTE
@@ -136,7 +142,7 @@ def _(spark, d):
        + f"SELECT {FLAT} FROM r")
 def _(spark, d):
     base = entries(spark, d)
-    return flat(T.apply_edits(base, spark.sql(EDITS["spark"]), create_new_version=False))
+    return flat(T.apply_edits(base, edits(spark, d), create_new_version=False))
 
 
 @query("t6_context_markdown",
