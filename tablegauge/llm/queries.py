@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import bpe, chunk_dedup, exact_dedup, html_extract, language_id, mixing, near_dedup, secret_scan, suffix_dedup, topk
+from tablegauge.llm import bpe, chat_format, chunk_dedup, exact_dedup, html_extract, language_id, mixing, near_dedup, secret_scan, suffix_dedup, topk
+from tablegauge.session import literal_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -111,8 +112,29 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = literal_table(spark, [(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))],
+                          "conv_id bigint, turn bigint, role string, text string")
+    template = chat_format.InstructTemplate()
+    out = chat_format.read_back(chat_format.format_chats(turns.unionByName(probe), template), template)
+    return out.select(F.col("ident").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+OP11_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, role || chr(10) || text || chr(10) AS line, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+  CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 12 ELSE 17 + len(role) + 2 * (len(role) - len(replace(replace(role, '%', ''), chr(10), '')))
+    + len(regexp_extract_all(role, '<\\*/?s>|\[\\*/?(INST|REPLY|ROLE)\]')) END
+  + len(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?(INST|REPLY|ROLE)\]')) AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(line, '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(len(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  CAST(3 + sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_bpe, op2_exact_dedup, op3_exact_topk, op4_suffix_dedup, op5_chunk_dedup, op6_near_dedup, op7_html_extract, op8_mixing, op9_language_id, op10_secret_scan)}
+        op1_bpe, op2_exact_dedup, op3_exact_topk, op4_suffix_dedup, op5_chunk_dedup, op6_near_dedup, op7_html_extract, op8_mixing, op9_language_id, op10_secret_scan,
+        op11_chat_format)}
 
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_exact_topk": OP3_SQL, "op8_mixing": OP8_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_exact_topk": OP3_SQL, "op8_mixing": OP8_SQL, "op11_chat_format": OP11_SQL}
