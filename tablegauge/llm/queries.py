@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import bpe, chat_format, chunk_dedup, exact_dedup, html_extract, language_id, mixing, near_dedup, secret_scan, suffix_dedup, topk
+from tablegauge.llm import bpe, chat_format, chunk_dedup, exact_dedup, html_extract, language_id, mixing, near_dedup, prefix_trie, secret_scan, suffix_dedup, topk
 from tablegauge.session import literal_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -132,9 +132,35 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(line, '' ORDER BY turn NU
   CAST(3 + sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_trie.rebuilt_trie(load(spark, sf_dir, "conversations"))
+    return out.select(F.col("member").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), F.col("n_members").alias("n_convs"),
+                      "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
+OP13_SQL = r"""WITH t AS (SELECT conv_id AS c, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+    strlen(coalesce(text, '')) AS size, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({'id': id, 'size': size} ORDER BY turn NULLS FIRST, substr(id, 1, 32), size) AS turns,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda v, bit: xor(v // 2, (v % 2) * 3988292384))), 4294967295) % 9 AS h FROM t GROUP BY c),
+r AS (SELECT a.c, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns FROM own a LEFT JOIN own b ON b.c = a.c - a.c % 5),
+p AS (SELECT c, len(turns) AS n, d, list_transform(turns[1:d], lambda x: x.id) AS ids, turns[d].size AS size
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS (SELECT ids, d AS depth, min(c) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * any_value(size) END AS own,
+    sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256 FROM p GROUP BY ids, d),
+k AS (SELECT ids[1:depth - 1] AS ids, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.ids = k.ids),
+s AS (SELECT ids[1:e] AS ids, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS e FROM m) GROUP BY 1)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN s ON m.ids = s.ids LEFT JOIN n u ON m.depth > 0 AND u.ids = m.ids[1:m.depth - 1]"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_bpe, op2_exact_dedup, op3_exact_topk, op4_suffix_dedup, op5_chunk_dedup, op6_near_dedup, op7_html_extract, op8_mixing, op9_language_id, op10_secret_scan,
-        op11_chat_format)}
+        op11_chat_format, op13_prefix_trie)}
 
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_exact_topk": OP3_SQL, "op8_mixing": OP8_SQL, "op11_chat_format": OP11_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_exact_topk": OP3_SQL, "op8_mixing": OP8_SQL, "op11_chat_format": OP11_SQL, "op13_prefix_trie": OP13_SQL}
