@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import bpe, chat_format, chunk_dedup, exact_dedup, html_extract, language_id, mixing, near_dedup, prefix_trie, secret_scan, suffix_dedup, topk
+from tablegauge.llm import bpe, chat_format, chunk_dedup, exact_dedup, html_extract, language_id, lexical, mixing, near_dedup, prefix_trie, secret_scan, suffix_dedup, topk
 from tablegauge.session import literal_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -132,6 +132,26 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(line, '' ORDER BY turn NU
   CAST(3 + sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lexical.ranked_search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return out.select(F.col("item").alias("item_id"), "rank", F.col("ident").alias("doc_id"), "score")
+
+
+OP12_SQL = r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY 1),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+t AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f CROSS JOIN s GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+r AS (SELECT item_id, doc_id, CAST(sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN f USING (term) JOIN d USING (doc_id) CROSS JOIN s GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 20"""
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = prefix_trie.rebuilt_trie(load(spark, sf_dir, "conversations"))
     return out.select(F.col("member").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), F.col("n_members").alias("n_convs"),
@@ -161,6 +181,7 @@ FROM m JOIN s ON m.ids = s.ids LEFT JOIN n u ON m.depth > 0 AND u.ids = m.ids[1:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_bpe, op2_exact_dedup, op3_exact_topk, op4_suffix_dedup, op5_chunk_dedup, op6_near_dedup, op7_html_extract, op8_mixing, op9_language_id, op10_secret_scan,
-        op11_chat_format, op13_prefix_trie)}
+        op11_chat_format, op12_ranked_search, op13_prefix_trie)}
 
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_exact_topk": OP3_SQL, "op8_mixing": OP8_SQL, "op11_chat_format": OP11_SQL, "op13_prefix_trie": OP13_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_exact_topk": OP3_SQL, "op8_mixing": OP8_SQL, "op11_chat_format": OP11_SQL, "op12_ranked_search": OP12_SQL,
+           "op13_prefix_trie": OP13_SQL}

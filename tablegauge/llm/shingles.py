@@ -30,14 +30,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order (A-Z in lower case), and the end of each text in that array."""
-    raw = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    return hash_words([(t or "").encode("utf-8", "surrogatepass") for t in texts], SPACES)
+
+
+def hash_words(raw: Sequence[bytes], gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for UTF-8 texts whose words are the runs of bytes that are no ``gaps`` (a table over bytes; a space is one)."""
+    data = np.frombuffer(b" ".join(raw).translate(LOWER) + b" ", np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raw])
-    letter = ~SPACES[data]
+    letter = ~gaps[data]
     edge = np.diff(letter.astype(np.int8), prepend=0)
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
     sizes = stops - starts
     at = np.flatnonzero(letter)
     first = np.cumsum(sizes) - sizes
