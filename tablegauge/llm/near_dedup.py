@@ -1,20 +1,24 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-Texts with equal shingle sets are one item first. Each of ten independent trees sends an item to the node of one of
-its minwise tokens; nodes with more than ``NODE`` items branch on further tokens, chosen by the node, and small nodes
-are compared exhaustively by signature. A link at the threshold is in no common node with a probability under one in
-a million (0.25 per tree).
-
-The plausible pairs of all nodes connect items to candidate groups. Full sets travel to their group once and decide
-there, item against all others; candidate groups with more than ``NODE`` items (thousands of near copies) are compared
-in blocks that share a representative, and the items this leaves outside of the main component with all blocks of the
-group. So no node is cut off, no pairs of a group are emitted, and links come out as a forest.
+Texts with equal shingle sets are one item first. Each of ten independent trees sends an item to the node of one of its
+minwise tokens. A node with more than ``NODE`` items chooses one or two further positions of the signature, 4/3 on
+average (the inverse of the similarity), and its items go on to the children of their tokens there, until nodes are
+small. Items of a small node are compared with each other: signatures first, and the full sets of those whose signatures
+agree often enough decide every link.
+
+A crowd of near copies would not get smaller by branching. So the items of a large node are first compared with its
+smallest item; they become one component, and pairs inside a component need no comparison. A node that is one component
+is done. A node where at most ``NODE`` items are outside of its main component compares these with everything in it, in
+blocks. Trees run in two rounds, and the second looks only at nodes that the links of the first leave open.
+
+Full sets are made anew from the texts of the items that need them: a bitmap of row numbers picks those texts where they
+are stored, so only they are shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -22,24 +26,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.llm.common import as_row, col, join_groups, map_texts, store
+from tablegauge.llm.common import as_row, col, join_groups, map_texts, store, with_workers
 from tablegauge.llm.components import connected
 from tablegauge.llm.shingles import grouped, mix, shingle_sets
 
 PER_CENT = 75
-POOL = 32  # minwise hash functions
-TREES = range(10)
-BRANCHES, DEPTH = 2, 2
+POOL = 64  # minwise hash functions
+ROUNDS = ((0, 1), tuple(range(2, 10)))  # trees; the first token of tree t is the whole minwise hash of function t
 NODE = 200
-PLAUSIBLE = 12  # equal minwise tokens of 32; a pair at the threshold has fewer once in a million
-SEEDS = np.random.default_rng(7).integers(0, 1 << 64, POOL, np.uint64)
+LAST_LEVEL = 60  # a node that is still large here is compared in blocks against blocks
+PLAUSIBLE = 34  # equal minwise tokens of 64; a pair at the threshold has fewer twice in a hundred thousand
+BITMAP_ROWS, BITMAP_BYTES = 1 << 15, 1 << 12
+MARKED_BYTES = 32 << 20  # bitmaps that are broadcast at a time
+_rng = np.random.default_rng(7)
+FACTORS = _rng.integers(0, 1 << 63, POOL, np.uint64) * np.uint64(2) + np.uint64(1)
+OFFSETS = _rng.integers(0, 1 << 64, POOL, np.uint64)
 
 
 def min_tokens(sets: Sequence[np.ndarray]) -> np.ndarray:
     """The smallest hash of each set under each function; sets are not empty."""
     flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    return np.stack([np.minimum.reduceat(mix(flat ^ seed), starts) for seed in SEEDS], 1)
+    return np.stack([np.minimum.reduceat(flat * f + o, starts) for f, o in zip(FACTORS, OFFSETS)], 1)
 
 
 def numbered(df: DataFrame, text: str, ident: str, carry: Sequence[str]) -> DataFrame:
@@ -50,17 +58,26 @@ def numbered(df: DataFrame, text: str, ident: str, carry: Sequence[str]) -> Data
 
 
 def signatures(base: DataFrame) -> DataFrame:
-    """Stored rows: carried columns, id, row number, set size, digest of the set and its minwise tokens."""
+    """Stored rows: carried columns, id, row number, set size, digest of the set, first tokens of the trees, signature.
+
+    The signature holds a byte of the minwise hash of every function.
+    """
+    roots = sum(map(len, ROUNDS))
+
     def run(texts):
         sets = shingle_sets(texts)
         full = [s for s in sets if len(s)]
-        tokens = iter(min_tokens(full).view(np.int64)) if full else iter(())
+        tokens = min_tokens(full) if full else np.zeros((0, POOL), np.uint64)
+        first = iter(tokens[:, :roots].copy().view(np.int64))
+        short = iter(mix(tokens).astype(np.uint8))
         return [pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array([next(tokens) if len(s) else None for s in sets], pa.list_(pa.int64()))]
+                pa.array([next(first) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                pa.array([next(short).tobytes() if len(s) else None for s in sets], pa.binary())]
 
-    made = map_texts(base, "text", ["row", "ident", "number"], "n bigint, digest binary, tokens array<bigint>", lambda: run)
-    return store(made.select("row.row", "row.ident", "row.number", "n", "digest", "tokens"), "signatures")
+    made = map_texts(base, "text", ["row", "ident", "number"],
+                     "n bigint, digest binary, roots array<bigint>, signature binary", lambda: run)
+    return store(made.select("row.row", "row.ident", "row.number", "n", "digest", "roots", "signature"), "signatures")
 
 
 class Forest:
@@ -85,25 +102,40 @@ def cut_groups(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]))
 
 
+def matrix(signatures: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, POOL)
+
+
 def plausible(table: pa.Table) -> pa.Table:
-    """Links (a, b) that connect the items of each node whose signatures agree often enough, as a forest."""
-    out: dict[str, list] = {"a": [], "b": []}
-    numbers = table["number"].to_numpy()
-    tokens = table["tokens"].combine_chunks().flatten().to_numpy().reshape(-1, POOL)
-    for a, b in cut_groups(table["node"].to_numpy()):
+    """The items of each node that may have a link to another component, grouped by chains of such pairs."""
+    out: dict[str, list] = {"node": [], "number": []}
+    numbers, components, nodes = (table[c].to_numpy() for c in ("number", "component", "node"))
+    tokens = matrix(table["signature"])
+    for a, b in cut_groups(nodes):
         near = np.zeros((b - a, b - a), np.int8)
         for k in range(POOL):
             near += tokens[a:b, k, None] == tokens[None, a:b, k]
-        forest = Forest(range(b - a))
-        for i, j in np.argwhere(np.triu(near >= PLAUSIBLE, 1)).tolist():
+        forest, met = Forest(range(b - a)), set()
+        for i, j in np.argwhere(np.triu((near >= PLAUSIBLE) & (components[a:b, None] != components[None, a:b]), 1)).tolist():
             ri, rj = forest.root(i), forest.root(j)
             if ri != rj:
                 forest.join(ri, rj)
-                out["a"].append(int(numbers[a + i]))
-                out["b"].append(int(numbers[a + j]))
+            met |= {i, j}
+        for i in sorted(met):
+            out["node"].append(int(mix(np.array([nodes[a] ^ (forest.root(i) << 32)], np.int64).view(np.uint64)).view(np.int64)[0]))
+            out["number"].append(int(numbers[a + i]))
     return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
 
+def near_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, number, n, first) whose signature agrees with that of their node's first item."""
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            same = (matrix(table["signature"]) == matrix(table["leader"])).sum(1) >= PLAUSIBLE
+            yield from table.filter(pa.array(same)).select(["node", "number", "n", "first"]).to_batches()
+
+
 def verify(table: pa.Table) -> pa.Table:
     """Links (a, b) of each node's items by their full sets, as a forest: only links that connect two components.
 
@@ -137,89 +169,133 @@ def verify(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
 
-def in_blocks(large: DataFrame) -> DataFrame:
-    """(node, number) blocks of at most about ``NODE`` items of large nodes; the smallest item is in every block."""
-    blocks = F.ceil(F.col("n") / F.lit(NODE)).cast("long")
-    own = F.pmod(F.xxhash64("number", "node"), blocks)
-    members = large.filter(F.col("number") != F.col("first")).select(F.xxhash64("node", own).alias("node"), "number")
-    first = large.filter(F.col("number") == F.col("first")).select(
-        F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda b: F.xxhash64("node", b))).alias("node"), "number")
-    return members.unionByName(first)
-
-
-def shared_nodes(rows: DataFrame, total: int) -> DataFrame:
-    """Rows (node, number) of the nodes with several items, with size and first item."""
-    stats = store(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("first")).filter("n > 1"), "nodes")
-    return store(join_groups(rows, stats, "node", "n", total), "members")
-
-
-def candidate_links(items: DataFrame, total: int) -> DataFrame:
-    """Links (a, b) whose components hold every pair that may be similar."""
-    tokens = items.select("number", "tokens")
-    rows = items.select("number", F.explode(F.array(*[
-        F.xxhash64(F.lit(t), F.element_at("tokens", t + 1)) for t in TREES])).alias("node"))
-    links = []
-    for level in range(DEPTH + 1):
-        found = shared_nodes(rows, total)
-        small = found.filter(F.col("n") <= NODE).join(tokens, "number").select("node", "number", "tokens")
-        links.append(grouped(small, "node", "a bigint, b bigint", plausible))
-        large = found.filter(F.col("n") > NODE)
-        if level == DEPTH or large.isEmpty():
-            break
-        which = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(POOL)).cast("int") for b in range(BRANCHES)]
-        rows = large.join(tokens, "number").select("number", F.explode(F.array(*[
-            F.xxhash64("node", w, F.element_at("tokens", w + 1)) for w in which])).alias("node"))
-    # What is still large goes on whole.
-    links.append(large.filter("number <> first").select(F.col("first").alias("a"), F.col("number").alias("b")))
-    return reduce(DataFrame.unionByName, links)
+def with_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("component", F.col("number"))
+    return rows.join(labels.withColumnRenamed("node", "number"), "number", "left").withColumn(
+        "component", F.coalesce("component", "number"))
+
+
+def open_nodes(rows: DataFrame, labels: DataFrame | None, total: int) -> DataFrame:
+    """Stored rows (node, number, component, n, first, main, left) of the nodes with more than one component: their size,
+    smallest item, largest component, and the number of items outside of it."""
+    named = with_components(rows, labels)
+    if labels is None:
+        stats = named.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("first"),
+                                          F.min("component").alias("main"), F.lit(1).cast("bigint").alias("most"))
+    else:
+        named = store(named, "labelled")
+        parts = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k"), F.min("number").alias("least"))
+        stats = parts.groupBy("node").agg(F.sum("k").alias("n"), F.min("least").alias("first"),
+                                          F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("most"))
+    stats = store(stats.filter("n > most").withColumn("left", F.col("n") - F.col("most")).drop("most"), "nodes")
+    return store(join_groups(named, stats, "node", "n", total), "members")
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """(node, number) blocks that compare every item outside of its node's main component with all items of the node."""
+    blocks, chunks = [F.greatest(F.ceil(c / F.lit(NODE)).cast("long"), F.lit(1)) for c in (F.col("n") - F.col("left"), F.col("left"))]
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    inside = F.col("component") == F.col("main")
+    chunk, block = F.pmod(F.xxhash64("number", F.lit(1)), chunks), F.pmod(F.xxhash64("number", F.lit(2)), blocks)
+    # Items outside are dealt to chunks, and meet all blocks of the main component and all chunks of each other.
+    own = F.when(inside, F.transform(upto(chunks), lambda c: F.xxhash64("node", F.lit(0), c, block))).otherwise(F.concat(
+        F.transform(upto(blocks), lambda b: F.xxhash64("node", F.lit(0), chunk, b)),
+        F.transform(upto(chunks), lambda c: F.xxhash64("node", F.lit(1), F.least(c, chunk), F.greatest(c, chunk)))))
+    return rows.select(F.explode(own).alias("node"), "number")
+
+
+def stars(large: DataFrame, total: int) -> DataFrame:
+    """(node, number) blocks of the items of large nodes that may be similar to the first one, which is in every block."""
+    leaders = large.filter("number = first").select("node", F.col("signature").alias("leader"), F.col("n").alias("size"))
+    near = with_workers(join_groups(large.filter("number <> first").select("node", "number", "n", "first", "signature"), leaders,
+                                    "node", "size", total).select("node", "number", "n", "first", "signature", "leader")).mapInArrow(
+        near_leader, "node bigint, number bigint, n bigint, first bigint")
+    placed = store(near.select("node", "number", "first", F.pmod(F.xxhash64("number", "node"), F.ceil(F.col("n") / F.lit(NODE)).cast("long")).alias("b")), "stars")
+    first = placed.select("node", F.col("first").alias("number"), "b").distinct()
+    return placed.select(F.xxhash64("node", "b").alias("node"), "number").unionByName(first.select(F.xxhash64("node", "b").alias("node"), "number"))
+
+
+def children(large: DataFrame) -> DataFrame:
+    """(node, number) one level down: the node chooses one position of the signature, or two in one case of three."""
+    place = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(POOL)).cast("int") for b in (0, 1)]
+    down = [F.xxhash64("node", p, F.substring(F.col("signature"), p + 1, F.lit(1))) for p in place]
+    twice = (F.pmod(F.xxhash64("node", F.lit(2)), F.lit(3)) == 0) & (place[0] != place[1])
+    return large.select(F.explode(F.when(twice, F.array(*down)).otherwise(F.array(down[0]))).alias("node"), "number")
+
+
+def chosen_texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (number, text) of ``base`` with a number in ``wanted``, picked where they are stored by bitmaps of numbers.
+
+    Numbers grow within a stored file, so bitmaps are handed out for one range of files at a time.
+    """
+    marks = store(wanted.groupBy(F.shiftright("number", 15).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.col("number").bitwiseAND(F.lit(BITMAP_ROWS - 1))).alias("bits")), "marks")
+    top, buckets = marks.agg(F.coalesce(F.max("bucket"), F.lit(0)), F.count(F.lit(1))).first()
+    files = (top >> 18) + 1  # the number's part above 2^33
+    step = max(1, files * MARKED_BYTES // max(buckets * BITMAP_BYTES, MARKED_BYTES))
+    found = []
+    for low in range(0, files, step):
+        rows = base.filter((F.col("number") >= low << 33) & (F.col("number") < (low + step) << 33))
+        part = marks.filter((F.col("bucket") >= low << 18) & (F.col("bucket") < (low + step) << 18))
+        at = F.col("number").bitwiseAND(F.lit(BITMAP_ROWS - 1)).cast("int")
+        byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        found.append(rows.join(F.broadcast(part), F.shiftright("number", 15) == F.col("bucket")).filter(
+            byte.bitwiseAND(F.pow(F.lit(2), at.bitwiseAND(F.lit(7))).cast("int")) > 0).select("number", "text"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def compare(nodes: DataFrame, texts: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Links between the items of each node (node, number) by their full sets; known components are not compared."""
-    wanted = nodes.distinct().groupBy("number").agg(F.collect_list("node").alias("nodes"))
-    known = wanted.withColumn("component", F.col("number")) if labels is None else wanted.join(
-        labels.withColumnRenamed("node", "number"), "number", "left").withColumn("component", F.coalesce("component", "number"))
+    wanted = store(with_components(nodes.groupBy("number").agg(F.collect_set("node").alias("nodes")), labels), "wanted")
 
     def sets():
         return lambda texts: [pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())]
 
-    full = map_texts(known.join(texts.hint("merge"), "number"), "text", ["number", "component", "nodes"], "shingles binary", sets).select(
+    texts = wanted.join(chosen_texts(texts, wanted).hint("merge"), "number")
+    full = map_texts(texts, "text", ["number", "component", "nodes"], "shingles binary", sets).select(
         F.explode("row.nodes").alias("node"), "row.number", "row.component", "shingles")
     return store(grouped(full, "node", "a bigint, b bigint", verify, rows=2 * NODE), "near-links")
 
 
-def rest_of(crowds: DataFrame, labels: DataFrame, total: int) -> DataFrame | None:
-    """Blocks that compare every item outside its node's main component with all of the node, or None."""
-    rows = store(crowds.join(labels.withColumnRenamed("node", "number"), "number", "left").withColumn(
-        "component", F.coalesce("component", "number")), "rest")
-    sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
-    main = store(sizes.groupBy("node").agg(F.max_by("component", F.struct("k", "component")).alias("main"),
-                                           F.max("k").alias("k"), F.first("n").alias("n")).filter("k < n").select(
-        "node", "main", F.col("n").alias("size"), (F.col("n") - F.col("k")).alias("left")), "main-components")
-    if main.isEmpty():
-        return None
-    open_ = join_groups(rows, main, "node", "size", total)
-    blocks, chunks = [F.ceil(F.col(c) / F.lit(NODE)).cast("long") for c in ("size", "left")]
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    chunk, block = F.pmod(F.xxhash64("number", F.lit(1)), chunks), F.pmod(F.xxhash64("number", F.lit(2)), blocks)
-    outside = open_.filter("component <> main").select(
-        F.explode(F.transform(upto(blocks), lambda b: F.xxhash64("node", chunk, b))).alias("node"), "number")
-    everyone = open_.select(F.explode(F.transform(upto(chunks), lambda c: F.xxhash64("node", c, block))).alias("node"), "number")
-    return outside.unionByName(everyone)
+def similar_pairs(cells: DataFrame, items: DataFrame, texts: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Links between the items of small nodes or blocks, by signature and then by full sets."""
+    # An item brings its signature once and then stands in all of its nodes.
+    held = cells.groupBy("number").agg(F.collect_set("node").alias("nodes"))
+    rows = with_components(held, labels).join(items.select("number", "signature"), "number").select(
+        F.explode("nodes").alias("node"), "number", "component", "signature")
+    return compare(store(grouped(rows, "node", "node bigint, number bigint", plausible), "plausible"), texts, labels)
 
 
-def similarity_join(items: DataFrame, texts: DataFrame) -> DataFrame:
+def similarity_join(items: DataFrame, texts: DataFrame) -> DataFrame | None:
     """(node, component) of all items that are linked with another one."""
-    total = items.count()
-    groups = connected(candidate_links(items, total))
-    sizes = store(groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
-    placed = store(join_groups(groups, sizes, "component", "n", total).select(
-        F.col("component").alias("node"), F.col("node").alias("number"), "n", F.col("component").alias("first")), "groups")
-    crowds = placed.filter(F.col("n") > NODE)
-    links = compare(placed.filter(F.col("n") <= NODE).select("node", "number").unionByName(in_blocks(crowds)), texts, None)
-    labels = connected(links)
-    rest = None if crowds.isEmpty() else rest_of(crowds.select("node", "number", "n"), labels, total)
-    return labels if rest is None else connected(links.unionByName(compare(rest, texts, labels)))
+    total, links, labels = items.count(), [], None
+
+    def learn(found: DataFrame) -> None:
+        nonlocal labels
+        links.append(found)
+        labels = connected(reduce(DataFrame.unionByName, links))
+
+    for trees in ROUNDS:
+        rows = items.select("number", F.explode(F.array(*[
+            F.xxhash64(F.lit(t), F.element_at("roots", t + 1)) for t in trees])).alias("node"))
+        cells = []
+        for level in range(LAST_LEVEL + 1):
+            found = open_nodes(rows, labels, total)
+            cells.append(found.filter(F.col("n") <= NODE).select("node", "number"))
+            large = found.filter(F.col("n") > NODE)
+            if large.isEmpty():
+                break
+            held = store(large.select("node", "number").join(items.select("number", "signature"), "number"), "large")
+            many = large.filter(F.col("left") > NODE)
+            if not many.isEmpty():
+                learn(compare(stars(many.join(held, ["node", "number"]), total), texts, labels))
+                found = open_nodes(large.select("node", "number"), labels, total)
+            near_done = (F.col("left") <= NODE) | F.lit(level == LAST_LEVEL)
+            cells.append(in_blocks(found.filter(near_done)))
+            rows = children(found.filter(~near_done).join(held, ["node", "number"]))
+        learn(similar_pairs(reduce(DataFrame.unionByName, cells), items, texts, labels))
+    return labels
 
 
 def decide(base: DataFrame) -> DataFrame:
@@ -228,7 +304,7 @@ def decide(base: DataFrame) -> DataFrame:
     best = F.min(F.struct(F.col("ident").isNull().alias("missing"), "ident", "number")).alias("best")
     sets = store(signed.filter("n > 0").groupBy("digest").agg(
         F.min("number").alias("item"), best, F.count(F.lit(1)).alias("rows")), "distinct-sets")
-    items = store(signed.select("number", "tokens").join(sets.select(F.col("item").alias("number")), "number", "left_semi"), "items")
+    items = store(signed.select("number", "roots", "signature").join(sets.select(F.col("item").alias("number")), "number", "left_semi"), "items")
     labels = similarity_join(items, base.select("number", "text"))
     placed = store(sets.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn(
         "component", F.coalesce("component", "item")), "placed-sets")
