@@ -29,14 +29,12 @@ from tablegauge.llm.shingles import hash_words
 GAPS = np.ones(256, bool)  # bytes between terms; every byte of a character beyond ASCII belongs to a term
 for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     GAPS[_low:_high] = False
-# The same as patterns of a term and of a byte between terms.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 HASH_BYTES = 2 << 20  # text that is hashed at a time
 BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 1 << 14
 ROUND_TERMS = 200_000  # terms of the items of one round, which is what is broadcast at a time
-STATE_TERMS = 2_000_000  # occurrences of the terms of the items that descend together
+STATE_TERMS = 400_000  # occurrences of the terms of the items that descend together
 FIRST_BATCH = 32  # ranges of an item that are opened at a time until its first scores are known
 ONES = np.array([bin(b).count("1") for b in range(16)], np.int32)
 # Of a cell with these four bits, the place of a quadrant's cell among the children; -1 if it is empty.
@@ -226,8 +224,20 @@ INDEX = "terms binary, place binary, counts binary, height bigint, bits binary,
 
 def corpus_size(df: DataFrame, text: str) -> tuple[int, int]:
     """How many documents hold a term, and how many terms they hold in all."""
-    n = df.select(F.regexp_count(col(text).cast("string"), F.lit(TERM)).cast("bigint").alias("n"))
-    row = n.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents = total = 0
+        for batch in batches:
+            for part in slices(batch, 0):
+                raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(0).to_pylist()]
+                data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
+                begins = GAPS[data[:-1]] & ~GAPS[data[1:]]
+                starts = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
+                n = np.add.reduceat(begins, starts, dtype=np.int64)
+                documents, total = documents + int((n > 0).sum()), total + int(n.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([documents]), pa.array([total])], names=["documents", "total"])
+
+    counted = with_workers(df.select(col(text).cast("string").alias("text"))).mapInArrow(run, "documents bigint, total bigint")
+    row = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in counted.columns]).first()
     return row[0], row[1]
 
 
@@ -262,7 +272,8 @@ def build_index(df: DataFrame, text: str, ident: str, documents: int, total: int
         if held:
             yield block(held)
 
-    return store(with_workers(source).mapInArrow(run, out), "treaps")
+    # A block to a row group, so that readers hold one block at a time.
+    return store(with_workers(source).mapInArrow(run, out), "treaps", **{"parquet.block.size": str(BLOCK_BYTES)})
 
 
 def query_terms(items: DataFrame, text: str, ident: str) -> DataFrame:

@@ -8,9 +8,10 @@ from collections import Counter
 import numpy as np
 
 from tablegauge.llm import lexical
-from tablegauge.llm.lexical import TERM, Treap, descend, ranked_search, term_hashes
+from tablegauge.llm.lexical import Treap, descend, ranked_search, term_hashes
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ITEMS = "item_id bigint, text string"
 
 
