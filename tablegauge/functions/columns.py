@@ -14,6 +14,22 @@ TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 FLOATING = (T.FloatType, T.DoubleType)
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(taken: Sequence[str], *wanted: str) -> list[str]:
+    """The wanted names, lengthened where a column already has one (names are compared as Spark does, without case)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     """Numeric columns in schema order (booleans are not numeric)."""
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
@@ -37,7 +53,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     if not floating:
         return df
     return df.select(*[
-        F.when(~F.isnan(c), F.col(c)).alias(c) if c in floating else F.col(c)
+        F.when(~F.isnan(col(c)), col(c)).alias(c) if c in floating else col(c)
         for c in df.columns
     ])
 
@@ -46,16 +62,16 @@ def as_text(df: DataFrame, name: str) -> Column:
     """Text form of a column for value counting; 0.0 and -0.0 are one value."""
     kind = df.schema[name].dataType
     if isinstance(kind, FLOATING):
-        return (F.col(name) + F.lit(0.0)).cast("string")
+        return (col(name) + F.lit(0.0)).cast("string")
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(F.struct(F.col(name)))
-    return F.col(name).cast("string")
+        return F.to_json(F.struct(col(name)))
+    return col(name).cast("string")
 
 
 def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows of (column_name, value) with every value as text."""
     texts = df.select(*[as_text(df, c).alias(c) for c in cols])
-    return texts.unpivot([], list(cols), "column_name", "value")
+    return texts.unpivot([], [col(c) for c in cols], "column_name", "value")
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -102,9 +118,9 @@ def column_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         families.setdefault(_family(df.schema[c].dataType), []).append(c)
     parts = []
     for kind, names in families.items():
-        typed = df.select(*[(as_text(df, c) if kind == "string" else F.col(c).cast(kind)).alias(c) for c in names])
+        typed = df.select(*[(as_text(df, c) if kind == "string" else col(c).cast(kind)).alias(c) for c in names])
         parts.append(
-            typed.unpivot([], names, "column_name", "value").filter(F.col("value").isNotNull())
+            typed.unpivot([], [col(c) for c in names], "column_name", "value").filter(F.col("value").isNotNull())
             .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("column_name").agg(
                 F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("value_count"), F.max("n").alias("top_count")))
@@ -127,16 +143,29 @@ def one_row_to_long(row: DataFrame, structs: Sequence[Column], schema: str) -> D
 
 
 def order_key(order_by: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order_by])
+    return F.struct(*[col(c) for c in order_by])
 
 
 def first_value(name: str, order_by: Sequence[str]) -> Column:
     """Value in the first row of the order, as an aggregate (no sort, no window)."""
-    return F.min_by(F.col(name), order_key(order_by))
+    return F.min_by(col(name), order_key(order_by))
 
 
 def last_value(name: str, order_by: Sequence[str]) -> Column:
-    return F.max_by(F.col(name), order_key(order_by))
+    return F.max_by(col(name), order_key(order_by))
+
+
+def ordered_partitions(df: DataFrame, order_by: Sequence[str | Column], part: str, place: str) -> DataFrame:
+    """The rows sorted across tasks by a range shuffle, with the number of their task and their 0-based place in it.
+
+    The row's own input position is the last sort key, hence equal keys spread over several tasks instead of filling one.
+    Count and use the places in one execution, or store the result first: the ranges come from a sample.
+    """
+    tie, = free_names([*df.columns, part, place], "_tie")
+    keys = [*[col(c) if isinstance(c, str) else c for c in order_by], F.col(tie)]
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return (df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+            .select(*[col(c) for c in df.columns], F.spark_partition_id().alias(part), within.alias(place)))
 
 
 def with_row_index(df: DataFrame, order_by: Sequence[str | Column], index: str = "row_index") -> DataFrame:
@@ -147,20 +176,13 @@ def with_row_index(df: DataFrame, order_by: Sequence[str | Column], index: str =
     the same data. The row's own input position is the last sort key, hence
     equal keys spread over several tasks instead of filling one.
     """
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    keys = [*order_by, "_tie"]
-    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ranged = (
-        tied.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .select(*df.columns, F.spark_partition_id().alias("_part"), within.alias("_pos"))
-    )
-    stored = materialize(ranged, "row-index")
+    part, pos, start = free_names([*df.columns, index], "_part", "_pos", "_start")
+    own = [col(c) for c in df.columns]
+    stored = materialize(ordered_partitions(df, order_by, part, pos), "row-index")
     # One row per shuffle partition, so this window and broadcast stay small.
-    starts = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_part",
+    starts = stored.groupBy(part).agg(F.count(F.lit(1)).alias(start)).select(
+        part,
         F.coalesce(
-            F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0)).alias("_start"))
-    return stored.join(F.broadcast(starts), "_part").select(
-        *df.columns, (F.col("_start") + F.col("_pos")).alias(index))
+            F.sum(start).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0)).alias(start))
+    return stored.join(F.broadcast(starts), part).select(*own, (col(start) + col(pos)).alias(index))

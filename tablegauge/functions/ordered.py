@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablegauge.functions.columns import col
+
 BLOCK_ROWS = 1_000_000
 
 
@@ -21,8 +23,8 @@ def with_halo(indexed: DataFrame, reach: int, index: str = "row_index", block: i
     everything they need. Drop the ``_halo`` rows afterwards."""
     if reach > block:
         raise ValueError("reach must not exceed the block size")
-    own = F.floor(F.col(index) / block).cast("bigint")
-    tail = F.pmod(F.col(index), F.lit(block)) >= block - reach
+    own = F.floor(col(index) / block).cast("bigint")
+    tail = F.pmod(col(index), F.lit(block)) >= block - reach
     copies = F.when(tail, F.array(
         F.struct(own.alias("_block"), F.lit(False).alias("_halo")),
         F.struct((own + 1).alias("_block"), F.lit(True).alias("_halo")),
@@ -42,12 +44,12 @@ def running_total(indexed: DataFrame, totals: dict[str, str], keys: Sequence[str
     Sums run within a block; what came before is added from the table of block
     totals, which has one row per block and key.
     """
-    cut = indexed.withColumn("_block", F.floor(F.col(index) / block).cast("bigint"))
+    cut = indexed.withColumn("_block", F.floor(col(index) / block).cast("bigint"))
     inner = Window.partitionBy("_block", *keys).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy("_block", *keys).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
+    sums = cut.groupBy("_block", *keys).agg(*[F.sum(col(c)).alias(f"_t_{n}") for n, c in totals.items()])
     starts = sums.select("_block", *keys, *[
         F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in totals])
-    summed = cut.withColumns({f"_i_{n}": F.sum(c).over(inner) for n, c in totals.items()})
+    summed = cut.withColumns({f"_i_{n}": F.sum(col(c)).over(inner) for n, c in totals.items()})
     return summed.join(starts, ["_block", *keys]).select(
         *indexed.columns, *[(F.col(f"_i_{n}") + F.col(f"_s_{n}")).alias(n) for n in totals])

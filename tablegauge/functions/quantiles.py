@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablegauge.functions.columns import col
 from tablegauge.session import materialize
 
 ACCURACY = 10_000
@@ -104,7 +105,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     cols = list(cols)
     if not cols:
         return {}
-    numbers = {c: F.col(c).cast("double") for c in cols}
+    numbers = {c: col(c).cast("double") for c in cols}
     sizes = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(v).alias(f"n{i}") for i, v in enumerate(numbers.values())]).first()
     targets: dict[tuple[str, int], _Target] = {}
     for i, c in enumerate(cols):
@@ -142,7 +143,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 def _count_brackets(df: DataFrame, targets: list[_Target]) -> None:
     grouped, aggregates = _per_column(targets), {}
     for c, own in grouped.items():
-        v = F.col(c).cast("double")
+        v = col(c).cast("double")
         aggregates[c] = []
         for t in own:
             aggregates[c] += [F.count_if(v < t.low), F.count_if(v == t.low)]
@@ -201,7 +202,7 @@ def _narrow(df: DataFrame, targets: list[_Target], sample_rows: int) -> None:
     part, margin = _sample(df, total, math.ceil(sample_rows * total / fewest), sample_rows, seed=13)
     grouped, aggregates = _per_column(targets), {}
     for c, own in grouped.items():
-        v = F.col(c).cast("double")
+        v = col(c).cast("double")
         aggregates[c] = []
         for t in own:
             start = t.below + t.at_low
@@ -225,7 +226,7 @@ def _inside(df: DataFrame, targets: list[_Target]) -> DataFrame:
     number = {id(t): i for i, t in enumerate(targets)}
     parts = []
     for c, own in _per_column(targets).items():
-        v = F.col(c).cast("double")
+        v = col(c).cast("double")
         inside = [(v > t.low) & (v < t.high) for t in own]
         wanted = inside[0]
         for more in inside[1:]:

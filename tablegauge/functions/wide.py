@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import first_value, last_value
+from tablegauge.functions.columns import col, first_value, last_value
 from tablegauge.functions.quantiles import outside
 
 
@@ -20,17 +20,17 @@ class WideStats:
         self._names: dict[tuple[str, str], str] = {}
         position = {c: i for i, c in enumerate(df.columns)}
         makers = {
-            "missing": lambda c: F.count_if(F.col(c).isNull()),
-            "mean": lambda c: F.avg(c),
-            "std": lambda c: F.stddev_samp(c),
-            "min": lambda c: F.min(F.col(c)).cast("double"),
-            "max": lambda c: F.max(F.col(c)).cast("double"),
+            "missing": lambda c: F.count_if(col(c).isNull()),
+            "mean": lambda c: F.avg(col(c)),
+            "std": lambda c: F.stddev_samp(col(c)),
+            "min": lambda c: F.min(col(c)).cast("double"),
+            "max": lambda c: F.max(col(c)).cast("double"),
             "first": lambda c: first_value(c, order_by).cast("double"),
             "last": lambda c: last_value(c, order_by).cast("double"),
-            "outliers": lambda c: F.count_if(outside(F.col(c), bounds[c])),
-            "negative": lambda c: F.count_if(F.col(c) < 0),
+            "outliers": lambda c: F.count_if(outside(col(c), bounds[c])),
+            "negative": lambda c: F.count_if(col(c) < 0),
             # One value and no more: cheaper than counting distinct values.
-            "constant": lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(False)),
+            "constant": lambda c: F.coalesce(F.min(col(c)) == F.max(col(c)), F.lit(False)),
         }
         aggs = [F.count(F.lit(1)).alias("n"), *extra]
         for stat, cols in wanted.items():
@@ -67,7 +67,7 @@ def correlation(a: str, b: str, complete: bool = False) -> Column:
     ``complete``, deviations are per column and shared by all pairs of one
     aggregate.
     """
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    x, y = col(a).cast("double"), col(b).cast("double")
     if complete:
         return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
     return F.try_divide(F.regr_sxy(x, y), F.sqrt(F.regr_sxx(x, y)) * F.sqrt(F.regr_syy(x, y)))

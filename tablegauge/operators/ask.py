@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.functions.columns import (
-    nan_to_null, non_numeric_columns, numeric_columns, one_row_to_long, with_row_index)
+    col, nan_to_null, non_numeric_columns, numeric_columns, one_row_to_long, ordered_partitions)
 from tablegauge.functions.quantiles import exact_quantiles, iqr_bounds
 from tablegauge.functions.wide import WideStats, mean_of, names_where, numbered
 from tablegauge.operators.insights import half_means, pair_correlations, percent_change
@@ -107,7 +107,7 @@ def trend_bands(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     df = nan_to_null(df)
     cols = numeric_columns(df)
     kept = list(dict.fromkeys([*order_by, *cols]))
-    row = half_means(with_row_index(df.select(*kept), order_by), cols, df.count()).filter("n > 1")
+    row = half_means(df.select(*map(col, kept)), order_by, cols, df.count()).filter("n > 1")
     structs = []
     for i, c in enumerate(cols):
         change = percent_change(F.col(f"first{i}"), F.col(f"last{i}"), F.col("n"))
@@ -212,11 +212,24 @@ def linear_projection(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     df = nan_to_null(df)
     cols = numeric_columns(df)
     kept = list(dict.fromkeys([*order_by, *cols]))
-    indexed = with_row_index(df.select(*kept), order_by)
+    # Sums per sorted partition with places from its beginning, in one pass; what comes before is added to them after.
+    at, part = F.col("_at").cast("double"), F.col("_part")
+    placed = ordered_partitions(df.select(*map(col, kept)), order_by, "_part", "_at")
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(cols):
-        aggs += [F.regr_slope(F.col(c).cast("double"), F.col("row_index").cast("double")).alias(f"slope{i}"),
-                 F.max_by(F.col(c).cast("double"), "row_index").alias(f"last{i}")]
+        y = col(c).cast("double")
+        x = F.when(y.isNotNull(), at)
+        aggs += [F.count(y).alias(f"k{i}"), F.sum(y).alias(f"y{i}"), F.sum(x).alias(f"x{i}"), F.sum(x * x).alias(f"xx{i}"),
+                 F.sum(x * y).alias(f"xy{i}"), F.max_by(y, "_at").alias(f"last{i}")]
+    # One row per shuffle partition from here on.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = placed.groupBy("_part").agg(*aggs).withColumn("d", before - (F.lit(df.count()) - 1) / 2)
+    d, aggs = F.col("d"), [F.sum("n").alias("n")]
+    for i in range(len(cols)):
+        k, x, y, xx, xy = (F.col(f"{v}{i}") for v in ("k", "x", "y", "xx", "xy"))
+        n, sx, sy = F.sum(k), F.sum(x + k * d), F.sum(y)
+        rise, run = F.sum(xy + d * y) - sx * F.try_divide(sy, n), F.sum(xx + 2 * d * x + k * d * d) - sx * F.try_divide(sx, n)
+        aggs += [F.try_divide(rise, F.when(n > 1, run)).alias(f"slope{i}"), F.max_by(f"last{i}", "_part").alias(f"last{i}")]
     structs = []
     for i, c in enumerate(cols):
         slope, last = F.col(f"slope{i}"), F.col(f"last{i}")
@@ -224,7 +237,7 @@ def linear_projection(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
             F.lit(c).alias("column_name"), slope.alias("slope"), (last + slope).alias("next_value"),
             F.when(last != 0, slope / last * 100).otherwise(0.0).alias("change_percent"),
             F.when(slope > 0, "increase").otherwise("decrease").alias("direction")))
-    return one_row_to_long(indexed.agg(*aggs).filter("n > 1"), structs,
+    return one_row_to_long(sums.agg(*aggs).filter("n > 1"), structs,
                            "column_name string, slope double, next_value double, change_percent double, direction string")
 
 

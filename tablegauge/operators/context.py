@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import with_row_index
+from tablegauge.functions.columns import col, with_row_index
 from tablegauge.session import materialize
 
 # Bounds and marks of texts prepared for summarizing.
@@ -44,10 +44,10 @@ def duplicate_documents(docs: DataFrame, key: str = "doc_id", text: str = "text"
     the kept id comes back by joining on the digest, so a text that makes up a
     third of the table is never gathered.
     """
-    hashed = docs.select(key, F.sha2(F.col(text), 256).alias("sha256"))
+    hashed = docs.select(key, F.sha2(col(text), 256).alias("sha256"))
     groups = hashed.groupBy("sha256").agg(F.min(key).alias("keeper_id"), F.count(F.lit(1)).alias("copies"))
     return hashed.join(groups.filter("copies > 1"), "sha256").select(
-        key, "sha256", "keeper_id", "copies", (F.col(key) != F.col("keeper_id")).alias("is_duplicate"))
+        key, "sha256", "keeper_id", "copies", (col(key) != F.col("keeper_id")).alias("is_duplicate"))
 
 
 def prepare_summary_inputs(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -56,7 +56,7 @@ def prepare_summary_inputs(docs: DataFrame, text: str = "text") -> DataFrame:
     Parts have up to 3,000 characters and together cover the whole text. Texts
     too short to be summarized have one row with NULL in both columns.
     """
-    t = F.col(text)
+    t = col(text)
     parts = F.when(F.length(F.trim(t, F.lit(WHITESPACE))) >= MIN_CHARACTERS,
                    F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PART_CHARACTERS}}}"), F.lit(0)))
     return docs.select("*", F.posexplode_outer(parts).alias("part", "summary_input"))
@@ -158,7 +158,7 @@ def extract_json(df: DataFrame, text: str) -> DataFrame:
     last matching one. ``json`` is NULL where that does not parse, and then
     ``key_insights`` has all lines of more than 20 characters.
     """
-    trimmed = F.trim(F.col(text), F.lit(WHITESPACE))
+    trimmed = F.trim(col(text), F.lit(WHITESPACE))
     block = F.regexp_extract(trimmed, FENCED_JSON, 1)
     body = F.when(block != "", block).otherwise(trimmed)
     brace, bracket = F.instr(body, "{"), F.instr(body, "[")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import with_row_index
+from tablegauge.functions.columns import col, with_row_index
 from tablegauge.functions.ordered import BLOCK_ROWS, back_window, running_total, with_halo
 
 TITLE_LENGTH = 50
@@ -16,7 +16,7 @@ def list_conversations(conversations: DataFrame, messages: DataFrame, key: str =
     """Conversations with their number of messages, newest first."""
     counts = messages.groupBy(key).agg(F.count(F.lit(1)).alias("message_count"))
     return conversations.join(counts, key, "left").withColumn(
-        "message_count", F.coalesce("message_count", F.lit(0).cast("bigint"))).orderBy(F.col(at).desc(), key)
+        "message_count", F.coalesce("message_count", F.lit(0).cast("bigint"))).orderBy(col(at).desc(), key)
 
 
 def threads(messages: DataFrame, key: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -42,7 +42,7 @@ def role_runs(messages: DataFrame, key: str = "conv_id", turn: str = "turn", rol
     w = back_window((key,))
     starts = (
         with_halo(indexed, 1, block=block)
-        .withColumn("_start", F.when(F.lag(role).over(w).eqNullSafe(F.col(role)), 0).otherwise(1))
+        .withColumn("_start", F.when(F.lag(role).over(w).eqNullSafe(col(role)), 0).otherwise(1))
         .filter(~F.col("_halo")).drop("_halo", "_block"))
     runs = running_total(starts, {"run": "_start"}, block=block)
     grouped = runs.groupBy(key, "run", role).agg(

@@ -4,6 +4,7 @@ trends, change points, seasons, segments."""
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.ml.clustering import KMeans
@@ -12,11 +13,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import nan_to_null, numeric_columns, one_row_to_long
+from tablegauge.functions.columns import as_text, col, nan_to_null, numeric_columns, one_row_to_long, value_counts, with_row_index
+from tablegauge.functions.ordered import back_window, running_total, with_halo
 from tablegauge.functions.quantiles import iqr_bounds, outside
 from tablegauge.functions.wide import correlation
 from tablegauge.operators.evaluate import spearman
 from tablegauge.operators.quality import duplicate_rows
+from tablegauge.session import materialize
 
 
 def severity(rate: Column) -> Column:
@@ -41,7 +44,7 @@ def quality_rules(df: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
         elif kind == "schema_mismatch":
             broken = F.when(F.lit(kinds.get(c) != rule["type"]), F.col("n")).otherwise(F.lit(0))
         else:
-            value = F.col(c)
+            value = col(c)
             bad = {
                 "missing_data": lambda: value.isNull(),
                 "invalid_values": lambda: ~value.isin(*rule["allowed"]),
@@ -68,8 +71,8 @@ def outlier_magnitude(df: DataFrame) -> DataFrame:
     bounds, q = iqr_bounds(df, cols, probs=(0.25, 0.5, 0.75))
     aggs, structs = [F.count(F.lit(1)).alias("n")], []
     for i, c in enumerate(cols):
-        out = outside(F.col(c), bounds[c])
-        aggs += [F.count_if(out).alias(f"k{i}"), F.max(F.when(out, F.abs(F.col(c).cast("double")))).alias(f"m{i}")]
+        out = outside(col(c), bounds[c])
+        aggs += [F.count_if(out).alias(f"k{i}"), F.max(F.when(out, F.abs(col(c).cast("double")))).alias(f"m{i}")]
         structs.append(F.struct(
             F.lit(c).alias("column_name"), F.col(f"k{i}").alias("outlier_count"),
             F.try_divide(F.col(f"k{i}"), F.col("n")).alias("frequency"),
@@ -83,7 +86,7 @@ def category_surprise(df: DataFrame, column: str, is_reference: Column) -> DataF
 
     Both windows are counted in one pass per category.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(
+    counts = df.filter(col(column).isNotNull()).groupBy(column).agg(
         F.count_if(is_reference).alias("_ref"), F.count_if(~is_reference).alias("row_count"))
     return counts.filter("_ref = 0 AND row_count > 0").select(column, "row_count")
 
@@ -125,7 +128,7 @@ def correlation_kinds(df: DataFrame, pairs: Sequence[tuple[str, str]], gap: floa
 
 def segment_difference(df: DataFrame, group: str, value: str) -> DataFrame:
     """η²: the share of the value's variance that lies between the groups."""
-    stats = df.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("_group")).agg(
+    stats = df.filter(col(value).isNotNull()).groupBy(col(group).alias("_group")).agg(
         F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
     n, m = F.col("n"), F.col("m")
     row = stats.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum(n * m).alias("s"),
@@ -137,7 +140,7 @@ def segment_difference(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def categorical_association(df: DataFrame, a: str, b: str) -> DataFrame:
     """Cramér's V from contingency counts."""
-    cells = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).dropna().groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("n"))
+    cells = df.select(col(a).alias("_a"), col(b).alias("_b")).dropna().groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("n"))
     rows = cells.groupBy("_a").agg(F.sum("n").alias("r"))
     cols = cells.groupBy("_b").agg(F.sum("n").alias("c"))
     joined = cells.join(rows, "_a").join(cols, "_b")
@@ -181,22 +184,113 @@ def change_point(series: DataFrame, min_side: int = 5) -> DataFrame:
                               F.struct("error_reduction", -F.col("k"))).alias("b")).select("b.*")
 
 
-def autocorrelations(series: DataFrame, max_lag: int | None = None) -> DataFrame:
-    """(lag, autocorrelation) of a bucketed series for lags from 2 to half its length."""
-    n = series.count()
-    top = max_lag or n // 2
-    indexed = series.select(F.row_number().over(Window.orderBy("bucket")).alias("i"),
-                            (F.col("value") - F.avg("value").over(Window.partitionBy())).alias("x"))
-    total = indexed.agg(F.sum(F.col("x") * F.col("x"))).scalar()
-    shifted = indexed.select(F.explode(F.sequence(F.lit(2), F.lit(top))).alias("lag"), "i", F.col("x").alias("y")).withColumn(
-        "i", F.col("i") + F.col("lag"))
-    return shifted.join(indexed, "i").groupBy("lag").agg(
-        F.sum(F.col("x") * F.col("y")).alias("s")).select("lag", F.try_divide(F.col("s"), total).alias("autocorrelation"))
+SEGMENT_BLOCK = 1 << 16  # rows of a block of the index when segments are joined to their points
 
 
-def seasonality(series: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The lag with the highest autocorrelation, seasonal if above the threshold."""
-    best = autocorrelations(series).agg(F.max_by(
+def prefix_sums(series: DataFrame) -> DataFrame:
+    """Stored rows (i, bucket, s, block) of a bucketed series in order: i values up to here sum to s, and (0, null, 0)."""
+    value = F.coalesce(F.col("value").cast("double"), F.lit(0.0))
+    indexed = with_row_index(series.select("bucket", value.alias("v")), ["bucket"], "i")
+    summed = running_total(indexed, {"s": "v"}, index="i").select((F.col("i") + 1).alias("i"), "bucket", "s")
+    # The row before the first makes every side of a split a difference of two sums.
+    begin = summed.filter("i = 1").select(F.lit(0).cast("bigint").alias("i"), F.lit(None).cast(series.schema["bucket"].dataType).alias("bucket"),
+                                          F.lit(0.0).alias("s"))
+    return materialize(begin.unionByName(summed).withColumn("block", F.floor(F.col("i") / SEGMENT_BLOCK).cast("bigint")), "prefix-sums")
+
+
+def noise(series: DataFrame) -> Column:
+    """Half the mean squared step between neighbouring buckets: a variance that level shifts hardly change."""
+    indexed = with_row_index(series.select(F.col("value").cast("double").alias("v"), "bucket"), ["bucket"], "i")
+    steps = with_halo(indexed, 1, "i").withColumn("step", F.col("v") - F.lag("v").over(back_window(index="i"))).filter("NOT _halo")
+    return steps.agg(F.avg(F.col("step") * F.col("step")) / 2).scalar()
+
+
+def change_points(series: DataFrame, penalty: float = 3.0, min_side: int = 5) -> DataFrame:
+    """All level shifts of a bucketed series by binary segmentation, one row per accepted split.
+
+    Every segment is split where that lowers the squared error most, if the drop exceeds ``penalty`` times the noise times
+    ln(number of buckets); both sides go on in the next round, until no segment has such a split. Both sides of a split have
+    at least ``min_side`` buckets; of equal drops the earliest counts. Returns ``bucket`` (the last one of the old level),
+    ``position`` (buckets up to it), ``segment_start`` and ``segment_end`` (positions around the split segment),
+    ``mean_before``, ``mean_after`` (within that segment), ``error_reduction`` and ``round``.
+
+    A round reads the points of segments that are still open, joined to their segment by blocks of the index. A null value
+    counts as 0. A series shorter than twice ``min_side`` has no split.
+    """
+    sums = prefix_sums(series)
+    spark = series.sparkSession
+    bar = materialize(sums.agg((F.lit(penalty) * F.log(F.max("i")) * noise(series)).alias("bar")), "bar").scalar()
+    open_ = sums.agg(F.max("i").alias("hi"), F.max_by("s", "i").alias("s_hi")).filter("hi > 0").select(
+        F.lit(0).cast("bigint").alias("lo"), "hi", F.lit(0.0).alias("s_lo"), "s_hi")
+    kind = series.schema["bucket"].dataType.simpleString()
+    found = spark.createDataFrame([], f"bucket {kind}, position bigint, segment_start bigint, segment_end bigint, mean_before double, "
+                                      "mean_after double, error_reduction double, round int")
+    turn = 0
+    while not open_.isEmpty():
+        turn += 1
+        # One row per block that a segment reaches, so all segments together have few more rows than there are blocks.
+        spread = open_.withColumn("block", F.explode(F.sequence(
+            F.floor(F.col("lo") / SEGMENT_BLOCK).cast("bigint"), F.floor(F.col("hi") / SEGMENT_BLOCK).cast("bigint"))))
+        k, rest = F.col("i") - F.col("lo"), F.col("hi") - F.col("i")
+        before, after = (F.col("s") - F.col("s_lo")) / k, (F.col("s_hi") - F.col("s")) / rest
+        points = sums.join(spread, "block").filter((k >= min_side) & (rest >= min_side)).select(
+            "lo", "hi", "s_lo", "s_hi", "i", "s", "bucket", before.alias("before"), after.alias("after"),
+            (k * rest / (F.col("hi") - F.col("lo")) * F.pow(before - after, F.lit(2))).alias("gain"))
+        best = points.groupBy("lo", "hi", "s_lo", "s_hi").agg(
+            F.max_by(F.struct("i", "s", "bucket", "before", "after", "gain"), F.struct("gain", -F.col("i"))).alias("b"))
+        splits = materialize(best.filter(F.col("b.gain") > bar).select(
+            "lo", "hi", "s_lo", "s_hi", "b.*"), "splits")
+        found = found.unionByName(splits.select(
+            "bucket", F.col("i").alias("position"), F.col("lo").alias("segment_start"), F.col("hi").alias("segment_end"),
+            F.col("before").alias("mean_before"), F.col("after").alias("mean_after"), F.col("gain").alias("error_reduction"),
+            F.lit(turn).alias("round")))
+        open_ = splits.select(F.inline(F.array(
+            F.struct("lo", F.col("i").alias("hi"), "s_lo", F.col("s").alias("s_hi")),
+            F.struct(F.col("i").alias("lo"), "hi", F.col("s").alias("s_lo"), "s_hi"))))
+    return found
+
+
+SERIES_BLOCK = 1 << 12  # values of a block of a series
+MAX_LAG = 1000
+
+
+def block_autocorrelations(series: DataFrame, lags: Sequence[int] | None = None, block: int = SERIES_BLOCK) -> DataFrame:
+    """(lag, autocorrelation) of a bucketed series for the candidate lags, by default from 2 to ``MAX_LAG`` or half its length.
+
+    The series is cut into blocks of the row index, one row each. A lag of q blocks and a rest needs a block next to its
+    q-th and (q + 1)-th successor only, so candidates with one q share one pass, and rows and bytes follow the series times
+    the number of different q. Missing values leave their products out; a lag as long as the series has no row.
+    """
+    lags = sorted(set(lags)) if lags is not None else range(2, min(series.count() // 2, MAX_LAG) + 1)
+    if not lags:
+        return series.sparkSession.createDataFrame([], "lag int, autocorrelation double")
+    mean = series.agg(F.avg(F.col("value").cast("double"))).scalar()
+    indexed = with_row_index(series.select("bucket", (F.col("value").cast("double") - mean).alias("x")), ["bucket"], "i")
+    blocks = materialize(indexed.groupBy(F.floor(F.col("i") / block).alias("b")).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("xs")), "series-blocks")
+    total = blocks.select(F.aggregate("xs", F.lit(0.0), lambda a, x: a + F.coalesce(x * x, F.lit(0.0))).alias("t")).agg(F.sum("t")).scalar()
+    far: dict[int, list[int]] = {}
+    for lag in lags:
+        far.setdefault(lag // block, []).append(lag)
+    steps = [F.struct(F.lit(q).cast("bigint").alias("q"), F.array(*map(F.lit, of)).alias("lags")) for q, of in far.items()]
+    later = blocks.select(F.col("b").alias("later"), F.col("xs").alias("ys"))
+    pairs = blocks.select("b", "xs", F.inline(F.array(*steps))).withColumn("later", F.col("b") + F.col("q")).join(later, "later").withColumn(
+        "later", F.col("later") + 1).join(later.select("later", F.col("ys").alias("zs")), "later", "left").select(
+        "q", "lags", "xs", F.concat("ys", F.coalesce("zs", F.array().cast("array<double>"))).alias("ys"))
+
+    def product(lag: Column) -> Column:
+        first = (lag - F.col("q") * block + 1).cast("int")
+        shifted = F.slice("ys", first, F.size("xs"))
+        return F.when(F.size("ys") >= first, F.aggregate(F.zip_with("xs", shifted, lambda x, y: x * y), F.lit(0.0), lambda a, p: a + F.coalesce(p, F.lit(0.0))))
+
+    sums = pairs.select(F.inline(F.arrays_zip("lags", F.transform("lags", lambda lag: product(lag.cast("int"))).alias("s"))))
+    return sums.toDF("lag", "s").groupBy("lag").agg(F.sum("s").alias("s")).filter("s IS NOT NULL").select(
+        "lag", F.try_divide("s", total).alias("autocorrelation"))
+
+
+def seasonality(series: DataFrame, threshold: float = 0.5, lags: Sequence[int] | None = None) -> DataFrame:
+    """The candidate lag with the highest autocorrelation, seasonal if above the threshold (see ``block_autocorrelations``)."""
+    best = block_autocorrelations(series, lags).agg(F.max_by(
         F.struct("lag", "autocorrelation"), F.struct(F.round("autocorrelation", 9), -F.col("lag"))).alias("b")).select("b.*")
     return best.withColumn("is_seasonal", F.col("autocorrelation") > threshold)
 
@@ -214,7 +308,7 @@ def clusters(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 7) -> D
     """
     full = nan_to_null(df.select(*cols)).dropna()
     assembled = VectorAssembler(inputCols=list(cols), outputCol="raw").transform(
-        full.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+        full.select(*[col(c).cast("double").alias(c) for c in cols]))
     scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(assembled)
     scaled = scaler.transform(assembled).select("scaled")
     model = KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster").fit(scaled)
@@ -233,7 +327,7 @@ def frequent_combinations(df: DataFrame, cols: Sequence[str], min_support: float
 
     All column pairs are counted in one grouping-sets pass.
     """
-    texts = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    texts = df.select(*[col(c).cast("string").alias(c) for c in cols])
     pairs = list(combinations(cols, 2))
     counted = texts.groupingSets([list(p) for p in pairs], *cols).agg(
         F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_g"))
@@ -243,19 +337,85 @@ def frequent_combinations(df: DataFrame, cols: Sequence[str], min_support: float
         for c in (a, b):
             mask -= 1 << (width - 1 - list(cols).index(c))
         entry = entry.when(F.col("_g") == mask, F.struct(
-            F.lit(a).alias("column1"), F.col(a).alias("value1"), F.lit(b).alias("column2"), F.col(b).alias("value2")))
+            F.lit(a).alias("column1"), col(a).alias("value1"), F.lit(b).alias("column2"), col(b).alias("value2")))
     total = df.agg(F.count(F.lit(1))).scalar()
     found = counted.select(entry.alias("e"), F.col("_n").alias("n"), F.try_divide("_n", total).alias("support"))
     return found.select("e.*", "n", "support").filter(
         (F.col("support") >= min_support) & F.col("value1").isNotNull() & F.col("value2").isNotNull())
 
 
+PASS_SETS = 100  # column sets that one pass counts
+
+
+def frequent_itemsets(df: DataFrame, cols: Sequence[str], min_support: float = 0.01, least_size: int = 2) -> DataFrame:
+    """Combinations of values of any number of columns that occur in at least the given share of rows, level by level.
+
+    Values that are not frequent alone become null, and rows that are then equal are counted as one. A level counts the
+    combinations one column wider of which all parts are frequent, for all column sets in one pass (one per ``PASS_SETS``
+    sets); the search ends at a level without frequent combinations. A set of columns has at most 1 / ``min_support``
+    frequent combinations, which bounds what the driver and the joins hold. Missing values belong to no combination.
+
+    Returns ``size``, ``columns`` and ``combination`` ("column=value" in column order, joined by " & "), ``n`` and
+    ``support``, for combinations of at least ``least_size`` columns.
+    """
+    if not 0 < min_support <= 1:
+        raise ValueError("min_support must be above 0 and at most 1")
+    schema = "size int, columns string, combination string, n bigint, support double"
+    df, spark = nan_to_null(df.select(*[col(c) for c in cols])), df.sparkSession
+    total = df.count()
+    if not total or not cols:
+        return spark.createDataFrame([], schema)
+    floor = min_support * total
+    counted = value_counts(df, cols).filter(F.col("n") >= floor)
+    codes = materialize(counted.withColumn("code", F.row_number().over(
+        Window.partitionBy("column_name").orderBy("value")).cast("string")), "frequent-values")
+    coded, place = df.select(*[as_text(df, c).alias(f"c{i}") for i, c in enumerate(cols)]), {c: i for i, c in enumerate(cols)}
+    for c, i in place.items():  # at most 1 / min_support rows each
+        own = codes.filter(F.col("column_name") == c).select(F.col("value").alias(f"c{i}"), F.col("code").alias(f"k{i}"))
+        coded = coded.join(F.broadcast(own), f"c{i}", "left").drop(f"c{i}")
+    keys = [f"k{i}" for i in range(len(cols))]
+    base = materialize(coded.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "coded-rows")
+
+    def code_of(part: Sequence[int]) -> Column:
+        return F.concat_ws(",", *[F.col(f"k{i}") for i in part])
+
+    found = [((place[r.column_name],), r.code, r.n) for r in codes.select("column_name", "code", "n").collect()]
+    everything, level = list(found), 1
+    while found:
+        level += 1
+        known: dict[tuple[int, ...], list[str]] = {}
+        for part, code, _ in found:
+            known.setdefault(part, []).append(code)
+        sets = sorted({tuple(sorted({*a, b[-1]})) for a in known for b in known if a[:-1] == b[:-1] and a[-1] < b[-1]})
+        sets = [s for s in sets if all(s[:i] + s[i + 1:] in known for i in range(level))]
+        found = []
+        for at in range(0, len(sets), PASS_SETS):
+            tried = [F.when(reduce(lambda x, y: x & y, [F.col(f"k{i}").isNotNull() for i in s] + [
+                code_of(s[:i] + s[i + 1:]).isin(known[s[:i] + s[i + 1:]]) for i in range(level)]),
+                F.struct(F.lit(j).alias("of"), code_of(s).alias("code"))) for j, s in enumerate(sets[at:at + PASS_SETS])]
+            seen = base.select(F.inline(F.filter(F.array(*tried), lambda t: t.isNotNull())), "n").groupBy("of", "code").agg(
+                F.sum("n").alias("n")).filter(F.col("n") >= floor)
+            found += [(sets[at + r.of], r.code, r.n) for r in seen.collect()]
+        everything += found
+    rows = [(k, len(part), ",".join(cols[i] for i in part), n, list(enumerate(zip((cols[i] for i in part), code.split(",")))))
+            for k, (part, code, n) in enumerate(everything) if len(part) >= least_size]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    table = spark.createDataFrame(
+        [(k, size, names, n, [(i, c, v) for i, (c, v) in parts]) for k, size, names, n, parts in rows],
+        "id int, size int, columns string, n bigint, parts array<struct<at: int, column_name: string, code: string>>")
+    named = table.select("id", F.inline("parts")).join(codes.select("column_name", "code", "value"), ["column_name", "code"])
+    texts = named.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+        "at", F.concat("column_name", F.lit("="), "value").alias("t")))), lambda t: t["t"]), " & ").alias("combination"))
+    return table.join(texts, "id").select("size", "columns", "combination", "n", (F.col("n") / F.lit(total)).alias("support"))
+
+
 def subpopulations(df: DataFrame, dimensions: Sequence[str], metric: str, min_share: float = 0.01,
                    min_z: float = 3.0) -> DataFrame:
     """All groups whose mean of the metric stands out from the whole table, the farthest first."""
-    m = F.col(metric)
+    m = col(metric)
     overall = df.agg(F.struct(F.count(m).alias("n"), F.avg(m).alias("mean"), F.stddev_samp(m).alias("std"))).scalar()
-    texts = df.select(m.alias("_m"), *[F.col(c).cast("string").alias(c) for c in dimensions])
+    texts = df.select(m.alias("_m"), *[col(c).cast("string").alias(c) for c in dimensions])
     grouped = texts.groupingSets([[c] for c in dimensions], *dimensions).agg(
         F.count("_m").alias("_n"), F.avg("_m").alias("_mean"), F.grouping_id().alias("_g")).withColumn("_o", overall)
     width, name = len(dimensions), F

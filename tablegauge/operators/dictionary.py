@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import nan_to_null, numeric_columns, temporal_columns, text_columns
+from tablegauge.functions.columns import col, nan_to_null, numeric_columns, temporal_columns, text_columns
 from tablegauge.operators.profile import profile_table
 
 KEY = ("database_name", "schema_name", "table_name", "column_name")
@@ -108,7 +108,7 @@ def active_entries(entries: DataFrame, database: str, schema: str, tables: Seque
 def version_history(entries: DataFrame, *key: str) -> DataFrame:
     """All versions of one column, newest first."""
     for name, value in zip(KEY, key):
-        entries = entries.filter(F.col(name) == value)
+        entries = entries.filter(col(name) == value)
     return entries.orderBy(F.col("version_number").desc())
 
 
@@ -243,7 +243,7 @@ def infer_relationships(tables: dict[str, tuple[DataFrame, Sequence[str]]], min_
     for table, (df, cols) in tables.items():
         for c in cols:
             parts.append(df.select(F.lit(table).alias("t"), F.lit(c).alias("c"),
-                                   F.col(c).cast("string").alias("v")))
+                                   col(c).cast("string").alias("v")))
     values = parts[0]
     for p in parts[1:]:
         values = values.unionByName(p)
@@ -280,8 +280,8 @@ def tag_columns(df: DataFrame, table: str) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(df.columns):
         if c in texts:
-            aggs += [F.avg(F.length(c)).alias(f"len{i}"),
-                     F.avg(F.regexp_like(F.col(c), F.lit(f"^{EMAIL_VALUE}$")).cast("int")).alias(f"mail{i}")]
+            aggs += [F.avg(F.length(col(c))).alias(f"len{i}"),
+                     F.avg(F.regexp_like(col(c), F.lit(f"^{EMAIL_VALUE}$")).cast("int")).alias(f"mail{i}")]
     row = df.agg(*aggs)
     kinds = [F.struct(
         F.lit(c).alias("column_name"), F.col("n"),

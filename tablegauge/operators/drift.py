@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import nan_to_null, one_row_to_long, with_row_index
+from tablegauge.functions.columns import col, nan_to_null, one_row_to_long, with_row_index
 from tablegauge.functions.ordered import running_total
 from tablegauge.functions.quantiles import exact_quantiles
 
@@ -30,8 +30,8 @@ def psi(df: DataFrame, features: Sequence[str], is_reference: Column, thresholds
     def bin_of(c: str) -> Column:
         number = F.lit(0)
         for e in edges[c]:
-            number = number + (F.col(c) > F.lit(e)).cast("int")
-        return F.when(F.col(c).isNotNull(), number)
+            number = number + (col(c) > F.lit(e)).cast("int")
+        return F.when(col(c).isNotNull(), number)
 
     # Each value's bin is worked out once; what is shuffled is one row per feature and bin.
     binned = df.select(is_reference.alias("_ref"), *[bin_of(c).alias(c) for c in features])
@@ -60,7 +60,7 @@ def ks(df: DataFrame, features: Sequence[str], is_reference: Column, threshold:
     features are then taken in blocks of one global order.
     """
     df = nan_to_null(df)
-    long = df.select(is_reference.alias("_ref"), *[F.col(c).cast("double").alias(c) for c in features]).unpivot(
+    long = df.select(is_reference.alias("_ref"), *[col(c).cast("double").alias(c) for c in features]).unpivot(
         ["_ref"], list(features), "feature", "value").filter(F.col("value").isNotNull())
     counts = long.groupBy("feature", "value").agg(
         F.count_if(F.col("_ref")).alias("ref"), F.count_if(~F.col("_ref")).alias("cur"))
@@ -117,10 +117,10 @@ def list_snapshots(snapshots: DataFrame, model: str) -> DataFrame:
 
 def run_timeline(events: DataFrame, run: str = "run_id", state: str = "state", at: str = "event_at") -> DataFrame:
     """Start, end, duration and outcome of each run from its state events."""
-    done = F.col(state).isin("succeeded", "failed")
+    done = col(state).isin("succeeded", "failed")
     return events.groupBy(run).agg(
-        F.min(F.when(F.col(state) == "running", F.col(at))).alias("started_at"),
-        F.max(F.when(done, F.col(at))).alias("finished_at"),
+        F.min(F.when(col(state) == "running", col(at))).alias("started_at"),
+        F.max(F.when(done, col(at))).alias("finished_at"),
         F.max_by(state, at).alias("status")).withColumn(
         "duration_seconds", F.timestamp_diff("SECOND", F.col("started_at"), F.col("finished_at")))
 

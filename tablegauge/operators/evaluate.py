@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import with_row_index
+from tablegauge.functions.columns import col, with_row_index
 from tablegauge.functions.ordered import running_total
+from tablegauge.functions.positions import boundaries, descending, mean_before, row_key
 from tablegauge.functions.quantiles import exact_quantiles
 from tablegauge.session import literal_table
 
@@ -93,7 +94,7 @@ def roll_up(results: DataFrame, keys: Sequence[str] = ("run_id", "pack")) -> Dat
 
 def latest_versions(versions: DataFrame, key: str, version: str = "version") -> DataFrame:
     rest = [c for c in versions.columns if c != key]
-    return versions.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("r")).select(key, "r.*")
+    return versions.groupBy(key).agg(F.max_by(F.struct(*rest), col(version)).alias("r")).select(key, "r.*")
 
 
 def regression_measures(y: Column, f: Column) -> dict[str, Column]:
@@ -109,12 +110,12 @@ def regression_measures(y: Column, f: Column) -> dict[str, Column]:
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
-    aggs = [m.alias(n) for n, m in regression_measures(F.col(y), F.col(yhat)).items()]
+    aggs = [m.alias(n) for n, m in regression_measures(col(y), col(yhat)).items()]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
 def interval_coverage(df: DataFrame, y: str, low: str, high: str) -> DataFrame:
-    inside = F.col(y).between(F.col(low), F.col(high))
+    inside = col(y).between(col(low), col(high))
     return df.agg(F.avg(inside.cast("int")).alias("coverage"))
 
 
@@ -131,7 +132,7 @@ def lift(df: DataFrame, treated: Column, revenue: Column, cost: Column) -> DataF
 
 def elasticity(df: DataFrame, by: Sequence[str], price: str, quantity: str) -> DataFrame:
     """Log-log slope of quantity on price per segment with at least two prices."""
-    p, q = F.col(price), F.col(quantity)
+    p, q = col(price), col(quantity)
     return df.filter((p > 0) & (q > 0)).groupBy(*by).agg(
         F.regr_slope(F.ln(q), F.ln(p)).alias("elasticity"), F.min(p).alias("_a"), F.max(p).alias("_z"),
         F.count(F.lit(1)).alias("observations")).filter("_a < _z").drop("_a", "_z")
@@ -150,7 +151,7 @@ def score_bins(df: DataFrame, score: str, bins: int = 10) -> DataFrame:
     edges = exact_quantiles(df, [score], [i / bins for i in range(1, bins)])
     number = F.lit(0)
     for e in edges[score]:
-        number = number + (F.col(score) > F.lit(e)).cast("int")
+        number = number + (col(score) > F.lit(e)).cast("int")
     return df.withColumn("bin", number)
 
 
@@ -166,24 +167,22 @@ def violation_rate(df: DataFrame, value: Column, low: Column, high: Column) -> D
 
 
 def uplift(df: DataFrame, treated: Column, outcome: str) -> DataFrame:
-    return df.agg((F.avg(F.when(treated, F.col(outcome))) - F.avg(F.when(~treated, F.col(outcome)))).alias("uplift"))
+    return df.agg((F.avg(F.when(treated, col(outcome))) - F.avg(F.when(~treated, col(outcome)))).alias("uplift"))
 
 
 def top_share_metrics(df: DataFrame, score: str, key: str, positive: str, share: float = 0.1, k: int = 100) -> DataFrame:
     """Precision in the top share, hit rate in the top k, lift of the top decile.
 
-    Order is by score downwards, then key; positions come from a distributed
-    sort.
+    Order is by score downwards, then key. The table is not sorted: three boundary keys tell which rows come first.
     """
     n = df.count()
-    named = df.select(F.col(score).alias("_score"), F.col(key).alias("_key"), F.col(positive).cast("double").alias("_y"))
-    ranked = with_row_index(named, [F.col("_score").desc(), F.col("_key")])
-    i, y = F.col("row_index"), F.col("_y")
-    top, decile = math.ceil(round(n * share, 6)), math.ceil(n / 10)
-    return ranked.agg(
-        F.avg(F.when(i < top, y)).alias("precision_at_share"),
-        F.avg(F.when(i < k, y)).alias("hit_rate_at_k"),
-        F.try_divide(F.avg(F.when(i < decile, y)), F.avg(y)).alias("lift_top_decile"))
+    named = df.select(col(score).alias("_score"), col(key).alias("_key"), col(positive).cast("double").alias("_y"))
+    place = row_key(named, [*descending(F.col("_score")), "_key"])
+    ends = (math.ceil(round(n * share, 6)), k, math.ceil(n / 10))
+    found = boundaries(named, place, ends, n)
+    top, first, decile = (mean_before(F.col("_y"), place, found.get(e)) if e else F.avg(F.lit(None).cast("double")) for e in ends)
+    return named.agg(top.alias("precision_at_share"), first.alias("hit_rate_at_k"),
+                     F.try_divide(decile, F.avg("_y")).alias("lift_top_decile"))
 
 
 def qini(df: DataFrame, score: str, treated: Column, outcome: str, bins: int = 10) -> DataFrame:
@@ -191,14 +190,14 @@ def qini(df: DataFrame, score: str, treated: Column, outcome: str, bins: int = 1
 
     Gain after a bin is Yt - Yc * Nt / Nc over all rows scored at least that high.
     """
-    y = F.col(outcome)
+    y = col(outcome)
     binned = score_bins(df, score, bins).groupBy("bin").agg(
         F.sum(F.when(treated, y).otherwise(0.0)).alias("yt"), F.sum(F.when(~treated, y).otherwise(0.0)).alias("yc"),
         F.count_if(treated).alias("nt"), F.count_if(~treated).alias("nc"))
     # At most ``bins`` rows from here on.
     w = Window.orderBy(F.col("bin").desc())
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    total = {c: F.sum(c).over(upto) for c in ("yt", "yc", "nt", "nc")}
+    total = {c: F.sum(col(c)).over(upto) for c in ("yt", "yc", "nt", "nc")}
     gain = total["yt"] - total["yc"] * F.coalesce(F.try_divide(total["nt"], total["nc"]), F.lit(0.0))
     curve = binned.select(gain.alias("g"), (total["nt"] + total["nc"]).alias("x"), F.col("bin"))
     steps = curve.select("g", "x", ((F.col("g") + F.lag("g", 1, 0.0).over(w)) / 2 * (F.col("x") - F.lag("x", 1, 0).over(w))).alias("area"))
@@ -209,8 +208,8 @@ def qini(df: DataFrame, score: str, treated: Column, outcome: str, bins: int = 1
 
 def incremental_revenue(df: DataFrame, treated: Column, revenue: str) -> DataFrame:
     """Treated revenue beyond what the control mean predicts for as many rows."""
-    t = F.sum(F.when(treated, F.col(revenue)))
-    return df.agg((t - F.avg(F.when(~treated, F.col(revenue))) * F.count_if(treated)).alias("incremental_revenue"))
+    t = F.sum(F.when(treated, col(revenue)))
+    return df.agg((t - F.avg(F.when(~treated, col(revenue))) * F.count_if(treated)).alias("incremental_revenue"))
 
 
 def action_entropy(df: DataFrame, action: str) -> DataFrame:
@@ -225,7 +224,7 @@ def action_entropy(df: DataFrame, action: str) -> DataFrame:
 
 def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     """(column, out): the mean rank of each distinct value, from value counts."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.filter(col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
     totals = running_total(with_row_index(counts, [column]), {"_upto": "_n"})
     return totals.select(column, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
 
@@ -236,7 +235,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     Pairs are counted before the rank tables are joined, and since the mean
     rank is known, one pass of weighted sums gives the correlation.
     """
-    both = df.select(x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    both = df.select(x, y).filter(col(x).isNotNull() & col(y).isNotNull())
     pairs = both.groupBy(x, y).agg(F.count(F.lit(1)).alias("_w"))
     n = both.count()
     joined = pairs.join(average_ranks(both, x, "_rx"), x).join(average_ranks(both, y, "_ry"), y)
@@ -248,7 +247,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 def geographic_coverage(points: DataFrame, reached: DataFrame, lat: str, lon: str, cell: float = 1.0) -> DataFrame:
     """Share of the grid cells with points that also hold reached points."""
     def cells(df: DataFrame) -> DataFrame:
-        return df.select(F.floor(F.col(lat) / cell).alias("a"), F.floor(F.col(lon) / cell).alias("b")).distinct()
+        return df.select(F.floor(col(lat) / cell).alias("a"), F.floor(col(lon) / cell).alias("b")).distinct()
 
     flagged = cells(points).join(cells(reached).withColumn("hit", F.lit(1)), ["a", "b"], "left")
     return flagged.agg(F.try_divide(F.count("hit"), F.count(F.lit(1))).alias("coverage"))
@@ -256,7 +255,7 @@ def geographic_coverage(points: DataFrame, reached: DataFrame, lat: str, lon: st
 
 def classification_metrics(df: DataFrame, label: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy, precision, recall and F1 of a 0/1 prediction, overall or per slice."""
-    t, p = F.col(label) == 1, F.col(predicted) == 1
+    t, p = col(label) == 1, col(predicted) == 1
     tp, fp, fn = F.count_if(t & p), F.count_if(~t & p), F.count_if(t & ~p)
     precision, recall = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + fn)
     aggs = [F.count(F.lit(1)).alias("n"), F.avg((t == p).cast("int")).alias("accuracy"),
@@ -268,10 +267,10 @@ def classification_metrics(df: DataFrame, label: str, predicted: str, by: Sequen
 def sliced_metrics(df: DataFrame, y: str, yhat: str, dimensions: Sequence[str],
                    values: dict[str, Sequence] | None = None) -> DataFrame:
     """Regression metrics per value of each dimension, in one pass over grouping sets."""
-    df = df.withColumns({d: F.col(d).cast("string") for d in dimensions})
+    df = df.withColumns({d: col(d).cast("string") for d in dimensions})
     grouped = df.groupingSets([[d] for d in dimensions], *dimensions).agg(
         F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g"),
-        *[m.alias(k) for k, m in regression_measures(F.col(y), F.col(yhat)).items()])
+        *[m.alias(k) for k, m in regression_measures(col(y), col(yhat)).items()])
     width = len(dimensions)
     name = F
     for i, d in enumerate(dimensions):

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import with_row_index
+from tablegauge.functions.columns import col, with_row_index
 from tablegauge.functions.ordered import BLOCK_ROWS, back_window, with_halo
 
 EARTH_RADIUS_KM = 6371.0
@@ -36,7 +36,7 @@ def lag_features(df: DataFrame, series: Sequence[str], order_by: Sequence[str],
 
 
 def calendar_features(df: DataFrame, ts: str) -> DataFrame:
-    t = F.col(ts)
+    t = col(ts)
     angle = F.lit(TWO_PI) * (F.month(t) - 1) / 12
     return df.withColumns({
         "day_of_week": F.dayofweek(t), "month": F.month(t), "quarter": F.quarter(t),
@@ -52,7 +52,7 @@ def seasonal_naive(series: DataFrame, key: Sequence[str], at: str, value: str, s
     w = Window.partitionBy(*key).orderBy(at)
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     forecast = series.withColumn("forecast", F.lag(value, season).over(w))
-    residual = forecast.withColumn("_r", F.col(value) - F.col("forecast"))
+    residual = forecast.withColumn("_r", col(value) - F.col("forecast"))
     spread = F.stddev_samp("_r").over(past)
     return residual.withColumn("_s", spread).select(
         *key, at, value, "forecast", (F.col("forecast") - Z80 * F.col("_s")).alias("lower_bound"),
@@ -62,7 +62,7 @@ def seasonal_naive(series: DataFrame, key: Sequence[str], at: str, value: str, s
 def behaviour_features(events: DataFrame, entity: str, at: str, kind: str, success: str, amount: str, as_of: str) -> DataFrame:
     """Recency, propensity rate, mean value and their product per entity."""
     grouped = events.groupBy(entity).agg(
-        F.max(at).alias("_last"), F.avg((F.col(kind) == success).cast("int")).alias("propensity"),
+        F.max(at).alias("_last"), F.avg((col(kind) == success).cast("int")).alias("propensity"),
         F.avg(amount).alias("mean_value"))
     return grouped.select(
         entity, F.datediff(F.lit(as_of).cast("date"), F.col("_last").cast("date")).alias("recency_days"),
@@ -137,8 +137,8 @@ def time_splits(df: DataFrame, at: str, folds: int = 5, days: int = 30) -> DataF
 
     Cuts step back from the last date. A row takes part in up to ``folds`` folds.
     """
-    end = df.agg(F.max(F.col(at)).cast("date")).scalar()
-    day = F.col(at).cast("date")
+    end = df.agg(F.max(col(at)).cast("date")).scalar()
+    day = col(at).cast("date")
     roles = []
     for i in range(folds):
         cut = F.date_sub(end, days * (folds - i))
@@ -162,7 +162,7 @@ def stratified_holdout(df: DataFrame, strata: Sequence[str], key: str, share: fl
 
 def spatial_folds(df: DataFrame, lat: str, lon: str, cell: float = 1.0, folds: int = 5) -> DataFrame:
     """Add ``fold``; all rows of one grid cell share it."""
-    a, b = F.floor(F.col(lat) / cell), F.floor(F.col(lon) / cell)
+    a, b = F.floor(col(lat) / cell), F.floor(col(lon) / cell)
     return df.withColumn("fold", F.pmod(a * 31 + b * 17, F.lit(folds)).cast("int"))
 
 
@@ -184,5 +184,5 @@ def balance_checks(df: DataFrame, label: Column, treated: Column, low: float = 0
     """Label balance and treatment split as shares with a verdict."""
     row = df.agg(F.avg(label.cast("int")).alias("a"), F.avg(treated.cast("int")).alias("b"))
     return row.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("check"), F.col(c).alias("share"), F.col(c).between(low, high).alias("passed"))
+        F.struct(F.lit(n).alias("check"), col(c).alias("share"), col(c).between(low, high).alias("passed"))
         for n, c in (("label_balance", "a"), ("treatment_control_split", "b"))])))

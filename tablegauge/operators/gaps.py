@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.columns import (
-    distinct_counts, nan_to_null, numeric_columns, one_row_to_long, temporal_columns)
+    col, distinct_counts, nan_to_null, numeric_columns, one_row_to_long, temporal_columns)
 from tablegauge.functions.wide import WideStats, names_where, numbered
 from tablegauge.operators.insights import pair_correlations
 
@@ -83,7 +83,7 @@ def schema_rows(tables: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for name, df in tables.items():
         numeric = set(numeric_columns(df))
-        row = nan_to_null(df).agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+        row = nan_to_null(df).agg(F.count(F.lit(1)).alias("n"), *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
         parts.append(one_row_to_long(row, [
             F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"),
                      F.lit("numeric" if c in numeric else "other").alias("kind"),
@@ -162,7 +162,7 @@ def gap_recommendations(df: DataFrame) -> DataFrame:
 
 def missing_periods(df: DataFrame, ts: str, unit: str = "day") -> DataFrame:
     """Periods between the first and the last one that have no rows."""
-    found = df.select(F.date_trunc(unit, ts).cast("timestamp_ntz").alias("period")).distinct()
+    found = df.select(F.date_trunc(unit, col(ts)).cast("timestamp_ntz").alias("period")).distinct()
     ends = found.agg(F.min("period").alias("a"), F.max("period").alias("z")).first()
     if ends["a"] is None:
         return found

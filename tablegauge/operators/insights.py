@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.columns import (
-    first_value, last_value, nan_to_null, numeric_columns, one_row_to_long, with_row_index)
+    col, first_value, last_value, nan_to_null, numeric_columns, one_row_to_long, with_row_index)
+from tablegauge.functions.gramian import pair_table
+from tablegauge.functions.positions import boundaries, mean_after, mean_before, row_key
 from tablegauge.functions.quantiles import exact_quantiles, iqr_bounds
-from tablegauge.functions.wide import WideStats, correlation, mean_of, names_where, numbered
+from tablegauge.functions.wide import WideStats, mean_of, names_where, numbered
 
-# More pairs per aggregate make its generated code too long to be compiled.
-PAIRS_PER_PASS = 7
 PAIR_SCHEMA = "pair_position int, column1 string, column2 string, correlation double"
 
 # The two general lines every recommendation list ends with.
@@ -81,30 +80,15 @@ def iqr_outliers(df: DataFrame, only_positive: bool = True) -> DataFrame:
 
 
 def pair_correlations(df: DataFrame) -> DataFrame:
-    """Pearson correlation of every numeric column pair, pairwise over non-nulls.
+    """Pearson correlation of every numeric column pair, pairwise over non-nulls, from one scan of the table.
 
-    (pair_position, column1, column2, correlation); many pairs are split over
-    several one-row aggregates so that no single plan grows too wide.
+    (pair_position, column1, column2, correlation); null for a constant side or a pair without common rows.
     """
     df = nan_to_null(df)
     cols = numeric_columns(df)
-    pairs = list(combinations(cols, 2))
-    parts = []
-    missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first() if pairs else {}
-    full = {c for c in cols if pairs and missing[c] == 0}
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        row = df.agg(*[correlation(a, b, {a, b} <= full).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        parts.append(one_row_to_long(row, [
-            F.struct(F.lit(start + i).alias("pair_position"), F.lit(a).alias("column1"),
-                     F.lit(b).alias("column2"), F.col(f"r{i}").alias("correlation"))
-            for i, (a, b) in enumerate(chunk)], PAIR_SCHEMA))
-    if not parts:
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+    return pair_table(df, cols, PAIR_SCHEMA)
 
 
 def correlations(df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -158,9 +142,9 @@ def downsample(df: DataFrame, order_by: Sequence[str], points: int = 50) -> Data
     cols = numeric_columns(df)
     step = max(1, df.count() // points)
     kept = list(dict.fromkeys([*order_by, *cols]))
-    indexed = with_row_index(df.select(*kept), order_by)
+    indexed = with_row_index(df.select(*map(col, kept)), order_by)
     return indexed.filter(F.col("row_index") % step == 0).select(
-        "row_index", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+        "row_index", *[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
 
 
 def histogram(df: DataFrame, bins: int = 10) -> DataFrame:
@@ -174,8 +158,8 @@ def histogram(df: DataFrame, bins: int = 10) -> DataFrame:
     schema = "column_name string, bin int, range string, count bigint, percentage double"
     if not cols:
         return one_row_to_long(df, [], schema)
-    df = df.select(*[F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).alias(c) for c in cols])
-    ends = df.agg(*[f(F.col(c).cast("double")).alias(f"{p}{i}") for i, c in enumerate(cols)
+    df = df.select(*[F.when(F.abs(col(c).cast("double")) < float("inf"), col(c).cast("double")).alias(c) for c in cols])
+    ends = df.agg(*[f(col(c).cast("double")).alias(f"{p}{i}") for i, c in enumerate(cols)
                     for p, f in (("a", F.min), ("z", F.max))]).first()
     aggs, structs = [F.count(F.lit(1)).alias("n")], []
     for i, c in enumerate(cols):
@@ -186,7 +170,7 @@ def histogram(df: DataFrame, bins: int = 10) -> DataFrame:
             low, high = low - 0.5, high + 0.5
         width = (high - low) / bins
         edges = [low + b * width for b in range(bins)] + [high]
-        v = F.col(c).cast("double")
+        v = col(c).cast("double")
         for b in range(bins):
             inside = (v >= edges[b]) & ((v <= edges[b + 1]) if b == bins - 1 else (v < edges[b + 1]))
             aggs.append(F.count_if(inside).alias(f"h{i}_{b}"))
@@ -198,16 +182,16 @@ def histogram(df: DataFrame, bins: int = 10) -> DataFrame:
     return one_row_to_long(df.agg(*aggs), structs, schema)
 
 
-def half_means(indexed: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
-    """One row: first and last value and the mean of each half of an indexed frame."""
-    early = F.col("row_index") < n // 2
+def half_means(df: DataFrame, order_by: Sequence[str], cols: Sequence[str], n: int) -> DataFrame:
+    """One row: number of rows, first and last value and the mean of each half of the order, without sorting the table."""
+    key = row_key(df, order_by)
+    middle = boundaries(df, key, [n // 2], n).get(n // 2) if n > 1 else None
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(cols):
-        aggs += [F.avg(F.when(early, F.col(c))).alias(f"early{i}"),
-                 F.avg(F.when(~early, F.col(c))).alias(f"late{i}"),
-                 first_value(c, ["row_index"]).cast("double").alias(f"first{i}"),
-                 last_value(c, ["row_index"]).cast("double").alias(f"last{i}")]
-    return indexed.agg(*aggs)
+        aggs += [(F.lit(None).cast("double") if middle is None else mean_before(col(c), key, middle)).alias(f"early{i}"),
+                 (F.avg(col(c).cast("double")) if middle is None else mean_after(col(c), key, middle)).alias(f"late{i}"),
+                 F.min_by(col(c), key).cast("double").alias(f"first{i}"), F.max_by(col(c), key).cast("double").alias(f"last{i}")]
+    return df.agg(*aggs)
 
 
 def growth_metrics(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -216,7 +200,7 @@ def growth_metrics(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     cols = numeric_columns(df)
     kept = list(dict.fromkeys([*order_by, *cols]))
     n = df.count()
-    row = half_means(with_row_index(df.select(*kept), order_by), cols, n).filter("n >= 2")
+    row = half_means(df.select(*map(col, kept)), order_by, cols, n).filter("n >= 2")
     exponent = 1.0 / max(1.0, n / 12)
     structs = []
     for i, c in enumerate(cols):

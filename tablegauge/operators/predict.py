@@ -9,7 +9,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import nan_to_null, temporal_columns, text_columns
+from tablegauge.functions.columns import col, nan_to_null, temporal_columns, text_columns
 from tablegauge.operators.features import hash_fraction
 
 TREES = 100
@@ -36,7 +36,7 @@ def label_codes(df: DataFrame, target: str) -> DataFrame:
 
     A classification target has a handful of classes.
     """
-    classes = df.select(target).filter(F.col(target).isNotNull()).distinct()
+    classes = df.select(target).filter(col(target).isNotNull()).distinct()
     listed = classes.agg(F.array_sort(F.collect_set(target)).alias("l"))
     return listed.select(F.posexplode("l").alias("code", target)).select(target, "code")
 
@@ -58,8 +58,8 @@ def encode_features(df: DataFrame, features: list[str]) -> tuple[DataFrame, list
 
     def number(c: str):
         if c in moments:
-            return F.unix_seconds(F.col(c).cast("timestamp")).cast("double")
-        return F.col(c).cast("double")
+            return F.unix_seconds(col(c).cast("timestamp")).cast("double")
+        return col(c).cast("double")
 
     out = df.withColumns({f"_n_{c}": F.coalesce(number(c), F.lit(0.0)) for c in numbers}) if numbers else df
     inputs, names = [f"_n_{c}" for c in numbers], list(numbers)
@@ -94,7 +94,7 @@ def _prepared(df: DataFrame, target: str, key: list[str]):
 
 def fit_classifier(df: DataFrame, target: str, key: list[str], trees: int = TREES, max_depth: int = MAX_DEPTH):
     """(metrics, importances, model) of a forest that predicts the class."""
-    encoded, names = _prepared(df.filter(F.col(target).isNotNull()), target, key)
+    encoded, names = _prepared(df.filter(col(target).isNotNull()), target, key)
     codes = label_codes(df, target).withColumnRenamed("code", "_label")
     data = encoded.join(codes, target).select(F.col("_label").cast("double").alias("label"), "features", "is_test")
     model = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=SEED, maxMemoryInMB=PASS_MEMORY_MB).fit(data.filter(~F.col("is_test")))
@@ -107,8 +107,8 @@ def fit_classifier(df: DataFrame, target: str, key: list[str], trees: int = TREE
 
 def fit_regressor(df: DataFrame, target: str, key: list[str], trees: int = TREES, max_depth: int = MAX_DEPTH):
     """(metrics, importances, model) of a forest that predicts the value."""
-    encoded, names = _prepared(df.filter(F.col(target).isNotNull()), target, key)
-    data = encoded.select(F.col(target).cast("double").alias("label"), "features", "is_test")
+    encoded, names = _prepared(df.filter(col(target).isNotNull()), target, key)
+    data = encoded.select(col(target).cast("double").alias("label"), "features", "is_test")
     model = RandomForestRegressor(numTrees=trees, maxDepth=max_depth, seed=SEED, maxMemoryInMB=PASS_MEMORY_MB,
                                    featureSubsetStrategy="all").fit(data.filter(~F.col("is_test")))
     scored = model.transform(data.filter("is_test"))
@@ -122,11 +122,11 @@ def uplift_scores(df: DataFrame, features: list[str], treated: str, outcome: str
                   trees: int = 20, max_depth: int = 5) -> DataFrame:
     """Two-model uplift: the difference of a treated and a control model's scores."""
     encoded, _ = encode_features(df, features)
-    data = encoded.select(*key, treated, F.col(outcome).cast("double").alias("label"), "features")
+    data = encoded.select(*key, treated, col(outcome).cast("double").alias("label"), "features")
     forest = RandomForestRegressor(numTrees=trees, maxDepth=max_depth, seed=SEED, maxMemoryInMB=PASS_MEMORY_MB,
                                    featureSubsetStrategy="all")
-    with_offer = forest.fit(data.filter(F.col(treated))).setPredictionCol("score_treated")
-    without = forest.fit(data.filter(~F.col(treated))).setPredictionCol("score_control")
+    with_offer = forest.fit(data.filter(col(treated))).setPredictionCol("score_treated")
+    without = forest.fit(data.filter(~col(treated))).setPredictionCol("score_control")
     scored = without.transform(with_offer.transform(data))
     return scored.select(*key, "score_treated", "score_control",
                          (F.col("score_treated") - F.col("score_control")).alias("uplift"))

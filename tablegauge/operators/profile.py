@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablegauge.functions.columns import (
-    column_counts, distinct_counts, nan_to_null, numeric_columns, one_row_to_long,
+    col, column_counts, distinct_counts, nan_to_null, numeric_columns, one_row_to_long,
     temporal_columns, text_columns, value_counts)
 from tablegauge.functions.quantiles import exact_quantiles
 
@@ -27,12 +27,12 @@ def profile_table(df: DataFrame, approx: bool = False) -> DataFrame:
     aggs, structs = [F.count(F.lit(1)).alias("n")], []
     for i, field in enumerate(df.schema):
         c, numeric = field.name, isinstance(field.dataType, T.NumericType)
-        aggs.append(F.count(c).alias(f"c{i}"))
+        aggs.append(F.count(col(c)).alias(f"c{i}"))
         if approx:
-            aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
+            aggs.append(F.approx_count_distinct(col(c)).alias(f"d{i}"))
         if numeric:
-            aggs += [F.min(F.col(c)).cast("double").alias(f"lo{i}"),
-                     F.max(F.col(c)).cast("double").alias(f"hi{i}"), F.avg(c).alias(f"av{i}")]
+            aggs += [F.min(col(c)).cast("double").alias(f"lo{i}"),
+                     F.max(col(c)).cast("double").alias(f"hi{i}"), F.avg(col(c)).alias(f"av{i}")]
         none = F.lit(None).cast("double")
         missing = F.col("n") - F.col(f"c{i}")
         structs.append(F.struct(
@@ -63,8 +63,8 @@ def table_summary(df: DataFrame) -> DataFrame:
     for i, field in enumerate(df.schema):
         c = field.name
         if c in numeric:
-            aggs += [F.min(F.col(c)).cast("double").alias(f"lo{i}"), F.max(F.col(c)).cast("double").alias(f"hi{i}"),
-                     F.avg(c).alias(f"av{i}"), F.count(c).alias(f"n{i}")]
+            aggs += [F.min(col(c)).cast("double").alias(f"lo{i}"), F.max(col(c)).cast("double").alias(f"hi{i}"),
+                     F.avg(col(c)).alias(f"av{i}"), F.count(col(c)).alias(f"n{i}")]
         none = F.lit(None).cast("double")
         structs.append(F.struct(
             F.lit(c).alias("column_name"), F.lit(field.dataType.simpleString()).alias("data_type"),
@@ -107,7 +107,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
     df = nan_to_null(df)
     cols = numeric_columns(df)
     quantiles = exact_quantiles(df, cols, [0.5])
-    row = df.agg(*([F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)] or [F.lit(1).alias("one")]))
+    row = df.agg(*([F.stddev_samp(col(c)).alias(f"s{i}") for i, c in enumerate(cols)] or [F.lit(1).alias("one")]))
     number = [F.struct(F.lit(c).alias("column_name"), F.col(f"s{i}").alias("stddev"),
                        F.lit(quantiles[c][0]).cast("double").alias("median")) for i, c in enumerate(cols)]
     frequent = column_counts(df, df.columns)
@@ -132,7 +132,7 @@ def string_profile(df: DataFrame) -> DataFrame:
     schema = "column_name string, min_length bigint, max_length bigint, avg_length double"
     if not cols:
         return one_row_to_long(df, [], schema)
-    aggs = [f(F.length(c)).alias(f"{p}{i}") for i, c in enumerate(cols)
+    aggs = [f(F.length(col(c))).alias(f"{p}{i}") for i, c in enumerate(cols)
             for p, f in (("a", F.min), ("z", F.max), ("m", F.avg))]
     return one_row_to_long(df.agg(*aggs), [
         F.struct(F.lit(c).alias("column_name"), F.col(f"a{i}").cast("bigint").alias("min_length"),
@@ -145,7 +145,7 @@ def temporal_profile(df: DataFrame) -> DataFrame:
     schema = "column_name string, earliest string, latest string"
     if not cols:
         return one_row_to_long(df, [], schema)
-    aggs = [f(c).alias(f"{p}{i}") for i, c in enumerate(cols) for p, f in (("a", F.min), ("z", F.max))]
+    aggs = [f(col(c)).alias(f"{p}{i}") for i, c in enumerate(cols) for p, f in (("a", F.min), ("z", F.max))]
     stamp = "yyyy-MM-dd HH:mm:ss"
     return one_row_to_long(df.agg(*aggs), [
         F.struct(F.lit(c).alias("column_name"), F.date_format(f"a{i}", stamp).alias("earliest"),
@@ -189,7 +189,7 @@ def profile_drift(snapshots: DataFrame, key: Sequence[str] = ("column_name",),
     """Change of each measure against the previous snapshot of the same column."""
     w = Window.partitionBy(*key).orderBy(at)
     return snapshots.select(*key, at, *measures, *[
-        (F.col(m) - F.lag(m).over(w)).alias(f"{m}_change") for m in measures])
+        (col(m) - F.lag(m).over(w)).alias(f"{m}_change") for m in measures])
 
 
 def profile_schema(tables: Mapping[str, DataFrame], approx: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablegauge.functions.columns import (
-    nan_to_null, numeric_columns, one_row_to_long, text_columns)
+    col, nan_to_null, numeric_columns, one_row_to_long, text_columns)
 from tablegauge.functions.quantiles import iqr_bounds
 from tablegauge.functions.wide import WideStats, numbered
 
@@ -31,11 +31,23 @@ TABLE_ADVICE = {
 NON_NEGATIVE_NAMES = ("age", "price", "revenue", "sales")
 
 
-def _groupable(df: DataFrame) -> list[Column]:
-    """Columns to group whole rows by; maps and variants cannot be group keys."""
-    return [F.to_json(F.struct(f.name)).alias(f.name)
-            if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f.name)
-            for f in df.schema]
+def _row_key(df: DataFrame) -> list[Column]:
+    """Columns to group whole rows by: those of fixed width as they are, all others as two 64-bit hashes together.
+
+    So a group key has the same few bytes however long the texts are. A null hashes like no value; a flag per column
+    tells them apart.
+    """
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    keys, wide = [], []
+    for f in df.schema:
+        if isinstance(f.dataType, fixed):
+            keys.append(col(f.name).alias(f"k{len(keys)}"))
+        else:
+            value = F.to_json(F.struct(col(f.name))) if isinstance(f.dataType, (T.MapType, T.VariantType)) else col(f.name)
+            wide += [value, col(f.name).isNull()]
+    if wide:
+        keys += [F.xxhash64(*wide).alias("h0"), F.xxhash64(F.lit(1), *wide).alias("h1")]
+    return keys
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -44,7 +56,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     Copies are counted per task before the shuffle, so a row repeated a million
     times is moved once per task.
     """
-    copies = nan_to_null(df).groupBy(*_groupable(df)).agg(F.count(F.lit(1)).alias("_copies"))
+    copies = nan_to_null(df).groupBy(*_row_key(df)).agg(F.count(F.lit(1)).alias("_copies"))
     return copies.agg(
         F.coalesce(F.sum("_copies"), F.lit(0).cast("bigint")).alias("n"),
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0).cast("bigint")).alias("duplicate_rows"))
@@ -118,7 +130,7 @@ def value_classes(df: DataFrame) -> DataFrame:
     cols = text_columns(df)
 
     def kind(c: str) -> Column:
-        v = F.trim(F.col(c))
+        v = F.trim(col(c))
         return (F.when(v.isNull(), None)
                 .when(v.rlike(r"^[+-]?[0-9]+$"), "int")
                 .when(v.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), "float")
@@ -131,7 +143,7 @@ def value_classes(df: DataFrame) -> DataFrame:
     if not cols:
         return one_row_to_long(df, [], schema)
     row = df.select(*[kind(c).alias(c) for c in cols]).agg(*[
-        F.count_if(F.col(c) == k).alias(f"{k}{i}") for i, c in enumerate(cols) for k in kinds])
+        F.count_if(col(c) == k).alias(f"{k}{i}") for i, c in enumerate(cols) for k in kinds])
     structs = []
     for i, c in enumerate(cols):
         present = sum((F.col(f"{k}{i}") > 0).cast("int") for k in kinds)
@@ -259,7 +271,7 @@ def quality_trend(reports: DataFrame, key: Sequence[str], at: str, score: str) -
     Ordered within each key; a history of reports has one row per snapshot.
     """
     w = Window.partitionBy(*key).orderBy(at)
-    change = F.col(score) - F.lag(score).over(w)
+    change = col(score) - F.lag(score).over(w)
     return reports.select(
         *key, at, score, change.alias("score_change"),
         F.when(change > 0, "improving").when(change < 0, "declining")
@@ -271,7 +283,7 @@ def daily_completeness(df: DataFrame, at: str, cols: Sequence[str], unit: str =
     df = nan_to_null(df)
     missing = F.lit(0).cast("bigint")
     for c in cols:
-        missing = missing + F.count_if(F.col(c).isNull())
+        missing = missing + F.count_if(col(c).isNull())
     return df.groupBy(F.date_trunc(unit, at).cast("date").alias("period")).agg(
         F.count(F.lit(1)).alias("row_count"),
         ((1 - missing / (F.count(F.lit(1)) * len(cols))) * 100).alias("completeness"))

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablegauge.functions.columns import col
+
 
 def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str,
                width: float, keep: Sequence[Column] | None = None) -> DataFrame:
@@ -18,12 +20,12 @@ def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: st
     """
     if width <= 0:
         raise ValueError("width must be positive")
-    bucket = F.floor(F.col(value).cast("double") / width).cast("bigint")
-    first = F.floor(F.col(low).cast("double") / width).cast("bigint")
-    last = F.floor(F.col(high).cast("double") / width).cast("bigint")
-    spread = right.filter(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(F.sequence(first, last)))
+    bucket = F.floor(col(value).cast("double") / width).cast("bigint")
+    first = F.floor(col(low).cast("double") / width).cast("bigint")
+    last = F.floor(col(high).cast("double") / width).cast("bigint")
+    spread = right.filter(col(low) < col(high)).withColumn("_bucket", F.explode(F.sequence(first, last)))
     joined = left.withColumn("_bucket", bucket).join(spread, "_bucket").filter(
-        (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_bucket")
+        (col(value) >= col(low)) & (col(value) < col(high))).drop("_bucket")
     return joined.select(*keep) if keep else joined
 
 

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegauge.functions.columns import col
 from tablegauge.session import materialize
 from tablegauge.sources.rows import rows_between
 
@@ -32,7 +33,7 @@ def audit_queries(log: DataFrame, text: str) -> DataFrame:
     bare = F.trim(F.regexp_replace(F.regexp_replace(upper, r"--[^\n]*(\n|$)", ""), r"(?s)/\*.*?\*/", ""), F.lit(" \n\r\t"))
     reads = bare.startswith("SELECT") | bare.startswith("WITH")
     statements = F.size(F.filter(F.split(text, ";"), lambda s: F.trim(s, F.lit(" \n\r\t")) != ""))
-    reason = F.when(F.col(text).isNull() | ~reads, ONLY_SELECT)
+    reason = F.when(col(text).isNull() | ~reads, ONLY_SELECT)
     # The first forbidden word of the text, as in refusal().
     found = F.regexp_extract(upper, r"\b(" + "|".join(FORBIDDEN_WORDS) + r")\b", 1)
     reason = reason.when(found != "", F.concat(F.lit(FORBIDDEN_PREFIX), found))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablegauge.functions.columns import (
-    distinct_counts, nan_to_null, numeric_columns, one_row_to_long, temporal_columns, value_counts, with_row_index)
+    col, distinct_counts, nan_to_null, numeric_columns, one_row_to_long, temporal_columns, value_counts, with_row_index)
 from tablegauge.functions.ordered import running_total
 from tablegauge.operators.drift import ks, psi
 
@@ -36,7 +36,7 @@ def continuous_statistics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     schema = "column_name string, mean double, std double, min double, max double"
     if not cols:
         return one_row_to_long(df, [], schema)
-    aggs = [f(F.col(c).cast("double")).alias(f"{p}{i}") for i, c in enumerate(cols)
+    aggs = [f(col(c).cast("double")).alias(f"{p}{i}") for i, c in enumerate(cols)
             for p, f in (("m", F.avg), ("s", F.stddev_samp), ("a", F.min), ("z", F.max))]
     return one_row_to_long(nan_to_null(df).agg(*aggs), [
         F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"),
@@ -71,10 +71,10 @@ def synthesize(df: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
     aggs = []
     for i, c in enumerate(measured):
         if kinds[c] == "continuous":
-            v = F.col(c).cast("double")
+            v = col(c).cast("double")
             aggs += [F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}")]
         else:
-            aggs.append(F.min(c).alias(f"a{i}"))
+            aggs.append(F.min(col(c)).alias(f"a{i}"))
     row = df.agg(*aggs).first() if aggs else None
     # All random numbers are drawn here, before any shuffle, so that a retried task draws the same ones.
     out = df.sparkSession.range(n).select("id", *[

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablegauge.functions.columns import col
+
 USAGE_DAYS = 30
 
 
 def hash_queries(log: DataFrame, text: str = "query_text") -> DataFrame:
-    return log.withColumn("query_hash", F.sha2(F.col(text), 256))
+    return log.withColumn("query_hash", F.sha2(col(text), 256))
 
 
 def append_usage(log: DataFrame, path: str, text: str = "query_text", at: str = "event_at") -> DataFrame:
@@ -21,7 +23,7 @@ def append_usage(log: DataFrame, path: str, text: str = "query_text", at: str =
 def recent(log: DataFrame, as_of: str, days: int = USAGE_DAYS, at: str = "event_at") -> DataFrame:
     """Events of the last ``days`` before ``as_of``; the bound reaches the scan."""
     end = F.lit(as_of).cast("timestamp_ntz")
-    return log.filter(F.col(at) >= end - F.expr(f"INTERVAL {days} DAYS"))
+    return log.filter(col(at) >= end - F.expr(f"INTERVAL {days} DAYS"))
 
 
 def usage_rollup(log: DataFrame, assets: DataFrame, as_of: str, days: int = USAGE_DAYS) -> DataFrame:

@@ -142,6 +142,42 @@ def _(spark, d):
         "bucket": F.date_format("bucket", "yyyy-MM-dd"), "error_reduction": F.sqrt("error_reduction")})
 
 
+# Shipped quantities are even over time; a price index by year gives them levels that shift.
+SHIPPED = "SELECT date_trunc('week', l_shipdate) AS bucket, CAST(sum(l_quantity) * (100 + 25 * (year(date_trunc('week', l_shipdate)) % 3)) AS DOUBLE) AS value FROM lineitem GROUP BY 1"
+
+
+# Every segment of the recursion is searched for its best split; its sides are segments if the split is accepted.
+@query("n7_change_points", rnd(
+    f"WITH RECURSIVE x AS (SELECT row_number() OVER (ORDER BY bucket) AS i, bucket, value AS v FROM ({SHIPPED})), "
+    "p AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS bucket, CAST(0 AS DOUBLE) AS s UNION ALL SELECT i, bucket, sum(v) OVER (ORDER BY i) FROM x), "
+    "c AS (SELECT 3.0 * ln(count(*)) * avg((v - w) * (v - w)) / 2 AS bar, count(*) AS n FROM (SELECT v, lag(v) OVER (ORDER BY i) AS w FROM x)), "
+    "g AS (SELECT CAST(0 AS BIGINT) AS lo, n AS hi, 1 AS round FROM c UNION ALL SELECT unnest([lo, i]) AS lo, unnest([i, hi]) AS hi, round + 1 AS round FROM ("
+    "SELECT lo, hi, round, arg_max(i, e) AS i, max(e) AS e FROM (SELECT g.*, p.i, (p.i - lo) * (hi - p.i) / (hi - lo)::DOUBLE * pow((p.s - a.s) / (p.i - lo) - (z.s - p.s) / (hi - p.i), 2) AS e "
+    "FROM g JOIN p a ON a.i = lo JOIN p z ON z.i = hi JOIN p ON p.i >= lo + 5 AND p.i <= hi - 5) GROUP BY lo, hi, round) WHERE e > (SELECT bar FROM c)), "
+    "f AS (SELECT lo, hi, round, arg_max(i, e) AS position, max(e) AS e FROM (SELECT g.*, p.i, (p.i - lo) * (hi - p.i) / (hi - lo)::DOUBLE * pow((p.s - a.s) / (p.i - lo) - (z.s - p.s) / (hi - p.i), 2) AS e "
+    "FROM g JOIN p a ON a.i = lo JOIN p z ON z.i = hi JOIN p ON p.i >= lo + 5 AND p.i <= hi - 5) GROUP BY lo, hi, round) "
+    "SELECT strftime(p.bucket, '%Y-%m-%d') AS bucket, position, lo AS segment_start, hi AS segment_end, (p.s - a.s) / (position - lo) AS mean_before, (z.s - p.s) / (hi - position) AS mean_after, "
+    "sqrt(e) AS error_reduction, round FROM f JOIN p ON p.i = position JOIN p a ON a.i = lo JOIN p z ON z.i = hi WHERE e > (SELECT bar FROM c)",
+    "mean_before", "mean_after", "error_reduction", digits=3), digits=3)
+def _(spark, d):
+    weekly = N.bucket_series(load(spark, d, "lineitem"), "l_shipdate", "week", F.sum("l_quantity"))
+    priced = weekly.withColumn("value", (F.col("value") * (100 + 25 * (F.year("bucket") % 3))).cast("double"))
+    return N.change_points(priced).withColumns({
+        "bucket": F.date_format("bucket", "yyyy-MM-dd"), "error_reduction": F.sqrt("error_reduction")})
+
+
+LAGS = [2, 7, 24, 60, 168, 300]
+
+
+@query("n8_block_autocorrelation", rnd(
+    f"WITH i AS (SELECT row_number() OVER (ORDER BY bucket) AS i, value - avg(value) OVER () AS x FROM ({HOURLY})) "
+    f"SELECT CAST(lag AS INTEGER) AS lag, sum(p.x * q.x) / (SELECT sum(x * x) FROM i) AS autocorrelation FROM (SELECT unnest({LAGS}) AS lag) l JOIN i p ON true "
+    "JOIN i q ON q.i = p.i + l.lag GROUP BY 1", "autocorrelation"))
+def _(spark, d):
+    # Small blocks, so that lags reach from within a block to several blocks on.
+    return N.block_autocorrelations(hourly(spark, d), LAGS, block=64)
+
+
 @query("n8_seasonality", rnd(
     f"WITH s AS ({HOURLY}), i AS (SELECT row_number() OVER (ORDER BY bucket) AS i, value - avg(value) OVER () AS x, count(*) OVER () AS n FROM s), "
     "a AS (SELECT l.lag, sum(p.x * q.x) / (SELECT sum(x * x) FROM i) AS r FROM range(2, (SELECT count(*) // 2 + 1 FROM s)) l(lag) JOIN i p ON true JOIN i q ON q.i = p.i + l.lag GROUP BY 1) "
@@ -179,6 +215,15 @@ def _(spark, d):
     return N.frequent_combinations(load(spark, d, "lineitem"), COMBO, 0.02)
 
 
+@query("n10_frequent_itemsets", rnd(
+    " UNION ALL ".join(
+        f"SELECT {len(part)} AS size, '{','.join(part)}' AS columns, {' || chr(32) || chr(38) || chr(32) || '.join(f'{chr(39)}{c}={chr(39)} || CAST({c} AS VARCHAR)' for c in part)} AS combination, "
+        f"count(*) AS n, count(*) / (SELECT count(*) FROM lineitem)::DOUBLE AS support FROM lineitem GROUP BY {', '.join(part)} HAVING count(*) >= 0.01 * (SELECT count(*) FROM lineitem)"
+        for k in range(2, len(COMBO) + 1) for part in combinations(COMBO, k)), "support"))
+def _(spark, d):
+    return N.frequent_itemsets(load(spark, d, "lineitem"), COMBO, 0.01)
+
+
 DIMS = ["customer_segment", "region", "product_category"]
 
 

@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+PACKAGE_HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 _local_scratch: str | None = None
 _made: list[str] = []
 
@@ -44,6 +46,15 @@ def build_session(app: str = "tablegauge", master: str | None = None,
     return builder.getOrCreate()
 
 
+def with_workers(df: DataFrame) -> DataFrame:
+    """``df``, after telling Python workers where this package is, in case it is not installed."""
+    env = df.sparkSession.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if PACKAGE_HOME not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), PACKAGE_HOME])
+    return df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
