@@ -33,7 +33,8 @@ from tablegauge.llm.shingles import grouped, mix, shingle_sets
 PER_CENT = 75
 POOL = 64  # minwise hash functions
 ROUNDS = ((0, 1), tuple(range(2, 10)))  # trees; the first token of tree t is the whole minwise hash of function t
-NODE = 200
+NODE = 1000  # items of a node that are compared with each other by signature
+BLOCK = 200  # items of a block in which a large node is compared
 LAST_LEVEL = 60  # a node that is still large here is compared in blocks against blocks
 PLAUSIBLE = 34  # equal minwise tokens of 64; a pair at the threshold has fewer twice in a hundred thousand
 BITMAP_ROWS, BITMAP_BYTES = 1 << 15, 1 << 12
@@ -139,8 +140,8 @@ def near_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verify(table: pa.Table) -> pa.Table:
     """Links (a, b) of each node's items by their full sets, as a forest: only links that connect two components.
 
-    An item is compared with all earlier ones of its node at once: its shingles are marked in an array over the node's
-    shingles, and the marks are summed per set.
+    An item is first compared with the node's first one, and then with all earlier ones outside of its component at once:
+    its shingles are marked in an array over the node's shingles, and the marks are summed per set.
     """
     out: dict[str, list] = {"a": [], "b": []}
     numbers, components = table["number"].to_numpy(), table["component"].to_numpy()
@@ -152,20 +153,25 @@ def verify(table: pa.Table) -> pa.Table:
             continue
         sizes = np.array([len(sets[i]) for i in order], np.int64)
         shingles, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
-        starts = np.cumsum(sizes) - sizes
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
         marks = np.zeros(len(shingles), np.int32)
         forest = Forest(labels)
         for j in range(1, len(order)):
-            own = ids[starts[j]:starts[j] + sizes[j]]
-            marks[own] = 1
-            same = np.add.reduceat(marks[ids[:starts[j]]], starts[:j])
-            marks[own] = 0
-            for i in np.flatnonzero(100 * same >= PER_CENT * (sizes[:j] + sizes[j] - same)).tolist():
-                ri, rj = forest.root(i), forest.root(j)
-                if ri != rj:
-                    forest.join(ri, rj)
-                    out["a"].append(int(numbers[order[i]]))
-                    out["b"].append(int(numbers[order[j]]))
+            marks[parts[j]] = 1
+            tried = [0] if forest.root(0) != forest.root(j) else []
+            for step in range(2):
+                if tried:
+                    own = sizes[tried]
+                    same = np.add.reduceat(marks[np.concatenate([parts[i] for i in tried])], np.cumsum(own) - own)
+                    for at in np.flatnonzero(100 * same >= PER_CENT * (own + sizes[j] - same)).tolist():
+                        ri, rj = forest.root(tried[at]), forest.root(j)
+                        if ri != rj:
+                            forest.join(ri, rj)
+                            out["a"].append(int(numbers[order[tried[at]]]))
+                            out["b"].append(int(numbers[order[j]]))
+                root = forest.root(j)
+                tried = [i for i in range(1, j) if forest.root(i) != root] if step == 0 else []
+            marks[parts[j]] = 0
     return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
 
@@ -194,7 +200,7 @@ def open_nodes(rows: DataFrame, labels: DataFrame | None, total: int) -> DataFra
 
 def in_blocks(rows: DataFrame) -> DataFrame:
     """(node, number) blocks that compare every item outside of its node's main component with all items of the node."""
-    blocks, chunks = [F.greatest(F.ceil(c / F.lit(NODE)).cast("long"), F.lit(1)) for c in (F.col("n") - F.col("left"), F.col("left"))]
+    blocks, chunks = [F.greatest(F.ceil(c / F.lit(BLOCK)).cast("long"), F.lit(1)) for c in (F.col("n") - F.col("left"), F.col("left"))]
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     inside = F.col("component") == F.col("main")
     chunk, block = F.pmod(F.xxhash64("number", F.lit(1)), chunks), F.pmod(F.xxhash64("number", F.lit(2)), blocks)
@@ -211,11 +217,23 @@ def stars(large: DataFrame, total: int) -> DataFrame:
     near = with_workers(join_groups(large.filter("number <> first").select("node", "number", "n", "first", "signature"), leaders,
                                     "node", "size", total).select("node", "number", "n", "first", "signature", "leader")).mapInArrow(
         near_leader, "node bigint, number bigint, n bigint, first bigint")
-    placed = store(near.select("node", "number", "first", F.pmod(F.xxhash64("number", "node"), F.ceil(F.col("n") / F.lit(NODE)).cast("long")).alias("b")), "stars")
+    placed = store(near.select("node", "number", "first", F.pmod(F.xxhash64("number", "node"), F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")).alias("b")), "stars")
     first = placed.select("node", F.col("first").alias("number"), "b").distinct()
     return placed.select(F.xxhash64("node", "b").alias("node"), "number").unionByName(first.select(F.xxhash64("node", "b").alias("node"), "number"))
 
 
+def nearer(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Components known after the stars: an item takes the component of the smallest item it was linked with.
+
+    Equal components stay linked with each other; that some could be merged further is left to the end of the round.
+    """
+    found = links.groupBy(F.col("b").alias("number")).agg(F.min("a").alias("a"))
+    own = with_components(found.select(F.col("a").alias("number"), F.col("number").alias("node")), labels).select("node", "component")
+    if labels is None:
+        return store(own, "nearer")
+    return store(labels.join(own.select("node"), "node", "left_anti").unionByName(own), "nearer")
+
+
 def children(large: DataFrame) -> DataFrame:
     """(node, number) one level down: the node chooses one position of the signature, or two in one case of three."""
     place = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(POOL)).cast("int") for b in (0, 1)]
@@ -255,7 +273,7 @@ def compare(nodes: DataFrame, texts: DataFrame, labels: DataFrame | None) -> Dat
     texts = wanted.join(chosen_texts(texts, wanted).hint("merge"), "number")
     full = map_texts(texts, "text", ["number", "component", "nodes"], "shingles binary", sets).select(
         F.explode("row.nodes").alias("node"), "row.number", "row.component", "shingles")
-    return store(grouped(full, "node", "a bigint, b bigint", verify, rows=2 * NODE), "near-links")
+    return store(grouped(full, "node", "a bigint, b bigint", verify, rows=2 * BLOCK), "near-links")
 
 
 def similar_pairs(cells: DataFrame, items: DataFrame, texts: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -271,11 +289,6 @@ def similarity_join(items: DataFrame, texts: DataFrame) -> DataFrame | None:
     """(node, component) of all items that are linked with another one."""
     total, links, labels = items.count(), [], None
 
-    def learn(found: DataFrame) -> None:
-        nonlocal labels
-        links.append(found)
-        labels = connected(reduce(DataFrame.unionByName, links))
-
     for trees in ROUNDS:
         rows = items.select("number", F.explode(F.array(*[
             F.xxhash64(F.lit(t), F.element_at("roots", t + 1)) for t in trees])).alias("node"))
@@ -289,12 +302,14 @@ def similarity_join(items: DataFrame, texts: DataFrame) -> DataFrame | None:
             held = store(large.select("node", "number").join(items.select("number", "signature"), "number"), "large")
             many = large.filter(F.col("left") > NODE)
             if not many.isEmpty():
-                learn(compare(stars(many.join(held, ["node", "number"]), total), texts, labels))
-                found = open_nodes(large.select("node", "number"), labels, total)
+                starred = compare(stars(many.join(held, ["node", "number"]), total), texts, labels)
+                links.append(starred)
+                found = open_nodes(large.select("node", "number"), nearer(starred, labels), total)
             near_done = (F.col("left") <= NODE) | F.lit(level == LAST_LEVEL)
             cells.append(in_blocks(found.filter(near_done)))
             rows = children(found.filter(~near_done).join(held, ["node", "number"]))
-        learn(similar_pairs(reduce(DataFrame.unionByName, cells), items, texts, labels))
+        links.append(similar_pairs(reduce(DataFrame.unionByName, cells), items, texts, labels))
+        labels = connected(reduce(DataFrame.unionByName, links))
     return labels
 
 

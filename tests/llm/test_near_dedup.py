@@ -73,10 +73,11 @@ def test_random_corpus(make_docs):
     assert all(r.kept == (r.row.doc_id == r.component_id) for r in out.collect())
 
 
-@pytest.mark.parametrize("node", [3])
+@pytest.mark.parametrize("node", [12])
 def test_large_nodes(make_docs, monkeypatch, node):
     """Nodes over the limit branch, and what stays large is compared in blocks."""
     monkeypatch.setattr(module, "NODE", node)
+    monkeypatch.setattr(module, "BLOCK", 5)
     rng = random.Random(4)
     base = " ".join(f"w{i}" for i in range(60))
     pairs = corpus(2, 60) + [(1000 + i, edited(rng, base, rng.randrange(4))) for i in range(60)]
