@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+import threading
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from tablegauge.session import materialize
 from tablegauge.sources.rows import rows_between
 
 MAX_PAGE = 1000
+STATEMENT_SECONDS = 30.0
+_views = threading.RLock()  # views of a session are shared by its threads
 
 # Words a read-only statement must not contain, and the refusals.
 FORBIDDEN_WORDS = (
@@ -70,37 +75,80 @@ def guarded_sql(spark: SparkSession, text: str, tables: Mapping[str, DataFrame]
 def sql_over(spark: SparkSession, statement: str, tables: Mapping[str, DataFrame]) -> DataFrame:
     """The result of a statement over the given frames.
 
-    They are temporary views only while the statement is analysed; views of
-    the same names are put back.
+    They are temporary views only while the statement is analysed; views of the same names, in any case, are put back.
+    Two names that differ in case only are one view for Spark, and an error here.
     """
+    if len({name.lower() for name in tables}) < len(tables):
+        raise ValueError("table names must differ in more than case")
     hidden = {}
-    listed = {t.name for t in spark.catalog.listTables() if t.isTemporary}
-    for name, df in tables.items():
-        if name in listed:
-            hidden[name] = spark.table(name)
-        df.createOrReplaceTempView(name)
+    with _views:
+        for name, df in tables.items():
+            if any(t.isTemporary and t.name.lower() == name.lower() for t in spark.catalog.listTables(pattern=name)):
+                hidden[name] = spark.table(name)
+            df.createOrReplaceTempView(name)
+        try:
+            return spark.sql(statement)
+        finally:
+            for name in tables:
+                if name in hidden:
+                    hidden[name].createOrReplaceTempView(name)
+                else:
+                    spark.catalog.dropTempView(name)
+
+
+@contextmanager
+def time_limit(spark: SparkSession, seconds: float | None) -> Iterator[None]:
+    """Interrupt the Spark work of the block after so many seconds and raise ``TimeoutError``; no limit for None.
+
+    Jobs that this thread starts inside the block carry a tag of their own, and only those are cancelled: the session and
+    what other threads run in it go on.
+    """
+    if seconds is None:
+        yield
+        return
+    tag, late, done = f"limit-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+    context = spark.sparkContext
+
+    def watch() -> None:
+        if done.wait(seconds):
+            return
+        late.set()
+        while not done.is_set():  # jobs that start after the first interrupt end as well
+            context.cancelJobsWithTag(tag)
+            done.wait(0.2)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    context.addJobTag(tag)
+    watcher.start()
     try:
-        return spark.sql(statement)
+        yield
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"the statement took longer than {seconds:g} seconds") from e
+        raise
     finally:
-        for name in tables:
-            if name in hidden:
-                hidden[name].createOrReplaceTempView(name)
-            else:
-                spark.catalog.dropTempView(name)
+        done.set()
+        watcher.join()
+        context.removeJobTag(tag)
+    if late.is_set():
+        raise TimeoutError(f"the statement took longer than {seconds:g} seconds")
 
 
 def sql_page(spark: SparkSession, text: str, page: int = 1, page_size: int = 100,
-             tables: Mapping[str, DataFrame] | None = None, order_by: Sequence[str] = ()) -> DataFrame:
+             tables: Mapping[str, DataFrame] | None = None, order_by: Sequence[str] = (),
+             seconds: float | None = None) -> DataFrame:
     """One page of a statement's result with the total number of rows.
 
     Later pages need ``order_by``, columns of the result; rows that tie there are
     ordered by their values, so that pages neither overlap nor leave rows out.
-    The result is stored once, and count and page are taken from it.
+    The result is stored once, and count and page are taken from it. A statement that takes longer than ``seconds`` is
+    ended with ``TimeoutError`` (interactive use: ``STATEMENT_SECONDS``; by default there is no limit, for large tables).
     """
     if not 1 <= page_size <= MAX_PAGE or page < 1:
         raise ValueError(f"page must be at least 1 and page_size between 1 and {MAX_PAGE}")
     if page > 1 and not order_by:
         raise ValueError("pages after the first need order_by")
-    stored = materialize(guarded_sql(spark, text, tables), "sql-result")
+    with time_limit(spark, seconds):
+        stored = materialize(guarded_sql(spark, text, tables), "sql-result")
     total: Column = stored.agg(F.count(F.lit(1)).alias("total_rows")).scalar()
     return rows_between(stored, order_by, (page - 1) * page_size, page_size).withColumn("total_rows", total)
