@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablegauge.operators import profile as P
+from tablegauge.operators import states as S
 from tablegauge.plans.registry import each, load, query, rnd
 from tablegauge.plans.views import LABELLED_SQL, labelled
 from tablegauge.session import scratch_path
@@ -170,6 +171,54 @@ def _(spark, d):
     return P.profile_drift(monthly_profiles(spark, d))
 
 
+# States of the orders by year, merged: exact parts equal those of the whole table, sketches stay in their bounds.
+STATE_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+STATE_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+def order_states(spark, d):
+    orders, path = load(spark, d, "orders").select("o_orderdate", *STATE_COLUMNS), scratch_path(spark, "states")
+    early = orders.filter("year(o_orderdate) < 1998").select(*STATE_COLUMNS, "o_orderdate")
+    year = F.date_format("o_orderdate", "yyyy")
+    S.append_states(early, path, year)
+    return S.append_states(orders.select(*STATE_COLUMNS, "o_orderdate"), path, year).filter(F.col("column_name").isin(STATE_COLUMNS))
+
+
+@query("p8_merged_states", rnd(" UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS total_rows, count(*) - count({c}) AS null_count, "
+        + (f"avg({c})::DOUBLE AS avg, stddev_samp({c}::DOUBLE) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, "
+           if c in STATE_NUMBERS else "CAST(NULL AS DOUBLE) AS avg, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, ")
+        + (f"CAST(NULL AS INTEGER) AS max_length, CAST(NULL AS DOUBLE) AS avg_length, " if c in STATE_NUMBERS
+           else f"CAST(max(len({c})) AS INTEGER) AS max_length, avg(len({c}))::DOUBLE AS avg_length, ")
+        + "true AS distinct_within_bound, true AS quantiles_within_bound FROM orders" for c in STATE_COLUMNS),
+    "avg", "std", "min", "max", "avg_length"))
+def _(spark, d):
+    orders = load(spark, d, "orders")
+    merged = S.profile_of_states(S.merge_states(order_states(spark, d)))
+    exact = P.profile_table(orders).select("column_name", F.col("distinct_count").alias("exact"))
+    # The share of values below a sketched quartile, counted over all rows.
+    quartiles = merged.filter(F.col("column_name").isin(STATE_NUMBERS)).select("column_name", "q25", "median", "q75")
+    long = orders.select(*[F.col(c).cast("double") for c in STATE_NUMBERS]).unpivot([], STATE_NUMBERS, "column_name", "value")
+    shares = long.join(F.broadcast(quartiles), "column_name").groupBy("column_name").agg(*[
+        F.avg((F.col("value") <= F.col(q)).cast("double")).alias(q) for q in ("q25", "median", "q75")])
+    near = shares.select("column_name", *[(F.abs(F.col(q) - p) <= S.RANK_ERROR).alias(q) for q, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))])
+    return merged.drop("q25", "median", "q75").join(exact, "column_name").join(near, "column_name", "left").select(
+        "column_name", "total_rows", "null_count", "avg", "std", "min", "max", "max_length", "avg_length",
+        (F.abs(F.col("distinct_count") - F.col("exact")) <= F.greatest(F.lit(1.0), S.DISTINCT_ERROR * F.col("exact"))).alias("distinct_within_bound"),
+        F.coalesce(F.col("q25") & F.col("median") & F.col("q75"), F.lit(True)).alias("quantiles_within_bound"))
+
+
+@query("p10_state_drift", rnd(
+    "WITH s AS (" + " UNION ALL ".join(
+        f"SELECT strftime(o_orderdate, '%Y') AS partition, '{c}' AS column_name, (count(*) - count({c}))::DOUBLE / count(*) AS null_fraction, "
+        f"{f'avg({c})::DOUBLE' if c in STATE_NUMBERS else 'CAST(NULL AS DOUBLE)'} AS avg FROM orders GROUP BY 1" for c in STATE_COLUMNS)
+    + ") SELECT *, null_fraction - lag(null_fraction) OVER w AS null_fraction_change, avg - lag(avg) OVER w AS avg_change FROM s WINDOW w AS (PARTITION BY column_name ORDER BY partition)",
+    "null_fraction", "avg", "null_fraction_change", "avg_change"))
+def _(spark, d):
+    return S.state_drift(order_states(spark, d)).select(
+        "partition", "column_name", "null_fraction", "avg", "null_fraction_change", "avg_change")
+
+
 SCHEMA_TABLES = {
     "region": [("r_regionkey", "int", 1), ("r_name", "string", 0)],
     "nation": [("n_nationkey", "int", 1), ("n_name", "string", 0), ("n_regionkey", "int", 1)],
