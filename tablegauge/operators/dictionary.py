@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegauge.functions.columns import col, nan_to_null, numeric_columns, temporal_columns, text_columns
 from tablegauge.operators.profile import profile_table
+from tablegauge.session import materialize
 
 KEY = ("database_name", "schema_name", "table_name", "column_name")
 # Field names and default texts of dictionary entries.
 DESCRIBED = ("business_name", "business_description", "technical_description", "data_type", "examples", "tags")
 ENTRY = (*KEY, "version_number", "is_active", "version_notes", *DESCRIBED, "source")
+ENTRY_SCHEMA = ("database_name string, schema_name string, table_name string, column_name string, version_number int, is_active boolean, "
+                "version_notes string, business_name string, business_description string, technical_description string, data_type string, "
+                "examples array<string>, tags array<string>, source string")
 HUMAN_SOURCE = "human_edited"
 DEFAULT_SOURCE = "llm_initial"
 FIRST_NOTES = "Initial documentation"
@@ -98,6 +102,86 @@ def activate_versions(entries: DataFrame, chosen: DataFrame) -> DataFrame:
     return joined.withColumn("is_active", flag).select(*entries.columns)
 
 
+# --- the dictionary as a stored table --------------------------------------------------------------------------------
+
+PLACE = ("database_name", "schema_name")
+
+
+class StaleVersion(RuntimeError):
+    """Another change of the stored dictionary came first, or one was broken off."""
+
+
+def _folder(spark: SparkSession, *parts: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _markers(spark: SparkSession, path: str) -> set[str]:
+    fs, folder = _folder(spark, path, "_versions")
+    return {s.getPath().getName() for s in fs.listStatus(folder)} if fs.exists(folder) else set()
+
+
+def _mark(spark: SparkSession, path: str, name: str) -> bool:
+    """Make a marker file; False if it is there already. Creating a file is atomic, so one of two writers wins."""
+    fs, marker = _folder(spark, path, "_versions", name)
+    return fs.createNewFile(marker)
+
+
+def dictionary_version(spark: SparkSession, path: str) -> int:
+    """Number of the last finished change of the stored dictionary; 0 if there is none."""
+    return max((int(m.split("-")[1]) for m in _markers(spark, path) if m.startswith("done-")), default=0)
+
+
+def write_dictionary(entries: DataFrame, path: str) -> int:
+    """Store a dictionary by database and schema as version 1; an existing one is an error."""
+    spark = entries.sparkSession
+    if not _mark(spark, path, "claim-1"):
+        raise StaleVersion(f"there is a dictionary at {path}")
+    entries.select(*ENTRY).write.mode("append").partitionBy(*PLACE).parquet(path)
+    _mark(spark, path, "done-1")
+    return 1
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ENTRY_SCHEMA).parquet(path).select(*ENTRY)
+
+
+def _change(spark: SparkSession, path: str, changes: DataFrame, expected: int | None, apply: Callable[[DataFrame], DataFrame]) -> int:
+    """Rewrite the database and schema folders that ``changes`` touches, and no others, as the next version.
+
+    The new content is complete before the version is claimed, so a failed computation changes nothing; of two writers of
+    one version the second gets ``StaleVersion`` and may try again.
+    """
+    version = dictionary_version(spark, path)
+    if version == 0 or expected not in (None, version):
+        raise StaleVersion(f"the dictionary has version {version}, not {expected}")
+    touched = changes.select(*PLACE).distinct()
+    current = read_dictionary(spark, path).alias("c").join(
+        touched.alias("t"), [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in PLACE], "left_semi")
+    made = materialize(apply(current).select(*ENTRY), "dictionary")
+    if not _mark(spark, path, f"claim-{version + 1}"):
+        raise StaleVersion(f"version {version + 1} was claimed by another writer")
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(path)
+    _mark(spark, path, f"done-{version + 1}")
+    return version + 1
+
+
+def merge_stored(spark: SparkSession, path: str, incoming: DataFrame, create_new_version: bool = False,
+                 expected: int | None = None) -> int:
+    """``upsert_dictionary`` on the stored dictionary; returns the new version. ``expected`` is the version it was read at."""
+    return _change(spark, path, incoming, expected, lambda current: upsert_dictionary(current, incoming, create_new_version))
+
+
+def edit_stored(spark: SparkSession, path: str, edits: DataFrame, create_new_version: bool = True, expected: int | None = None) -> int:
+    """``apply_edits`` on the stored dictionary; returns the new version."""
+    return _change(spark, path, edits, expected, lambda current: apply_edits(current, edits, create_new_version))
+
+
+def activate_stored(spark: SparkSession, path: str, chosen: DataFrame, expected: int | None = None) -> int:
+    """``activate_versions`` on the stored dictionary; returns the new version."""
+    return _change(spark, path, chosen, expected, lambda current: activate_versions(current, chosen))
+
+
 def active_entries(entries: DataFrame, database: str, schema: str, tables: Sequence[str],
                    active_only: bool = True) -> DataFrame:
     found = entries.filter((F.col("database_name") == database) & (F.col("schema_name") == schema)

@@ -7,25 +7,47 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import col
+from tablegauge.functions.columns import col, free_names
+
+
+LEVELS = 48  # a range covers at most 2^48 buckets
+
+
+def dyadic_cells(first: Column, last: Column) -> Column:
+    """The buckets from ``first`` to ``last`` as cells of 2^level buckets, at most two a level: (level, cell) structs.
+
+    A cell is listed where it lies inside the range and the cell twice its size around it does not.
+    """
+    cells = []
+    for level in range(LEVELS + 1):
+        left, right = -F.shiftright(-first, level), F.shiftright(last + 1, level) - 1
+        cells += [F.when((left <= right) & (side.bitwiseAND(F.lit(1)) == odd), F.struct(F.lit(level).alias("level"), side.alias("cell")))
+                  for side, odd in ((left, 1), (right, 0))]
+    return F.array_compact(F.array(*cells))
 
 
 def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str,
                width: float, keep: Sequence[Column] | None = None) -> DataFrame:
-    """Rows of ``left`` with ``low <= value < high`` of ``right``, joined by bucket.
+    """Rows of ``left`` with ``low <= value < high`` of ``right``, joined by dyadic cells of buckets.
 
-    Each range is listed under the buckets it covers, so the join is on
-    equality and the rest of the condition filters within a bucket. ``width``
-    should be about the length of a typical range.
+    A range of any length is listed under at most two cells of each size, so a long one costs rows by the logarithm of
+    its length. A value is looked up under its cell of every size that occurs; the join is on equality, and the rest of
+    the condition filters within a cell. ``width`` is the smallest cell, about the length of a short range. Missing values
+    and empty ranges meet nothing.
     """
     if width <= 0:
         raise ValueError("width must be positive")
-    bucket = F.floor(col(value).cast("double") / width).cast("bigint")
-    first = F.floor(col(low).cast("double") / width).cast("bigint")
-    last = F.floor(col(high).cast("double") / width).cast("bigint")
-    spread = right.filter(col(low) < col(high)).withColumn("_bucket", F.explode(F.sequence(first, last)))
-    joined = left.withColumn("_bucket", bucket).join(spread, "_bucket").filter(
-        (col(value) >= col(low)) & (col(value) < col(high))).drop("_bucket")
+    level, cell, cells = free_names([*left.columns, *right.columns], "_level", "_cell", "_cells")
+
+    def bucket(c: str) -> Column:
+        return F.floor(col(c).cast("double") / width).cast("bigint")
+
+    spread = right.filter(col(low) < col(high)).withColumn(cells, F.explode(dyadic_cells(bucket(low), bucket(high)))).withColumns(
+        {level: F.col(cells)["level"], cell: F.col(cells)["cell"]}).drop(cells)
+    used = spread.agg(F.sort_array(F.collect_set(level))).first()[0]  # at most LEVELS numbers
+    places = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(bucket(value), n).alias("cell")) for n in used or [0]])
+    points = left.withColumn(cells, F.explode(places)).withColumns({level: F.col(cells)["level"], cell: F.col(cells)["cell"]}).drop(cells)
+    joined = points.join(spread, [level, cell]).filter((col(value) >= col(low)) & (col(value) < col(high))).drop(level, cell)
     return joined.select(*keep) if keep else joined
 
 

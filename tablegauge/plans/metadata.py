@@ -14,7 +14,7 @@ from tablegauge.operators import dictionary as T
 from tablegauge.operators import profile as P
 from tablegauge.operators import usage as U
 from tablegauge.plans.profiles import SCHEMA_SQL, SCHEMA_TABLES
-from tablegauge.plans.registry import each, load, query, rnd, sql_on
+from tablegauge.plans.registry import ORACLES, each, load, query, rnd, sql_on
 from tablegauge.session import literal_table, scratch_path
 
 # --- dictionary entries ---------------------------------------------------
@@ -145,6 +145,26 @@ def _(spark, d):
     return flat(T.apply_edits(base, edits(spark, d), create_new_version=False))
 
 
+def stored(spark, d):
+    path = scratch_path(spark, "dictionary")
+    T.write_dictionary(entries(spark, d), path)
+    return path
+
+
+@query("t1_stored_upsert", upsert_sql(False))
+def _(spark, d):
+    path = stored(spark, d)
+    T.merge_stored(spark, path, incoming(spark, d), expected=1)
+    return flat(T.read_dictionary(spark, path))
+
+
+@query("t5_stored_edits", ORACLES["t5_edit_new_versions"])
+def _(spark, d):
+    path = stored(spark, d)
+    T.edit_stored(spark, path, edits(spark, d), expected=1)
+    return flat(T.read_dictionary(spark, path))
+
+
 @query("t6_context_markdown",
        f"WITH c AS ({CURRENT['duck']}), b AS (SELECT table_name, column_name, '**' || column_name || '** (' || data_type || ')' || "
        "'\n  - ' || business_description || '\n  - Tags: ' || array_to_string(tags, ', ') || '\n' AS t FROM c WHERE is_active) "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablegauge.operators import profile as P
 from tablegauge.operators import relational as R
 from tablegauge.operators import sql as S
-from tablegauge.plans.registry import load, query, rnd
+from tablegauge.plans.registry import load, query, rnd, sql_on
 from tablegauge.sources import rows
 
 
@@ -100,6 +100,18 @@ def _(spark, d):
     return joined.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean_price"))
 
 
+# Ranges above each supplier's balance, from half a unit to beyond all balances; the smallest cell is 10.
+NESTED = ("SELECT s_suppkey AS range_id, s_acctbal AS low, s_acctbal + CASE s_suppkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 40.0 WHEN 2 THEN 3000.0 "
+          "ELSE 1000000.0 END AS high FROM supplier")
+
+
+@query("q8_range_join_any_length",
+       f"SELECT range_id, count(*) AS n FROM customer JOIN ({NESTED}) ON c_acctbal >= low AND c_acctbal < high GROUP BY range_id")
+def _(spark, d):
+    joined = R.range_join(load(spark, d, "customer"), sql_on(spark, d, NESTED, "supplier"), "c_acctbal", "low", "high", 10.0)
+    return joined.groupBy("range_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("q8_interval_join",
        "WITH s AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'signup') "
        "SELECT s.event_id AS signup_id, count(*) AS orders_within FROM s JOIN events e "

@@ -451,3 +451,18 @@ def test_snapshots_are_listed_newest_first(spark, tmp_path):
         kept = R.append_snapshot(spark.createDataFrame([("m", day)], "model_id string, captured_at string"), str(tmp_path / "s"))
     assert [r.captured_at for r in R.list_snapshots(kept, "m").collect()] == ["2024-01-03", "2024-01-02", "2024-01-01"]
     assert R.list_snapshots(kept, "other").count() == 0
+
+
+def test_range_join_of_any_length(spark):
+    import random
+    r = random.Random(8)
+    points = [(i, None if i == 3 else r.uniform(-500, 500)) for i in range(200)] + [(1000 + i, 7.0) for i in range(300)]
+    ranges = [(j, a, a + r.choice([0.0, 0.01, 1.0, 64.0, 700.0, 1e7, -5.0])) for j, a in enumerate(r.uniform(-600, 500) for _ in range(120))]
+    ranges += [(900, None, 5.0), (901, -1e12, 1e12)]
+    left = spark.createDataFrame(points, "_level int, `v.1` double")
+    right = spark.createDataFrame(ranges, "_cell int, low double, high double")
+    got = sorted((x["_level"], x["_cell"]) for x in RL.range_join(left, right, "v.1", "low", "high", 2.0).collect())
+    assert got == sorted((i, j) for i, v in points for j, a, b in ranges if None not in (v, a) and a <= v < b)
+    assert RL.range_join(left, right.limit(0), "v.1", "low", "high", 2.0).collect() == []
+    lists = right.select("_cell", F.size(RL.dyadic_cells(F.floor(F.col("low") / 2.0), F.floor(F.col("high") / 2.0))).alias("n")).filter("low < high")
+    assert lists.agg(F.max("n")).first()[0] <= 84
