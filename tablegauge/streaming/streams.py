@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablegauge.functions.columns import col
 from tablegauge.session import scratch_path
 
 
@@ -60,22 +61,79 @@ def run_append(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_update(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
-    """Run in update mode; every batch's changes are written with its number and
-    the newest change per key is the current state. A retried batch overwrites
-    its own folder."""
-    spark = stream.sparkSession
-    path = scratch_path(spark, label)
+class StateTable:
+    """The newest row per key of a stream of changes, stored by buckets of the key.
 
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    A batch rewrites the buckets its keys fall into as ``batch=N/bucket=K`` and leaves the others where they are, so what
+    is read later is one version of each bucket and not every batch. A batch that is run again reads the versions before
+    it and overwrites its own; older versions are deleted when the next batch begins, as the one before is final by then.
+    """
 
-    query = (stream.writeStream.outputMode("update").foreachBatch(save)
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], buckets: int):
+        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, schema, list(keys), buckets
+
+    def _folder(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _numbers(self, name: str, *parts: str) -> list[int]:
+        fs, path = self._folder(*parts)
+        found = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(f.split("=")[1]) for f in found if f.startswith(f"{name}="))
+
+    def versions(self, before: int | None = None) -> dict[int, list[int]]:
+        """The batches that hold each bucket, ascending, of those before the given one."""
+        held: dict[int, list[int]] = {}
+        for batch in self._numbers("batch", "state"):
+            if before is None or batch < before:
+                for bucket in self._numbers("bucket", "state", f"batch={batch}"):
+                    held.setdefault(bucket, []).append(batch)
+        return held
+
+    def read(self, before: int | None = None, only: Sequence[int] | None = None) -> DataFrame | None:
+        """The current rows (of some buckets); None if nothing is stored."""
+        paths = ["/".join([self.path, "state", f"batch={held[-1]}", f"bucket={bucket}"])
+                 for bucket, held in self.versions(before).items() if only is None or bucket in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else None
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*[col(k) for k in self.keys]), F.lit(self.buckets))
+
+    def merge(self, batch: DataFrame, number: int) -> None:
+        for bucket, held in self.versions(number).items():
+            for old in held[:-1]:
+                fs, path = self._folder("state", f"batch={old}", f"bucket={bucket}")
+                fs.delete(path, True)
+        changes = "/".join([self.path, "changes"])  # the batch itself, as it is read twice
+        batch.withColumn("bucket", self._bucket()).write.mode("overwrite").parquet(changes)
+        fresh = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("bucket", T.LongType())])).parquet(changes)
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most the number of buckets
+        if not touched:
+            return
+        old = self.read(number, touched)
+        merged = fresh.drop("bucket")
+        if old is not None:
+            same = [F.col(f"o.`{k}`").eqNullSafe(F.col(f"f.`{k}`")) for k in self.keys]
+            merged = merged.unionByName(old.alias("o").join(fresh.alias("f"), same, "left_anti"))
+        merged.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+            "/".join([self.path, "state", f"batch={number}"]))
+
+
+def run_update(stream: DataFrame, label: str, keys: Sequence[str], buckets: int = 16) -> DataFrame:
+    """Run in update mode over everything available and return the newest row per key.
+
+    Every batch is merged into a state table (see ``StateTable``): the result is one row per key as it is, not a roll-up
+    of all batches. Use more ``buckets`` for many keys. A column named ``bucket`` is not possible.
+    """
+    spark = stream.sparkSession
+    if "bucket" in {c.lower() for c in stream.columns}:
+        raise ValueError("a stream with a column named bucket has no state table")
+    table = StateTable(spark, scratch_path(spark, label), stream.schema, keys, buckets)
+    query = (stream.writeStream.outputMode("update").foreachBatch(table.merge)
              .option("checkpointLocation", scratch_path(spark, f"{label}-state")).trigger(availableNow=True).start())
     query.awaitTermination()
-    changes = spark.read.schema(T.StructType(stream.schema.fields + [T.StructField("batch", T.LongType())])).parquet(path)
-    rest = [c for c in stream.columns if c not in keys]
-    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+    state = table.read()
+    return spark.createDataFrame([], stream.schema) if state is None else state
 
 
 def run_complete(stream: DataFrame, label: str) -> DataFrame:
