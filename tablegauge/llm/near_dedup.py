@@ -33,7 +33,7 @@ from tablegauge.llm.shingles import grouped, mix, shingle_sets
 PER_CENT = 75
 POOL = 64  # minwise hash functions
 ROUNDS = ((0, 1), tuple(range(2, 10)))  # trees; the first token of tree t is the whole minwise hash of function t
-NODE = 1000  # items of a node that are compared with each other by signature
+NODE = 4000  # items of a node that are compared with each other by signature
 BLOCK = 200  # items of a block in which a large node is compared
 LAST_LEVEL = 60  # a node that is still large here is compared in blocks against blocks
 PLAUSIBLE = 34  # equal minwise tokens of 64; a pair at the threshold has fewer twice in a hundred thousand
@@ -81,23 +81,6 @@ def signatures(base: DataFrame) -> DataFrame:
     return store(made.select("row.row", "row.ident", "row.number", "n", "digest", "roots", "signature"), "signatures")
 
 
-class Forest:
-    """Union-find over the items of one node."""
-
-    def __init__(self, labels: Sequence[int]):
-        first: dict[int, int] = {}
-        self.up = [first.setdefault(x, i) for i, x in enumerate(labels)]
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, a: int, b: int) -> None:
-        self.up[max(a, b)] = min(a, b)
-
-
 def cut_groups(keys: np.ndarray) -> list[tuple[int, int]]:
     cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
     return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]))
@@ -107,25 +90,34 @@ def matrix(signatures: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, POOL)
 
 
+def chains(near: np.ndarray) -> np.ndarray:
+    """The smallest item that each item is connected with, by a symmetric matrix of pairs."""
+    label = np.arange(len(near), dtype=np.int32)
+    while True:
+        least = np.minimum(label, np.where(near, label[None, :], len(near)).min(1).astype(np.int32))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
 def plausible(table: pa.Table) -> pa.Table:
     """The items of each node that may have a link to another component, grouped by chains of such pairs."""
     out: dict[str, list] = {"node": [], "number": []}
     numbers, components, nodes = (table[c].to_numpy() for c in ("number", "component", "node"))
     tokens = matrix(table["signature"])
     for a, b in cut_groups(nodes):
-        near = np.zeros((b - a, b - a), np.int8)
-        for k in range(POOL):
-            near += tokens[a:b, k, None] == tokens[None, a:b, k]
-        forest, met = Forest(range(b - a)), set()
-        for i, j in np.argwhere(np.triu((near >= PLAUSIBLE) & (components[a:b, None] != components[None, a:b]), 1)).tolist():
-            ri, rj = forest.root(i), forest.root(j)
-            if ri != rj:
-                forest.join(ri, rj)
-            met |= {i, j}
-        for i in sorted(met):
-            out["node"].append(int(mix(np.array([nodes[a] ^ (forest.root(i) << 32)], np.int64).view(np.uint64)).view(np.int64)[0]))
-            out["number"].append(int(numbers[a + i]))
-    return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+        same = np.zeros((b - a, b - a), np.int8)
+        for column in np.ascontiguousarray(tokens[a:b].T):
+            same += column[:, None] == column[None, :]
+        near = same >= PLAUSIBLE
+        near &= components[a:b, None] != components[None, a:b]
+        met = np.flatnonzero(near.any(1))
+        if len(met):
+            first = chains(near[np.ix_(met, met)])
+            out["node"].append(mix((first.astype(np.int64) << 32 ^ nodes[a]).view(np.uint64)).view(np.int64))
+            out["number"].append(numbers[a + met])
+    return pa.table({k: pa.array(np.concatenate([np.zeros(0, np.int64), *v]), pa.int64()) for k, v in out.items()})
 
 
 def near_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,22 +147,19 @@ def verify(table: pa.Table) -> pa.Table:
         shingles, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
         parts = np.split(ids, np.cumsum(sizes)[:-1])
         marks = np.zeros(len(shingles), np.int32)
-        forest = Forest(labels)
+        group = np.unique(labels, return_inverse=True)[1]
         for j in range(1, len(order)):
             marks[parts[j]] = 1
-            tried = [0] if forest.root(0) != forest.root(j) else []
-            for step in range(2):
-                if tried:
+            for tried in (range(1), range(1, j)):
+                tried = np.array(tried)[group[tried.start:tried.stop] != group[j]]
+                if len(tried):
                     own = sizes[tried]
                     same = np.add.reduceat(marks[np.concatenate([parts[i] for i in tried])], np.cumsum(own) - own)
-                    for at in np.flatnonzero(100 * same >= PER_CENT * (own + sizes[j] - same)).tolist():
-                        ri, rj = forest.root(tried[at]), forest.root(j)
-                        if ri != rj:
-                            forest.join(ri, rj)
-                            out["a"].append(int(numbers[order[tried[at]]]))
+                    for i in tried[100 * same >= PER_CENT * (own + sizes[j] - same)].tolist():
+                        if group[i] != group[j]:
+                            group[group == group[i]] = group[j]
+                            out["a"].append(int(numbers[order[i]]))
                             out["b"].append(int(numbers[order[j]]))
-                root = forest.root(j)
-                tried = [i for i in range(1, j) if forest.root(i) != root] if step == 0 else []
             marks[parts[j]] = 0
     return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
@@ -292,23 +281,19 @@ def similarity_join(items: DataFrame, texts: DataFrame) -> DataFrame | None:
     for trees in ROUNDS:
         rows = items.select("number", F.explode(F.array(*[
             F.xxhash64(F.lit(t), F.element_at("roots", t + 1)) for t in trees])).alias("node"))
-        cells = []
+        cells, known = [], labels
         for level in range(LAST_LEVEL + 1):
-            found = open_nodes(rows, labels, total)
+            found = open_nodes(rows, known, total)
             cells.append(found.filter(F.col("n") <= NODE).select("node", "number"))
-            large = found.filter(F.col("n") > NODE)
-            if large.isEmpty():
+            few = (F.col("left") <= NODE) | F.lit(level == LAST_LEVEL)
+            cells.append(in_blocks(found.filter((F.col("n") > NODE) & few)))
+            many = found.filter((F.col("n") > NODE) & ~few)
+            if many.isEmpty():
                 break
-            held = store(large.select("node", "number").join(items.select("number", "signature"), "number"), "large")
-            many = large.filter(F.col("left") > NODE)
-            if not many.isEmpty():
-                starred = compare(stars(many.join(held, ["node", "number"]), total), texts, labels)
-                links.append(starred)
-                found = open_nodes(large.select("node", "number"), nearer(starred, labels), total)
-            near_done = (F.col("left") <= NODE) | F.lit(level == LAST_LEVEL)
-            cells.append(in_blocks(found.filter(near_done)))
-            rows = children(found.filter(~near_done).join(held, ["node", "number"]))
-        links.append(similar_pairs(reduce(DataFrame.unionByName, cells), items, texts, labels))
+            held = store(many.join(items.select("number", "signature"), "number"), "large")
+            links.append(compare(stars(held, total), texts, known))
+            known, rows = nearer(links[-1], known), children(held)
+        links.append(similar_pairs(reduce(DataFrame.unionByName, cells), items, texts, known))
         labels = connected(reduce(DataFrame.unionByName, links))
     return labels
 
