@@ -199,6 +199,14 @@ def _(spark, d):
                      (F.abs(F.sum("prevalence") - 1) < 1e-9).alias("shares_sum_to_one"))
 
 
+# Four groups far apart from each other: a segment for each, and no other partition of the rows has these sizes.
+@query("n9_separated_clusters", "SELECT count(*) AS size, count(*) / sum(count(*)) OVER ()::DOUBLE AS prevalence FROM lineitem GROUP BY l_linenumber % 4")
+def _(spark, d):
+    part = F.col("l_linenumber") % 4
+    rows = load(spark, d, "lineitem").select((F.floor(part / 2) * 100 + F.col("l_tax")).alias("a"), (part % 2 * 100 + F.col("l_discount")).alias("b"))
+    return N.clusters(rows, ["a", "b"]).select("size", "prevalence")
+
+
 @query("n9_clusters")
 def _(spark, d):
     return N.clusters(load(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
@@ -340,6 +348,17 @@ def _(spark, d):
         F.col("accuracy") >= F.col("share") - 3 / F.sqrt("test_rows")).alias("as_good_as_the_largest_class"))
 
 
+# A class that quantity and return flag give away together: a constant prediction is right for about half of the rows.
+@query("m4_learned_class",
+       f"WITH t AS (SELECT 1 FROM lineitem WHERE {hashed_sql('l_orderkey', 'l_linenumber')} < 0.2::DOUBLE) "
+       "SELECT 'handling' AS target, count(*) AS test_rows, true AS learned FROM t")
+def _(spark, d):
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", F.when(
+        F.col("l_quantity") <= 25, "small").when(F.col("l_returnflag") == "A", "claim").otherwise("bulk").alias("handling"))
+    metrics, _, _ = M.fit_classifier(li, "handling", ["l_orderkey", "l_linenumber"], trees=20, max_depth=5)
+    return metrics.select("target", "test_rows", (F.col("accuracy") > 0.9).alias("learned"))
+
+
 @query("m5_regressor_facts",
        f"SELECT 'l_extendedprice' AS target, count(*) AS test_rows, true AS better_than_the_mean FROM lineitem WHERE {hashed_sql('l_orderkey', 'l_linenumber')} < 0.2::DOUBLE")
 def _(spark, d):
