@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import count
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,12 +106,16 @@ def apply_layers(df: DataFrame, layers: Sequence[Mapping], terms: Mapping[str, D
     return df
 
 
+HOPS, ROUNDS = 4, 8
+
+
 def lineage(edges: DataFrame, start: DataFrame, direction: str = "both", depth: int | None = None) -> DataFrame:
     """Nodes reachable from ``start`` (column ``node``) with their distance, up to ``depth`` hops or without limit.
 
-    One join per hop against the edges, minus what was visited. Every hop is
-    written to the shared folder, so plans stay short and a lost executor
-    costs one hop; an empty hop ends the walk.
+    A round joins ``HOPS`` layers against the edges in one job, keeps the smallest distance of each node and drops what was
+    visited before; the nodes of its last layer are the next round's frontier. Every round is written to the shared folder,
+    and after ``ROUNDS`` of them the visited nodes become one table again, so plans stay short however long the walk is and
+    a lost executor costs one round.
     """
     down = edges.select(F.col("source").alias("node"), F.col("target").alias("next"))
     up = edges.select(F.col("target").alias("node"), F.col("source").alias("next"))
@@ -119,17 +123,22 @@ def lineage(edges: DataFrame, start: DataFrame, direction: str = "both", depth:
         raise ValueError(f"unknown direction: {direction}")
     step = down if direction == "downstream" else up if direction == "upstream" else down.unionByName(up)
     step = materialize(step.distinct(), "lineage-edges")
-    frontier = materialize(start.select("node").distinct().withColumn("depth", F.lit(0)), "lineage-hop")
-    visited = frontier
-    for hop in count(1):
-        if depth is not None and hop > depth:
-            break
-        reached = (frontier.select("node").join(step, "node").select(F.col("next").alias("node")).distinct()
-                   .join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(hop)))
-        frontier = materialize(reached, "lineage-hop")
+    frontier = materialize(start.select("node").distinct().withColumn("depth", F.lit(0)), "lineage-hops")
+    visited, rounds, done = frontier, 1, 0
+    while depth is None or done < depth:
+        hops = HOPS if depth is None else min(HOPS, depth - done)
+        layer, layers = frontier.select("node"), []
+        for hop in range(done + 1, done + hops + 1):
+            layer = layer.join(step, "node").select(F.col("next").alias("node")).distinct()
+            layers.append(layer.withColumn("depth", F.lit(hop)))
+        reached = reduce(DataFrame.unionByName, layers).groupBy("node").agg(F.min("depth").alias("depth"))
+        found = materialize(reached.join(visited.select("node"), "node", "left_anti"), "lineage-hops")
+        visited, rounds, done = visited.unionByName(found), rounds + 1, done + hops
+        frontier = found.filter(F.col("depth") == done)
         if frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier)
+        if rounds == ROUNDS:
+            visited, rounds = materialize(visited, "lineage-visited"), 1
     return visited
 
 

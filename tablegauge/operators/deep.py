@@ -101,12 +101,15 @@ def bucket_series(df: DataFrame, at: str, unit: str, value: Column) -> DataFrame
 
 
 def spikes(series: DataFrame, trailing: int = 7, sigmas: float = 3.0) -> DataFrame:
-    """Buckets beyond the trailing mean by more than the given deviations."""
-    past = Window.orderBy("bucket").rowsBetween(-trailing, -1)
-    scored = series.select("bucket", "value", F.avg("value").over(past).alias("trailing_mean"),
-                           F.stddev_samp("value").over(past).alias("_s"), F.count("value").over(past).alias("_n"))
+    """Buckets beyond the trailing mean by more than the given deviations, looked at in blocks of the row index."""
+    indexed = with_row_index(series.select("bucket", "value"), ["bucket"], "i")
+    past = back_window(index="i").rowsBetween(-trailing, -1)
+    scored = with_halo(indexed, trailing, "i").select(
+        "bucket", "value", "_halo", F.avg("value").over(past).alias("trailing_mean"),
+        F.stddev_samp("value").over(past).alias("_s"), F.count("value").over(past).alias("_n"))
     z = F.try_divide(F.col("value") - F.col("trailing_mean"), "_s")
-    return scored.filter(F.col("_n") == trailing).withColumn("z_score", z).filter(F.abs("z_score") > sigmas).select(
+    full = scored.filter((F.col("_n") == trailing) & ~F.col("_halo"))
+    return full.withColumn("z_score", z).filter(F.abs("z_score") > sigmas).select(
         "bucket", "value", "trailing_mean", "z_score", F.when(F.col("z_score") > 0, "spike").otherwise("drop").alias("type"))
 
 
@@ -152,10 +155,9 @@ def categorical_association(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def trend_type(series: DataFrame) -> DataFrame:
     """increasing, decreasing, stable, mixed or unclear, from a regression on the buckets."""
-    indexed = series.select("value", (F.row_number().over(Window.orderBy("bucket")) - 1).cast("double").alias("i"),
-                            F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    half = series.count() // 2
+    indexed = with_row_index(series.select("bucket", "value"), ["bucket"], "at").withColumn("i", F.col("at").cast("double"))
     v = F.col("value").cast("double")
-    half = F.floor(F.col("n") / 2)
     early, late = F.when(F.col("i") < half, v), F.when(F.col("i") >= half, v)
     row = indexed.agg(
         F.regr_slope(v, F.col("i")).alias("slope"), F.regr_r2(v, F.col("i")).alias("r2"), F.avg(v).alias("mean"),
@@ -166,24 +168,6 @@ def trend_type(series: DataFrame) -> DataFrame:
     return row.select("buckets", "slope", "r2", change.alias("relative_change"), kind.alias("trend_type"))
 
 
-def change_point(series: DataFrame, min_side: int = 5) -> DataFrame:
-    """The split of the series that lowers the squared error most."""
-    w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    v = F.col("value").cast("double")
-    one = F.lit(1)
-    p = series.select("bucket", F.count(one).over(w).alias("k"), F.sum(v).over(w).alias("s"),
-                      F.count(one).over(whole).alias("n"), F.sum(v).over(whole).alias("t"))
-    rest = F.col("n") - F.col("k")
-    before, after = F.col("s") / F.col("k"), F.try_divide(F.col("t") - F.col("s"), rest)
-    # Between-sides sum of squares: what the split removes from the error.
-    gain = F.col("k") * rest / F.col("n") * F.pow(before - after, F.lit(2))
-    split = p.filter((F.col("k") >= min_side) & (rest >= min_side)).select(
-        F.col("bucket"), before.alias("mean_before"), after.alias("mean_after"), gain.alias("error_reduction"), "k")
-    return split.agg(F.max_by(F.struct("bucket", "mean_before", "mean_after", "error_reduction"),
-                              F.struct("error_reduction", -F.col("k"))).alias("b")).select("b.*")
-
-
 SEGMENT_BLOCK = 1 << 16  # rows of a block of the index when segments are joined to their points
 
 
@@ -198,6 +182,21 @@ def prefix_sums(series: DataFrame) -> DataFrame:
     return materialize(begin.unionByName(summed).withColumn("block", F.floor(F.col("i") / SEGMENT_BLOCK).cast("bigint")), "prefix-sums")
 
 
+def change_point(series: DataFrame, min_side: int = 5) -> DataFrame:
+    """The split of the series that lowers the squared error most, from its prefix sums; a null value counts as 0."""
+    sums = prefix_sums(series)
+    end = sums.agg(F.struct(F.max("i").alias("n"), F.max_by("s", "i").alias("t"))).scalar()
+    p = sums.withColumn("_end", end).select("bucket", F.col("i").alias("k"), "s", "_end.n", "_end.t")
+    rest = F.col("n") - F.col("k")
+    before, after = F.try_divide(F.col("s"), F.col("k")), F.try_divide(F.col("t") - F.col("s"), rest)
+    # Between-sides sum of squares: what the split removes from the error.
+    gain = F.col("k") * rest / F.col("n") * F.pow(before - after, F.lit(2))
+    split = p.filter((F.col("k") >= min_side) & (rest >= min_side)).select(
+        F.col("bucket"), before.alias("mean_before"), after.alias("mean_after"), gain.alias("error_reduction"), "k")
+    return split.agg(F.max_by(F.struct("bucket", "mean_before", "mean_after", "error_reduction"),
+                              F.struct("error_reduction", -F.col("k"))).alias("b")).select("b.*")
+
+
 def noise(series: DataFrame) -> Column:
     """Half the mean squared step between neighbouring buckets: a variance that level shifts hardly change."""
     indexed = with_row_index(series.select(F.col("value").cast("double").alias("v"), "bucket"), ["bucket"], "i")

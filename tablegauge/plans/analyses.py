@@ -200,7 +200,8 @@ def _(spark, d):
 
 
 # Four groups far apart from each other: a segment for each, and no other partition of the rows has these sizes.
-@query("n9_separated_clusters", "SELECT count(*) AS size, count(*) / sum(count(*)) OVER ()::DOUBLE AS prevalence FROM lineitem GROUP BY l_linenumber % 4")
+@query("n9_separated_clusters", rnd(
+    "SELECT count(*) AS size, count(*) / sum(count(*)) OVER ()::DOUBLE AS prevalence FROM lineitem GROUP BY l_linenumber % 4", "prevalence"))
 def _(spark, d):
     part = F.col("l_linenumber") % 4
     rows = load(spark, d, "lineitem").select((F.floor(part / 2) * 100 + F.col("l_tax")).alias("a"), (part % 2 * 100 + F.col("l_discount")).alias("b"))
