@@ -30,11 +30,11 @@ GAPS = np.ones(256, bool)  # bytes between terms; every byte of a character beyo
 for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     GAPS[_low:_high] = False
 GAP = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-HASH_BYTES = 2 << 20  # text that is hashed at a time
-BLOCK_BYTES = 8 << 20
-BLOCK_ROWS = 1 << 14
+HASH_BYTES = 1 << 20  # text that is hashed at a time
+BLOCK_BYTES = 3 << 20
+BLOCK_ROWS = 1 << 13
 ROUND_TERMS = 200_000  # terms of the items of one round, which is what is broadcast at a time
-STATE_TERMS = 400_000  # occurrences of the terms of the items that descend together
+STATE_TERMS = 300_000  # occurrences of the terms of the items that descend together
 FIRST_BATCH = 32  # ranges of an item that are opened at a time until its first scores are known
 ONES = np.array([bin(b).count("1") for b in range(16)], np.int32)
 # Of a cell with these four bits, the place of a quadrant's cell among the children; -1 if it is empty.
