@@ -272,8 +272,9 @@ def build_index(df: DataFrame, text: str, ident: str, documents: int, total: int
         if held:
             yield block(held)
 
-    # A block to a row group, so that readers hold one block at a time.
-    return store(with_workers(source).mapInArrow(run, out), "treaps", **{"parquet.block.size": str(BLOCK_BYTES)})
+    # A block to a row group, checked after every row, so that writers and readers hold one block at a time.
+    return store(with_workers(source).mapInArrow(run, out), "treaps",
+                 **{"parquet.block.size": str(BLOCK_BYTES), "parquet.page.size.row.check.min": "1"})
 
 
 def query_terms(items: DataFrame, text: str, ident: str) -> DataFrame:
