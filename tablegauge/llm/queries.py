@@ -124,7 +124,7 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (SELECT *, role || chr(10) || text || chr(10) AS line, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
-  CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 12 ELSE 17 + len(role) + 2 * (len(role) - len(replace(replace(role, '%', ''), chr(10), '')))
+  CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 12 ELSE 16 + len(role) + 2 * (len(role) - len(replace(replace(role, '%', ''), chr(10), '')))
     + len(regexp_extract_all(role, '<\\*/?s>|\[\\*/?(INST|REPLY|ROLE)\]')) END
   + len(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?(INST|REPLY|ROLE)\]')) AS chars FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(line, '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
