@@ -7,10 +7,12 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import col, free_names
+from tablegauge.functions.columns import col, free_names, with_row_index
+from tablegauge.functions.ordered import running_total
 
 
 LEVELS = 48  # a range covers at most 2^48 buckets
+COUNT_BLOCK = 200_000  # distinct values and bounds that one task adds up
 
 
 def dyadic_cells(first: Column, last: Column) -> Column:
@@ -27,16 +29,23 @@ def dyadic_cells(first: Column, last: Column) -> Column:
 
 
 def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str,
-               width: float, keep: Sequence[Column] | None = None) -> DataFrame:
+               width: float, keep: Sequence[Column] | None = None, count: str | None = None) -> DataFrame:
     """Rows of ``left`` with ``low <= value < high`` of ``right``, joined by dyadic cells of buckets.
 
     A range of any length is listed under at most two cells of each size, so a long one costs rows by the logarithm of
     its length. A value is looked up under its cell of every size that occurs; the join is on equality, and the rest of
     the condition filters within a cell. ``width`` is the smallest cell, about the length of a short range. Missing values
     and empty ranges meet nothing.
+
+    With ``count`` the pairs are counted instead of listed: every row of ``right`` that meets any comes once, with their
+    number in the column of that name. Pairs grow with both tables at once, their counts do not.
     """
     if width <= 0:
         raise ValueError("width must be positive")
+    if count is not None:
+        if keep:
+            raise ValueError("counts have no columns of the left table to keep")
+        return _range_counts(left, right, value, low, high, count)
     level, cell, cells = free_names([*left.columns, *right.columns], "_level", "_cell", "_cells")
 
     def bucket(c: str) -> Column:
@@ -51,6 +60,27 @@ def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: st
     return joined.select(*keep) if keep else joined
 
 
+def _range_counts(left: DataFrame, right: DataFrame, value: str, low: str, high: str, count: str) -> DataFrame:
+    """Rows of ``right`` with the number of values in their range: those below ``high`` without those below ``low``.
+
+    Values and bounds are reduced to one row per distinct number, put in order and added up in blocks, so neither a
+    frequent value nor a long range weighs more than another.
+    """
+    ranges = right.filter(col(low) < col(high))
+    values = left.select(col(value).alias("at")).filter(F.col("at").isNotNull()).groupBy("at").agg(F.count(F.lit(1)).alias("rows"))
+    bounds = ranges.select(F.explode(F.array(col(low), col(high))).alias("at")).distinct().withColumn("rows", F.lit(0).cast("bigint"))
+    places = values.unionByName(bounds).groupBy("at").agg(F.sum("rows").alias("rows"))
+    totals = running_total(with_row_index(places, ["at"]), {"up_to": "rows"}, block=COUNT_BLOCK)
+    at_low, at_high, under_low, under_high = free_names([*right.columns, count], "_at_low", "_at_high", "_under_low", "_under_high")
+
+    def below(at: str, under: str) -> DataFrame:
+        return totals.select(F.col("at").alias(at), (F.col("up_to") - F.col("rows")).alias(under))
+
+    met = (ranges.join(below(at_low, under_low), col(low) == F.col(at_low))
+           .join(below(at_high, under_high), col(high) == F.col(at_high)))
+    return met.select(*[col(c) for c in right.columns], (F.col(under_high) - F.col(under_low)).alias(count)).filter(col(count) > 0)
+
+
 def run_pipeline(df: DataFrame, steps: Iterable[Mapping], tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Apply an ordered list of declared steps: filter, map, aggregate, join.
 

@@ -466,3 +466,28 @@ def test_range_join_of_any_length(spark):
     assert RL.range_join(left, right.limit(0), "v.1", "low", "high", 2.0).collect() == []
     lists = right.select("_cell", F.size(RL.dyadic_cells(F.floor(F.col("low") / 2.0), F.floor(F.col("high") / 2.0))).alias("n")).filter("low < high")
     assert lists.agg(F.max("n")).first()[0] <= 84
+
+
+def test_range_join_counts_without_listing_pairs(spark):
+    import random
+    r = random.Random(9)
+    points = [(None,), (float("nan"),), (float("inf"),), (0.0,), (-0.0,)] + [(r.choice([7.0, r.uniform(-500, 500)]),) for _ in range(400)]
+    ranges = [(j % 90, a, a + r.choice([0.0, 0.01, 64.0, 700.0, 1e7, -5.0])) for j, a in enumerate([*(r.uniform(-600, 500) for _ in range(120)), 7.0, 7.0, -0.0])]
+    ranges += [(900, None, 5.0), (901, -1e12, 1e12), (None, 0.0, 8.0), (None, 0.0, 8.0), (902, 7.0, 7.5), (903, 0.0, float("inf"))]
+    left, right = spark.createDataFrame(points, "`v.1` double"), spark.createDataFrame(ranges, "up_to int, low double, high double")
+    got = RL.range_join(left, right, "v.1", "low", "high", 2.0, count="at").collect()
+    want = [(j, a, b, sum(v is not None and a <= v < b for v, in points)) for j, a, b in ranges if None not in (a, b) and a < b]
+    assert sorted(map(str, map(tuple, got))) == sorted(str(w) for w in want if w[3])
+    assert RL.range_join(left, right.limit(0), "v.1", "low", "high", 2.0, count="n").collect() == []
+    assert RL.range_join(left.limit(0), right, "v.1", "low", "high", 2.0, count="n").collect() == []
+    # As many pairs as the product of both tables: listed, they would not end.
+    many, wide = spark.range(200_000), spark.range(100_000).select((F.col("id") % 10).alias("low"), F.lit(10 ** 9).alias("high"))
+    assert RL.range_join(many, wide, "id", "low", "high", 1.0, count="n").agg(F.sum("n")).first()[0] == 100_000 * 200_000 - 450_000
+
+
+def test_the_any_length_join_stays_small(spark, tmp_path):
+    from __spark_entry__ import queries
+    spark.range(30_000).select(F.col("id").alias("c_custkey"), (F.col("id") / 3).alias("c_acctbal")).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(30_000).select((F.col("id") * 4 + 3).alias("s_suppkey"), F.lit(-1.0).alias("s_acctbal")).write.parquet(str(tmp_path / "supplier.parquet"))
+    out = queries()["q8_range_join_any_length"](spark, str(tmp_path))
+    assert [tuple(x) for x in out.agg(F.count(F.lit(1)), F.min("n"), F.max("n")).collect()] == [(30_000, 30_000, 30_000)]
