@@ -6,23 +6,24 @@ shorter one is the turn's span. Two more renderings, with one-letter texts in pl
 text lies inside the span, which gives the loss mask. An output that does not continue the one before it means that the
 template rewrites history; the number of characters it takes back is reported with the turn.
 
-A conversation is read as a stream: the context that is rendered again holds its first ``HEAD`` and its last ``reach``
-turns, so a conversation of any length needs a bounded number of turns in memory and time in proportion to its length.
-Up to ``HEAD + reach`` turns that is the whole prefix. Beyond, every turn is rendered in two contexts, one turn apart in
-length, and a template whose output depends on how far back the context goes is reported as rewriting.
+The whole prefix is rendered for every turn, whatever the length of the conversation, because a template may look at any
+of its turns. Time and the text rendered grow with the square of a conversation's length, so the turns of a long one are
+dealt out in blocks, each to a task that gets the turns before its block as well; a task holds one conversation's prefix
+and two outputs of it. Only a caller that names a ``reach`` has a bounded context instead: the first ``HEAD`` and the
+last ``reach`` turns. There every turn beyond is rendered in two contexts, one turn apart in length, and a template whose
+output depends on how far back the context goes is reported as rewriting.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os.path
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,7 @@ from tablegauge.llm.common import col, slices, with_workers
 Turn = tuple[str, str]
 HEAD = 1
 REACH = 4
+BLOCK_TURNS = 500  # turns of a conversation that one task formats
 LOSS_ROLE = "assistant"
 FLUSH_CHARS, FLUSH_ROWS = 1 << 20, 4096
 
@@ -103,20 +105,43 @@ class Span:
 
 def common(a: str, b: str) -> int:
     """Length of the longest common prefix."""
-    return len(a) if b.startswith(a) else len(os.path.commonprefix([a, b]))
+    if b.startswith(a):
+        return len(a)
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 class Incremental:
-    """Spans of a conversation's turns, added one by one. The template's opening text belongs to the first span."""
+    """Spans of a conversation's turns, added one by one. The template's opening text belongs to the first span.
 
-    def __init__(self, template: Template, reach: int = REACH):
+    Without a ``reach`` every output is that of the whole prefix.
+    """
+
+    def __init__(self, template: Template, reach: int | None = REACH):
         self.template, self.reach = template, reach
         self.context: list[Turn] = []
-        self.shown = ""
+        self.shown: str | None = ""
+
+    def skip(self, turn: Turn) -> None:
+        """The next turn is context of later ones; its own span is not asked for. Not with a ``reach``."""
+        self.context.append(turn)
+        self.shown = None
+
+    def output(self) -> str:
+        """What the template makes of the context."""
+        if self.shown is None:
+            self.shown = self.template.render(self.context)
+        return self.shown
 
     def add(self, turn: Turn, locate: bool) -> Span:
         """The span of the next turn; ``locate`` asks for the place of its text as well."""
-        render, before = self.template.render, self.shown
+        render, before = self.template.render, self.output()
         after = render([*self.context, turn])
         same = common(before, after)
         span = Span(after[same:], len(before) - same)
@@ -129,7 +154,7 @@ class Incremental:
                 span.text_start, span.text_end = at - same, len(after) - tail - same
         self.context.append(turn)
         self.shown = after
-        if len(self.context) > HEAD + self.reach:
+        if self.reach is not None and len(self.context) > HEAD + self.reach:
             shorter = [*self.context[:HEAD], *self.context[HEAD + 1:]]
             known, self.shown = render(shorter[:-1]), render(shorter)
             if not span.taken_back and self.shown[common(known, self.shown):] != span.piece:
@@ -174,7 +199,7 @@ def streamed(df: DataFrame, schema: str, texts: int, make) -> DataFrame:
 
 
 def format_chats(df: DataFrame, template: Template, conversation: str = "conv_id", turn: str = "turn", role: str = "role",
-                 text: str = "text", reach: int = REACH, loss_role: str = LOSS_ROLE) -> DataFrame:
+                 text: str = "text", reach: int | None = None, loss_role: str = LOSS_ROLE, block: int = BLOCK_TURNS) -> DataFrame:
     """One row per turn of the formatted conversations, each conversation's rows in order within one partition.
 
     Returns ``ident`` (the conversation), ``nth`` (from 0), ``piece`` (what the turn adds to the output), ``start`` (the
@@ -185,22 +210,36 @@ def format_chats(df: DataFrame, template: Template, conversation: str = "conv_id
 
     Turns are ordered by ``turn`` (null first), then role and text; repeated rows are turns of their own. Null roles and
     texts are empty. Rows with a null id are one conversation. An empty table gives no rows. Other columns are ignored.
+
+    A conversation of more than ``block`` turns is formatted in blocks of so many, side by side, each after the turns
+    before it. With a ``reach`` the context is bounded and a conversation is one stream.
     """
+    if block <= 0:
+        raise ValueError("block must be positive")
     source = df.select(col(conversation).alias("ident"), F.coalesce(col(role).cast("string"), F.lit("")).alias("role"),
                        F.coalesce(col(text).cast("string"), F.lit("")).alias("text"), col(turn).alias("turn"))
-    ordered = source.repartition("ident").sortWithinPartitions(
-        "ident", F.col("turn").asc_nulls_first(), "role", "text").select("ident", "role", "text")
+    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+
+    def spans(turns: DataFrame) -> DataFrame:
+        return streamed(turns.select("ident", "role", "text", "begins", "own"), "nth bigint, piece string, start bigint, taken_back bigint, "
+                        "loss_start bigint, loss_end bigint", 2, make)
 
     def make():
         made, nth, size = Incremental(template, reach), 0, 0
 
         def step(new: bool, row: tuple | None) -> Iterator[tuple]:
             nonlocal made, nth, size
-            if new:
-                made, nth, size = Incremental(template, reach), 0, 0
             if row is None:
                 return
-            ident, name, body = row
+            ident, name, body, begins, own = row
+            if new or begins:
+                made, nth, size = Incremental(template, reach), 0, 0
+            if not own:
+                made.skip((name, body))
+                nth, size = nth + 1, None
+                return
+            if size is None:
+                size = len(made.output())
             span = made.add((name, body), name == loss_role)
             size -= span.taken_back
             places = (None, None) if span.text_start is None else (size + span.text_start, size + span.text_end)
@@ -209,7 +248,21 @@ def format_chats(df: DataFrame, template: Template, conversation: str = "conv_id
 
         return step
 
-    return streamed(ordered, "nth bigint, piece string, start bigint, taken_back bigint, loss_start bigint, loss_end bigint", 2, make)
+    def whole(turns: DataFrame) -> DataFrame:
+        return spans(turns.repartition("ident").sortWithinPartitions("ident", *order).withColumns({"begins": F.lit(False), "own": F.lit(True)}))
+
+    if reach is not None:
+        return whole(source)
+    long = source.groupBy("ident").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select(F.col("ident").alias("long"), "n")
+    # At most one conversation in ``block`` rows is long; broadcast, so that the texts of all others are shuffled once.
+    long, same = F.broadcast(long), F.col("ident").eqNullSafe(F.col("long"))
+    numbered = source.join(long, same).select(
+        "ident", "role", "text", "n", (F.row_number().over(Window.partitionBy("ident").orderBy(*order)) - 1).alias("nth"))
+    last = F.floor((F.col("n") - 1) / block)
+    dealt = numbered.withColumn("first", F.floor(F.col("nth") / block)).withColumn("part", F.explode(F.sequence("first", last))).withColumns(
+        {"begins": F.col("nth") == 0, "own": F.col("first") == F.col("part")})
+    parts = spans(dealt.repartition("ident", "part").sortWithinPartitions("ident", "part", "nth"))
+    return whole(source.join(long, same, "left_anti")).unionByName(parts.repartition("ident").sortWithinPartitions("ident", "nth"))
 
 
 def read_back(pieces: DataFrame, template: InstructTemplate) -> DataFrame:

@@ -157,3 +157,64 @@ def test_rewritten_conversations_have_no_digests(spark):
     pieces = sorted(format_chats(df, Local()).collect(), key=lambda r: r.nth)
     assert [r.taken_back for r in pieces] == [0, 1, 3] and all(r.loss_start is None for r in pieces)
     assert digests(df, Local()) == {1: (3, None, None, None, len("qarr"), 2)}
+
+
+class MarksTheThird:
+    """Looks at the third turn, which is neither among the first nor among the last ones of a long conversation."""
+
+    def render(self, turns):
+        mark = turns[2][1] if len(turns) > 2 else ""
+        return "".join(f"<{role}>{text}{mark if i > 2 else ''}\n" for i, (role, text) in enumerate(turns))
+
+
+class ForgetsTheThird:
+    """Takes the third turn back at the tenth."""
+
+    def render(self, turns):
+        return "".join(f"<{role}>{'' if i == 2 and len(turns) > 9 else text}\n" for i, (role, text) in enumerate(turns))
+
+
+class CountsTurns:
+    def render(self, turns):
+        return "".join(f"{i}:{text}\n" for i, (_, text) in enumerate(turns))
+
+
+def local(template):
+    """The template as an object of a class that travels to the workers by value."""
+    class Local:
+        render = staticmethod(lambda turns, f=type(template).__dict__["render"]: f(None, turns))
+    Local.render.__module__ = type(template).__dict__["render"].__module__ = Local.__module__ = "__main__"
+    return Local()
+
+
+@pytest.mark.parametrize("kind", [MarksTheThird, ForgetsTheThird, CountsTurns, ClosesAtTheEnd, InstructTemplate])
+@pytest.mark.parametrize("block", [500, 4, 1])
+def test_whole_prefixes_are_rendered(spark, kind, block):
+    template = kind()
+    if kind is not InstructTemplate:
+        template = local(template)
+    r = random.Random(3)
+    convs = {c: [(r.choice(["user", "assistant"]), f"{c}.{k}" + "".join(r.choices(PARTS, k=3))) for k in range(n)] for c, n in ((1, 23), (2, 3), (None, 12), (4, 4))}
+    df = spark.createDataFrame([(c, k, *t) for c, turns in convs.items() for k, t in enumerate(turns)], SCHEMA).repartition(3)
+    placed = format_chats(df, template, block=block).selectExpr("*", "spark_partition_id() AS p", "monotonically_increasing_id() AS at").collect()
+    for c, turns in convs.items():
+        rows = sorted((x for x in placed if x.ident == c), key=lambda x: x["at"])
+        assert [x.nth for x in rows] == list(range(len(turns))) and len({x.p for x in rows}) == 1
+        out = ""
+        for k, x in enumerate(rows):
+            before, out = out, out[:len(out) - x.taken_back] + x.piece
+            assert out == template.render(turns[:k + 1]) and x.start == len(out) - len(x.piece)
+            assert (x.taken_back > 0) == (not out.startswith(before))
+            if x.loss_start is not None:
+                assert turns[k][0] == "assistant" and template.unescape(out[x.loss_start:x.loss_end]) == turns[k][1] \
+                    if kind is InstructTemplate else out[x.loss_start:x.loss_end] == turns[k][1]
+
+
+def test_digests_of_blocks(spark):
+    r = random.Random(11)
+    rows = [(c, k, role, text) for c in range(20) for k, (role, text) in enumerate(random_turns(r))]
+    rows += [(c, k, ("user", "assistant")[k % 2], f"</s>[INST] {k}") for c, n in ((52, 300), (None, 41), (53, 40)) for k in range(n)]
+    r.shuffle(rows)
+    df, template = spark.createDataFrame(rows, SCHEMA), InstructTemplate()
+    got = read_back(format_chats(df, template, block=40), template).collect()
+    assert {x.ident: tuple(x)[1:] for x in got} == expected(rows, template) and len(got) == len({x.ident for x in got})
